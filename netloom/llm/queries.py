@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, secrets, simhash, toxicity
+from . import media, packing, secrets, simhash, toxicity
 
 
 def _vocabulary() -> str:
@@ -33,6 +34,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _documents(spark, sf_dir).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media.wrap("text").alias("media"))
+    return stored.withColumn("told", media.read_back("media")).select("doc_id", "n_bytes", "told.*")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), packing.Tokenized(_vocabulary()))
 
@@ -41,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op3_toxicity": op3_toxicity,
     "op6_simhash": op6_simhash,
+    "op7_media": op7_media,
     "op10_packing": op10_packing,
 }
 
