@@ -75,26 +75,32 @@ def _signed(k: int) -> int:
     return (1 << k) - (1 << 64 if k == 63 else 0)
 
 
+#: Fingerprints whose variants one task makes.
+TASK_PRINTS = 16_384
+
+
 def components_of(prints: DataFrame) -> DataFrame:
     """``prints`` has distinct longs ``fp``; returns (fp, root) for those with a link, root the least fp of the component."""
-    balls = prints.select("fp", F.explode(_flips(F.col("fp"), [_signed(k) for k in range(64)])).alias("variant"))
+    prints = lasting(prints)
+    tasks = max(1, -(-prints.count() // TASK_PRINTS))
+    dealt = prints.repartition(tasks, "fp")
+    balls = dealt.select("fp", F.explode(_flips(F.col("fp"), [_signed(k) for k in range(64)])).alias("variant"))
     # At most 65 distinct fingerprints lie within one bit of a variant, so this list is bounded.
     met = balls.groupBy("variant").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     near = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b").distinct()
     first = lasting(connected_components(near, "a", "b"))
 
+    # The key of a half: its 32 bits, with bit 32 telling which half it is.
     held = prints.join(first.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("part"))
-    half = lambda high: F.shiftrightunsigned("fp", 32) if high else F.col("fp").bitwiseAND(0xFFFFFFFF)
-    keys = F.array(*[F.struct(F.lit(h).alias("high"), half(h).alias("key")) for h in (0, 1)])
-    stored = held.select("fp", "part", F.explode(keys).alias("k")).select("fp", "part", "k.high", "k.key")
-    probes = stored.select("fp", "part", "high", F.explode(_flips(F.col("key"), [1 << k for k in range(32)])).alias("key"))
-    mixed = (
-        probes.groupBy("high", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("high", "key")
-    )
-    stored = lasting(stored.join(mixed, ["high", "key"], "left_semi"))
-    q = probes.select(F.col("fp").alias("fp2"), F.col("part").alias("part2"), "high", "key")
+    held = held.repartition(tasks, "fp")
+    low, high = F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32).bitwiseOR(1 << 32)
+    stored = held.select("fp", "part", F.explode(F.array(low, high)).alias("key"))
+    bits = [1 << k for k in range(32)]
+    probes = held.select(F.col("fp").alias("fp2"), F.col("part").alias("part2"), F.explode(F.concat(_flips(low, bits), _flips(high, bits))).alias("key"))
+    probes = probes.repartition("key")  # dealt once, read by the filter and by the join
+    mixed = probes.groupBy("key").agg(F.min("part2").alias("lo"), F.max("part2").alias("hi")).where("lo < hi").select("key")
     far = (
-        stored.join(q, ["high", "key"])
+        probes.join(stored.join(mixed, "key", "left_semi").hint("merge"), "key")
         .where((F.col("part") != F.col("part2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS))
         .select(F.least("part", "part2").alias("a"), F.greatest("part", "part2").alias("b"))
         .distinct()
@@ -109,7 +115,7 @@ def components_of(prints: DataFrame) -> DataFrame:
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = lasting(docs.select(F.col(id_col).alias("id"), fingerprint(text_col).alias("fp")))
-    least = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    least = lasting(rows.groupBy("fp").agg(F.min("id").alias("least")))
     linked = lasting(components_of(least.select("fp")))
     least = least.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     top = least.groupBy("root").agg(F.min("least").alias("component_id"))
