@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, quality, secrets, simhash, toxicity
+from . import media, packing, quality, secrets, sharding, simhash, toxicity
 
 
 def _vocabulary() -> str:
@@ -39,6 +39,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.withColumn("told", media.read_back("media")).select("doc_id", "n_bytes", "told.*")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_documents(spark, sf_dir))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op6_simhash": op6_simhash,
     "op7_media": op7_media,
+    "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
