@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, quality, secrets, sharding, simhash, toxicity
+from . import media, mixing, packing, quality, secrets, sharding, simhash, toxicity
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,33 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.train(toxicity.labelled(docs, labels)))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources to equal weights, in a mix as large as the corpus; the texts are part of the result."""
+    mixed = mixing.mix_sources(_documents(spark, sf_dir))
+    return mixed.select("doc_id", F.col("copy").cast("long").alias("copy"), "source", "lang", "n_chars", "text")
+
+
+#: The same draws: shares, rates and the running probabilities of each source, then each document's place among them.
+OP4_SQL = """
+WITH per AS (
+  SELECT source, count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS DOUBLE) AS amount FROM documents GROUP BY source
+), rate AS (
+  SELECT source, CASE WHEN amount > 0 THEN 1.0 / sum(CASE WHEN amount > 0 THEN 1.0 ELSE 0.0 END) OVER () * sum(amount) OVER () / amount ELSE 0.0 END AS r FROM per
+), logs AS (
+  SELECT source, k, CASE WHEN r > 0 THEN -r + sum(CASE WHEN k = 0 THEN 0.0 ELSE ln(r) - ln(CAST(k AS DOUBLE)) END) OVER (PARTITION BY source ORDER BY k) END AS l
+  FROM (SELECT source, r, unnest(range(0, CAST(ceil(r + 12 * sqrt(r) + 20) AS BIGINT) + 1)) AS k FROM rate)
+), cdf AS (
+  SELECT source, k, coalesce(sum(exp(l)) OVER (PARTITION BY source ORDER BY k), 1.0) AS c FROM logs
+), steps AS (
+  SELECT source, list(c ORDER BY k) AS cs FROM cdf GROUP BY source
+), drawn AS (
+  SELECT d.*, len(list_filter(cs, lambda c: c <= CAST(CAST('0x' || substr(md5('4:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0)) AS m
+  FROM documents d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source
+)
+SELECT doc_id, unnest(range(0, m)) AS copy, source, lang, n_chars, text FROM drawn WHERE m > 0
+"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -48,12 +75,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir), packing.Tokenized(_vocabulary()))
+    return packing.pack(_documents(spark, sf_dir), packing.Tokenized(vocabulary()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op3_toxicity": op3_toxicity,
+    "op4_mixing": op4_mixing,
     "op6_simhash": op6_simhash,
     "op7_media": op7_media,
     "op8_sharding": op8_sharding,
@@ -61,4 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": OP4_SQL,
+}
