@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, quality, secrets, sharding, simhash, tools, toxicity
+from . import licenses, media, mixing, packing, quality, secrets, sharding, simhash, tools, toxicity
 
 
 def vocabulary() -> str:
@@ -24,6 +24,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_documents(spark, sf_dir)))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -112,6 +116,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_licenses": op2_licenses,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_tool_calls": op5_tool_calls,
