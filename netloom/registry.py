@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from .plans import relational  # noqa: F401  the module registers its queries
+    from .plans import captures, relational  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,3 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     _load()
     return dict(_SQL)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship query."""
+    _load()
+    return _QUERIES["conversation_tree"](spark, sf_dir)
