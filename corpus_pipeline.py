@@ -17,7 +17,7 @@ from netloom.llm.queries import vocabulary
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the compression-distance classifier calls toxic go; it learns from the labelled rows of its own input."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.drop_toxic(docs, toxicity.train(toxicity.labelled(docs, labels)))
+    return toxicity.drop_toxic(docs, toxicity.train(docs, labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

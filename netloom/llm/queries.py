@@ -31,7 +31,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.classify(docs, toxicity.train(toxicity.labelled(docs, labels)))
+    return toxicity.classify(docs, toxicity.train(docs, labels))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

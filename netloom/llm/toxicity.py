@@ -15,6 +15,7 @@ parameters of ``Training``. Scoring runs over whole texts where they are read.
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import lasting
 from .words import blocks
 
 WINDOW, LEVEL, MIN_MATCH = 64, 1, 6
@@ -36,10 +38,10 @@ U = np.uint64
 class Training:
     """The bounds of the sample and the sizes of the dictionaries.
 
-    Of the labelled rows whose text has at most ``longest`` characters, up to
-    ``toxic`` and ``ordinary`` of each label with the least hash of their text
-    are taken. ``support`` is the share of toxic documents that a stretch must
-    occur in, ``ratio`` how many times more common it must be there.
+    Of the labelled ids up to ``toxic`` and ``ordinary`` of each label with the
+    least hash are taken, and of these the rows whose text has at most
+    ``longest`` characters. ``support`` is the share of toxic documents that a
+    stretch must occur in, ``ratio`` how many times more common it must be there.
     """
 
     toxic: int = 2000
@@ -179,19 +181,31 @@ def _dictionaries(toxic: list[bytes], ordinary: list[bytes], how: Training) -> t
     )
 
 
-def train(labelled: DataFrame, how: Training = Training(), text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from labelled rows; null labels and null texts are left out, and a class may be missing.
+def sample(docs: DataFrame, labels: DataFrame, how: Training = Training(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(id, text, toxic) of at most ``how.toxic + how.ordinary`` rows that may be learned from, no held-out one among them.
+
+    Ids are chosen from the labels alone, so only they, a bounded number, meet
+    the texts. An id with several labels counts by the greater, one with
+    several texts by the least. Null ids, labels and texts are left out.
+    """
+    mine = labels.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    mine = mine.groupBy(F.col(id_col).alias("__id")).agg((F.max(label_col) == 1).alias("toxic")).withColumn("__o", F.xxhash64("__id"))
+    part = lambda toxic, n: mine.where(F.col("toxic") == toxic).orderBy("__o", "__id").limit(n)
+    chosen = lasting(part(True, how.toxic).unionByName(part(False, how.ordinary)).drop("__o"))
+    met = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"])  # a bounded number of ids
+    met = met.where(F.col(text_col).isNotNull() & (F.char_length(text_col) <= how.longest))
+    return met.groupBy(F.col("__id").alias("id"), "toxic").agg(F.min(text_col).alias("text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model from the labelled rows of ``docs``; a class may be missing.
 
     The calibration sees text that is new to the dictionaries: each half of the
     sample is measured with dictionaries of the other half. The dictionaries
     that are kept are trained on both.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), (F.col(label_col) == 1).alias("toxic")).where(
-        F.col("text").isNotNull() & F.col("toxic").isNotNull() & (F.char_length("text") <= how.longest)
-    )
-    rows = rows.withColumn("order", F.xxhash64("text"))
-    part = lambda toxic, n: [r.text.encode() for r in rows.where(F.col("toxic") == toxic).orderBy("order", "text").limit(n).collect()]
-    toxic, ordinary = part(True, how.toxic), part(False, how.ordinary)
+    rows = sorted((zlib.crc32(r.text.encode()), r.text, r.toxic) for r in sample(docs, labels, how, id_col, text_col, label_col).collect())
+    toxic, ordinary = [t.encode() for _, t, y in rows if y], [t.encode() for _, t, y in rows if not y]
     x, y = [], []
     for k in (0, 1):
         own = _dictionaries(toxic[1 - k :: 2], ordinary[1 - k :: 2], how)
@@ -218,12 +232,6 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(text, label) of the rows that may be learned from."""
-    mine = labels.where(~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).alias("toxic"))
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(mine, "__id").select("text", "toxic")
-
-
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, score, predicted) for every row of ``docs``, repeated and null ids included; other columns are ignored."""
     scored = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), score(text_col, model).alias("score"))
