@@ -57,6 +57,8 @@ class Words:
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printed]
         self.char = {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        #: Tokens that stand for themselves wherever they are in a text; texts with one are left to the tokenizer.
+        self.added = tuple(t.content.lower() for t in self.whole.get_added_tokens_decoder().values())
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -72,11 +74,14 @@ class Words:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not _PLAIN.fullmatch(text):
+        plain = _PLAIN.fullmatch(text)
+        if not plain:
             text = unicodedata.normalize("NFC", text)
-            if not _PLAIN.fullmatch(text):
-                return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.lower().split()
+            plain = _PLAIN.fullmatch(text)
+        small = text.lower()
+        if not plain or any(t in small for t in self.added):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        words = small.split()
         known = self.words
         try:
             return b"".join([known[w] for w in words])

@@ -141,17 +141,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Where several rows of a component have that id (repeated rows, or nothing
     but null ids), any one of them stays. Columns are those of ``docs``.
     """
-    heads = lasting(
-        _labelled(docs, id_col, text_col)
-        .where(F.col("id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("id").alias("__id"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    same = docs[id_col].eqNullSafe(heads["__id"])
-    once = docs.join(heads.where("__n = 1"), same, "left_semi")
-    if heads.where("__n > 1").isEmpty():
+    found = _labelled(docs, id_col, text_col)
+    head = F.col("id").eqNullSafe(F.col("component_id"))
+    ids = lasting(found.groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"), F.count_if(head).alias("__heads")).where("__heads > 0"))
+    same = docs[id_col].eqNullSafe(ids["__id"])
+    once = docs.join(ids.where("__n = 1"), same, "left_semi")
+    if ids.where("__n > 1").isEmpty():
         return once
-    again = lasting(docs.join(heads.where("__n > 1"), same, "left_semi").withColumn("__fp", fingerprint(text_col)))
-    roots = components_of(again.select(F.col("__fp").alias("fp")).distinct()).select(F.col("fp").alias("__f"), "root")
-    again = again.join(roots, again["__fp"] == roots["__f"], "left").withColumn("__root", F.coalesce("root", "__fp"))
-    return once.unionByName(again.dropDuplicates([id_col, "__root"]).select(*[again[c] for c in docs.columns]))
+    # Ids that come more than once: the text tells which of their rows is meant.
+    pairs = found.where(head).select(F.col("id").alias("__i"), F.col("fp").alias("__f"), F.col("root").alias("__root")).distinct()
+    again = docs.join(ids.where("__n > 1"), same, "left_semi").withColumn("__fp", fingerprint(text_col))
+    again = again.join(pairs, again[id_col].eqNullSafe(pairs["__i"]) & (again["__fp"] == pairs["__f"])).dropDuplicates(["__i", "__root"])
+    return once.unionByName(again.select(*docs.columns))
