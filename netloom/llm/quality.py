@@ -20,15 +20,16 @@ from .components import lasting
 SPACE = r"\x20\x09-\x0D"
 WINDOW = 5
 
-#: Character classes, as regular expression classes. What is in none of them is the last class.
+#: Character classes, as regular expression classes, most common first. What is in none of them is the last class.
 CLASSES = {
-    "small": "a-z",
-    "capital": "A-Z",
-    "letter": r"\p{L}&&[^a-zA-Z]",
-    "digit": "0-9",
-    "space": SPACE,
-    "stop": r".,;:!?'\"()\-",
+    "small": "[a-z]",
+    "space": f"[{SPACE}]",
+    "capital": "[A-Z]",
+    "stop": r"[.,;:!?'\"()\-]",
+    "digit": "[0-9]",
+    "letter": r"\p{L}",
 }
+SYMBOLS = "#*$%&|<>"
 
 #: Very common words of each language.
 COMMON = {
@@ -41,11 +42,12 @@ COMMON = {
 
 @dataclass(frozen=True)
 class Limits:
-    """A text is kept if both distances are at most these, or it has fewer words than ``least_words``."""
+    """A text is kept if each distance is at most its limit, or the text has fewer words than that distance's guard."""
 
     classes: float = 0.30
-    words: float = 0.45
-    least_words: int = 50
+    classes_guard: int = 50
+    words: float = 0.30
+    words_guard: int = 100
     #: Up to so many languages their references are sent to all tasks; beyond, they are joined by a shuffle.
     broadcast_languages: int = 2_000
 
@@ -75,23 +77,25 @@ def _counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) -
     repeated = F.coalesce(F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0))
 
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    each = [_length(F.regexp_replace("t", f"[^{c}]+" if "&&" not in c else f"[^\\p{{L}}]+|[a-zA-Z]+", "")) for c in CLASSES.values()]
-    rest = _length("t")
-    for x in each:
-        rest = rest - x
+    # Class after class is taken out of what is left, so that only the first pass reads the whole text.
+    before, each = "t", []
+    for name, chars in CLASSES.items():
+        t = t.withColumn(f"r_{name}", F.regexp_replace(before, f"{chars}+", ""))
+        each.append(_length(before) - _length(f"r_{name}"))
+        before = f"r_{name}"
+    among = lambda listed: F.filter("w", lambda x: x.isin(listed.split()))
     hits = F.lit(None).cast("array<string>")
-    for name, words in COMMON.items():
-        found = F.regexp_extract_all(F.lower("t"), F.lit(rf"(?<![^{SPACE}])(?:{'|'.join(words.split())})(?=[{SPACE}.,;:!?]|\z)"), F.lit(0))
-        hits = F.when(F.col("lang") == name, found).otherwise(hits)
+    for name, listed in COMMON.items():
+        hits = F.when(F.col("lang") == name, among(listed)).otherwise(hits)
     t = t.select(
         "id",
         "lang",
         n.cast("long").alias("n_words"),
         _length(F.array_join("w", "")).alias("word_chars"),
-        _length(F.regexp_replace("t", "[^#*$%&|<>]+", "")).alias("n_symbols"),
+        (_length(before) - _length(F.translate(before, SYMBOLS, ""))).alias("n_symbols"),
         F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
         repeated.cast("long").alias("n_repeat_words"),
-        F.array(*each, rest).alias("classes"),
+        F.array(*each, _length(before)).alias("classes"),
         hits.alias("hits"),
     )
     words = F.lit(None).cast("array<long>")
@@ -142,6 +146,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     refs = refs.withColumnRenamed("lang", "__lang")
     rows = rows.join(refs, rows["lang"].eqNullSafe(refs["__lang"]), "left")
     rows = rows.withColumns({"class_distance": divergence("class_share", "class_ref"), "word_distance": divergence("word_share", "word_ref")})
-    near = (F.coalesce("class_distance", F.lit(0.0)) <= limits.classes) & (F.coalesce("word_distance", F.lit(0.0)) <= limits.words)
+    near = lambda d, limit, guard: (F.col("n_words") < guard) | (F.coalesce(d, F.lit(0.0)) <= limit)
+    alike = near("class_distance", limits.classes, limits.classes_guard) & near("word_distance", limits.words, limits.words_guard)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance"]
-    return rows.select(F.col("id").alias(id_col), *counts, (~F.col("base_failed") & ((F.col("n_words") < limits.least_words) | near)).alias("kept"))
+    return rows.select(F.col("id").alias(id_col), *counts, (~F.col("base_failed") & alike).alias("kept"))
