@@ -33,7 +33,7 @@ def tcp_segments(packets: DataFrame) -> DataFrame:
     key = ["end_a", "end_b", "conn"]
     whole = Window.partitionBy(*key)
     order = whole.orderBy("path", "frame_no")
-    p = p.withColumn("side", (F.first("from_a").over(order) != F.col("from_a")).cast("int"))
+    p = p.withColumns({"side": (F.first("from_a").over(order) != F.col("from_a")).cast("int"), "ends": F.first(F.struct("src_ip", "src_port", "dst_ip", "dst_port")).over(order)})
     way = Window.partitionBy(*key, "side")
     syn = F.col("tcp_flags").bitwiseAND(SYN) != 0
     # Places are told from the opening SYN, else from the least sequence number near the first one that was seen.
@@ -49,7 +49,8 @@ def tcp_segments(packets: DataFrame) -> DataFrame:
     given = whole.orderBy("ready", "side", "rel")
     p = p.withColumns({"pos": F.row_number().over(given) - 1, "offset": F.coalesce(F.sum("length").over(given.rowsBetween(START, -1)), F.lit(0)), "turn": F.coalesce((F.lag("side").over(given) != F.col("side")).cast("int"), F.lit(1))})
     p = p.withColumn("run", F.sum("turn").over(given.rowsBetween(START, 0)) - 1)
-    first = F.first(F.struct("path", "frame_no", "ts_ns", "src_ip", "src_port", "dst_ip", "dst_port")).over(given)
+    # Number and time are those of the first bytes, endpoints those of the packet that opened the stream.
+    first = F.first(F.struct("path", "frame_no", "ts_ns", "ends.src_ip", "ends.src_port", "ends.dst_ip", "ends.dst_port")).over(given)
     return p.withColumn("first", first).select(
         F.concat_ws("-", "first.path", "first.frame_no").alias("stream"), "pos", "side", "run", "offset", "length", "missing", "part", "path", "frame_no", "ts_ns", "payload_at", "first"
     )
