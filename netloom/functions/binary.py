@@ -13,12 +13,12 @@ from pyspark.sql.types import BinaryType
 
 
 def number(data: Column, at, length: int, little: bool = False) -> Column:
-    """An unsigned integer of up to seven bytes at a place (from 0); null beyond the end."""
+    """An unsigned integer of up to eight bytes at a place (from 0); null beyond the end, and from 2^63 on."""
     at = F.lit(at) if isinstance(at, int) else at
     h = F.hex(F.substring(data, at.cast("int") + 1, F.lit(length)))
     if little:
         h = F.concat(*[F.substring(h, 2 * k + 1, 2) for k in reversed(range(length))])
-    return F.when(F.length(h) == 2 * length, F.conv(h, 16, 10).cast("long"))
+    return F.when(F.length(h) == 2 * length, F.conv(h, 16, 10).try_cast("long"))
 
 
 def ipv4(data: Column, at) -> Column:
