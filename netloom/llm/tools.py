@@ -6,7 +6,7 @@ the tools' schemas, and every message becomes one line of canonical JSON: keys
 sorted, no white space, numbers as they are.
 
 Nothing is gathered by conversation: a message is a row throughout, and its
-place is (level, turn). So a conversation of any length costs no task more than
+place is (position, turn). So a conversation of any length costs no task more than
 its share.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import lasting
+from .components import connected_components, lasting
 
 #: JSON types by the first word of a variant's SQL type.
 TYPES = {
@@ -36,24 +36,21 @@ def canonical(x: Column) -> Column:
     return F.to_json(F.parse_json(F.to_json(x)))
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """(call_id, level) of distinct calls (call_id, needs array<string>): 0 if it needs none, else one more than the highest that it needs.
+def _rounds(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(call_id, position): 0 for a call that needs none of ``edges``, else one more than the highest that it needs.
 
-    Needs that are no call are ignored. Calls on a circle, or behind one, have
-    no row. Every round gives the calls a level whose needs all have one.
+    Every round gives a position to the calls whose needs all have one. Calls on a circle, or behind one, have no row.
     """
-    edges = calls.select("call_id", F.explode("needs").alias("need")).distinct()
-    edges = edges.join(calls.select(F.col("call_id").alias("need")), "need", "left_semi")
     open_ = lasting(edges)
-    done = calls.join(open_.select("call_id").distinct(), "call_id", "left_anti").select("call_id", F.lit(0).alias("level"))
+    done = calls.select("call_id").join(open_.select("call_id").distinct(), "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("position"))
     done = fresh = lasting(done)
     level = 0
     while not open_.isEmpty():
         level += 1
-        # Of what is open, needs that got their level in the last round go; calls without another are next.
+        # Of what is open, needs that got their place in the last round go; calls without another are next.
         left = open_.join(fresh.select(F.col("call_id").alias("need")), "need", "left_anti")
         ready = open_.select("call_id").distinct().join(left.select("call_id").distinct(), "call_id", "left_anti")
-        fresh = lasting(ready.select("call_id", F.lit(level).alias("level")))
+        fresh = lasting(ready.select("call_id", F.lit(level).cast("long").alias("position")))
         if fresh.isEmpty():
             break
         open_ = lasting(left)
@@ -61,23 +58,51 @@ def levels(calls: DataFrame) -> DataFrame:
     return done
 
 
-def _problems(arguments: str) -> Column:
-    """What is wrong with the arguments by the schema in ``types`` and ``required``, sorted."""
-    given = F.from_json(arguments, "map<string,variant>")
-    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
-    named = lambda v: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair]), kind(v)), F.lit("other"))
-    fits = lambda want, v: (want == named(v)) | ((want == "number") & (named(v) == "integer"))
-    wrong = F.map_filter(given, lambda k, v: ~F.coalesce(fits(F.element_at(F.col("types"), k), v), F.lit(False)) & F.map_contains_key(F.col("types"), k))
-    strange = F.filter(F.map_keys(given), lambda k: ~F.map_contains_key(F.col("types"), k))
-    absent = F.filter("required", lambda k: ~F.map_contains_key(given, k))
+def positions(calls: DataFrame) -> DataFrame:
+    """(call_id, position) of distinct calls (call_id, conv_id, turn, needs): by position, each call comes after those that it needs.
+
+    Where calls need only earlier turns of their conversation, as chats do, the
+    turn is such a position already. Only groups of connected calls in which
+    some call needs a later turn, or one of another conversation, are put in
+    order by rounds, as many as the longest chain in such a group. No order
+    exists between groups, so any mixture of theirs will do. Needs that are no
+    call are ignored. Calls on a circle, or behind one, have no row.
+    """
+    at = calls.select(F.col("call_id").alias("need"), F.col("conv_id").alias("__conv"), F.col("turn").alias("__turn"))
+    edges = calls.select("call_id", "conv_id", "turn", F.explode(F.array_distinct("needs")).alias("need")).join(at, "need")
+    early = F.col("conv_id").eqNullSafe(F.col("__conv")) & F.coalesce(F.col("__turn") < F.col("turn"), F.lit(False))
+    edges = lasting(edges.select("call_id", "need", (~early).alias("late")))
+    by_turn = calls.select("call_id", F.coalesce("turn", F.lit(0)).cast("long").alias("position"))
+    late = edges.where("late")
+    if late.isEmpty():
+        return by_turn
+    group = connected_components(edges, "call_id", "need")
+    ends = late.select(F.explode(F.array("call_id", "need")).alias("node")).distinct()
+    bad = group.join(group.join(ends, "node").select("root").distinct(), "root", "left_semi").select("node").unionByName(ends).distinct()
+    bad = lasting(bad.select(F.col("node").alias("call_id")))
+    mixed = _rounds(calls.join(bad, "call_id", "left_semi"), edges.join(bad, "call_id", "left_semi").select("call_id", "need"))
+    return by_turn.join(bad, "call_id", "left_anti").unionByName(mixed)
+
+
+def _checked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``doc``, the arguments as a variant, and ``problems``, what is wrong with them by ``types`` and ``required``, sorted.
+
+    The arguments are parsed once, and each value's type is told once.
+    """
+    rows = rows.withColumn("doc", F.try_parse_json("arguments"))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant("doc"), F.lit("OBJECT")), F.lit(False))
+    values = F.from_json(F.when(is_object, F.col("arguments")), "map<string,variant>")
+    rows = rows.withColumn("kinds", F.transform_values(values, lambda k, v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)))
+    kind_of = lambda k: F.element_at("kinds", k)
+    right = lambda k, want: F.reduce(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in TYPES.items()]), F.lit(False), lambda ok, t: ok | ((t["a"] == kind_of(k)) & ((t["b"] == want) | ((want == "number") & (t["b"] == "integer")))))
+    given = F.map_keys("kinds")
+    absent = F.array_except("required", given)
+    strange = F.array_except(given, F.map_keys("types"))
+    wrong = F.filter(F.array_intersect(given, F.map_keys("types")), lambda k: ~right(k, F.element_at("types", k)))
     say = lambda what, keys: F.transform(keys, lambda k: F.concat(F.lit(what), k))
-    found = F.concat(say("missing:", absent), say("type:", F.map_keys(wrong)), say("unknown:", strange))
-    not_object = F.try_parse_json(arguments).isNull() | ~F.startswith(F.schema_of_variant(F.try_parse_json(arguments)), F.lit("OBJECT"))
-    return (
-        F.when(F.col("types").isNull(), F.array(F.lit("tool")))
-        .when(F.col(arguments).isNull() | F.coalesce(not_object, F.lit(True)), F.array(F.lit("arguments")))
-        .otherwise(F.array_sort(found))
-    )
+    found = F.array_sort(F.concat(say("missing:", absent), say("type:", wrong), say("unknown:", strange)))
+    problems = F.when(F.col("types").isNull(), F.array(F.lit("tool"))).when(F.col("kinds").isNull(), F.array(F.lit("arguments"))).otherwise(found)
+    return rows.withColumn("problems", F.when(F.col("copies").isNotNull(), problems).otherwise(F.array().cast("array<string>"))).drop("kinds")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -86,7 +111,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     ``calls``: conv_id, turn, call_id, name, arguments (JSON text), needs
     (array<string>). ``results``: conv_id, turn, call_id, content. ``schemas``:
     name, param, type (of JSON), required. Returns conv_id, turn, call_id,
-    name, level, status, problems (array), result_turn, copies, json.
+    name, position, status, problems (array), result_turn, copies, json.
 
     Calls that repeat an identifier count as one, the first by conversation and
     turn, and ``copies`` tells how many there were; so do results. Null
@@ -101,7 +126,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     first = one(named.withColumn("needs", F.coalesce("needs", F.array().cast("array<string>"))), ["name", "arguments", "needs"])
     first = lasting(first.select("call_id", "copies", "m.*"))
     got = one(results.where(F.col("call_id").isNotNull()), ["content"]).select("call_id", F.col("m.conv_id").alias("result_conv"), F.col("m.turn").alias("result_turn"), F.col("m.content").alias("content"))
-    order = levels(first.select("call_id", "needs"))
+    order = positions(first.select("call_id", "conv_id", "turn", "needs"))
     tools = schemas.groupBy("name").agg(
         F.map_from_entries(F.collect_list(F.struct("param", "type"))).alias("types"),
         F.sort_array(F.collect_list(F.when(F.col("required"), F.col("param")))).alias("required"),
@@ -114,26 +139,26 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     called = F.col("copies").isNotNull()
     joined = joined.withColumns({"conv_id": F.coalesce("conv_id", "result_conv"), "turn": F.coalesce("turn", "result_turn")})
     unnamed = calls.where(F.col("call_id").isNull()).select(*place, "call_id", "name", "arguments", F.lit(1).cast("long").alias("copies"))
-    rows = joined.select(*place, "call_id", "copies", "name", "arguments", "level", "result_turn", "content").unionByName(unnamed, allowMissingColumns=True)
-    rows = rows.join(tools, "name", "left").withColumn("problems", F.when(called, _problems("arguments")).otherwise(F.array().cast("array<string>")))
+    rows = joined.select(*place, "call_id", "copies", "name", "arguments", "position", "result_turn", "content").unionByName(unnamed, allowMissingColumns=True)
+    rows = _checked(rows.join(tools, "name", "left"))
     status = (
         F.when(~called, "orphan")
         .when(F.col("call_id").isNull(), "unnamed")
-        .when(F.col("level").isNull(), "cycle")
+        .when(F.col("position").isNull(), "cycle")
         .when(F.size("problems") > 0, "invalid")
         .when(F.col("result_turn").isNull(), "open")
         .otherwise("linked")
     )
     rows = rows.withColumn("status", status)
     body = F.struct(
-        F.coalesce(F.try_parse_json("arguments"), F.to_variant_object(F.array("arguments"))).alias("arguments"),
+        F.coalesce("doc", F.to_variant_object(F.array("arguments"))).alias("arguments"),
         F.col("call_id").alias("id"),
-        "level",
         "name",
+        "position",
         F.col("content").alias("result"),
         "status",
     )
-    return rows.select(*place, "call_id", "name", "level", "status", "problems", "result_turn", "copies", canonical(body).alias("json"))
+    return rows.select(*place, "call_id", "name", "position", "status", "problems", "result_turn", "copies", canonical(body).alias("json"))
 
 
 def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:

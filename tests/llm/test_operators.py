@@ -213,12 +213,15 @@ def test_tool_calls(spark):
     schemas = spark.createDataFrame([("f", "x", "string", True), ("f", "y", "integer", False)], "name string, param string, type string, required boolean")
     rows = {r.turn if r.status != "orphan" else "orphan": r for r in tools.link(calls, results, schemas).collect()}
     assert rows[0].status == "linked" and rows[0].result_turn == 8 and rows[0].copies == 2
-    assert rows[0].json == '{"arguments":{"x":"é","y":1},"id":"a","level":0,"name":"f","result":"first","status":"linked"}'
-    assert (rows[1].level, rows[1].status, rows[1].problems) == (1, "invalid", ["type:x"])
-    assert (rows[2].level, rows[2].problems) == (2, ["unknown:z"])
+    assert rows[0].json == '{"arguments":{"x":"é","y":1},"id":"a","name":"f","position":0,"result":"first","status":"linked"}'
+    assert (rows[1].position, rows[1].status, rows[1].problems) == (1, "invalid", ["type:x"])
+    assert (rows[2].position, rows[2].problems) == (2, ["unknown:z"])
     assert rows[3].status == rows[4].status == "cycle" and rows[3].problems == ["arguments"]
     assert rows[5].problems == ["tool"] and rows[6].status == "unnamed" and rows["orphan"].json.startswith('{"arguments":[null]')
     assert len(rows) == 8
+    # A call that needs a later turn, and all that hangs on it, are put in order by rounds; the rest goes by turn.
+    odd = spark.createDataFrame([("p", 1, 5, ["q"]), ("q", 1, 9, []), ("r", 1, 6, ["p"]), ("s", 2, 7, []), ("t", 2, 8, ["s"]), ("u", 2, 9, ["u"])], "call_id string, conv_id long, turn long, needs array<string>")
+    assert {r.call_id: r.position for r in tools.positions(odd).collect()} == {"q": 0, "p": 1, "r": 2, "s": 7, "t": 8}
     none = calls.limit(0)
     assert tools.link(none, results.limit(0), schemas).count() == 0
 
