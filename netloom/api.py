@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .decoders import dns, ftp, http, ssh, streams, tls, xor
+from .decoders import dhcp, dns, ftp, http, ssh, streams, tls, xor
 from .operators import filters, tree
 from .sources import keys as keysource
 from .sources import pcap
@@ -63,10 +63,10 @@ class Engine:
             F.col("meta").alias("is_metadata"), F.lit(False).alias("parsed"), "missing_data", F.col("c").alias("content"),
             _props(protocol=F.lit("http"), **ends, domain=F.col("domain"), uri=F.col("uri"), ja4h=F.col("ja4h"), ja3=F.col("ja3"), ja3s=F.col("ja3s"), ja4=F.col("ja4"), ja4s=F.col("ja4s")).alias("props"),
         )
-        named = dns.messages(packets)
-        dns_files = named.select(
-            F.concat_ws("-", "path", "frame_no").alias("stream"), F.lit("dns").alias("file_type"), F.col("filename").alias("name"), "ts_ns", F.col("frame_no").alias("first_packet_no"), F.lit(0).cast("long").alias("start"), F.octet_length("content").cast("long").alias("size"),
-            F.lit(False).alias("is_metadata"), F.lit(False).alias("parsed"), F.lit(False).alias("missing_data"), F.col("content").cast("binary").alias("content"), _props(protocol=F.lit("dns"), **ends).alias("props"),
+        datagrams = dns.messages(packets).drop("is_response").withColumn("kind", F.lit("dns")).unionByName(dhcp.messages(packets).withColumn("kind", F.lit("dhcp")))
+        dns_files = datagrams.select(
+            F.concat_ws("-", "path", "frame_no").alias("stream"), F.col("kind").alias("file_type"), F.col("filename").alias("name"), "ts_ns", F.col("frame_no").alias("first_packet_no"), F.lit(0).cast("long").alias("start"), F.octet_length("content").cast("long").alias("size"),
+            F.lit(False).alias("is_metadata"), F.lit(False).alias("parsed"), F.lit(False).alias("missing_data"), F.col("content").cast("binary").alias("content"), _props(protocol=F.col("kind"), **ends).alias("props"),
         )
         texts = ftp.log(runs).join(whole, "stream")
         ftp_files = texts.select(

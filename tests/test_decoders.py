@@ -127,3 +127,16 @@ def test_rules(spark):
 def test_config():
     c = keys.config('[general]\nsortby="/srcIP/"\n[keys]\nkeyfiles="a.key"\n[[decode.xor.properties]]\ndstPort="1"\n')
     assert c == {"sortby": "/srcIP/", "keyfiles": ["a.key"], "rules": {"xor": [{"dstPort": "1"}]}}
+
+
+def test_dhcp_golden():
+    from netloom.decoders import dhcp
+
+    head = struct.pack(">4BIHH", 1, 1, 6, 0, 15645, 0, 0) + b"\0" * 16 + bytes.fromhex("000b8201fc42") + b"\0" * 10 + b"\0" * 192 + b"\x63\x82\x53\x63"
+    options = b"\x35\1\1" + b"\x3d\7\1" + bytes.fromhex("000b8201fc42") + b"\x32\4\0\0\0\0" + b"\x37\4\1\3\6\x2a" + b"\xff"
+    text = dhcp.to_json(head + options)
+    assert len(text.encode()) == 561
+    j = json.loads(text)
+    assert j["ID"] == "15645" and j["Options"]["Parameter Request List"] == ["Subnet Mask", "Router", "DNS Servers", "NTP Server Addresses"]
+    assert j["Options"]["Client Identifier"] == {"Client MAC Address": "00:0b:82:01:fc:42", "Hardware Type": "Ethernet"}
+    assert dhcp.to_json(head[:200]) is None and dhcp.to_json(head + b"\x33\4\0") is not None
