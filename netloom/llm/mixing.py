@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import lasting
+
 
 @dataclass(frozen=True)
 class Mix:
@@ -34,7 +36,7 @@ class Mix:
 
 
 def rates(docs: DataFrame, mix: Mix = Mix(), source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(source, rows, amount, rate, cdf): the mean number of copies of each source and the inverted distribution's steps.
+    """(source, rows, amount, rate): the mean number of copies of each source's documents.
 
     A null source is a source of its own, named null. A source whose rows have
     no characters has rate 0.
@@ -45,8 +47,12 @@ def rates(docs: DataFrame, mix: Mix = Mix(), source_col: str = "source", text_co
     for name, w in sorted(mix.weights.items()):
         weight = F.when(F.col("source") == name, float(w)).otherwise(weight)
     per = per.withColumn("weight", F.when(F.col("amount") > 0, weight).otherwise(0.0))
-    whole = per.agg(F.sum("amount").alias("all_amount"), F.sum("weight").alias("all_weight"))  # one row
-    return per.join(F.broadcast(whole)).select("source", "rows", "amount", F.when(F.col("amount") > 0, F.lit(mix.size) * F.col("weight") / F.col("all_weight") * F.col("all_amount") / F.col("amount")).otherwise(0.0).alias("rate"))
+    per = lasting(per)  # a row a source
+    whole = per.agg(F.sum("amount").alias("amount"), F.sum("weight").alias("weight")).first()
+    if not whole.weight:
+        return per.select("source", "rows", "amount", F.lit(0.0).alias("rate"))
+    rate = F.lit(float(mix.size)) * F.col("weight") / F.lit(whole.weight) * F.lit(whole.amount) / F.col("amount")
+    return per.select("source", "rows", "amount", F.when(F.col("amount") > 0, rate).otherwise(0.0).alias("rate"))
 
 
 def steps(rate: Column) -> Column:
