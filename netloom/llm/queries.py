@@ -87,6 +87,38 @@ FROM calls c FULL JOIN results r ON c.id = r.id
 """
 
 
+def op5_tool_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op5_tool_calls``, with each call's level among those that it needs instead of a position."""
+    calls, results = tools.turns_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    schemas = spark.createDataFrame(tools.TURN_TOOLS, "name string, param string, type string, required boolean")
+    return tools.link(calls, results, schemas, by_level=True).withColumn("problems", F.array_join("problems", ","))
+
+
+OP5_LEVELS_SQL = """
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, text, md5(conv_id || ':' || turn) AS id, md5(conv_id || ':' || (turn - 1)) AS before1, md5(conv_id || ':' || (turn - 2)) AS before2 FROM conversations
+), calls AS (
+  SELECT *, CASE WHEN role = 'user' THEN 'answer' ELSE 'instruct' END AS name FROM m WHERE role IN ('user', 'system')
+), edges AS (
+  SELECT c.id, n.id AS need FROM calls c JOIN calls n ON n.id IN (c.before1, c.before2)
+), depth AS (
+  SELECT id, 0 AS level FROM calls WHERE id NOT IN (SELECT id FROM edges)
+  UNION SELECT e.id, d.level + 1 FROM edges e JOIN depth d ON e.need = d.id
+), lvl AS (
+  SELECT id, max(level) AS level FROM depth GROUP BY id
+), results AS (
+  SELECT conv_id, turn, before1 AS id, text FROM m WHERE role NOT IN ('user', 'system')
+)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.id, r.id) AS call_id, c.name, l.level,
+  CASE WHEN c.id IS NULL THEN 'orphan' WHEN r.id IS NULL THEN 'open' ELSE 'linked' END AS status, '' AS problems, r.turn AS result_turn,
+  CASE WHEN c.id IS NOT NULL THEN 1 END AS copies,
+  CASE WHEN c.id IS NULL THEN '{"arguments":[null],"id":' || to_json(r.id) || ',"result":' || to_json(r.text) || ',"status":"orphan"}'
+  ELSE '{"arguments":{"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '},"id":' || to_json(c.id) || ',"level":' || l.level || ',"name":' || to_json(c.name)
+    || CASE WHEN r.id IS NULL THEN ',"status":"open"}' ELSE ',"result":' || to_json(r.text) || ',"status":"linked"}' END END AS json
+FROM calls c FULL JOIN results r ON c.id = r.id LEFT JOIN lvl l ON l.id = c.id
+"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -114,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_tool_calls": op5_tool_calls,
+    "op5_tool_levels": op5_tool_levels,
     "op6_simhash": op6_simhash,
     "op7_media": op7_media,
     "op8_sharding": op8_sharding,
@@ -124,4 +157,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": OP4_SQL,
     "op5_tool_calls": OP5_SQL,
+    "op5_tool_levels": OP5_LEVELS_SQL,
 }

@@ -58,6 +58,21 @@ def _rounds(calls: DataFrame, edges: DataFrame) -> DataFrame:
     return done
 
 
+def _edges(calls: DataFrame) -> DataFrame:
+    """(call_id, need, need_turn, late) for each need that is a call; late unless it is an earlier turn of the same conversation."""
+    at = calls.select(F.col("call_id").alias("need"), F.col("conv_id").alias("__conv"), F.col("turn").alias("need_turn"))
+    edges = calls.select("call_id", "conv_id", "turn", F.explode(F.array_distinct("needs")).alias("need")).join(at, "need")
+    early = F.col("conv_id").eqNullSafe(F.col("__conv")) & F.coalesce(F.col("need_turn") < F.col("turn"), F.lit(False))
+    return lasting(edges.select("call_id", "need", "need_turn", (~early).alias("late")))
+
+
+def _connected(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """(call_id) of all calls that ``edges`` connect with those of ``ends`` (node), these included."""
+    group = connected_components(edges, "call_id", "need")
+    bad = group.join(group.join(ends, "node").select("root").distinct(), "root", "left_semi").select("node").unionByName(ends).distinct()
+    return lasting(bad.select(F.col("node").alias("call_id")))
+
+
 def positions(calls: DataFrame) -> DataFrame:
     """(call_id, position) of distinct calls (call_id, conv_id, turn, needs): by position, each call comes after those that it needs.
 
@@ -68,22 +83,48 @@ def positions(calls: DataFrame) -> DataFrame:
     exists between groups, so any mixture of theirs will do. Needs that are no
     call are ignored. Calls on a circle, or behind one, have no row.
     """
-    at = calls.select(F.col("call_id").alias("need"), F.col("conv_id").alias("__conv"), F.col("turn").alias("__turn"))
-    edges = calls.select("call_id", "conv_id", "turn", F.explode(F.array_distinct("needs")).alias("need")).join(at, "need")
-    early = F.col("conv_id").eqNullSafe(F.col("__conv")) & F.coalesce(F.col("__turn") < F.col("turn"), F.lit(False))
-    edges = lasting(edges.select("call_id", "need", (~early).alias("late")))
+    edges = _edges(calls)
     by_turn = calls.select("call_id", F.coalesce("turn", F.lit(0)).cast("long").alias("position"))
     late = edges.where("late")
     if late.isEmpty():
         return by_turn
-    group = connected_components(edges, "call_id", "need")
-    ends = late.select(F.explode(F.array("call_id", "need")).alias("node")).distinct()
-    bad = group.join(group.join(ends, "node").select("root").distinct(), "root", "left_semi").select("node").unionByName(ends).distinct()
-    bad = lasting(bad.select(F.col("node").alias("call_id")))
+    bad = _connected(edges, late.select(F.explode(F.array("call_id", "need")).alias("node")).distinct())
     mixed = _rounds(calls.join(bad, "call_id", "left_semi"), edges.join(bad, "call_id", "left_semi").select("call_id", "need"))
     return by_turn.join(bad, "call_id", "left_anti").unionByName(mixed)
 
 
+def levels(calls: DataFrame) -> DataFrame:
+    """(call_id, level) of distinct calls (call_id, conv_id, turn, needs): 0 if it needs none, else one more than the highest that it needs.
+
+    A need that the latest need of a call has too adds nothing to its level.
+    Where that leaves each call one need, and an earlier turn of its
+    conversation, levels are depths in a forest and found by pointer doubling,
+    in as many rounds as the longest chain has binary digits. Groups of
+    connected calls in which some call has more needs, or late ones, take
+    rounds as many as their longest chain. Needs that are no call are ignored.
+    Calls on a circle, or behind one, have no row.
+    """
+    edges = _edges(calls)
+    up = lasting(edges.groupBy("call_id").agg(F.max(F.struct("need_turn", "need"))["need"].alias("up")))
+    other = edges.join(up, "call_id").where("need != up")
+    wide = other.join(edges.select(F.col("call_id").alias("up"), "need"), ["up", "need"], "left_anti")
+    ends = lasting(edges.where("late").select(F.explode(F.array("call_id", "need")).alias("node")).unionByName(wide.select(F.col("call_id").alias("node"))).distinct())
+    mixed = None
+    if not ends.isEmpty():
+        bad = _connected(edges, ends)
+        mixed = _rounds(calls.join(bad, "call_id", "left_semi"), edges.join(bad, "call_id", "left_semi").select("call_id", "need"))
+        mixed = mixed.withColumnRenamed("position", "level")
+        calls = calls.join(bad, "call_id", "left_anti")
+    now = lasting(calls.select("call_id").join(up, "call_id", "left").withColumn("level", F.col("up").isNotNull().cast("long")))
+    while not now.where("up IS NOT NULL").isEmpty():
+        # Every pointer leaps to where the call that it points at points; that call's own way is added.
+        over = now.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
+        leapt = now.where("up IS NOT NULL").join(over, "up").select("call_id", F.col("next").alias("up"), (F.col("level") + F.col("more")).alias("level"))
+        now = lasting(now.where("up IS NULL").unionByName(leapt))
+    found = now.select("call_id", "level")
+    return found if mixed is None else found.unionByName(mixed)
+
+
 def _checked(rows: DataFrame) -> DataFrame:
     """``rows`` with ``doc``, the arguments as a variant, and ``problems``, what is wrong with them by ``types`` and ``required``, sorted.
 
@@ -105,13 +146,14 @@ def _checked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("problems", F.when(F.col("copies").isNotNull(), problems).otherwise(F.array().cast("array<string>"))).drop("kinds")
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, by_level: bool = False) -> DataFrame:
     """One row for each call, and one for each result that names no call.
 
     ``calls``: conv_id, turn, call_id, name, arguments (JSON text), needs
     (array<string>). ``results``: conv_id, turn, call_id, content. ``schemas``:
     name, param, type (of JSON), required. Returns conv_id, turn, call_id,
-    name, position, status, problems (array), result_turn, copies, json.
+    name, position, status, problems (array), result_turn, copies, json. With
+    ``by_level`` the place is ``level`` (see ``levels``) instead of position.
 
     Calls that repeat an identifier count as one, the first by conversation and
     turn, and ``copies`` tells how many there were; so do results. Null
@@ -126,7 +168,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     first = one(named.withColumn("needs", F.coalesce("needs", F.array().cast("array<string>"))), ["name", "arguments", "needs"])
     first = lasting(first.select("call_id", "copies", "m.*"))
     got = one(results.where(F.col("call_id").isNotNull()), ["content"]).select("call_id", F.col("m.conv_id").alias("result_conv"), F.col("m.turn").alias("result_turn"), F.col("m.content").alias("content"))
-    order = positions(first.select("call_id", "conv_id", "turn", "needs"))
+    at = "level" if by_level else "position"
+    order = (levels if by_level else positions)(first.select("call_id", "conv_id", "turn", "needs"))
     tools = schemas.groupBy("name").agg(
         F.map_from_entries(F.collect_list(F.struct("param", "type"))).alias("types"),
         F.sort_array(F.collect_list(F.when(F.col("required"), F.col("param")))).alias("required"),
@@ -139,12 +182,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     called = F.col("copies").isNotNull()
     joined = joined.withColumns({"conv_id": F.coalesce("conv_id", "result_conv"), "turn": F.coalesce("turn", "result_turn")})
     unnamed = calls.where(F.col("call_id").isNull()).select(*place, "call_id", "name", "arguments", F.lit(1).cast("long").alias("copies"))
-    rows = joined.select(*place, "call_id", "copies", "name", "arguments", "position", "result_turn", "content").unionByName(unnamed, allowMissingColumns=True)
+    rows = joined.select(*place, "call_id", "copies", "name", "arguments", at, "result_turn", "content").unionByName(unnamed, allowMissingColumns=True)
     rows = _checked(rows.join(tools, "name", "left"))
     status = (
         F.when(~called, "orphan")
         .when(F.col("call_id").isNull(), "unnamed")
-        .when(F.col("position").isNull(), "cycle")
+        .when(F.col(at).isNull(), "cycle")
         .when(F.size("problems") > 0, "invalid")
         .when(F.col("result_turn").isNull(), "open")
         .otherwise("linked")
@@ -154,11 +197,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
         F.coalesce("doc", F.to_variant_object(F.array("arguments"))).alias("arguments"),
         F.col("call_id").alias("id"),
         "name",
-        "position",
+        at,
         F.col("content").alias("result"),
         "status",
     )
-    return rows.select(*place, "call_id", "name", "position", "status", "problems", "result_turn", "copies", canonical(body).alias("json"))
+    return rows.select(*place, "call_id", "name", at, "status", "problems", "result_turn", "copies", canonical(body).alias("json"))
 
 
 def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -226,6 +226,37 @@ def test_tool_calls(spark):
     assert tools.link(none, results.limit(0), schemas).count() == 0
 
 
+def test_tool_levels(spark):
+    rnd = random.Random(11)
+    # A chain as in a chat, a call with two needs that know nothing of each other, a late need and a circle.
+    rows = [(f"k{i}", 1, i, [f"k{i - 1}", f"k{i - 2}"]) for i in range(70) if i % 7]
+    rows += [("x", 2, 10, []), ("y", 2, 11, ["x", "nowhere"]), ("z", 2, 12, []), ("w", 2, 13, ["y", "z"]), ("late", 2, 1, ["w"])]
+    rows += [("c", 3, 1, ["d"]), ("d", 3, 2, ["c"]), ("e", 3, 3, ["d"]), ("alone", None, None, None)]
+    rows += [(f"r{i}", 4, i, [f"r{k}" for k in rnd.sample(range(i), min(i, 3))]) for i in range(25)]
+    needs = {r[0]: r[3] or [] for r in rows}
+    want = {}
+    while more := {c: 1 + max([want[n] for n in ns if n in needs], default=-1) for c, ns in needs.items() if c not in want and all(n in want for n in ns if n in needs)}:
+        want |= more
+    calls = spark.createDataFrame(rows, "call_id string, conv_id long, turn long, needs array<string>")
+    assert {r.call_id: r.level for r in tools.levels(calls).collect()} == want
+    assert "c" not in want and want["w"] == 2 and want["late"] == 3 and want["k8"] == 6
+    assert tools.levels(calls.limit(0)).count() == 0
+
+
+def test_tool_levels_query_against_sql(spark):
+    import duckdb
+
+    from netloom.llm import queries
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW conversations AS SELECT * FROM read_parquet('/root/testdata/sf0.001/conversations.parquet')")
+    r = con.execute(queries.ORACLE_SQL["op5_tool_levels"])
+    cols = [d[0] for d in r.description]
+    got = queries.QUERIES["op5_tool_levels"](spark, "/root/testdata/sf0.001")
+    assert sorted(got.columns) == sorted(cols)
+    assert sorted(tuple(str(x[c]) for c in cols) for x in got.collect()) == sorted(tuple(map(str, x)) for x in r.fetchall())
+
+
 # --- 6 SimHash
 
 
