@@ -65,7 +65,7 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of all conversations as calls and results, linked, ordered, checked and serialised."""
     calls, results = tools.turns_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     schemas = spark.createDataFrame(tools.TURN_TOOLS, "name string, param string, type string, required boolean")
-    return tools.link(calls, results, schemas).withColumn("problems", F.array_join("problems", ","))
+    return tools.link(calls, results, schemas, every=True).drop("rank").withColumn("problems", F.array_join("problems", ","))
 
 
 #: Every call needs only earlier turns here, so the turn is its position.
@@ -91,7 +91,7 @@ def op5_tool_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``op5_tool_calls``, with each call's level among those that it needs instead of a position."""
     calls, results = tools.turns_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     schemas = spark.createDataFrame(tools.TURN_TOOLS, "name string, param string, type string, required boolean")
-    return tools.link(calls, results, schemas, by_level=True).withColumn("problems", F.array_join("problems", ","))
+    return tools.link(calls, results, schemas, by_level=True, every=True).drop("rank").withColumn("problems", F.array_join("problems", ","))
 
 
 OP5_LEVELS_SQL = """

@@ -12,7 +12,7 @@ its share.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components, lasting
@@ -146,8 +146,8 @@ def _checked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("problems", F.when(F.col("copies").isNotNull(), problems).otherwise(F.array().cast("array<string>"))).drop("kinds")
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, by_level: bool = False) -> DataFrame:
-    """One row for each call, and one for each result that names no call.
+def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, by_level: bool = False, every: bool = False) -> DataFrame:
+    """One row for each call, and one for each result that names no call; with ``every``, one also for each further row.
 
     ``calls``: conv_id, turn, call_id, name, arguments (JSON text), needs
     (array<string>). ``results``: conv_id, turn, call_id, content. ``schemas``:
@@ -156,18 +156,28 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, by_level: boo
     ``by_level`` the place is ``level`` (see ``levels``) instead of position.
 
     Calls that repeat an identifier count as one, the first by conversation and
-    turn, and ``copies`` tells how many there were; so do results. Null
-    identifiers link to nothing: such calls are ``unnamed``. status: unnamed,
-    orphan (a result without a call), cycle (no order exists), invalid (see
-    problems), open (no result), linked. Invalid JSON is a problem, not an
-    error. Other columns are ignored.
+    turn, and ``copies`` tells how many calls there were; of results the first
+    counts. Null identifiers link to nothing: such calls are ``unnamed``.
+    status: unnamed, orphan (a result without a call), cycle (no order exists),
+    invalid (see problems), open (no result), linked. Invalid JSON is a
+    problem, not an error. Other columns are ignored.
+
+    Without ``every``, further calls and results of an identifier and results
+    without one have no row. With it each has its own: the further ones with
+    status ``repeat`` and their ``rank`` from 2 (a column more, and in the
+    JSON), results without an identifier with status ``unnamed``. A row of a
+    result has its turn as result_turn and no copies.
     """
     place = ["conv_id", "turn"]
     named = calls.where(F.col("call_id").isNotNull())
     one = lambda df, cols: df.groupBy("call_id").agg(F.min(F.struct(*place, *cols)).alias("m"), F.count(F.lit(1)).alias("copies"))
     first = one(named.withColumn("needs", F.coalesce("needs", F.array().cast("array<string>"))), ["name", "arguments", "needs"])
     first = lasting(first.select("call_id", "copies", "m.*"))
-    got = one(results.where(F.col("call_id").isNotNull()), ["content"]).select("call_id", F.col("m.conv_id").alias("result_conv"), F.col("m.turn").alias("result_turn"), F.col("m.content").alias("content"))
+    got = one(results.where(F.col("call_id").isNotNull()), ["content"])
+    if every:
+        got = lasting(got)
+    many = got.where("copies > 1").select("call_id")
+    got = got.select("call_id", F.col("m.conv_id").alias("result_conv"), F.col("m.turn").alias("result_turn"), F.col("m.content").alias("content"))
     at = "level" if by_level else "position"
     order = (levels if by_level else positions)(first.select("call_id", "conv_id", "turn", "needs"))
     tools = schemas.groupBy("name").agg(
@@ -183,10 +193,21 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, by_level: boo
     joined = joined.withColumns({"conv_id": F.coalesce("conv_id", "result_conv"), "turn": F.coalesce("turn", "result_turn")})
     unnamed = calls.where(F.col("call_id").isNull()).select(*place, "call_id", "name", "arguments", F.lit(1).cast("long").alias("copies"))
     rows = joined.select(*place, "call_id", "copies", "name", "arguments", at, "result_turn", "content").unionByName(unnamed, allowMissingColumns=True)
+    if every:
+        # Only identifiers that repeat are ranked.
+        ranked = lambda df, ids, cols: df.join(ids, "call_id", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("call_id").orderBy(*place, *cols))).where("rank > 1")
+        calls2 = ranked(named.withColumn("needs", F.coalesce("needs", F.array().cast("array<string>"))), first.where("copies > 1").select("call_id"), ["name", "arguments", "needs"])
+        calls2 = calls2.select(*place, "call_id", "name", "arguments", F.lit(1).cast("long").alias("copies"), "rank")
+        results2 = ranked(results, many, ["content"]).unionByName(results.where(F.col("call_id").isNull()), allowMissingColumns=True)
+        results2 = results2.select(*place, "call_id", F.col("turn").alias("result_turn"), "content", "rank")
+        rows = rows.unionByName(calls2, allowMissingColumns=True).unionByName(results2, allowMissingColumns=True)
+    else:
+        rows = rows.withColumn("rank", F.lit(None).cast("int"))
     rows = _checked(rows.join(tools, "name", "left"))
     status = (
-        F.when(~called, "orphan")
+        F.when(F.col("rank").isNotNull(), "repeat")
         .when(F.col("call_id").isNull(), "unnamed")
+        .when(~called, "orphan")
         .when(F.col(at).isNull(), "cycle")
         .when(F.size("problems") > 0, "invalid")
         .when(F.col("result_turn").isNull(), "open")
@@ -198,10 +219,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, by_level: boo
         F.col("call_id").alias("id"),
         "name",
         at,
+        "rank",
         F.col("content").alias("result"),
         "status",
     )
-    return rows.select(*place, "call_id", "name", at, "status", "problems", "result_turn", "copies", canonical(body).alias("json"))
+    more = ["rank"] if every else []
+    return rows.select(*place, "call_id", "name", at, "status", "problems", "result_turn", "copies", *more, canonical(body).alias("json"))
 
 
 def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -209,8 +232,9 @@ def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A user's turn calls ``answer`` and a system turn calls ``instruct``; any
     other turn is the result of the turn before it. A call needs those of the two turns before it that are calls.
+    Turns without a conversation or a number have no identifier.
     """
-    ident = lambda back: F.md5(F.concat_ws(":", "conv_id", F.col("turn") - back).cast("binary"))
+    ident = lambda back: F.md5(F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string")).cast("binary"))
     asks = F.col("role").isin("user", "system")
     arguments = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), F.col("turn").alias("turn")))
     calls = messages.where(asks).select(

@@ -243,6 +243,20 @@ def test_tool_levels(spark):
     assert tools.levels(calls.limit(0)).count() == 0
 
 
+def test_tool_calls_keep_every_row(spark):
+    calls = spark.createDataFrame([(1, 0, "a", "f", "{}", []), (1, 7, "a", "f", '{"x": 1}', []), (1, 7, "a", "f", '{"x": 1}', []), (2, 1, None, "f", "{}", None)], "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>")
+    results = spark.createDataFrame([(1, 9, "a", "done"), (1, 8, "a", "first"), (1, 9, "zz", "lost"), (1, 10, "zz", "too"), (1, 9, None, "x"), (1, 9, None, "x")], "conv_id long, turn long, call_id string, content string")
+    schemas = spark.createDataFrame([("f", "x", "integer", False)], "name string, param string, type string, required boolean")
+    rows = tools.link(calls, results, schemas, every=True).collect()
+    got = Counter((r.turn, r.call_id, r.status, r.result_turn, r["rank"]) for r in rows)
+    assert got == Counter({(0, "a", "linked", 8, None): 1, (7, "a", "repeat", None, 2): 1, (7, "a", "repeat", None, 3): 1, (1, None, "unnamed", None, None): 1, (9, "a", "repeat", 9, 2): 1, (9, "zz", "orphan", 9, None): 1, (10, "zz", "repeat", 10, 2): 1, (9, None, "unnamed", 9, None): 2})
+    told = Counter(r.json for r in rows)
+    assert told['{"arguments":[null],"id":"a","rank":2,"result":"done","status":"repeat"}'] == 1 and told['{"arguments":[null],"result":"x","status":"unnamed"}'] == 2
+    turns = spark.createDataFrame([(None, 1, "user", "p"), (None, 1, "user", "q"), (None, 2, "assistant", "r"), (5, None, "user", "s"), (5, 1, "user", "t"), (5, 2, "assistant", "u")], "conv_id long, turn long, role string, text string")
+    made = tools.link(*tools.turns_as_calls(turns), spark.createDataFrame(tools.TURN_TOOLS, "name string, param string, type string, required boolean"), every=True)
+    assert Counter(r.status for r in made.collect()) == Counter({"unnamed": 4, "linked": 1})
+
+
 def test_tool_levels_query_against_sql(spark):
     import duckdb
 
