@@ -1,18 +1,20 @@
-"""Sharding by balanced label propagation, in built-in functions and joins only.
+"""Sharding by balanced label propagation, in built-in functions and joins, with rounds over a bounded list of units on the driver.
 
 Documents with equal texts are linked. Linked documents move in units: the
 documents of a group, or of a slice of a group that is too large for a shard.
-Every unit begins in a shard chosen by its hash. In each round a unit looks at
-the shards of its linked units and wants to go where most of the group's
-documents are; a shard takes units in as far as its quota leaves room, first
-those of the groups that are most at home there. The share of links that are
-cut falls from round to round, and the rounds end when none moves.
-
-Units meet through their group, so a round counts the documents a group has in
-each shard (pre-aggregated) and joins that back; no pair of documents is ever
+Every unit begins in a shard chosen by its hash. In each round a group looks at
+its shards, the one with most of its documents first, and those of its units
+that are in shards with fewer of them go there as far as the quota leaves room;
+so beside a full shard the next best fills. The rounds end when none moves.
+They do end: the sum of the squares of what groups hold in shards grows with
+each move. Large groups go first.
+
+Units are counts, and those of groups with several units are few whatever the
+number of documents (see ``propagate``); no pair of documents is ever
 made. In the end each shard gets its exact number of documents (the law
-``rows``: counts at most one apart): documents beyond a shard's number, and all
-documents without a link, fill the places that are left.
+``rows``: counts at most one apart): units beyond a shard's number, whole, the
+least at home first, and all documents without a link fill the places that are
+left, the units in order of their groups.
 
 Ranks are two sums: of counts before a small bucket, and within the bucket. No
 window spans a shard.
@@ -20,6 +22,8 @@ window spans a shard.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,7 +37,6 @@ class Plan:
     """``slack``: how far over its even share a shard may grow while units move. ``slices``: units that a full shard is cut into."""
 
     shards: int = 16
-    rounds: int = 6
     slack: float = 0.10
     slices: int = 64
     seed: int = 8
@@ -58,32 +61,67 @@ def _even(total: int, shard: Column, plan: Plan) -> Column:
     return F.lit(total // plan.shards) + (shard < total % plan.shards).cast("long")
 
 
+def _homes(units: DataFrame) -> DataFrame:
+    """(grp, shard, held): the documents that each group has in each of its shards."""
+    return units.groupBy("grp", "shard").agg(F.sum("n").alias("held"))
+
+
+def _running(rows: DataFrame, by: str, held: str, group: Column, plan: Plan) -> DataFrame:
+    """``rows`` with __sum, the sum of n up to the row's own within ``by``, those with most ``held`` first.
+
+    The sum is over classes of that order (at most 4096 in each of ``by``), then within them.
+    """
+    cls = F.least(F.lit(63), F.floor(F.log2(F.col(held).cast("double")) * 2)).cast("int")
+    rows = rows.withColumn("__c", (63 - cls) * 64 + F.shiftrightunsigned(F.xxhash64(group), 58).cast("int"))
+    sums = rows.groupBy(by, "__c").agg(F.sum("n").alias("s"))
+    before = F.sum("s").over(Window.partitionBy(by).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(by, "__c", F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.sum("n").over(Window.partitionBy(by, "__c").orderBy(F.desc(held), "grp", "unit").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summed = rows.withColumn("__within", within).join(F.broadcast(sums), [by, "__c"])
+    return summed.withColumn("__sum", F.col("__before") + F.col("__within")).drop("__c", "__before", "__within")
+
+
+def _settle(units: list, load: dict[int, int], capacity: int) -> list[tuple[str, int, int]]:
+    """(grp, unit, shard) of rows (grp, unit, n, shard) after rounds until none moves; ``load`` is what each shard holds in all."""
+    groups = defaultdict(list)
+    for u in sorted(units, key=lambda u: (-u.n, u.grp, u.unit)):
+        groups[u.grp].append([u.unit, u.n, u.shard])
+    tie = {(g, k): zlib.crc32(f"{g}:{k}".encode()) for g in groups for k in load}
+    order = sorted(groups, key=lambda g: (-sum(n for _, n, _ in groups[g]), g))
+    moving = True
+    while moving:
+        moving = False
+        for g in order:
+            held = Counter()
+            for _, n, k in groups[g]:
+                held[k] += n
+            at = lambda k: (held[k], tie[g, k])  # noqa: B023, E731
+            for to in sorted(held, key=at, reverse=True):
+                moved = False
+                # A shard that gave its last unit away is no home any more; the way is always up.
+                for u in sorted(groups[g], key=lambda u: at(u[2])):
+                    if held[to] and at(to) > at(u[2]) and load[to] + u[1] <= capacity:
+                        for k, n in ((u[2], -u[1]), (to, u[1])):
+                            held[k] += n
+                            load[k] += n
+                        u[2], moved = to, True
+                moving |= moved
+    return [(g, unit, k) for g, us in groups.items() for unit, _, k in us]
+
+
 def propagate(units: DataFrame, capacity: int, plan: Plan) -> DataFrame:
-    """``units`` (grp, unit, n, shard) after the rounds; ``capacity`` is the most documents a shard may hold meanwhile."""
-    now = lasting(units)
-    for _ in range(plan.rounds):
-        homes = now.groupBy("grp", "shard").agg(F.sum("n").alias("held"))
-        # The shard where most of the group is; of equals, the one that a hash of the group puts first.
-        best = homes.groupBy("grp").agg(
-            F.max(F.struct("held", F.xxhash64("grp", "shard").alias("tie"), F.col("shard").alias("to"))).alias("best"), F.count(F.lit(1)).alias("homes")
-        )
-        want = now.join(best.where("homes > 1").select("grp", "best.held", "best.to"), "grp").where("shard != to")
-        load = now.groupBy("shard").agg(F.sum("n").alias("load"))
-        room = F.broadcast(load.select(F.col("shard").alias("to"), F.greatest(F.lit(0), F.lit(capacity) - F.col("load")).alias("room")))  # a row a shard
-        # Into each shard in order of how much of the group is there; the running sum is over classes of that order, then within them.
-        cls = F.least(F.lit(63), F.floor(F.log2(F.col("held").cast("double")) * 2)).cast("int")
-        want = want.withColumn("__c", (63 - cls) * 64 + F.shiftrightunsigned(F.xxhash64("grp", "unit"), 58).cast("int"))
-        sums = want.groupBy("to", "__c").agg(F.sum("n").alias("s"))
-        before = F.sum("s").over(Window.partitionBy("to").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1))
-        sums = sums.select("to", "__c", F.coalesce(before, F.lit(0)).alias("before"))
-        within = F.sum("n").over(Window.partitionBy("to", "__c").orderBy("grp", "unit"))
-        moves = want.withColumn("within", within).join(F.broadcast(sums), ["to", "__c"]).join(room, "to")  # sums: at most 4096 rows a shard
-        moves = moves.where(F.col("before") + F.col("within") <= F.col("room")).select("grp", "unit", "to")
-        moves = lasting(moves)
-        if moves.isEmpty():
-            break
-        now = lasting(now.join(moves, ["grp", "unit"], "left").select("grp", "unit", "n", F.coalesce("to", "shard").alias("shard")))
-    return now
+    """``units`` (grp, unit, n, shard) after the rounds; ``capacity`` is the most documents a shard may hold meanwhile.
+
+    Only groups of several units move: those with more documents than a slice.
+    So however many rows there are, they have at most some 3 * shards * slices
+    units, and their rounds run over the counts of these, on the driver.
+    """
+    units = lasting(units)
+    several = units.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
+    load = dict.fromkeys(range(plan.shards), 0) | {r.shard: r.n for r in units.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    settled = _settle(units.join(several, "grp").select("grp", "unit", "n", "shard").collect(), load, capacity)
+    settled = F.broadcast(units.sparkSession.createDataFrame(settled, "grp string, unit int, to int"))
+    return units.join(settled, ["grp", "unit"], "left").select("grp", "unit", "n", F.coalesce("to", "shard").alias("shard"))
 
 
 def shard(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,21 +149,32 @@ def shard(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col
     units = linked.groupBy("grp", "unit").agg(F.count(F.lit(1)).alias("n"))
     units = units.withColumn("shard", F.pmod(F.xxhash64("grp", "unit", F.lit(plan.seed)), F.lit(plan.shards)).cast("int"))
     capacity = int((1 + plan.slack) * total / plan.shards) + 1
-    units = propagate(units, capacity, plan)
-
-    # Places: what a shard holds of linked documents up to its even number stays; the rest and the unlinked fill up.
-    placed = _rank(linked.join(units.select("grp", "unit", "shard"), ["grp", "unit"]), ["shard"], ["grp", "unit", "id"], total, plan)
-    stay = F.col("__rank") < _even(total, F.col("shard"), plan)
-    placed = lasting(placed.withColumn("stay", stay))
-    kept = placed.where("stay").select("id", "size", "crc", "shard", F.col("__rank").alias("slot"))
-    pool = placed.where("not stay").select("id", "size", "crc", "grp").unionByName(rows.join(groups.select("grp"), "grp", "left_anti").select("id", "size", "crc", "grp"))
+    units = lasting(propagate(units, capacity, plan))
+
+    # Places: of the linked documents the units within a shard's even number stay; the rest and the unlinked fill up.
+    units = _running(units.join(_homes(units), ["grp", "shard"]), "shard", "held", F.col("grp"), plan)
+    units = lasting(units.select("grp", "unit", "n", "shard", (F.col("__sum") <= _even(total, F.col("shard"), plan)).alias("stay")))
+    stay = linked.join(units.where("stay").select("grp", "unit", "shard"), ["grp", "unit"])
+    kept = lasting(_rank(stay, ["shard"], ["grp", "unit", "id"], total, plan).select("id", "size", "crc", "shard", F.col("__rank").alias("slot")))
+    # The pool begins with the units that must go, group after group, each with the rank of its first document.
+    out = units.where("not stay").withColumn("__b", F.pmod(F.xxhash64("grp", F.lit(plan.seed)), F.lit(max(1, -(-total // plan.bucket_rows)))))
+    sums = out.groupBy("__b").agg(F.sum("n").alias("s")).withColumn("all", F.lit(0))
+    before = F.sum("s").over(Window.partitionBy("all").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("__b", F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.sum("n").over(Window.partitionBy("__b").orderBy("grp", "unit").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    start = out.withColumn("__within", within).join(sums, "__b").select("grp", "unit", (F.col("__before") + F.col("__within") - F.col("n")).alias("start"))
+    place = F.row_number().over(Window.partitionBy("grp", "unit").orderBy(F.xxhash64("id", F.lit(plan.seed)), "id"))
+    gone = linked.join(start, ["grp", "unit"]).select("id", "size", "crc", (F.col("start") + place - 1).alias("__rank"))
+    n_gone = units.where("not stay").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lone = rows.join(groups.select("grp"), "grp", "left_anti").withColumn("all", F.lit(0))
+    lone = _rank(lone, ["all"], ["grp", "id"], total, plan).select("id", "size", "crc", (F.col("__rank") + n_gone).alias("__rank"))
+    pool = gone.unionByName(lone)
     have = {r.shard: r.have for r in kept.groupBy("shard").agg(F.count(F.lit(1)).alias("have")).collect()}  # a row a shard
     bounds, until = [], 0
     for k in range(plan.shards):
         free = total // plan.shards + (k < total % plan.shards) - have.get(k, 0)
         bounds.append((until, until + free, have.get(k, 0), k))
         until += free
-    pool = _rank(pool.withColumn("all", F.lit(0)), ["all"], ["grp", "id"], total, plan)
     # Each place in the pool belongs to one shard, found among the shards' few bounds.
     shard_of, slot = F.lit(None).cast("int"), F.lit(None).cast("long")
     for lo, hi, held, k in bounds:

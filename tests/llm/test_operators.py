@@ -389,6 +389,18 @@ def test_sharding_is_even_and_keeps_groups(spark):
     assert sharding.shard(table(spark, ["a", "a", "b"])).count() == 3
 
 
+def test_sharding_takes_a_large_group_to_few_shards(spark):
+    rnd = random.Random(12)
+    texts = [prose(rnd, 9) for _ in range(700)] + ["hot"] * 700 + ["warm"] * 300 + [t for t in (prose(rnd, 9) for _ in range(100)) for _ in range(4)]
+    where, per = defaultdict(Counter), Counter()
+    for r in sharding.shard(table(spark, texts)).collect():
+        where[texts[r.doc_id]][r.shard] += 1
+        per[r.shard] += 1
+    assert sum(per.values()) == len(texts) and max(per.values()) - min(per.values()) <= 1
+    # The group fills 5.3 shards, or 2.3; beside it come the places of units that had to go.
+    assert len(where["hot"]) <= 9 and len(where["warm"]) <= 5
+
+
 # --- 9 quality
 
 
