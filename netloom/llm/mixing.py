@@ -10,9 +10,10 @@ copy, and ordered by it within each partition.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import lasting
@@ -55,20 +56,43 @@ def rates(docs: DataFrame, mix: Mix = Mix(), source_col: str = "source", text_co
     return per.select("source", "rows", "amount", F.when(F.col("amount") > 0, rate).otherwise(0.0).alias("rate"))
 
 
-def steps(rate: Column) -> Column:
-    """The running probabilities P(N <= 0), P(N <= 1), ... of a Poisson distribution, far enough that the next is 1 in doubles.
+#: Running probabilities of all sources together that are sent to all tasks, 8 bytes each.
+MOST_STEPS = 1_000_000
+#: Copies that one row makes at a time where a source's rate is large.
+BLOCK = 4096
 
-    Summed from logarithms, so that a large mean loses nothing to underflow.
-    """
-    far = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    logs = F.transform(F.sequence(F.lit(1), far), lambda k: F.log(rate) - F.log(k.cast("double")))
-    start = F.struct((-rate).alias("log"), F.array(F.exp(-rate)).alias("cdf"))
 
-    def add(acc: Column, x: Column) -> Column:
-        log = acc["log"] + x
-        return F.struct(log.alias("log"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + F.exp(log))).alias("cdf"))
+def steps(per: DataFrame) -> DataFrame:
+    """(source, first, cdf) of ``per`` (source, rate): the running probabilities P(N <= first), P(N <= first + 1), ... of a Poisson distribution.
 
-    return F.when(rate > 0, F.aggregate(logs, start, add, lambda acc: acc["cdf"])).otherwise(F.array(F.lit(1.0)))
+    They go so far that the next is 1 in doubles, and begin so late that those
+    before are below the least point but 0 that can be drawn: some
+    24 * sqrt(rate) of them, in rows until the last step. From 0 on they are
+    summed from logarithms; from a later beginning each probability comes from
+    Stirling's series with the deviation taken apart, so that a large mean
+    loses nothing to cancellation.
+    """
+    r, k = F.col("rate"), F.col("k").cast("double")
+    wide = 12 * F.sqrt(r) + 20
+    rows = per.where("rate > 0").select("source", "rate", F.greatest(F.lit(0), F.floor(r - wide)).cast("long").alias("first"), F.ceil(r + wide).cast("long").alias("last"))
+    rows = rows.select("source", "rate", "first", F.explode(F.sequence("first", "last")).alias("k"))
+    by = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = F.sum(F.when(F.col("k") == 0, -r).otherwise(F.log(r) - F.log(k))).over(by)
+    off = k - r
+    direct = off - k * F.log1p(off / r) - 0.5 * F.log(2 * math.pi * k) - (1 / (12 * k) - 1 / (360 * k * k * k))
+    rows = rows.withColumn("log", F.when(F.col("first") == 0, summed).otherwise(direct)).withColumn("c", F.sum(F.exp("log")).over(by))
+    lists = rows.groupBy("source", "first").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("x")).select("source", "first", F.transform("x", lambda x: x["c"]).alias("cdf"))
+    return lists.unionByName(per.where("NOT rate > 0").select("source", F.lit(0).cast("long").alias("first"), F.array(F.lit(1.0)).alias("cdf")))
+
+
+def _reached(cdf: str, u: str) -> Column:
+    """How many numbers of ``cdf``, which ascends, are at most ``u``: by bisection."""
+    halve = lambda acc, _: F.when(acc["lo"] >= acc["hi"], acc).otherwise(
+        F.when(F.get(F.col(cdf), F.shiftright(acc["lo"] + acc["hi"], 1)) <= F.col(u), F.struct((F.shiftright(acc["lo"] + acc["hi"], 1) + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(
+            F.struct(acc["lo"].alias("lo"), F.shiftright(acc["lo"] + acc["hi"], 1).alias("hi"))
+        )
+    )
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.struct(F.lit(0).alias("lo"), F.size(cdf).alias("hi")), halve, lambda acc: acc["lo"])
 
 
 def point(id_col: str, text_col: str, seed: int) -> Column:
@@ -84,13 +108,22 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     ids and texts count as empty, a null source as a source. Other columns are carried along; a column of the name
     ``copy_col`` is replaced.
     """
-    per = rates(docs, mix, source_col, text_col).select(F.col("source").alias("__source"), steps(F.col("rate")).alias("__cdf"))
-    if per.count() <= mix.broadcast_sources:
-        per = F.broadcast(per)
-    u = point(id_col, text_col, mix.seed)
-    drawn = docs.withColumn("__u", u).join(per, docs[source_col].eqNullSafe(per["__source"]))
-    drawn = drawn.withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).drop("__cdf", "__source")
-    copies = drawn.where("__n > 0").withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    copies = copies.withColumn("__o", F.xxhash64("__u", copy_col, F.lit(mix.seed))).drop("__u", "__n")
+    per = lasting(steps(rates(docs, mix, source_col, text_col)).select(F.col("source").alias("__source"), "first", "cdf").withColumnsRenamed({"first": "__first", "cdf": "__cdf"}))
+    far, sources, size = per.where("__first > 0"), *per.agg(F.count_if(F.col("__first") == 0), F.sum(F.when(F.col("__first") == 0, F.size("__cdf")))).first()
+    near = per.where("__first = 0")
+    if sources <= mix.broadcast_sources and (size or 0) <= MOST_STEPS:
+        near = F.broadcast(near)
+    given = docs.withColumn("__u", point(id_col, text_col, mix.seed))
+    drawn = given.join(near, docs[source_col].eqNullSafe(near["__source"]))
+    drawn = drawn.withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).drop("__cdf", "__source", "__first")
+    copies = drawn.where("__n > 0").withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    if not far.isEmpty():
+        # Sources with many copies of a document have few characters: their documents are drawn by a join without broadcast and copied in blocks.
+        drawn = given.join(far.hint("shuffle_merge"), docs[source_col].eqNullSafe(far["__source"]))
+        drawn = drawn.withColumn("__n", F.when(F.col("__u") > 0, F.col("__first") + _reached("__cdf", "__u")).otherwise(F.lit(0))).drop("__cdf", "__source", "__first")
+        blocks = drawn.where("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / BLOCK)))).repartition("__u", "__k")
+        each = F.sequence((F.col("__k") * BLOCK).cast("int"), (F.least(F.col("__n"), (F.col("__k") + 1) * BLOCK) - 1).cast("int"))
+        copies = copies.unionByName(blocks.withColumn(copy_col, F.explode(each)).drop("__n", "__k"))
+    copies = copies.withColumn("__o", F.xxhash64("__u", copy_col, F.lit(mix.seed))).drop("__u")
     order = [c for c in (id_col, copy_col) if c in copies.columns]
     return copies.repartition("__o").sortWithinPartitions("__o", *order).drop("__o")

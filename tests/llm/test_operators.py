@@ -192,6 +192,23 @@ def test_mixing_draws_and_shares(spark, texts):
     assert [c for c in shuffled.columns if c != "copy"] == table(spark, texts).columns
 
 
+def test_mixing_of_a_rare_source(spark):
+    # A rate of 1.2 million: an array grown step by step copies some 7e11 numbers.
+    per = spark.createDataFrame([("rare", 1.2e6), ("middle", 500.0), ("low", 2.5), (None, 0.0)], "source string, rate double")
+    got = {r.source: r for r in mixing.steps(per).collect()}
+    assert got[None].cdf == [1.0] and got["low"]["first"] == 0 and len(got["rare"].cdf) < 30_000
+    for name in ("rare", "middle"):
+        rate, first, cdf = per.where(F.col("source") == name).first().rate, got[name]["first"], np.array(got[name].cdf)
+        p = np.diff(cdf, prepend=0.0)
+        k = first + np.arange(len(cdf))
+        assert abs(cdf[-1] - 1) < 1e-9 and abs((p * k).sum() / rate - 1) < 1e-9 and abs((p * (k - rate) ** 2).sum() / rate - 1) < 1e-6
+    rows = [(i, "x" * 2000, "en", "big", 0) for i in range(300)] + [(1000, "abc", "en", None, 0), (1001, None, "en", None, 0)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, DOCS))
+    n = {r.doc_id: (r.n, r.least, r.most, r.kinds) for r in out.where("source IS NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("copy").alias("least"), F.max("copy").alias("most"), F.count_distinct("copy").alias("kinds")).collect()}
+    for i in (1000, 1001):  # a mean of 100,000 copies each
+        assert abs(n[i][0] - 100_000) < 2500 and n[i][1:] == (0, n[i][0] - 1, n[i][0])
+
+
 # --- 5 tool calls
 
 
