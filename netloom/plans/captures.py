@@ -24,6 +24,17 @@ def _address(n: Column, net: int) -> Column:
     return F.concat_ws(".", F.lit(str(net)), F.shiftright(n, 16) % 256, F.shiftright(n, 8) % 256, n % 256)
 
 
+def _ends(n: Column, net: int) -> tuple[Column, Column]:
+    """The addresses of client and server of flow ``n``: its low 24 bits, and the 24 above them."""
+    n = n.cast("long")
+    return _address(n, net), _address(F.shiftright(n, 24), net + 1)
+
+
+def _raw(p: DataFrame, frame_no: str) -> DataFrame:
+    """Packets with ``path``, ``ts_us`` and ``frame`` as the rows that a walk over captures would give, in none of which they are packed."""
+    return p.select("path", F.col(frame_no).cast("long").alias("frame_no"), (F.col("ts_us") * 1000).alias("ts_ns"), F.lit(0).cast("long").alias("at"), "frame")
+
+
 def conversation_packets(spark, sf_dir) -> DataFrame:
     """One TCP flow a conversation: a SYN, then a segment a turn; the first role's side opens it."""
     c = _t(spark, sf_dir, "conversations").withColumn("payload", F.col("text").cast("binary"))
@@ -34,7 +45,7 @@ def conversation_packets(spark, sf_dir) -> DataFrame:
     c = c.withColumn("tcp_seq", F.lit(4294967000) + F.col("conv_id") % 1000 + F.coalesce(F.sum(F.octet_length("payload")).over(way), F.lit(0)))
     syn = c.groupBy("conv_id").agg(F.min("turn").alias("turn")).select("conv_id", (F.col("turn") - 1).alias("turn"), F.lit(True).alias("out"), (F.lit(4294966999) + F.col("conv_id") % 1000).alias("tcp_seq"), F.lit(b"").alias("payload"), F.lit(2).alias("tcp_flags"))
     p = c.select("conv_id", "turn", "out", "tcp_seq", "payload", F.lit(24).alias("tcp_flags")).unionByName(syn)
-    client, server = _address(F.col("conv_id"), 10), _address(F.col("conv_id"), 11)
+    client, server = _ends(F.col("conv_id"), 10)
     either = lambda a, b: F.when(F.col("out"), a).otherwise(b)
     return p.select(
         F.concat(F.lit("conv-"), F.lpad(F.floor(F.col("conv_id") / FLOWS).cast("string"), 9, "0"), F.lit(".pcap")).alias("path"),
@@ -57,17 +68,19 @@ def _whole(segments: DataFrame) -> DataFrame:
     return segments.groupBy("stream").agg(F.first("first").alias("f"), gather.joined(F.transform(F.sort_array(F.collect_list(piece)), lambda x: x["b"])).alias("c"), (F.max("missing") > 0).alias("missing_data"))
 
 
-def _conv(ip: str) -> Column:
-    p = F.split(ip, r"\.")
-    return p[1].cast("long") * 65536 + p[2].cast("long") * 256 + p[3].cast("long")
+def _conv(client: str, server: str) -> Column:
+    """The number of the flow that ``_ends`` gave these addresses."""
+    bits = lambda ip: F.aggregate(F.slice(F.split(ip, r"\."), 2, 3), F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
+    return bits(server) * (1 << 24) + bits(client)
 
 
 CONVERSATION = "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS content_md5, octet_length(encode(string_agg(text, '' ORDER BY turn))) AS size FROM conversations GROUP BY conv_id"
 
 
 def _told(whole: DataFrame) -> DataFrame:
-    client = F.when(F.col("f.dst_port") == 8000, F.col("f.src_ip")).otherwise(F.col("f.dst_ip"))
-    return whole.withColumn("ip", client).select(_conv("ip").alias("conv_id"), F.md5("c").alias("content_md5"), F.octet_length("c").cast("long").alias("size"))
+    out = F.col("f.dst_port") == 8000
+    client, server = F.when(out, F.col("f.src_ip")).otherwise(F.col("f.dst_ip")), F.when(out, F.col("f.dst_ip")).otherwise(F.col("f.src_ip"))
+    return whole.withColumns({"ip": client, "far": server}).select(_conv("ip", "far").alias("conv_id"), F.md5("c").alias("content_md5"), F.octet_length("c").cast("long").alias("size"))
 
 
 @query("pcap_conversation_roundtrip", CONVERSATION)
@@ -107,8 +120,9 @@ def pcap_gap_padding(spark, sf_dir):
     k = F.row_number().over(Window.partitionBy("conv_id", "src_port").orderBy("tcp_flags", "turn"))
     p = p.withColumn("k", F.when(F.col("tcp_flags") == 2, 0).otherwise(k - F.max((F.col("tcp_flags") == 2).cast("int")).over(Window.partitionBy("conv_id", "src_port")))).where("k <> 2").drop("k")
     whole = _whole(streams.tcp_segments(pcap.packets(synth.pcap(synth.frames(p), ["turn", "conv_id"]))))
-    client = F.when(F.col("f.dst_port") == 8000, F.col("f.src_ip")).otherwise(F.col("f.dst_ip"))
-    return whole.withColumn("ip", client).select(_conv("ip").alias("conv_id"), F.octet_length("c").cast("long").alias("size"), "missing_data")
+    out = F.col("f.dst_port") == 8000
+    client, server = F.when(out, F.col("f.src_ip")).otherwise(F.col("f.dst_ip")), F.when(out, F.col("f.dst_ip")).otherwise(F.col("f.src_ip"))
+    return whole.withColumns({"ip": client, "far": server}).select(_conv("ip", "far").alias("conv_id"), F.octet_length("c").cast("long").alias("size"), "missing_data")
 
 
 @query(
@@ -121,8 +135,9 @@ def pcap_gap_padding(spark, sf_dir):
 def pcap_message_breaks(spark, sf_dir):
     segments = streams.tcp_segments(pcap.packets(synth.pcap(synth.frames(conversation_packets(spark, sf_dir)), ["turn", "conv_id"])))
     b = streams.breaks(segments).join(streams.streams(segments).select("stream", "src_ip", "dst_ip", "dst_port"), "stream")
-    client = F.when(F.col("dst_port") == 8000, F.col("src_ip")).otherwise(F.col("dst_ip"))
-    return b.withColumn("ip", client).select(_conv("ip").alias("conv_id"), F.col("run").cast("long").alias("run"), F.col("offset").cast("long").alias("offset"))
+    out = F.col("dst_port") == 8000
+    client, server = F.when(out, F.col("src_ip")).otherwise(F.col("dst_ip")), F.when(out, F.col("dst_ip")).otherwise(F.col("src_ip"))
+    return b.withColumns({"ip": client, "far": server}).select(_conv("ip", "far").alias("conv_id"), F.col("run").cast("long").alias("run"), F.col("offset").cast("long").alias("offset"))
 
 
 def http_packets(spark, sf_dir) -> DataFrame:
@@ -140,7 +155,7 @@ def http_packets(spark, sf_dir) -> DataFrame:
     size = 32_000
     cuts = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("answer") - 1) / size).cast("int")), lambda k: F.struct((k + 2).alias("n"), F.lit(False).alias("out"), (k * size + 500).alias("seq"), F.lit(24).alias("flags"), F.substring(F.col("answer"), k * size + 1, F.lit(size)).alias("payload"), k.alias("cut")))
     each = p.withColumns({"answer": answer, "ask": ask}).select("page_id", F.explode(F.concat(F.array(syn, get), cuts)).alias("s"))
-    client, server = _address(F.col("page_id"), 20), _address(F.col("page_id"), 21)
+    client, server = _ends(F.col("page_id"), 20)
     either = lambda a, b: F.when(F.col("s.out"), a).otherwise(b)
     return each.select(
         F.concat(F.lit("http-"), F.lpad(F.floor(F.col("page_id") / FLOWS).cast("string"), 9, "0"), F.lit(".pcap")).alias("path"),
@@ -173,7 +188,7 @@ PATH = "CASE WHEN p = '' THEN '/' ELSE replace(p, ' ', '%20') END"
 )
 def pcap_http_pages(spark, sf_dir):
     m = http_messages(spark, sf_dir).where("NOT is_request")
-    return m.select(_conv("dst_ip").alias("page_id"), "domain", "uri", "filename", F.md5("body").alias("body_md5"))
+    return m.select(_conv("dst_ip", "src_ip").alias("page_id"), "domain", "uri", "filename", F.md5("body").alias("body_md5"))
 
 
 def dns_packets(spark, sf_dir) -> DataFrame:
@@ -187,7 +202,8 @@ def dns_packets(spark, sf_dir) -> DataFrame:
 
 @query("pcap_dns_hosts", "SELECT DISTINCT 'REQ-28663' AS filename, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, 'A' AS type, 'IN' AS class FROM pages")
 def pcap_dns_hosts(spark, sf_dir):
-    m = dns.messages(pcap.packets(synth.pcap(synth.frames(dns_packets(spark, sf_dir)), ["host"])))
+    raw = _raw(synth.frames(dns_packets(spark, sf_dir)).withColumn("n", F.lit(0)), "n")
+    m = dns.messages(pcap.dissect(raw))
     got = lambda k: F.get_json_object("content", f"$.Queries[0].{k}").alias(k if k != "name" else "host")
     return m.select("filename", got("name"), got("type"), got("class"))
 
@@ -201,10 +217,15 @@ def pcap_dns_hosts(spark, sf_dir):
     SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS datagrams, min(us) AS anchor_us FROM s GROUP BY user_id, session""",
 )
 def pcap_udp_sessions(spark, sf_dir):
-    e = _t(spark, sf_dir, "events")
-    p = e.select(F.lit("events.pcap").alias("path"), "event_id", F.lit("udp").alias("l4"), _address(F.col("user_id"), 40).alias("src_ip"), F.lit("41.0.0.1").alias("dst_ip"), F.lit(7000).alias("src_port"), F.lit(7001).alias("dst_port"), F.lit(0).cast("long").alias("tcp_seq"), F.lit(0).alias("tcp_flags"), F.col("props").cast("binary").alias("payload"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
-    s = streams.udp_sessions(pcap.packets(synth.pcap(synth.frames(p), ["ts_us", "event_id"])), 6 * 3600)
-    return s.groupBy(_conv("src_ip").alias("user_id"), "session").agg(F.count(F.lit(1)).alias("datagrams"), F.expr("min(anchor) div 1000").alias("anchor_us"))
+    return event_sessions(_t(spark, sf_dir, "events"))
+
+
+def event_sessions(e: DataFrame) -> DataFrame:
+    """Sessions of events as datagrams, a flow a user; of datagrams of one time that with the lesser event_id comes first."""
+    client, server = _ends(F.col("user_id"), 40)
+    p = e.select(F.lit("events.pcap").alias("path"), "event_id", F.lit("udp").alias("l4"), client.alias("src_ip"), server.alias("dst_ip"), F.lit(7000).alias("src_port"), F.lit(7001).alias("dst_port"), F.lit(0).cast("long").alias("tcp_seq"), F.lit(0).alias("tcp_flags"), F.col("props").cast("binary").alias("payload"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+    s = streams.udp_sessions(pcap.dissect(_raw(synth.frames(p), "event_id")), 6 * 3600)
+    return s.groupBy(_conv("src_ip", "dst_ip").alias("user_id"), "session").agg(F.count(F.lit(1)).alias("datagrams"), F.expr("min(anchor) div 1000").alias("anchor_us"))
 
 
 def conversation_tree(spark, sf_dir) -> DataFrame:

@@ -140,3 +140,20 @@ def test_dhcp_golden():
     assert j["ID"] == "15645" and j["Options"]["Parameter Request List"] == ["Subnet Mask", "Router", "DNS Servers", "NTP Server Addresses"]
     assert j["Options"]["Client Identifier"] == {"Client MAC Address": "00:0b:82:01:fc:42", "Hardware Type": "Ethernet"}
     assert dhcp.to_json(head[:200]) is None and dhcp.to_json(head + b"\x33\4\0") is not None
+
+
+def test_sessions_and_hosts_are_not_packed_into_one_file(spark, monkeypatch):
+    import datetime
+
+    from netloom.plans import captures
+
+    def packed(*_):
+        raise AssertionError("all frames in one file")
+
+    monkeypatch.setattr(captures.synth, "pcap", packed)
+    t = datetime.datetime(2024, 1, 1)
+    wide = (1 << 24) + 7  # one stream with user 7, were addresses three bytes
+    e = spark.createDataFrame([(1, 7, t, "a"), (2, wide, t, "b"), (3, 7, t, "c"), (4, 7, t + datetime.timedelta(hours=7), "d")], "event_id long, user_id long, ts timestamp, props string")
+    got = sorted((r.user_id, r.session, r.datagrams) for r in captures.event_sessions(e).collect())
+    assert got == [(7, 0, 2), (7, 1, 1), (wide, 0, 1)]
+    assert captures.pcap_dns_hosts(spark, "/root/testdata/sf0.001").count() > 0
