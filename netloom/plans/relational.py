@@ -485,6 +485,13 @@ def hex_roundtrip(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", h.alias("hex"), F.md5(F.unhex(h)).alias("back"))
 
 
+@query("hex_roundtrip_text", "SELECT doc_id, lower(hex(encode(text))) AS hex, md5(text) AS back FROM documents")
+def hex_roundtrip_text(spark, sf_dir):
+    """As ``hex_roundtrip``, over whole texts."""
+    h = F.lower(F.hex(F.col("text").cast("binary")))
+    return _t(spark, sf_dir, "documents").select("doc_id", h.alias("hex"), F.md5(F.unhex(h)).alias("back"))
+
+
 @query("filetime", "SELECT o_orderkey, (epoch_us(o_orderdate) // 1000000 + 11644473600) * 10000000 + 1234567 AS filetime, epoch_us(o_orderdate) // 1000000 AS seconds, epoch_us(o_orderdate) // 1000 AS millis FROM orders")
 def filetime(spark, sf_dir):
     s = F.floor(_micros("o_orderdate") / 1_000_000).cast("long")
@@ -538,6 +545,17 @@ def fingerprint_sorted(spark, sf_dir):
     return d.select("doc_id", fingerprints.part(F.array_join(F.array_sort("w"), ",")).alias("part"), fingerprints.hex4(F.transform("w", lambda x: F.char_length(x))).alias("hex4"))
 
 
+@query(
+    "fingerprint_sorted_text",
+    """SELECT doc_id, substr(sha256(array_to_string(list_sort(w), ',')), 1, 12) AS part, array_to_string(list_transform(w, lambda x: lpad(lower(to_hex(CAST(length(x) AS BIGINT))), 4, '0')), ',') AS hex4
+      FROM (SELECT doc_id, string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' ') AS w FROM documents)""",
+)
+def fingerprint_sorted_text(spark, sf_dir):
+    """As ``fingerprint_sorted``, over whole texts."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " ").alias("w"))
+    return d.select("doc_id", fingerprints.part(F.array_join(F.array_sort("w"), ",")).alias("part"), fingerprints.hex4(F.transform("w", lambda x: F.char_length(x))).alias("hex4"))
+
+
 @query("hassh_like", "SELECT p_partkey, md5(p_name || ';' || p_brand || ';' || p_type || ';none') AS hassh FROM part")
 def hassh_like(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", fingerprints.hassh(F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.lit("none")).alias("hassh"))

@@ -157,3 +157,20 @@ def test_sessions_and_hosts_are_not_packed_into_one_file(spark, monkeypatch):
     got = sorted((r.user_id, r.session, r.datagrams) for r in captures.event_sessions(e).collect())
     assert got == [(7, 0, 2), (7, 1, 1), (wide, 0, 1)]
     assert captures.pcap_dns_hosts(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_whole_texts_are_told_apart(spark, tmp_path):
+    import hashlib
+
+    from netloom import registry
+
+    texts = ["same words " * 20 + "é tail one", "same words " * 20 + "é tail two", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    hexed = {r.doc_id: r for r in registry.queries()["hex_roundtrip_text"](spark, str(tmp_path)).collect()}
+    assert [hexed[i].hex for i in range(4)] == [t if t is None else t.encode().hex() for t in texts]
+    assert hexed[0].back == hashlib.md5(texts[0].encode()).hexdigest() != hexed[1].back
+    parts = {r.doc_id: r.part for r in registry.queries()["fingerprint_sorted_text"](spark, str(tmp_path)).collect()}
+    for i in (0, 1):
+        words = sorted("".join(c for c in texts[i] if c == " " or c.isascii() and c.isalpha()).split(" "))
+        assert parts[i] == hashlib.sha256(",".join(words).encode()).hexdigest()[:12]
+    assert parts[0] != parts[1]
