@@ -30,6 +30,7 @@ CLASSES = {
     "letter": r"\p{L}",
 }
 SYMBOLS = "#*$%&|<>"
+STOPS = ".,;:!?'\"()-"
 
 #: Very common words of each language.
 COMMON = {
@@ -83,7 +84,9 @@ def _counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) -
         t = t.withColumn(f"r_{name}", F.regexp_replace(before, f"{chars}+", ""))
         each.append(_length(before) - _length(f"r_{name}"))
         before = f"r_{name}"
-    among = lambda listed: F.filter("w", lambda x: x.isin(listed.split()))
+    # Words count in any case, and with stop characters around them.
+    bare = F.transform("w", lambda x: F.btrim(F.lower(x), F.lit(STOPS)))
+    among = lambda listed: F.filter(bare, lambda x: x.isin(listed.split()))
     hits = F.lit(None).cast("array<string>")
     for name, listed in COMMON.items():
         hits = F.when(F.col("lang") == name, among(listed)).otherwise(hits)

@@ -456,6 +456,13 @@ def test_quality_divergence(spark):
     assert all(rows[k].kept for k in range(40)) and not rows[40].kept and not rows[41].kept
 
 
+def test_quality_counts_common_words_in_any_case_and_before_punctuation(spark):
+    plain, dressed = "the of and zebra to the", "The, OF. (and) zebra! \"To\" the?"
+    d = spark.createDataFrame([(0, plain, "en"), (1, dressed, "en"), (2, "theof t-he", "en")], "doc_id long, text string, lang string")
+    words = {r.id: r.words for r in quality._counts(d, "doc_id", "text", "lang").collect()}
+    assert words[0] == words[1] and words[0][-1] == 1 and sum(words[0]) == 6 and words[2][-1] == 2
+
+
 # --- 10 packing
 
 
