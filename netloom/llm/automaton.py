@@ -1,11 +1,15 @@
 """One deterministic automaton for many rules: subset construction, minimisation, and a one-pass byte scan.
 
-A rule is a regular expression over bytes. All rules are compiled into one
-minimal automaton that searches for every rule at once; what it accepts is the
-set of rules with a match that ends at a byte. The scan cuts the buffer into
-lanes of equal length and moves all lanes on by one byte at a time, so the
-passage of a byte costs one look-up in a transition array, whatever the number
-of rules.
+A rule is a regular expression over bytes in two parts: a word of bounded
+length, and what follows it. The automaton of a rule makes the choices of a
+leftmost, non-overlapping search while it reads: a state holds the match that
+has its word and is still possible (the earliest), the words under way, and
+whether the match is complete. A complete match goes on as long as it can, and
+no other begins inside it. All rules together are one automaton whose states
+tell, for each rule, how long a word is that ends at this byte, and whether a
+complete match ends here. So starts and ends of all matches of all rules come
+out of one passage over the bytes, and each byte costs one look-up in a
+transition array, whatever the number of rules.
 """
 
 from __future__ import annotations
@@ -19,23 +23,28 @@ import numpy as np
 
 RESET = 0xFF  # never part of UTF-8: parts texts in a buffer, and leads every state back to the start
 WARM, LANE = 64, 1024
+CHUNK = 4 << 20  # bytes whose states are held at a time
 
 
 class _Nfa:
-    """Thompson's construction; ``mirror`` builds it for the reversed language."""
+    """Thompson's construction."""
 
-    def __init__(self, mirror: bool = False):
+    def __init__(self):
         self.empty: list[list[int]] = []
         self.moves: list[list[tuple[frozenset[int], int]]] = []
-        self.mirror = mirror
 
     def state(self) -> int:
         self.empty.append([])
         self.moves.append([])
         return len(self.empty) - 1
 
+    def pattern(self, source: bytes) -> tuple[int, int]:
+        """The first and the last state of what ``source`` matches."""
+        parsed, first = parser.parse(source), self.state()
+        return first, self.sequence(parsed, first, bool(parsed.state.flags & C.SRE_FLAG_IGNORECASE))
+
     def sequence(self, items, at: int, folded: bool) -> int:
-        for op, arg in reversed(list(items)) if self.mirror else items:
+        for op, arg in items:
             at = self.add(op, arg, at, folded)
         return at
 
@@ -98,157 +107,207 @@ class _Nfa:
                     todo.append(x)
         return frozenset(seen)
 
+    def step(self, states, byte: int) -> frozenset[int]:
+        return self.closure({t for s in states for chars, t in self.moves[s] if byte in chars})
+
+
+@dataclass(frozen=True)
+class _State:
+    """Of one rule: the earliest match with its word, whether it is complete, later ones with theirs, words under way with their ages, and the length of a word that ends here and leads."""
+
+    lead: frozenset[int] = frozenset()
+    complete: bool = False
+    later: frozenset[int] = frozenset()
+    words: frozenset[tuple[int, int]] = frozenset()
+    length: int = 0
+
+
+class _Rule:
+    def __init__(self, nfa: _Nfa, word: bytes, rest: bytes):
+        self.nfa, self.name = nfa, word + rest
+        (self.w0, self.w1), (self.r0, self.r1) = nfa.pattern(word), nfa.pattern(rest)
+
+    def step(self, s: _State, byte: int) -> _State:
+        """The state after ``byte``. Raises ValueError for a rule of which an earlier match could fail beside a later one: it needs more than one reading."""
+        lead = self.nfa.step(s.lead, byte)
+        if s.complete and lead:
+            if self.r1 not in lead:
+                raise ValueError(f"a complete match must stay one while it goes on: {self.name!r}")
+            return _State(lead, True)
+        later = self.nfa.step(s.later, byte)
+        if later and not lead:
+            raise ValueError(f"a later match outlives an earlier one: {self.name!r}")
+        words = set()
+        for q, age in {*s.words, *((q, 0) for q in self.nfa.closure([self.w0]))}:
+            words |= {(x, age + 1) for x in self.nfa.step([q], byte)}
+        length = max((age for q, age in words if q == self.w1), default=0)
+        if length == 1 or length and any(age > length for _, age in words):
+            raise ValueError(f"a word must have two bytes or more and no other word inside it: {self.name!r}")
+        new = self.nfa.closure([self.r0]) if length else frozenset()
+        if lead:
+            later, length = later | new, 0
+        else:
+            lead = new
+        return _State(lead, True, length=length) if self.r1 in lead else _State(lead, False, later, frozenset(words), length)
+
 
 @dataclass(frozen=True)
 class Automaton:
-    """table[state * width + classes[byte]] is the next state times width; accepts[state] a bit a rule.
+    """table[state * width + classes[byte]] is the next state times width; state 0 is the start.
 
-    States that accept come last, from ``first`` (times width) on; state 0 is the start.
+    ``lengths[state, rule]`` is the length of a word of the rule that ends there,
+    ``complete[state, rule]`` whether a match does. States that tell anything
+    come last, from ``first`` (times width) on.
     """
 
     classes: np.ndarray
     width: int
     table: np.ndarray
-    accepts: np.ndarray
+    lengths: np.ndarray
+    complete: np.ndarray
     first: int
 
     @property
     def states(self) -> int:
-        return len(self.accepts)
+        return len(self.lengths)
 
     @functools.cached_property
     def lists(self) -> tuple[list[int], list[int]]:
         """The transitions and classes as lists, which single look-ups read faster."""
         return self.table.tolist(), self.classes.tolist()
 
-    @functools.cached_property
-    def dead(self) -> int:
-        """The state, times width, that only leads to itself and accepts nothing; -1 if there is none."""
-        rows = self.table.reshape(-1, self.width)
-        own = np.flatnonzero((rows == (np.arange(len(rows)) * self.width)[:, None]).all(axis=1) & (self.accepts == 0))
-        return int(own[0]) * self.width if len(own) else -1
-
-
-def compile_rules(patterns: list[bytes], search: bool = True, mirror: bool = False) -> Automaton:
-    """``search``: a match may begin at any byte. ``mirror``: read from right to left."""
-    nfa = _Nfa(mirror)
-    start, ends = nfa.state(), {}
-    for k, p in enumerate(patterns):
-        parsed = parser.parse(p)
-        begin = nfa.state()
-        nfa.empty[start].append(begin)
-        ends[nfa.sequence(parsed, begin, bool(parsed.state.flags & C.SRE_FLAG_IGNORECASE))] = 1 << k
-    home = nfa.closure([start])
 
-    # Bytes that no rule tells apart share a class.
-    sets = sorted({b for moves in nfa.moves for b, _ in moves}, key=sorted)
-    marks: dict[tuple[bool, ...], int] = {}
-    classes = np.array([marks.setdefault(tuple(b in s for s in sets), len(marks)) for b in range(256)], np.uint8)
-    width = len(marks)
-    of_class = [int(np.flatnonzero(classes == c)[0]) for c in range(width)]
+def _minimal(moves: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each state, split by what states tell and where they lead until nothing splits, and a state of each block."""
+    _, block = np.unique(told, axis=0, return_inverse=True)
+    block = block.ravel()
+    while True:
+        _, sample, finer = np.unique(np.column_stack([block, block[moves]]), axis=0, return_index=True, return_inverse=True)
+        if len(sample) == block.max() + 1:
+            return finer.ravel(), sample
+        block = finer.ravel()
 
-    # Subset construction; the last state, if any, is the dead one of an anchored automaton.
-    number, order, rows = {home: 0}, [home], []
-    for subset in order:
+
+def _of_rule(rule: _Rule, of_class: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The minimal automaton of one rule: moves by class, and (length, complete) of each state; state 0 is the start."""
+    number, order, rows = {_State(): 0}, [_State()], []
+    for s in order:
         row = []
-        for b in of_class:
-            to = nfa.closure({t for s in subset for chars, t in nfa.moves[s] if b in chars})
-            to = to | home if search else to
+        for byte in of_class:
+            to = rule.step(s, byte)
             if to not in number:
                 number[to] = len(order)
                 order.append(to)
             row.append(number[to])
         rows.append(row)
-    moves = np.array(rows)
-    accepts = np.array([sum({ends[s] for s in subset if s in ends}) for subset in order])
+    moves, told = np.array(rows), np.array([(s.length, s.complete) for s in order])
+    block, sample = _minimal(moves, told)
+    rank = np.argsort(np.argsort(np.where(np.arange(len(sample)) == block[0], -1, np.arange(len(sample)))))
+    back = np.argsort(rank)
+    return rank[block[moves[sample[back]]]], told[sample[back]]
 
-    # Minimisation: split blocks by what they accept and where they lead until nothing splits.
-    _, block = np.unique(accepts, return_inverse=True)
-    while True:
-        _, finer = np.unique(np.column_stack([block, block[moves]]), axis=0, return_inverse=True)
-        if finer.max() == block.max():
-            break
-        block = finer.ravel()
-    _, sample = np.unique(block, return_index=True)
-    rank = sorted(range(len(sample)), key=lambda x: (accepts[sample[x]] != 0, block[0] != x))
-    new = np.empty(len(rank), np.int64)
-    new[rank] = np.arange(len(rank))
-    table = new[block[moves[sample[rank]]]] * width
-    final = accepts[sample[rank]]
-    return Automaton(classes, width, np.ascontiguousarray(table.ravel(), np.intp), final, int((final == 0).sum()) * width)
 
+def compile_rules(rules: list[tuple[bytes, bytes]]) -> Automaton:
+    """Of rules (word, rest): one automaton, the minimal one of all that the rules tell together."""
+    nfa = _Nfa()
+    made = [_Rule(nfa, word, rest) for word, rest in rules]
 
-def find(dfa: Automaton, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Ends (exclusive) of matches in ``data`` in ascending order, and the bits of the rules that end there.
+    # Bytes that no rule tells apart share a class.
+    sets = sorted({b for moves in nfa.moves for b, _ in moves}, key=sorted)
+    marks: dict[tuple[bool, ...], int] = {}
+    classes = np.array([marks.setdefault(tuple(b in s for s in sets), len(marks)) for b in range(256)], np.uint8)
+    width = len(marks)
+    each = [_of_rule(r, [int(np.flatnonzero(classes == c)[0]) for c in range(width)]) for r in made]
 
-    Every lane begins WARM bytes early from the start state. A lane whose state
-    then is not the one in which the lane before it ended is run again from
-    that state, until all lanes agree: the result is that of one pass from the
+    # A state of all rules together is a state of each, written as one number; those that can be reached are found in waves.
+    sizes = [len(m) for m, _ in each]
+    digits = np.cumprod([1, *sizes[:-1]])
+    known, fresh, rows = np.zeros(1, np.int64), np.zeros(1, np.int64), []
+    while len(fresh):
+        parts = [fresh // d % n for d, n in zip(digits, sizes, strict=True)]
+        to = sum(m[p].astype(np.int64) * d for (m, _), p, d in zip(each, parts, digits, strict=True))
+        rows.append((fresh, to))
+        fresh = np.setdiff1d(to, known)
+        known = np.union1d(known, fresh)
+    start = np.concatenate([f for f, _ in rows])
+    moves = np.searchsorted(known, np.concatenate([t for _, t in rows])[np.argsort(start)])
+    told = np.column_stack([t[known // d % n] for (_, t), d, n in zip(each, digits, sizes, strict=True)])
+    block, sample = _minimal(moves, told)
+
+    told = told[sample]
+    tells = told.any(axis=1)
+    rank = np.empty(len(sample), np.int64)
+    rank[np.lexsort((np.arange(len(sample)) != block[0], tells))] = np.arange(len(sample))
+    back = np.argsort(rank)
+    table = rank[block[moves[sample[back]]]] * width
+    told = told[back].reshape(len(sample), len(rules), 2)
+    return Automaton(classes, width, np.ascontiguousarray(table.ravel(), np.intp), told[:, :, 0].astype(np.uint8), told[:, :, 1] != 0, int((~tells).sum()) * width)
+
+
+def _passage(dfa: Automaton, data: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The places of ``data`` at which the automaton tells something, its states there, and its state behind the last byte; ``state`` is that before the first.
+
+    The bytes are cut into lanes, which all move on by one byte at a time. A
+    lane begins WARM bytes early from the start state. Where the lane before
+    it ended in another state, the lane is read again from there, until it
+    meets the states that it had: the result is that of one passage from the
     first byte, however long a match is.
     """
-    raw = np.frombuffer(data, np.uint8)
-    n = len(raw)
+    n = len(data)
     lanes = max(1, -(-n // LANE))
     padded = np.full(WARM + lanes * LANE, RESET, np.uint8)
-    padded[WARM : WARM + n] = raw
+    padded[WARM : WARM + n] = data
     padded = dfa.classes[padded]
     columns = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (lanes, WARM + LANE), (LANE, 1)).T)
-
-    state, at = np.zeros(lanes, np.intp), np.empty(lanes, np.intp)
+    now, at = np.zeros(lanes, np.intp), np.empty(lanes, np.intp)
     for t in range(WARM):
-        np.add(state, columns[t], out=at)
-        np.take(dfa.table, at, out=state, mode="clip")
-    began = state.copy()
-    ended = np.empty(lanes, np.intp)
-    todo = np.arange(lanes)
-    hits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    while len(todo):
-        full = len(todo) == lanes
-        state = began[todo]
-        at = np.empty(len(todo), np.intp)
-        where, what = [], []
-        for t in range(WARM, WARM + LANE):
-            np.add(state, columns[t] if full else columns[t, todo], out=at)
-            np.take(dfa.table, at, out=state, mode="clip")
-            if state.max() >= dfa.first:
-                got = np.flatnonzero(state >= dfa.first)
-                where.append(todo[got] * LANE + (t - WARM + 1))
-                what.append(state[got])
-        ended[todo] = state
-        pos = np.concatenate(where) if where else np.empty(0, np.int64)
-        acc = dfa.accepts[np.concatenate(what) // dfa.width] if what else np.empty(0, np.int64)
-        lane = (pos - 1) // LANE
-        for k in np.unique(lane).tolist() if not full else ():
-            pick = lane == k
-            hits[k] = (pos[pick], acc[pick])
-        if full:
-            all_pos, all_acc, redone = pos, acc, np.zeros(lanes, bool)
-        else:
-            redone[todo] = True
-            for k in set(todo.tolist()) - set(lane.tolist()):
-                hits.pop(k, None)
-        wrong = np.flatnonzero(began[1:] != ended[:-1]) + 1
-        began[wrong] = ended[wrong - 1]
-        todo = wrong
-        if len(todo) == lanes:  # cannot be: lane 0 always begins right
-            raise AssertionError("lanes disagree")
-    keep = ~redone[(all_pos - 1) // LANE]
-    pos = np.concatenate([all_pos[keep], *[p for p, _ in hits.values()]])
-    acc = np.concatenate([all_acc[keep], *[a for _, a in hits.values()]])
-    order = np.argsort(pos, kind="stable")
-    pos, acc = pos[order], acc[order]
-    inside = pos <= n
-    return pos[inside], acc[inside]
-
-
-def longest(dfa: Automaton, data: bytes, at: int, end: int, step: int = 1) -> int:
-    """The furthest place up to ``end`` at which an anchored automaton accepts from ``at`` on, or -1; ``step`` -1 reads leftwards."""
-    (table, classes), state, found, dead = dfa.lists, 0, -1, dfa.dead
-    while at != end:
-        state = table[state + classes[data[at] if step > 0 else data[at - 1]]]
-        at += step
-        if state >= dfa.first:
-            found = at
-        elif state == dead:
+        np.add(now, columns[t], out=at)
+        np.take(dfa.table, at, out=now, mode="clip")
+    now[0] = state
+    began = now
+    held = np.empty((LANE, lanes), np.intp)
+    for t in range(LANE):
+        np.add(now, columns[WARM + t], out=at)
+        now = held[t]
+        np.take(dfa.table, at, out=now, mode="clip")
+    table, _ = dfa.lists
+    for k in (np.flatnonzero(began[1:] != held[-1, :-1]) + 1).tolist():
+        # A lane that is read again to its end may leave the next one wrong.
+        while k < lanes:
+            s = int(held[-1, k - 1])
+            for t, c in enumerate(columns[WARM:, k].tolist()):
+                s = table[s + c]
+                if s == held[t, k]:
+                    break
+                held[t, k] = s
+            else:
+                k += 1
+                continue
             break
-    return found
+    step, lane = np.nonzero(held >= dfa.first)
+    pos = lane * LANE + step
+    order = np.argsort(pos)
+    order = order[pos[order] < n]
+    return pos[order], held[step[order], lane[order]] // dfa.width, int(held[(n - 1) % LANE, (n - 1) // LANE]) if n else state
+
+
+def find(dfa: Automaton, data: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each rule the starts, ends (exclusive) and the places of the first complete bytes of its matches in ``data``, ascending."""
+    raw, state, places, states = np.frombuffer(data, np.uint8), 0, [], []
+    for lo in range(0, len(raw), CHUNK):
+        pos, at, state = _passage(dfa, raw[lo : lo + CHUNK], state)
+        places.append(pos + lo)
+        states.append(at)
+    pos = np.concatenate(places) if places else np.empty(0, np.int64)
+    at = np.concatenate(states) if states else np.empty(0, np.int64)
+    out = []
+    for k in range(dfa.lengths.shape[1]):
+        length = dfa.lengths[at, k]
+        word = length > 0
+        begun, ends = pos[word] + 1 - length[word], pos[word]
+        done = pos[dfa.complete[at, k]]
+        first = np.flatnonzero(np.diff(done, prepend=-2) != 1)
+        last = np.append(first[1:], len(done)) - 1 if len(first) else first
+        # The word of a match is the last one that led before it was complete.
+        out.append((begun[np.searchsorted(ends, done[first], "right") - 1], done[last] + 1, done[first]))
+    return out

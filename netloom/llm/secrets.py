@@ -1,12 +1,10 @@
-"""Secret scans: all rules in one pass of one deterministic automaton over the bytes of a text.
-
-The automaton looks for the beginning of each rule (its head and one character
-more, or the run of characters that it must have) and says at which bytes one
-ends. Only there does a small step follow: the mirrored automaton of the
-beginning reads left to where it starts, that of the whole rule reads right to
-the furthest end, and matches too short for their rule are dropped. The result
-for each rule is that of a leftmost, non-overlapping search by itself; spans of
-different rules may overlap.
+"""Secret scans: all rules, whole, in one pass of one deterministic automaton over the bytes of a text.
+
+Rules are compiled into the transition arrays of one minimal automaton (see
+``automaton``), whose states tell where the matches of each rule begin and end.
+Matches too short for their rule are dropped. The result for each rule is that
+of a leftmost, non-overlapping search by itself; spans of different rules may
+overlap. A text costs time in proportion to its length, whatever is in it.
 """
 
 from __future__ import annotations
@@ -20,89 +18,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .automaton import Automaton, compile_rules, find, longest
+from .automaton import Automaton, compile_rules, find
 from .words import blocks
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``least`` characters are asked of what follows ``head`` in a match, or of the whole match without one.
-
-    ``scan`` is what the common automaton looks for: every match of ``pattern``
-    with enough characters begins where a match of ``scan`` does, and no match
-    of ``scan`` begins inside another.
-    """
+    """A match is ``word`` and then ``rest``. ``least`` characters are asked of the match, or with ``value`` of the run that ends it."""
 
     name: str
-    pattern: bytes
-    scan: bytes
+    word: bytes
+    rest: bytes
     least: int = 0
-    head: bytes = b""
+    value: bool = False
 
 
-ASSIGN_HEAD = rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
-
 #: The base kinds first, in the order in which spans at one place are listed.
 BASE = (
-    Rule("assign", ASSIGN_HEAD + rb"[A-Za-z0-9+/_.=-]+", ASSIGN_HEAD + rb"[A-Za-z0-9+/_.=-]", 6, ASSIGN_HEAD),
-    Rule("access", rb"AKIA[A-Z0-9]+", rb"AKIA[A-Z0-9]", 20),
-    Rule("hex", rb"[0-9a-f]+", rb"[0-9a-f]{24}", 24),
+    Rule("assign", rb"(?i:password|passwd|secret|token|api_?key)", rb"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 6, value=True),
+    Rule("access", rb"AKIA", rb"[A-Z0-9]+", 20),
+    Rule("hex", rb"[0-9a-f]{24}", rb"[0-9a-f]*", 24),
 )
 MORE = (
-    Rule("forge", rb"gh[pousr]_[A-Za-z0-9]+", rb"gh[pousr]_[A-Za-z0-9]", 40),
-    Rule("chat", rb"xox[abprs]-[A-Za-z0-9-]+", rb"xox[abprs]-[A-Za-z0-9-]", 15),
-    Rule("payment", rb"[rs]k_live_[A-Za-z0-9]+", rb"[rs]k_live_[A-Za-z0-9]", 24),
-    Rule("map", rb"AIza[A-Za-z0-9_-]+", rb"AIza[A-Za-z0-9_-]", 39),
-    Rule("jwt", rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", rb"eyJ[A-Za-z0-9_-]", 40),
-    Rule("pem", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----", rb"-----BEGIN [A-Z ]"),
+    Rule("forge", rb"gh[pousr]_", rb"[A-Za-z0-9]+", 40),
+    Rule("chat", rb"xox[abprs]-", rb"[A-Za-z0-9-]+", 15),
+    Rule("payment", rb"[rs]k_live_", rb"[A-Za-z0-9]+", 24),
+    Rule("map", rb"AIza", rb"[A-Za-z0-9_-]+", 39),
+    Rule("jwt", rb"eyJ", rb"[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
+    Rule("pem", rb"-----BEGIN ", rb"[A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE + MORE
 
 
 @functools.cache
-def _compiled(rules: tuple[Rule, ...]) -> tuple[Automaton, list[tuple[Automaton, Automaton, Automaton | None]]]:
-    each = [
-        (compile_rules([r.scan], search=False, mirror=True), compile_rules([r.pattern], search=False), compile_rules([r.head], search=False) if r.head else None)
-        for r in rules
-    ]
-    return compile_rules([r.scan for r in rules]), each
-
-
-def _matches(data: bytes, lo: int, hi: int, ends: list[int], rule: Rule, automata) -> Iterator[tuple[int, int]]:
-    """Matches of one rule in data[lo:hi]; ``ends`` are the places in it at which the scan saw one end."""
-    back, ahead, head = automata
-    done = lo
-    for e in ends:
-        if e <= done:
-            continue
-        s = longest(back, data, e, done, -1)
-        end = longest(ahead, data, s, hi) if s >= 0 else -1
-        if end < 0:
-            continue
-        done = end
-        value = longest(head, data, s, done) if head else s
-        if done - value >= rule.least:
-            yield s, done
-
-
-def scan_texts(texts: list[bytes], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int]]]:
-    """For each text its spans (start, rule number, end) in bytes, sorted."""
-    dfa, each = _compiled(rules)
+def _compiled(rules: tuple[Rule, ...]) -> Automaton:
+    return compile_rules([(r.word, r.rest) for r in rules])
+
+
+def scan_texts(texts: list[bytes], rules: tuple[Rule, ...] = RULES, dfa: Automaton | None = None) -> list[list[tuple[int, int, int]]]:
+    """For each text its spans (start, rule number, end) in bytes, sorted; ``dfa`` is the automaton of the rules, where it is there already."""
     data = bytes([255]).join(texts) + bytes([255])
-    cuts = np.cumsum([len(t) + 1 for t in texts])
-    pos, bits = find(dfa, data)
-    owner = np.searchsorted(cuts, pos, side="left")
+    ends = np.cumsum([len(t) + 1 for t in texts])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for k, rule in enumerate(rules):
-        mine = (bits >> k) & 1 == 1
-        if not mine.any():
-            continue
-        p, o = pos[mine], owner[mine]
-        for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(o)) + 1):
-            i = int(o[part[0]])
-            hi = int(cuts[i]) - 1
-            lo = hi - len(texts[i])
-            out[i] += [(s - lo, k, e - lo) for s, e in _matches(data, lo, hi, p[part].tolist(), rule, each[k])]
+    for k, (rule, (starts, stops, firsts)) in enumerate(zip(rules, find(dfa or _compiled(rules), data), strict=True)):
+        enough = stops - (firsts if rule.value else starts) >= rule.least
+        starts, stops = starts[enough], stops[enough]
+        owner = np.searchsorted(ends, starts, side="right")
+        for i, s, e in zip(owner.tolist(), starts.tolist(), stops.tolist(), strict=True):
+            lo = int(ends[i]) - 1 - len(texts[i])
+            out[i].append((s - lo, k, e - lo))
     for found in out:
         found.sort()
     return out
@@ -122,13 +86,14 @@ SPAN = "array<struct<kind:string,start:long,end:long>>"
 def spans(text, rules: tuple[Rule, ...] = RULES):
     """Column: the spans of a text by start, then by rule; code points, ends exclusive. Null and empty texts: an empty list."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    dfa = _compiled(rules)  # made once, and sent to the tasks
 
     @F.arrow_udf(SPAN)
     def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in parts:
             rows = []
             for texts in blocks(column):
-                rows += [[{"kind": rules[k].name, "start": s, "end": e} for s, k, e in _points(t, x)] for t, x in zip(texts, scan_texts(texts, rules), strict=True)]
+                rows += [[{"kind": rules[k].name, "start": s, "end": e} for s, k, e in _points(t, x)] for t, x in zip(texts, scan_texts(texts, rules, dfa), strict=True)]
             yield pa.array(rows, kind)
 
     return of(F.col(text) if isinstance(text, str) else text)
@@ -157,7 +122,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", rule
 
     Columns and rows are those of ``docs``; a column n_chars, if there is one, follows the text.
     """
-    cover = mark.encode()
+    cover, dfa = mark.encode(), _compiled(rules)
 
     def clean(text: bytes, found: list[tuple[int, int, int]]) -> bytes:
         out, at = [], 0
@@ -172,7 +137,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", rule
         for column in parts:
             rows = []
             for texts in blocks(column):
-                rows += [clean(t, x) if x else t for t, x in zip(texts, scan_texts(texts, rules), strict=True)]
+                rows += [clean(t, x) if x else t for t, x in zip(texts, scan_texts(texts, rules, dfa), strict=True)]
             yield pa.array([None if null else x for null, x in zip(column.is_null().to_pylist(), rows, strict=True)], pa.binary()).cast(pa.string())
 
     out = docs.withColumn(text_col, of(F.col(text_col)))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -54,21 +55,30 @@ def test_xxh64_of_spans():
 
 
 def test_automaton_is_minimal_and_exact():
-    dfa = automaton.compile_rules([rb"ab+c", rb"[0-9]{3}"])
+    dfa = automaton.compile_rules([(b"ab", rb"b*c"), (b"[0-9]{3}", b"[0-9]*")])
     data = b"xxabbbc12345 abc" * 700  # over many lanes
-    pos, bits = automaton.find(dfa, data)
-    expect = {m.end(): 1 for m in re.finditer(rb"ab+c", data)}
-    for k in range(3, len(data) + 1):
-        if data[k - 3 : k].isdigit():
-            expect[k] = expect.get(k, 0) | 2
-    assert dict(zip(pos.tolist(), bits.tolist(), strict=True)) == expect
-    assert dfa.states == 3 + 3 + 1 or dfa.states < 12
+    found = automaton.find(dfa, data)
+    for pattern, (starts, ends, _) in zip((rb"ab+c", rb"[0-9]{3,}"), found, strict=True):
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == [m.span() for m in re.finditer(pattern, data)]
+    # Start, a, ab, abb, abc and after 1, 2, 3 and 4 digits: no two of these tell and go on alike.
+    assert dfa.states == 9
+    rows = {(*dfa.lengths[k].tolist(), *dfa.complete[k].tolist(), *dfa.table[k * dfa.width : (k + 1) * dfa.width].tolist()) for k in range(dfa.states)}
+    assert len(rows) == dfa.states
+
+
+def test_automaton_run_longer_than_lanes(monkeypatch):
+    monkeypatch.setattr(automaton, "CHUNK", 4000)  # over many chunks, too
+    dfa = automaton.compile_rules([(b"ab", b"b*c"), (b"ab", b"b+")])
+    data = b"a" + b"b" * 9000 + b"c" + b"b" * 5000 + b"c"
+    one, two = automaton.find(dfa, data)
+    assert (one[0].tolist(), one[1].tolist()) == ([0], [9002]) and (two[0].tolist(), two[1].tolist(), two[2].tolist()) == ([0], [9001], [2])
 
 
-def test_automaton_run_longer_than_lanes():
-    dfa = automaton.compile_rules([rb"a[b]+c"])
-    data = b"a" + b"b" * 9000 + b"c" + b"b" * 5000 + b"c"
-    assert automaton.find(dfa, data)[0].tolist() == [9002]
+def test_automaton_refuses_what_one_reading_cannot_tell():
+    automaton.compile_rules([(b"ab", b"c?d?e")])
+    for word, rest in ((b"a", b"b"), (b"ab|xabc", b"d"), (b"ab", b"(abx|[ab]y)")):
+        with pytest.raises(ValueError):
+            automaton.compile_rules([(word, rest)])
 
 
 # --- 1 secrets
@@ -97,6 +107,20 @@ def test_secrets(spark, texts):
     assert secrets.scan(empty(spark)).count() == 0
 
 
+def test_all_rules_by_re_and_in_linear_time(spark):
+    rnd = random.Random(21)
+    bits = ["eyJ", "eyJab", ".", "ghp_", "z1" * 18, "xoxb-", "AIza", "-----BEGIN ", "PRIVATE KEY-----", "RSA ", "--", "sk_live_", "-", " ", "token=", "ap", "pass"]
+    made = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 60))).encode() for _ in range(1500)]
+    full = {k: re.compile(r.word + r.rest) for k, r in enumerate(secrets.RULES) if r.name in ("forge", "chat", "payment", "map", "jwt", "pem", "access")}
+    for t, found in zip(made, secrets.scan_texts(made), strict=True):
+        want = sorted((m.start(), k, m.end()) for k, p in full.items() for m in p.finditer(t) if m.end() - m.start() >= secrets.RULES[k].least)
+        assert [x for x in found if x[1] in full] == want
+    for hard in (b"eyJa", b"AKIA", b"eyJa.", b"-----BEGIN ", b"password", b"a"):
+        began = time.process_time()
+        secrets.scan_texts([hard * ((1 << 20) // len(hard))])
+        assert time.process_time() - began < 2, hard
+
+
 def test_more_kinds_and_redaction(spark):
     t = "é ghp_" + "z1" * 20 + " eyJhbGciOi.eyJzdWIiOiIxMjM0.c2lnbmF0dXJlc2ln0000 -----BEGIN RSA PRIVATE KEY----- end"
     r = secrets.digest(secrets.scan(table(spark, [t]))).first()
