@@ -371,6 +371,24 @@ def test_ball_links_at_every_distance(spark):
     assert classes(lambda v: got.get(v, v)) == classes(lambda v: want[v])
 
 
+def test_ball_links_in_a_crowd_on_one_half(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HALF_PAIRS", 50)
+    rnd = random.Random(19)
+    half = rnd.getrandbits(32)
+    values = {(half << 32) | rnd.getrandbits(32) for _ in range(150)} | {((half ^ 1 << k) << 32) | rnd.getrandbits(32) for k in range(32)}
+    for v in list(values)[:60]:
+        x = v
+        for k in rnd.sample(range(64), rnd.choice([1, 2, 3, 3, 3])):
+            x ^= 1 << k
+        values.add(x)
+    values = sorted(values)
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
+    got = {r.fp & ((1 << 64) - 1): r.root & ((1 << 64) - 1) for r in simhash.components_of(spark.createDataFrame(signed, "fp long")).collect()}
+    want = roots_by_pairs(values, 3)
+    classes = lambda of: {frozenset(v for v in values if of(v) == t) for t in {of(v) for v in values}}
+    assert classes(lambda v: got.get(v, v)) == classes(lambda v: want[v])
+
+
 def test_keep_one_with_repeats_and_nulls(spark, texts):
     rnd = random.Random(8)
     a, b = prose(rnd, 60), prose(rnd, 60)
