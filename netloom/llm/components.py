@@ -74,10 +74,10 @@ def running(sums: DataFrame, by: list[str], bucket: str, amount: str, block: int
     """
     sums = sums.select(*by, bucket, F.col(amount).cast("long").alias("__a"), F.floor(F.col(bucket) / block).alias("__k"))
     below = lambda keys, order, x: F.coalesce(F.sum(x).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = sums.groupBy(*by, "__k").agg(F.sum("__a").alias("__s"))
-    whole = whole.select(*by, "__k", below(by or [F.lit(0)], "__k", "__s").alias("__b"))
-    inside = sums.withColumn("__i", below([*by, "__k"], bucket, "__a"))
-    return inside.join(whole, [*by, "__k"]).select(*by, bucket, (F.col("__b") + F.col("__i")).alias("before"))
+    whole = sums.groupBy(*by, "__k").agg(F.sum("__a").alias("__whole"))
+    whole = whole.select(*by, "__k", below(by or [F.lit(0)], "__k", "__whole").alias("__base"))
+    inside = sums.withColumn("__inside", below([*by, "__k"], bucket, "__a"))
+    return inside.join(whole, [*by, "__k"]).select(*by, bucket, (F.col("__base") + F.col("__inside")).alias("before"))
 
 
 def _least(edges: DataFrame, with_self: bool) -> DataFrame:

@@ -448,16 +448,65 @@ def test_sharding_is_even_and_keeps_groups(spark):
     assert sharding.shard(table(spark, ["a", "a", "b"])).count() == 3
 
 
-def test_sharding_takes_a_large_group_to_few_shards(spark):
+def cut_by_greed(sizes, total):
+    """Cut links where groups go, the largest first, to the shard that has most room, and what does not fit goes on to the next."""
+    room, cut = [total // 16 + (k < total % 16) for k in range(16)], 0
+    for n in sorted(sizes, reverse=True):
+        parts = 0
+        while n:
+            k = max(range(16), key=room.__getitem__)
+            take = min(n, room[k])
+            room[k] -= take
+            n -= take
+            parts += 1
+        cut += parts - 1
+    return cut
+
+
+@pytest.mark.parametrize("times", [1, 8])
+def test_sharding_cuts_few_links_at_every_size(spark, times):
     rnd = random.Random(12)
-    texts = [prose(rnd, 9) for _ in range(700)] + ["hot"] * 700 + ["warm"] * 300 + [t for t in (prose(rnd, 9) for _ in range(100)) for _ in range(4)]
-    where, per = defaultdict(Counter), Counter()
-    for r in sharding.shard(table(spark, texts)).collect():
-        where[texts[r.doc_id]][r.shard] += 1
-        per[r.shard] += 1
+    texts = [prose(rnd, 9) for _ in range(500 * times)] + ["hot"] * 700 * times + ["warm"] * 300 * times + [t for t in (prose(rnd, 9) for _ in range(100 * times)) for _ in range(4)]
+    d = table(spark, texts)
+    out = sharding.shard(d)
+    groups = d.select("doc_id", F.md5("text").alias("grp"))
+    r = sharding.cut_links(out, groups).first()
+    sizes = [n for n in Counter(texts).values() if n > 1]
+    assert r.links == sum(sizes) - len(sizes) and r.cut <= cut_by_greed(sizes, len(texts)) + 16
+    # By hash alone documents of a group would be strewn over the shards.
+    strewn = sharding.cut_links(d.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("shard")), groups).first().cut
+    assert strewn > 10 * r.cut
+    per = Counter(x.shard for x in out.select("shard").collect())
     assert sum(per.values()) == len(texts) and max(per.values()) - min(per.values()) <= 1
-    # The group fills 5.3 shards, or 2.3; beside it come the places of units that had to go.
-    assert len(where["hot"]) <= 9 and len(where["warm"]) <= 5
+
+
+def test_propagation_by_hand(spark):
+    rnd = random.Random(14)
+    blocks = [(f"g{i}", k, rnd.randint(1, 4)) for i in range(60) for k in rnd.sample(range(4), rnd.randint(1, 4))]
+    plan, load = sharding.Plan(shards=4), Counter()
+    for _, k, n in blocks:
+        load[k] += n
+    capacity = {k: load[k] + 40 for k in range(4)}
+    out = sharding.propagate(spark.createDataFrame(blocks, "grp string, shard int, n long"), capacity, dict.fromkeys(range(4), 0), plan).collect()
+    before, after, now = Counter(), Counter(), Counter()
+    for g, _, n in blocks:
+        before[g] += n
+    for r in out:
+        after[r.grp] += r.n
+        now[r.shard] += r.n
+    assert before == after and all(now[k] <= capacity[k] for k in range(4))
+    # Nothing that is left would move: no shard that holds as much of a group has room for a tenth of what is elsewhere.
+    assert len(out) - 60 <= 5 < len(blocks) - 60
+
+
+def test_sharding_of_repeated_rows(spark):
+    d = spark.createDataFrame([(1, "a")] * 500 + [(None, "a")] * 200 + [(2, None)] * 300, "doc_id long, text string")
+    rows = sharding.shard(d).collect()
+    per = defaultdict(list)
+    for r in rows:
+        per[r.shard].append(r.slot)
+    assert len(rows) == 1000 and {len(v) for v in per.values()} == {62, 63} and all(sorted(v) == list(range(len(v))) for v in per.values())
+    assert Counter(r.doc_id for r in rows) == Counter({1: 500, None: 200, 2: 300})
 
 
 # --- 9 quality
