@@ -61,46 +61,26 @@ SELECT doc_id, unnest(range(0, m)) AS copy, source, lang, n_chars, text FROM dra
 """
 
 
-def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns of all conversations as calls and results, linked, ordered, checked and serialised."""
+def _turns_linked(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
     calls, results = tools.turns_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     schemas = spark.createDataFrame(tools.TURN_TOOLS, "name string, param string, type string, required boolean")
-    return tools.link(calls, results, schemas, every=True).drop("rank").withColumn("problems", F.array_join("problems", ","))
-
-
-#: Every call needs only earlier turns here, so the turn is its position.
-OP5_SQL = """
-WITH m AS (
-  SELECT conv_id, turn, role, text, md5(conv_id || ':' || turn) AS id, md5(conv_id || ':' || (turn - 1)) AS before1 FROM conversations
-), calls AS (
-  SELECT *, CASE WHEN role = 'user' THEN 'answer' ELSE 'instruct' END AS name FROM m WHERE role IN ('user', 'system')
-), results AS (
-  SELECT conv_id, turn, before1 AS id, text FROM m WHERE role NOT IN ('user', 'system')
-)
-SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.id, r.id) AS call_id, c.name, c.turn AS position,
-  CASE WHEN c.id IS NULL THEN 'orphan' WHEN r.id IS NULL THEN 'open' ELSE 'linked' END AS status, '' AS problems, r.turn AS result_turn,
-  CASE WHEN c.id IS NOT NULL THEN 1 END AS copies,
-  CASE WHEN c.id IS NULL THEN '{"arguments":[null],"id":' || to_json(r.id) || ',"result":' || to_json(r.text) || ',"status":"orphan"}'
-  ELSE '{"arguments":{"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '},"id":' || to_json(c.id) || ',"name":' || to_json(c.name) || ',"position":' || c.turn
-    || CASE WHEN r.id IS NULL THEN ',"status":"open"}' ELSE ',"result":' || to_json(r.text) || ',"status":"linked"}' END END AS json
-FROM calls c FULL JOIN results r ON c.id = r.id
-"""
+    return tools.link(calls, results, schemas, every=True, at=at).drop("rank").withColumn("problems", F.array_join("problems", ","))
 
 
-def op5_tool_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``op5_tool_calls``, with each call's level among those that it needs instead of a position."""
-    calls, results = tools.turns_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    schemas = spark.createDataFrame(tools.TURN_TOOLS, "name string, param string, type string, required boolean")
-    return tools.link(calls, results, schemas, by_level=True, every=True).drop("rank").withColumn("problems", F.array_join("problems", ","))
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of all conversations as calls and results, linked, in topological order, checked and serialised."""
+    return _turns_linked(spark, sf_dir, "position")
 
 
-OP5_LEVELS_SQL = """
+OP5_SQL = """
 WITH RECURSIVE m AS (
-  SELECT conv_id, turn, role, text, md5(conv_id || ':' || turn) AS id, md5(conv_id || ':' || (turn - 1)) AS before1, md5(conv_id || ':' || (turn - 2)) AS before2 FROM conversations
+  SELECT conv_id, turn, role, text, length(text) AS n, md5(conv_id || ':' || turn) AS id, md5(conv_id || ':' || (turn - 1)) AS before1 FROM conversations
 ), calls AS (
-  SELECT *, CASE WHEN role = 'user' THEN 'answer' ELSE 'instruct' END AS name FROM m WHERE role IN ('user', 'system')
+  SELECT *, CASE WHEN role = 'user' THEN 'answer' ELSE 'instruct' END AS name,
+    concat_ws(',', CASE WHEN role = 'system' THEN 'missing:tone' END, CASE WHEN n % 7 = 0 THEN 'type:turn' END, CASE WHEN n % 5 = 0 THEN 'unknown:n_chars' END) AS problems
+  FROM m WHERE role IN ('user', 'system')
 ), edges AS (
-  SELECT c.id, n.id AS need FROM calls c JOIN calls n ON n.id IN (c.before1, c.before2)
+  SELECT c.id, n.id AS need FROM calls c JOIN calls n ON c.conv_id = n.conv_id AND n.turn < c.turn AND (n.turn = 0 OR n.turn >= c.turn - 2)
 ), depth AS (
   SELECT id, 0 AS level FROM calls WHERE id NOT IN (SELECT id FROM edges)
   UNION SELECT e.id, d.level + 1 FROM edges e JOIN depth d ON e.need = d.id
@@ -108,17 +88,33 @@ WITH RECURSIVE m AS (
   SELECT id, max(level) AS level FROM depth GROUP BY id
 ), results AS (
   SELECT conv_id, turn, before1 AS id, text FROM m WHERE role NOT IN ('user', 'system')
+), told AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.id, r.id) AS call_id, c.name, l.level AS position,
+    CASE WHEN c.id IS NULL THEN 'orphan' WHEN c.problems <> '' THEN 'invalid' WHEN r.id IS NULL THEN 'open' ELSE 'linked' END AS status,
+    coalesce(c.problems, '') AS problems, r.turn AS result_turn, CASE WHEN c.id IS NOT NULL THEN 1 END AS copies, c.id AS called, c.n, c.text AS asked, r.text AS got, r.id AS answered
+  FROM calls c FULL JOIN results r ON c.id = r.id LEFT JOIN lvl l ON l.id = c.id
 )
-SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.id, r.id) AS call_id, c.name, l.level,
-  CASE WHEN c.id IS NULL THEN 'orphan' WHEN r.id IS NULL THEN 'open' ELSE 'linked' END AS status, '' AS problems, r.turn AS result_turn,
-  CASE WHEN c.id IS NOT NULL THEN 1 END AS copies,
-  CASE WHEN c.id IS NULL THEN '{"arguments":[null],"id":' || to_json(r.id) || ',"result":' || to_json(r.text) || ',"status":"orphan"}'
-  ELSE '{"arguments":{"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '},"id":' || to_json(c.id) || ',"level":' || l.level || ',"name":' || to_json(c.name)
-    || CASE WHEN r.id IS NULL THEN ',"status":"open"}' ELSE ',"result":' || to_json(r.text) || ',"status":"linked"}' END END AS json
-FROM calls c FULL JOIN results r ON c.id = r.id LEFT JOIN lvl l ON l.id = c.id
+SELECT conv_id, turn, call_id, name, position, status, problems, result_turn, copies,
+  '{"arguments":' || CASE WHEN called IS NULL THEN '[null]' ELSE
+    '{' || CASE WHEN n % 5 = 0 THEN '"n_chars":' || n || ',' ELSE '' END || '"prompt":' || to_json(asked) || ',"turn":' || CASE WHEN n % 7 = 0 THEN '"' || turn || '"' ELSE '' || turn END || '}' END
+  || ',"id":' || to_json(call_id)
+  || CASE WHEN called IS NULL THEN '' ELSE ',"name":' || to_json(name) || ',"position":' || position END
+  || CASE WHEN answered IS NULL THEN '' ELSE ',"result":' || to_json(got) END || ',"status":"' || status || '"}' AS json
+FROM told
 """
 
 
+def op5_tool_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op5_tool_calls``, with the position under the name ``level``."""
+    return _turns_linked(spark, sf_dir, "level")
+
+
+#: In canonical JSON the key ``level`` comes before ``name``.
+OP5_LEVELS_SQL = OP5_SQL.replace("l.level AS position", "l.level").replace("name, position, status", "name, level, status").replace(
+    """',"name":' || to_json(name) || ',"position":' || position END""", """',"level":' || level || ',"name":' || to_json(name) END"""
+)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 

@@ -5,9 +5,10 @@ in which each comes after those that it needs, arguments are checked against
 the tools' schemas, and every message becomes one line of canonical JSON: keys
 sorted, no white space, numbers as they are.
 
-Nothing is gathered by conversation: a message is a row throughout, and its
-place is (position, turn). So a conversation of any length costs no task more than
-its share.
+The order is topological: a call's position is 0 if it needs no other, else one
+more than the highest position that it needs. Nothing is gathered by
+conversation: a message is a row throughout, and its place is (position, turn).
+So a conversation of any length costs no task more than its share.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components, lasting
+from .components import connected_components, forget, lasting, meet
 
 #: JSON types by the first word of a variant's SQL type.
 TYPES = {
@@ -61,7 +62,9 @@ def _rounds(calls: DataFrame, edges: DataFrame) -> DataFrame:
 def _edges(calls: DataFrame) -> DataFrame:
     """(call_id, need, need_turn, late) for each need that is a call; late unless it is an earlier turn of the same conversation."""
     at = calls.select(F.col("call_id").alias("need"), F.col("conv_id").alias("__conv"), F.col("turn").alias("need_turn"))
-    edges = calls.select("call_id", "conv_id", "turn", F.explode(F.array_distinct("needs")).alias("need")).join(at, "need")
+    asked = lasting(calls.select("call_id", "conv_id", "turn", F.explode(F.array_distinct("needs")).alias("need")))
+    # Any number of calls may need the same one.
+    edges = meet(asked, at.join(asked.groupBy("need").agg(F.count(F.lit(1)).alias("uses")), "need"), ["need"], "uses", asked.count())
     early = F.col("conv_id").eqNullSafe(F.col("__conv")) & F.coalesce(F.col("need_turn") < F.col("turn"), F.lit(False))
     return lasting(edges.select("call_id", "need", "need_turn", (~early).alias("late")))
 
@@ -73,28 +76,8 @@ def _connected(edges: DataFrame, ends: DataFrame) -> DataFrame:
     return lasting(bad.select(F.col("node").alias("call_id")))
 
 
-def positions(calls: DataFrame) -> DataFrame:
-    """(call_id, position) of distinct calls (call_id, conv_id, turn, needs): by position, each call comes after those that it needs.
-
-    Where calls need only earlier turns of their conversation, as chats do, the
-    turn is such a position already. Only groups of connected calls in which
-    some call needs a later turn, or one of another conversation, are put in
-    order by rounds, as many as the longest chain in such a group. No order
-    exists between groups, so any mixture of theirs will do. Needs that are no
-    call are ignored. Calls on a circle, or behind one, have no row.
-    """
-    edges = _edges(calls)
-    by_turn = calls.select("call_id", F.coalesce("turn", F.lit(0)).cast("long").alias("position"))
-    late = edges.where("late")
-    if late.isEmpty():
-        return by_turn
-    bad = _connected(edges, late.select(F.explode(F.array("call_id", "need")).alias("node")).distinct())
-    mixed = _rounds(calls.join(bad, "call_id", "left_semi"), edges.join(bad, "call_id", "left_semi").select("call_id", "need"))
-    return by_turn.join(bad, "call_id", "left_anti").unionByName(mixed)
-
-
 def levels(calls: DataFrame) -> DataFrame:
-    """(call_id, level) of distinct calls (call_id, conv_id, turn, needs): 0 if it needs none, else one more than the highest that it needs.
+    """(call_id, level) of distinct calls (call_id, conv_id, turn, needs): the topological level, 0 if it needs none.
 
     A need that the latest need of a call has too adds nothing to its level.
     Where that leaves each call one need, and an earlier turn of its
@@ -116,11 +99,15 @@ def levels(calls: DataFrame) -> DataFrame:
         mixed = mixed.withColumnRenamed("position", "level")
         calls = calls.join(bad, "call_id", "left_anti")
     now = lasting(calls.select("call_id").join(up, "call_id", "left").withColumn("level", F.col("up").isNotNull().cast("long")))
-    while not now.where("up IS NOT NULL").isEmpty():
-        # Every pointer leaps to where the call that it points at points; that call's own way is added.
+    while n := now.where("up IS NOT NULL").count():
+        # Every pointer leaps to where the call that it points at points; that call's own way is added. In the end all of a group point at one.
         over = now.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
-        leapt = now.where("up IS NOT NULL").join(over, "up").select("call_id", F.col("next").alias("up"), (F.col("level") + F.col("more")).alias("level"))
-        now = lasting(now.where("up IS NULL").unionByName(leapt))
+        open_ = now.where("up IS NOT NULL")
+        leapt = meet(open_, over.join(open_.groupBy("up").agg(F.count(F.lit(1)).alias("uses")), "up"), ["up"], "uses", n)
+        leapt = leapt.select("call_id", F.col("next").alias("up"), (F.col("level") + F.col("more")).alias("level"))
+        after = lasting(now.where("up IS NULL").unionByName(leapt))
+        forget(now)
+        now = after
     found = now.select("call_id", "level")
     return found if mixed is None else found.unionByName(mixed)
 
@@ -146,14 +133,18 @@ def _checked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("problems", F.when(F.col("copies").isNotNull(), problems).otherwise(F.array().cast("array<string>"))).drop("kinds")
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, by_level: bool = False, every: bool = False) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, every: bool = False, at: str = "position") -> DataFrame:
     """One row for each call, and one for each result that names no call; with ``every``, one also for each further row.
 
     ``calls``: conv_id, turn, call_id, name, arguments (JSON text), needs
     (array<string>). ``results``: conv_id, turn, call_id, content. ``schemas``:
     name, param, type (of JSON), required. Returns conv_id, turn, call_id,
-    name, position, status, problems (array), result_turn, copies, json. With
-    ``by_level`` the place is ``level`` (see ``levels``) instead of position.
+    name, position (see ``levels``; ``at`` names the column, and the key in the
+    JSON), status, problems (array), result_turn, copies, json.
+
+    A tool's row without a param says that the tool is there; of rows that
+    repeat a param the least type counts, and it is required if any says so.
+    Rows without a name are ignored.
 
     Calls that repeat an identifier count as one, the first by conversation and
     turn, and ``copies`` tells how many calls there were; of results the first
@@ -178,15 +169,13 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, by_level: boo
         got = lasting(got)
     many = got.where("copies > 1").select("call_id")
     got = got.select("call_id", F.col("m.conv_id").alias("result_conv"), F.col("m.turn").alias("result_turn"), F.col("m.content").alias("content"))
-    at = "level" if by_level else "position"
-    order = (levels if by_level else positions)(first.select("call_id", "conv_id", "turn", "needs"))
-    tools = schemas.groupBy("name").agg(
-        F.map_from_entries(F.collect_list(F.struct("param", "type"))).alias("types"),
+    order = levels(first.select("call_id", "conv_id", "turn", "needs")).withColumnRenamed("level", at)
+    params = schemas.where("name IS NOT NULL").groupBy("name", "param").agg(F.min("type").alias("type"), F.max("required").alias("required"))
+    tools = params.groupBy("name").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("param").isNotNull(), F.struct("param", "type")))).alias("types"),
         F.sort_array(F.collect_list(F.when(F.col("required"), F.col("param")))).alias("required"),
     )
     tools = lasting(tools)
-    if tools.count() <= MOST_TOOLS:
-        tools = F.broadcast(tools)
 
     joined = first.join(got, "call_id", "full").join(order, "call_id", "left")
     called = F.col("copies").isNotNull()
@@ -203,7 +192,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, by_level: boo
         rows = rows.unionByName(calls2, allowMissingColumns=True).unionByName(results2, allowMissingColumns=True)
     else:
         rows = rows.withColumn("rank", F.lit(None).cast("int"))
-    rows = _checked(rows.join(tools, "name", "left"))
+    if tools.count() <= MOST_TOOLS:
+        rows = rows.join(F.broadcast(tools), "name", "left")
+    else:
+        rows = lasting(rows)
+        uses = tools.join(rows.groupBy("name").agg(F.count(F.lit(1)).alias("uses")), "name")
+        others = rows.join(tools.select("name"), "name", "left_anti")
+        rows = meet(rows, uses, ["name"], "uses", rows.count()).drop("uses").unionByName(others, allowMissingColumns=True)
+    rows = _checked(rows)
     status = (
         F.when(F.col("rank").isNotNull(), "repeat")
         .when(F.col("call_id").isNull(), "unnamed")
@@ -231,18 +227,32 @@ def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chat turns (conv_id, turn, role, text) as calls and results.
 
     A user's turn calls ``answer`` and a system turn calls ``instruct``; any
-    other turn is the result of the turn before it. A call needs those of the two turns before it that are calls.
-    Turns without a conversation or a number have no identifier.
+    other turn is the result of the turn before it. A call needs those of turn
+    0 and of the two turns before it that are calls. Arguments are the text and the turn:
+    as a string where the number of characters is a multiple of 7, and with
+    that number where it is a multiple of 5, so that some arguments break the
+    schemas. Turns without a conversation or a number have no identifier.
     """
-    ident = lambda back: F.md5(F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string")).cast("binary"))
+    ident = lambda turn: F.md5(F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string")).cast("binary"))
+    turn = F.col("turn")
     asks = F.col("role").isin("user", "system")
-    arguments = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), F.col("turn").alias("turn")))
+    text = F.coalesce("text", F.lit(""))
+    n = F.char_length(text)
+    given = [text.alias("prompt"), F.when(n % 7 != 0, turn).alias("turn"), F.when(n % 5 == 0, n).alias("n_chars")]
+    arguments = F.when(n % 7 == 0, F.to_json(F.struct(given[0], turn.cast("string").alias("turn"), given[2]))).otherwise(F.to_json(F.struct(*given)))
     calls = messages.where(asks).select(
-        "conv_id", "turn", ident(0).alias("call_id"), F.when(F.col("role") == "user", "answer").otherwise("instruct").alias("name"), arguments.alias("arguments"), F.array(ident(1), ident(2)).alias("needs")
-    )
-    results = messages.where(~F.coalesce(asks, F.lit(False))).select("conv_id", "turn", ident(1).alias("call_id"), F.col("text").alias("content"))
+        "conv_id", "turn", ident(turn).alias("call_id"), F.when(F.col("role") == "user", "answer").otherwise("instruct").alias("name"), arguments.alias("arguments"),
+        F.when(turn > 0, F.array(ident(F.lit(0)), ident(turn - 1), ident(turn - 2))).otherwise(F.array().cast("array<string>")).alias("needs"),
+    )
+    results = messages.where(~F.coalesce(asks, F.lit(False))).select("conv_id", "turn", ident(turn - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
-#: The tools of ``turns_as_calls``.
-TURN_TOOLS = [("answer", "prompt", "string", True), ("answer", "turn", "integer", True), ("instruct", "prompt", "string", True), ("instruct", "turn", "integer", True)]
+#: The tools of ``turns_as_calls``; ``instruct`` asks for a tone that no call gives.
+TURN_TOOLS = [
+    ("answer", "prompt", "string", True),
+    ("answer", "turn", "integer", True),
+    ("instruct", "prompt", "string", True),
+    ("instruct", "turn", "integer", True),
+    ("instruct", "tone", "string", True),
+]

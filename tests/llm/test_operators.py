@@ -260,9 +260,6 @@ def test_tool_calls(spark):
     assert rows[3].status == rows[4].status == "cycle" and rows[3].problems == ["arguments"]
     assert rows[5].problems == ["tool"] and rows[6].status == "unnamed" and rows["orphan"].json.startswith('{"arguments":[null]')
     assert len(rows) == 8
-    # A call that needs a later turn, and all that hangs on it, are put in order by rounds; the rest goes by turn.
-    odd = spark.createDataFrame([("p", 1, 5, ["q"]), ("q", 1, 9, []), ("r", 1, 6, ["p"]), ("s", 2, 7, []), ("t", 2, 8, ["s"]), ("u", 2, 9, ["u"])], "call_id string, conv_id long, turn long, needs array<string>")
-    assert {r.call_id: r.position for r in tools.positions(odd).collect()} == {"q": 0, "p": 1, "r": 2, "s": 7, "t": 8}
     none = calls.limit(0)
     assert tools.link(none, results.limit(0), schemas).count() == 0
 
@@ -295,21 +292,34 @@ def test_tool_calls_keep_every_row(spark):
     assert told['{"arguments":[null],"id":"a","rank":2,"result":"done","status":"repeat"}'] == 1 and told['{"arguments":[null],"result":"x","status":"unnamed"}'] == 2
     turns = spark.createDataFrame([(None, 1, "user", "p"), (None, 1, "user", "q"), (None, 2, "assistant", "r"), (5, None, "user", "s"), (5, 1, "user", "t"), (5, 2, "assistant", "u")], "conv_id long, turn long, role string, text string")
     made = tools.link(*tools.turns_as_calls(turns), spark.createDataFrame(tools.TURN_TOOLS, "name string, param string, type string, required boolean"), every=True)
-    assert Counter(r.status for r in made.collect()) == Counter({"unnamed": 4, "linked": 1})
+    assert Counter(r.status for r in made.collect()) == Counter({"unnamed": 4, "linked": 1})  # no text here has a multiple of 5 or 7 characters
 
 
-def test_tool_levels_query_against_sql(spark):
+def test_schemas_with_repeats_and_nulls(spark, monkeypatch):
+    calls = spark.createDataFrame([(1, 0, "a", "f", '{"x": 1}', []), (1, 1, "b", "bare", "{}", ["a"]), (1, 2, "c", None, "{}", None), (1, 3, "d", "bare", '{"x": 1}', None)], "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>")
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    schemas = spark.createDataFrame([("f", "x", "integer", False), ("f", "x", "string", True), ("f", "x", "integer", False), ("bare", None, None, None), (None, "y", "string", True)], "name string, param string, type string, required boolean")
+    want = {"a": ("open", []), "b": ("open", []), "c": ("invalid", ["tool"]), "d": ("invalid", ["unknown:x"])}
+    assert {r.call_id: (r.status, r.problems) for r in tools.link(calls, results, schemas).collect()} == want
+    monkeypatch.setattr(tools, "MOST_TOOLS", 0)
+    assert {r.call_id: (r.status, r.problems) for r in tools.link(calls, results, schemas).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["op5_tool_calls", "op5_tool_levels"])
+def test_tool_queries_against_sql(spark, name):
     import duckdb
 
     from netloom.llm import queries
 
     con = duckdb.connect()
     con.execute("CREATE VIEW conversations AS SELECT * FROM read_parquet('/root/testdata/sf0.001/conversations.parquet')")
-    r = con.execute(queries.ORACLE_SQL["op5_tool_levels"])
+    r = con.execute(queries.ORACLE_SQL[name])
     cols = [d[0] for d in r.description]
-    got = queries.QUERIES["op5_tool_levels"](spark, "/root/testdata/sf0.001")
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert sorted(got.columns) == sorted(cols)
-    assert sorted(tuple(str(x[c]) for c in cols) for x in got.collect()) == sorted(tuple(map(str, x)) for x in r.fetchall())
+    rows = got.collect()
+    assert sorted(tuple(str(x[c]) for c in cols) for x in rows) == sorted(tuple(map(str, x)) for x in r.fetchall())
+    assert len({x.problems for x in rows}) >= 3 and len({x[name == "op5_tool_calls" and "position" or "level"] for x in rows}) >= 3
 
 
 # --- 6 SimHash
