@@ -1,16 +1,18 @@
 """License scans: MinHash bands of overlapping windows retrieve templates, exact shingle containment verifies them.
 
-Words are runs of letters and digits; shingles are five words. A template of up
-to n words is looked for in windows of at least 2 (n - 1) words, half of which
-is the step, so that some window holds it whole. Windows are built from blocks
-of four shingles: the least hash of a window is the least of its blocks'.
-
-Every band is one row of the signature, and there are 32 bands: a window that
-shares the fraction J of its shingles with a template meets it in some band
-with probability 1 - (1 - J)^32. The loosest case, four fifths of a template in
-a window four times its shingles, has J of about 0.19, that is 99.9 %. Nothing is
-reported for meeting in a band: the template's shingles are counted in
-the text around the window, and a share of 0.8 is asked for.
+Words are runs of letters and digits; shingles are five words. A template of n
+shingles is looked for in windows of 2 h shingles that begin every h, where h is
+the least power of two from 4 on that is at least n: some window holds the
+template whole. Every window has a MinHash signature, the least hash of its
+shingles under each of 32 multipliers; the windows of all sizes are built from
+one another, halves before wholes.
+
+Every band is one row of the signature, so a window that shares the fraction J
+of its shingles with a template meets it in some band with probability
+1 - (1 - J)^32. The loosest case, four fifths of a template in a window four
+times its shingles, has J of about 0.19, that is 99.9 %. Nothing is reported for
+meeting in a band: the template's shingles are counted in the window, and a
+share of 0.8 is asked for.
 
 Templates are looked up in blocks of bounded size in each task; more templates
 mean more look-ups and no shuffle.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .license_texts import TEMPLATES
 from .words import blocks, shingle_hashes
 
-SHINGLE, BANDS, BLOCK, SHARE = 5, 32, 4, 0.8
+SHINGLE, BANDS, LEAST, SHARE = 5, 32, 4, 0.8
 U = np.uint64
 #: Odd multipliers, one a band, from one generator with a fixed seed.
 MULTIPLIERS = np.random.default_rng(2).integers(1 << 62, 1 << 63, BANDS, dtype=np.uint64) * U(2) + U(1)
@@ -50,44 +52,50 @@ def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return shingle_hashes([t.translate(_WORDS) for t in texts], SHINGLE)
 
 
-def _least(hashes: np.ndarray, cuts: np.ndarray) -> Iterator[np.ndarray]:
-    """For each band the least hash of each block of shingles."""
-    with np.errstate(over="ignore"):
-        for m in MULTIPLIERS:
-            yield np.minimum.reduceat(hashes * m, cuts)
-
-
 class Index:
-    """Templates by the band values of their shingles, and their shingles for the count."""
+    """Templates by the size of their windows and the signatures of their shingles, and their shingles for the count."""
 
     def __init__(self, templates: tuple[Template, ...]):
         self.names = [t.name for t in templates]
         hashes, offsets = _hashes([t.text.encode() for t in templates])
-        self.sets = [np.unique(hashes[offsets[k] : offsets[k + 1]]) for k in range(len(templates))]
-        # Windows hold at least twice the template: in blocks of BLOCK shingles, a power of two less one.
-        self.blocks = []
-        for s in self.sets:
-            window = 8
-            while window < 2 * (len(s) + SHINGLE - 2):
-                window *= 2
-            self.blocks.append(window // BLOCK - 1)
-        self.bands = []
-        for m in MULTIPLIERS:
+        every = [hashes[offsets[k] : offsets[k + 1]] for k in range(len(templates))]
+        self.sets = [np.unique(h) for h in every]
+        #: Half of a window, in shingles.
+        self.half = [max(LEAST, 1 << max(0, len(h) - 1).bit_length()) for h in every]
+        with np.errstate(over="ignore"):
+            signatures = np.array([[(s * m).min() if len(s) else U(0) for s in self.sets] for m in MULTIPLIERS], U)
+        #: For each half size: the numbers of the templates, for each band their values in order, and 16 bits of each value to tell most others apart.
+        self.sizes = {}
+        for h in sorted(set(self.half)):
+            own = np.array([t for t, x in enumerate(self.half) if x == h and len(self.sets[t])])
+            bands = []
+            for row in signatures[:, own] if len(own) else ():
+                seen = np.zeros(1 << 16, bool)
+                seen[(row >> U(20)).astype(np.uint16)] = True
+                order = np.argsort(row)
+                bands.append((row[order], own[order], seen))
+            if bands:
+                self.sizes[h] = bands
+
+    def candidates(self, hashes: np.ndarray, cuts: dict[int, np.ndarray], alone: dict[int, np.ndarray]) -> list[tuple[int, int, int]]:
+        """(half size, window, template) wherever a window's signature is a template's in some band.
+
+        ``cuts``: for each half size where the halves begin, in ``hashes``; a window is a half and the next, or the half alone if it is the last of its text.
+        """
+        found: set[tuple[int, int, int]] = set()
+        sizes = list(self.sizes)
+        steps = {h: np.searchsorted(cuts[g], cuts[h]) for g, h in zip(sizes, sizes[1:], strict=False)}
+        for band, m in enumerate(MULTIPLIERS):
             with np.errstate(over="ignore"):
-                keys = np.array([(s * m).min() if len(s) else U(0) for s in self.sets], U)
-            order = np.argsort(keys)
-            seen = np.zeros(1 << 16, bool)
-            seen[(keys >> U(20)).astype(np.uint16)] = True
-            self.bands.append((keys[order], order, seen))
-
-    def candidates(self, hashes: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int]]:
-        """(block, template) for each band value of a block that is a template's; a window's least is one of its blocks'."""
-        found: set[tuple[int, int]] = set()
-        for (keys, order, seen), least in zip(self.bands, _least(hashes, cuts), strict=True):
-            maybe = np.flatnonzero(seen[(least >> U(20)).astype(np.uint16)])
-            for k in maybe.tolist():
-                lo, hi = np.searchsorted(keys, least[k], "left"), np.searchsorted(keys, least[k], "right")
-                found.update((k, int(t)) for t in order[lo:hi])
+                least = hashes * m
+            for h in sizes:
+                least = np.minimum.reduceat(least, steps.get(h, cuts[h]))
+                window = least.copy()
+                np.minimum(least[:-1], least[1:], out=window[:-1], where=~alone[h][:-1])
+                keys, own, seen = self.sizes[h][band]
+                for w in np.flatnonzero(seen[(window >> U(20)).astype(np.uint16)]).tolist():
+                    lo, hi = np.searchsorted(keys, window[w], "left"), np.searchsorted(keys, window[w], "right")
+                    found.update((h, w, int(t)) for t in own[lo:hi])
         return sorted(found)
 
 
@@ -98,22 +106,16 @@ def _scan(texts: list[bytes], index: Index) -> list[list[tuple[int, float, int]]
     if not len(hashes):
         return out
     text = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    cuts = np.flatnonzero((np.arange(len(hashes)) - offsets[text]) % BLOCK == 0)
+    within = np.arange(len(hashes)) - offsets[text]
+    cuts = {h: np.flatnonzero(within % h == 0) for h in index.sizes}
+    alone = {h: np.append(np.diff(text[c]) != 0, True) for h, c in cuts.items()}
     best: dict[tuple[int, int], tuple[float, int]] = {}
-    tried = set()
-    for block, t in index.candidates(hashes, cuts):
-        own = int(text[cuts[block]])
-        lo, hi = int(offsets[own]), int(offsets[own + 1])
-        here = (int(cuts[block]) - lo) // BLOCK
-        span, step = index.blocks[t], (index.blocks[t] + 1) // 2
-        for first in range(max(0, (here - span) // step * step), here + 1, step):
-            if first + span <= here or (own, t, first) in tried:
-                continue
-            tried.add((own, t, first))
-            a = lo + first * BLOCK
-            share = float(np.isin(index.sets[t], hashes[a : min(hi, a + span * BLOCK)]).mean())
-            if share >= SHARE:
-                best[own, t] = max(best.get((own, t), (0.0, 0)), (share, -first * BLOCK))
+    for h, w, t in index.candidates(hashes, cuts, alone):
+        first = int(cuts[h][w])
+        own = int(text[first])
+        share = float(np.isin(index.sets[t], hashes[first : min(int(offsets[own + 1]), first + 2 * h)]).mean())
+        if share >= SHARE:
+            best[own, t] = max(best.get((own, t), (0.0, 0)), (share, int(offsets[own]) - first))
     for (own, t), (share, at) in sorted(best.items()):
         out[own].append((t, share, -at))
     return out

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import lasting
@@ -39,14 +39,15 @@ class Training:
     """The bounds of the sample and the sizes of the dictionaries.
 
     Of the labelled ids up to ``toxic`` and ``ordinary`` of each label with the
-    least hash are taken, and of these the rows whose text has at most
-    ``longest`` characters. ``support`` is the share of toxic documents that a
+    least hash are taken, of these the rows whose text has at most ``longest``
+    characters, and of these as many, by that hash, as have ``characters`` in all. ``support`` is the share of toxic documents that a
     stretch must occur in, ``ratio`` how many times more common it must be there.
     """
 
     toxic: int = 2000
     ordinary: int = 4000
     longest: int = 20_000
+    characters: int = 40_000_000
     support: float = 0.01
     ratio: float = 10.0
     ordinary_bytes: int = 16_384
@@ -188,13 +189,16 @@ def sample(docs: DataFrame, labels: DataFrame, how: Training = Training(), id_co
     the texts. An id with several labels counts by the greater, one with
     several texts by the least. Null ids, labels and texts are left out.
     """
-    mine = labels.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    mine = labels.select(id_col, label_col).where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     mine = mine.groupBy(F.col(id_col).alias("__id")).agg((F.max(label_col) == 1).alias("toxic")).withColumn("__o", F.xxhash64("__id"))
     part = lambda toxic, n: mine.where(F.col("toxic") == toxic).orderBy("__o", "__id").limit(n)
     chosen = lasting(part(True, how.toxic).unionByName(part(False, how.ordinary)).drop("__o"))
-    met = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"])  # a bounded number of ids
-    met = met.where(F.col(text_col).isNotNull() & (F.char_length(text_col) <= how.longest))
-    return met.groupBy(F.col("__id").alias("id"), "toxic").agg(F.min(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.col("__text").isNotNull() & (F.char_length("__text") <= how.longest))
+    met = texts.join(F.broadcast(chosen), "__id").groupBy(F.col("__id").alias("id"), "toxic").agg(F.min("__text").alias("text"))  # a bounded number of ids
+    met = lasting(met)
+    sizes = met.select("id", F.char_length("text").alias("n"), F.xxhash64("id").alias("o"))  # a row an id, so the window is bounded too
+    upto = F.sum("n").over(Window.orderBy("o", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return met.join(F.broadcast(sizes.withColumn("upto", upto).where(F.col("upto") <= how.characters).select("id")), "id")
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -240,4 +244,4 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with a score under ``threshold``; columns are those of ``docs``."""
-    return docs.withColumn("__score", score(text_col, model)).where(F.col("__score") < threshold).drop("__score")
+    return docs.where(score(text_col, model) < threshold)
