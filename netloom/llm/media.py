@@ -4,8 +4,10 @@
 samples of one byte, in chunks of 64 bytes, with every 64th chunk's first
 sample marked as a sync sample. ``probe`` walks the nested boxes of any such
 file, decodes the sample tables (sizes, chunk offsets, samples a chunk,
-durations, sync samples) and gives codec, duration and the byte ranges of the
-keyframes. It never reads inside the payload, only its place.
+durations, sync samples, and those of movie fragments) and gives codec, duration
+and the byte ranges of the keyframes. It never reads inside the payload, only
+its place. Durations are those of the media; edit lists and composition times
+change neither bytes nor keyframes and are not applied.
 """
 
 from __future__ import annotations
@@ -73,7 +75,7 @@ def wrap_bytes(payload: bytes) -> bytes:
 
 @dataclass
 class Track:
-    """What the boxes of one track say: samples have an offset and a size each, in playing order."""
+    """What the boxes of one track say: samples have an offset and a size each, in decoding order."""
 
     codec: str
     timescale: int
@@ -88,21 +90,26 @@ class Track:
         return list(zip(at.tolist(), (at + self.sizes[self.keys]).tolist(), strict=True))
 
 
-def boxes(data, lo: int = 0, hi: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, start, end) of the content of every box, parents before what they hold; stops where sizes don't fit."""
-    hi = len(data) if hi is None else hi
-    while lo + 8 <= hi:
+def boxes(data) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, start, end) of the content of every box, parents before what they hold, to any depth; leaves a box where sizes don't fit."""
+    open_ = [((), 0, len(data))]
+    while open_:
+        path, lo, hi = open_.pop()
+        if lo + 8 > hi:
+            continue
         size, kind = struct.unpack_from(">I4s", data, lo)
         start = lo + 8
         if size == 1 and lo + 16 <= hi:
             size, start = struct.unpack_from(">Q", data, lo + 8)[0], lo + 16
         end = hi if size == 0 else lo + size
         if end > hi or end < start:
-            return
-        yield (*path, kind), start, end
+            continue
+        # Only the last few names matter, and a path of any depth must not grow.
+        here = (*path[-7:], kind)
+        yield here, start, end
+        open_.append((path, end, hi))
         if kind in PARENTS:
-            yield from boxes(data, start, end, (*path, kind))
-        lo = end
+            open_.append((here, start, end))
 
 
 def _table(data, at: int, dtype: str, columns: int = 1, skip: int = 4) -> np.ndarray:
@@ -110,36 +117,105 @@ def _table(data, at: int, dtype: str, columns: int = 1, skip: int = 4) -> np.nda
     return np.frombuffer(data, dtype, n * columns, at + skip + 4).astype(np.int64).reshape(-1, columns)
 
 
+def _samples(data, t: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(offsets, sizes, keys, ticks) of the sample tables of a track."""
+    fixed, count = struct.unpack_from(">2I", data, t[b"stsz"] + 4)
+    if fixed * count > len(data):
+        raise ValueError("more samples than bytes")
+    sizes = np.full(count, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", count, t[b"stsz"] + 12).astype(np.int64)
+    chunk = (_table(data, t[b"co64"], ">u8") if b"co64" in t else _table(data, t[b"stco"], ">u4"))[:, 0]
+    runs = _table(data, t[b"stsc"], ">u4", 3)
+    each = np.zeros(len(chunk), np.int64)
+    for (first, per, _), last in zip(runs.tolist(), [*(runs[1:, 0] - 1).tolist(), len(chunk)], strict=False):
+        each[first - 1 : last] = per
+    until = np.cumsum(each)
+    if count > (until[-1] if len(until) else 0):
+        raise ValueError("samples without a chunk")
+    of_chunk = np.searchsorted(until, np.arange(count), side="right")
+    before = np.cumsum(sizes) - sizes
+    offsets = chunk[of_chunk] + before - before[(until - each)[of_chunk]]
+    keys = _table(data, t[b"stss"], ">u4")[:, 0] - 1 if b"stss" in t else np.arange(count)
+    if len(keys) and (keys.min() < 0 or keys.max() >= count):
+        raise ValueError("a keyframe that is no sample")
+    ticks = _table(data, t[b"stts"], ">u4", 2)
+    return offsets, sizes, keys, int((ticks[:, 0] * ticks[:, 1]).sum())
+
+
+def _fragment(data, moof: int, header: int, run: int, defaults: tuple[int, int, int], at: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """(offsets, sizes, keys, ticks, end) of one run (trun) of a fragment; ``at`` is where the run before it ended."""
+    flags, _ = struct.unpack_from(">II", data, header)
+    place, base = header + 8, moof
+    if flags & 0x1:
+        base, place = struct.unpack_from(">Q", data, place)[0], place + 8
+    place += 4 if flags & 0x2 else 0
+    known = list(defaults)
+    for k, bit in enumerate((0x8, 0x10, 0x20)):
+        if flags & bit:
+            known[k], place = struct.unpack_from(">I", data, place)[0], place + 4
+    how, count = struct.unpack_from(">II", data, run)
+    place = run + 8
+    if how & 0x1:
+        at, place = base + struct.unpack_from(">i", data, place)[0], place + 4
+    elif at is None:
+        at = base
+    first = None
+    if how & 0x4:
+        first, place = struct.unpack_from(">I", data, place)[0], place + 4
+    given = [bit for bit in (0x100, 0x200, 0x400, 0x800) if how & bit]
+    if not given and count > len(data):
+        raise ValueError("more samples than bytes")
+    rows = np.frombuffer(data, ">u4", count * len(given), place).astype(np.int64).reshape(count, len(given))
+    column = lambda bit, default: rows[:, given.index(bit)] if bit in given else np.full(count, default, np.int64)
+    duration, sizes, marks = (column(bit, d) for bit, d in zip((0x100, 0x200, 0x400), known, strict=True))
+    marks = marks.copy()
+    if first is not None and count:
+        marks[0] = first
+    offsets = at + np.cumsum(sizes) - sizes
+    return offsets, sizes, np.flatnonzero(marks & 0x10000 == 0), int(duration.sum()), int(at + sizes.sum())
+
+
 def tracks(data) -> list[Track]:
-    """The tracks of a file. Tables that are missing or cut short leave a track out."""
+    """The tracks of a file. Tables that are missing, cut short or at odds with the file leave a track out."""
     found: list[dict] = []
-    for path, start, _ in boxes(data):
+    runs: list[tuple[int, int, int]] = []
+    defaults: dict[int, tuple[int, int, int]] = {}
+    moof = header = None
+    for path, start, end in boxes(data):
         kind = path[-1]
         if kind == b"trak":
             found.append({})
         elif found and b"trak" in path:
-            found[-1][kind] = start
+            found[-1].setdefault(kind, start)
+        elif kind == b"moof":
+            moof = start - 8
+        elif kind == b"tfhd":
+            header = start
+        elif kind == b"trun" and moof is not None and header is not None and start + 8 <= end:
+            runs.append((moof, header, start))
+        elif kind == b"trex" and start + 24 <= end:
+            track, _, *known = struct.unpack_from(">5I", data, start + 4)
+            defaults[track] = tuple(known)
     out = []
     for t in found:
         try:
             at = t[b"mdhd"]
             scale, duration = struct.unpack_from(">IQ" if data[at] else ">II", data, at + (20 if data[at] else 12))
+            number = struct.unpack_from(">I", data, t[b"tkhd"] + (20 if data[t[b"tkhd"]] else 12))[0]
             codec = bytes(data[t[b"stsd"] + 12 : t[b"stsd"] + 16]).decode("latin-1").strip()
-            fixed, count = struct.unpack_from(">2I", data, t[b"stsz"] + 4)
-            sizes = np.full(count, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", count, t[b"stsz"] + 12).astype(np.int64)
-            chunk = (_table(data, t[b"co64"], ">u8") if b"co64" in t else _table(data, t[b"stco"], ">u4"))[:, 0]
-            runs = _table(data, t[b"stsc"], ">u4", 3)
-            each = np.zeros(len(chunk), np.int64)
-            for (first, per, _), last in zip(runs, [*(runs[1:, 0] - 1), len(chunk)], strict=True):
-                each[first - 1 : last] = per
-            of_chunk = np.repeat(np.arange(len(chunk)), each)[:count]
-            before = np.cumsum(sizes) - sizes
-            first_sample = np.cumsum(each) - each
-            offsets = chunk[of_chunk] + before - before[first_sample[of_chunk]]
-            keys = _table(data, t[b"stss"], ">u4")[:, 0] - 1 if b"stss" in t else np.arange(count)
-            ticks = _table(data, t[b"stts"], ">u4", 2)
-            out.append(Track(codec, scale, int((ticks[:, 0] * ticks[:, 1]).sum()) or duration, offsets, sizes, keys))
-        except (KeyError, struct.error, ValueError, IndexError):
+            parts, after, last = [_samples(data, t)], None, None
+            for moof, header, run in runs:
+                if struct.unpack_from(">I", data, header + 4)[0] != number:
+                    continue
+                *part, after = _fragment(data, moof, header, run, defaults.get(number, (0, 0, 0)), after if last == header else None)
+                parts.append(tuple(part))
+                last = header
+            counts = np.cumsum([0, *(len(p[1]) for p in parts)])
+            offsets, sizes = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            if len(offsets) and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
+                raise ValueError("a sample outside of the file")
+            keys = np.concatenate([p[2] + n for p, n in zip(parts, counts, strict=False)]).astype(np.int64)
+            out.append(Track(codec, scale, sum(p[3] for p in parts) or duration, offsets, sizes, keys))
+        except (KeyError, struct.error, ValueError, IndexError, OverflowError):
             continue
     return out
 
@@ -207,7 +283,10 @@ DIGEST = "struct<payload_bytes:long,payload_sha256:string,tail_crc32:long,media_
 
 
 def read_back(media):
-    """Column: digests of a stored file and of the payload that its sample tables lead to, and its track's features as text."""
+    """Column: digests of a stored file and of the payload that its sample tables lead to, and its first track's features as text.
+
+    Null, and files without a track: null.
+    """
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
@@ -216,13 +295,16 @@ def read_back(media):
         for column in parts:
             rows = []
             for x in column:
-                data = x.as_buffer().to_pybytes()
-                track = tracks(data)[0]
+                data = x.as_buffer().to_pybytes() if x.is_valid else b""
+                track = next(iter(tracks(data)), None)
+                if track is None:
+                    rows.append(None)
+                    continue
                 own = payload(memoryview(data), track)
                 told = _told(track)
                 keys = ",".join(f"{k['start']}-{k['end']}" for k in told["keyframes"])
                 feature = f"codec={told['codec']};ms={told['duration_ms']};samples={told['samples']};keys={keys}"
                 rows.append((len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+            yield pa.StructArray.from_arrays([pa.array([r and r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names, mask=pa.array([r is None for r in rows], pa.bool_()))
 
     return of(F.col(media) if isinstance(media, str) else media)

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import lasting
+from .components import free_name, lasting
 
 
 @dataclass(frozen=True)
@@ -105,25 +105,25 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     """The rows of ``docs``, each as often as drawn, with the number of the copy from 0, in shuffled order.
 
     Rows that repeat an id and a text are drawn alike; rows of one id with different texts are drawn apart. Null
-    ids and texts count as empty, a null source as a source. Other columns are carried along; a column of the name
-    ``copy_col`` is replaced.
+    ids and texts count as empty, a null source as a source. Other columns are carried along, whatever their names;
+    only a column of the name ``copy_col`` is replaced.
     """
-    per = lasting(steps(rates(docs, mix, source_col, text_col)).select(F.col("source").alias("__source"), "first", "cdf").withColumnsRenamed({"first": "__first", "cdf": "__cdf"}))
-    far, sources, size = per.where("__first > 0"), *per.agg(F.count_if(F.col("__first") == 0), F.sum(F.when(F.col("__first") == 0, F.size("__cdf")))).first()
-    near = per.where("__first = 0")
+    u, n, k, order, source, first, cdf = (free_name(docs, x) for x in ("__u", "__n", "__k", "__o", "__source", "__first", "__cdf"))
+    per = lasting(steps(rates(docs, mix, source_col, text_col)).withColumnsRenamed({"source": source, "first": first, "cdf": cdf}))
+    far, sources, size = per.where(F.col(first) > 0), *per.agg(F.count_if(F.col(first) == 0), F.sum(F.when(F.col(first) == 0, F.size(cdf)))).first()
+    near = per.where(F.col(first) == 0)
     if sources <= mix.broadcast_sources and (size or 0) <= MOST_STEPS:
         near = F.broadcast(near)
-    given = docs.withColumn("__u", point(id_col, text_col, mix.seed))
-    drawn = given.join(near, docs[source_col].eqNullSafe(near["__source"]))
-    drawn = drawn.withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).drop("__cdf", "__source", "__first")
-    copies = drawn.where("__n > 0").withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    given = docs.withColumn(u, point(id_col, text_col, mix.seed))
+    drawn = given.join(near, docs[source_col].eqNullSafe(near[source]))
+    drawn = drawn.withColumn(n, F.size(F.filter(cdf, lambda c: c <= F.col(u)))).drop(cdf, source, first)
+    copies = drawn.where(F.col(n) > 0).withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.col(n) - 1))).drop(n)
     if not far.isEmpty():
         # Sources with many copies of a document have few characters: their documents are drawn by a join without broadcast and copied in blocks.
-        drawn = given.join(far.hint("shuffle_merge"), docs[source_col].eqNullSafe(far["__source"]))
-        drawn = drawn.withColumn("__n", F.when(F.col("__u") > 0, F.col("__first") + _reached("__cdf", "__u")).otherwise(F.lit(0))).drop("__cdf", "__source", "__first")
-        blocks = drawn.where("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / BLOCK)))).repartition("__u", "__k")
-        each = F.sequence((F.col("__k") * BLOCK).cast("int"), (F.least(F.col("__n"), (F.col("__k") + 1) * BLOCK) - 1).cast("int"))
-        copies = copies.unionByName(blocks.withColumn(copy_col, F.explode(each)).drop("__n", "__k"))
-    copies = copies.withColumn("__o", F.xxhash64("__u", copy_col, F.lit(mix.seed))).drop("__u")
-    order = [c for c in (id_col, copy_col) if c in copies.columns]
-    return copies.repartition("__o").sortWithinPartitions("__o", *order).drop("__o")
+        drawn = given.join(far.hint("shuffle_merge"), docs[source_col].eqNullSafe(far[source]))
+        drawn = drawn.withColumn(n, F.when(F.col(u) > 0, F.col(first) + _reached(cdf, u)).otherwise(F.lit(0))).drop(cdf, source, first)
+        blocks = drawn.where(F.col(n) > 0).withColumn(k, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / BLOCK)))).repartition(u, k)
+        each = F.sequence((F.col(k) * BLOCK).cast("int"), (F.least(F.col(n), (F.col(k) + 1) * BLOCK) - 1).cast("int"))
+        copies = copies.unionByName(blocks.withColumn(copy_col, F.explode(each)).drop(n, k))
+    copies = copies.withColumn(order, F.xxhash64(u, copy_col, F.lit(mix.seed))).drop(u)
+    return copies.repartition(order).sortWithinPartitions(order, *[c for c in (id_col, copy_col) if c in copies.columns]).drop(order)

@@ -16,6 +16,7 @@ task that runs again packs alike.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -31,14 +32,32 @@ SEQUENCE, OPEN, END_ID = 4096, 512, 1
 TASK_TOKENS = 16_000_000
 CACHE = 300_000  # words and parts held by one Python worker; at that size the cache starts anew
 
+#: The steps before the model that ``Words.ids`` takes by itself, as a tokenizer file states them.
+KNOWN_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: Characters for which the two steps above the model (composing and lower-casing) and the classes of
 #: letters and digits are known to be those of the tokenizer: ASCII and the letters of Latin-1.
 _PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
 
 
+def _asks_for_known_steps(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    return all(given.get(k) == v for k, v in KNOWN_STEPS.items())
+
+
 class Words:
-    """Token ids of whole texts for a tokenizer that never joins characters across white space."""
+    """Token ids of whole texts, the tokenizer's own; fast for one that never joins characters across white space (KNOWN_STEPS)."""
 
     _held: dict[str, Words] = {}
 
@@ -53,6 +72,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        #: Whether the file asks for just the steps that ``ids`` takes by itself; otherwise whole texts go to the tokenizer.
+        self.known = _asks_for_known_steps(path)
         self.model = self.whole.model
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printed]
@@ -79,7 +100,7 @@ class Words:
             text = unicodedata.normalize("NFC", text)
             plain = _PLAIN.fullmatch(text)
         small = text.lower()
-        if not plain or any(t in small for t in self.added):
+        if not self.known or not plain or any(t in small for t in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = small.split()
         known = self.words
@@ -145,6 +166,10 @@ class BestFit:
 
     def put(self, length: int) -> tuple[int, int]:
         """The sequence for a piece of ``length`` and its offset there."""
+        length = max(0, length or 0)
+        if length > self.size:
+            self.made += 1
+            return self.made - 1, 0
         above = self.bits >> length
         if above:
             room = length + (above & -above).bit_length() - 1
@@ -177,7 +202,8 @@ def best_fit(measured: DataFrame, size: int = SEQUENCE, open_bins: int = OPEN, t
 
     ``measured`` is read twice: for the sum of lengths, and to deal its rows to tasks by a
     hash of the whole row, so that neither repeated ids nor a hot source gather
-    in one. An empty table gives an empty table.
+    in one. An empty table gives an empty table. A null or negative length
+    counts as 0; a piece longer than ``size`` has a sequence of its own.
     """
     total = measured.agg(F.coalesce(F.sum(length_col), F.lit(0))).first()[0]
     tasks = max(1, -(-int(total) // task_tokens))

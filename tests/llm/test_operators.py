@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -240,6 +241,8 @@ def test_mixing_draws_and_shares(spark, texts):
             c += p
         assert got[r.doc_id] == n
     assert mixing.mix_sources(empty(spark)).count() == 0
+    own = d.limit(50).withColumns({c: F.lit(7) for c in ("__u", "__n", "__o", "__cdf", "__source", "__first", "__k", "_copy")})
+    assert set(mixing.mix_sources(own).columns) == {*own.columns, "copy"} and mixing.mix_sources(own).where("__u != 7 OR __n != 7 OR __cdf != 7").isEmpty()
     shuffled = mixing.mix_sources(table(spark, texts))
     assert [c for c in shuffled.columns if c != "copy"] == table(spark, texts).columns
 
@@ -462,6 +465,48 @@ def test_media_that_is_none(spark):
     assert [r.p is None for r in rows] == [True, True, True, True, False]
 
 
+def test_hostile_media(spark):
+    good = media.wrap_bytes(b"x" * 128)
+    deep = b""
+    for _ in range(1500):
+        deep = media._box(b"moov", deep)
+    stsz = good.index(b"stsz") + 4
+    many = good[: stsz + 4] + struct.pack(">2I", 1, 0xFFFFFFFF) + good[stsz + 12 :]
+    stsc = good.index(b"stsc") + 4
+    wide = good[: stsc + 12] + struct.pack(">I", 0xFFFFFFFF) + good[stsc + 16 :]
+    co64 = good.index(b"co64") + 4
+    away = good[: co64 + 8] + struct.pack(">Q", 1 << 50) + good[co64 + 16 :]
+    stss = good.index(b"stss") + 4
+    key = good[: stss + 8] + struct.pack(">I", 0) + good[stss + 12 :]
+    rnd = random.Random(7)
+    bad = [deep, many, away, key, None, b""]
+    noise = [bytes(b ^ (rnd.random() < 0.01) * rnd.randrange(256) for b in good) for _ in range(300)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*bad, wide, *noise])], "i int, m binary").select("i", media.probe("m").alias("p"), media.read_back("m").alias("d")).orderBy("i").collect()
+    assert all(r.p is None and r.d is None for r in rows[: len(bad)]) and len(rows) == len(bad) + 301
+    assert all((r.p is None) == (r.d is None) for r in rows)
+
+
+def test_movie_fragments():
+    box, full = media._box, media._full
+    payload = bytes(range(90))
+    empty_tables = [full(b"stts", struct.pack(">I", 0)), full(b"stsc", struct.pack(">I", 0)), full(b"stsz", struct.pack(">2I", 0, 0)), full(b"stco", struct.pack(">I", 0))]
+    stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"avc1", b"\0" * 8)), *empty_tables)
+    trak = box(b"trak", full(b"tkhd", struct.pack(">3I", 0, 0, 7)), box(b"mdia", full(b"mdhd", struct.pack(">4I", 0, 0, 1000, 0)), box(b"minf", stbl)))
+    moov = box(b"moov", trak, box(b"mvex", full(b"trex", struct.pack(">5I", 7, 1, 40, 10, 0x10000))))
+
+    def moof(first):
+        tfhd = full(b"tfhd", struct.pack(">I", 7), flags=0x20000)
+        one = full(b"trun", struct.pack(">IiI", 3, first, 0), flags=0x5)  # three samples of 10 bytes, the first a keyframe
+        two = full(b"trun", struct.pack(">I", 2), struct.pack(">3I", 30, 25, 0), struct.pack(">3I", 30, 35, 0x10000), flags=0x700)
+        return box(b"moof", box(b"traf", tfhd, one, two))
+
+    head = moov + moof(len(moof(0)) + 8)
+    data = head + box(b"mdat", payload)
+    (t,) = media.tracks(data)
+    assert (t.codec, t.duration, t.sizes.tolist()) == ("avc1", 180, [10, 10, 10, 25, 35])
+    assert media.payload(data, t) == payload and [data[s:e] for s, e in t.ranges()] == [payload[:10], payload[30:55]]
+
+
 # --- 8 sharding
 
 
@@ -629,6 +674,28 @@ def test_best_fit_takes_the_fullest_that_fits():
     assert [bins.put(n)[0] for n in (6, 5, 5, 6)] == [0, 1, 1, 2]
 
 
+def test_best_fit_of_odd_lengths(spark):
+    d = spark.createDataFrame([(1, 4), (2, None), (3, 99), (4, -1), (5, 6)], "doc_id long, length long")
+    rows = {r.doc_id: r for r in packing.best_fit(d, size=10).collect()}
+    assert rows[3].offset == 0 and [r.doc_id for r in rows.values() if r.sequence_id == rows[3].sequence_id] == [3]
+    assert len(rows) == 5 and len({rows[k].sequence_id for k in (1, 5)}) == 1
+
+
+def test_another_tokenizer_goes_the_long_way(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(vocabulary(), encoding="utf-8") as f:
+        given = json.load(f)
+    given["normalizer"] = {"type": "NFC"}
+    (tmp_path / "other.json").write_text(json.dumps(given), encoding="utf-8")
+    text, other = "Capitals stay Here 12 it's", str(tmp_path / "other.json")
+    for path in (vocabulary(), other):
+        words = packing.Words(path)
+        assert words.known == (path != other) and np.frombuffer(words.ids(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_of_repeated_rows(spark):
     d = spark.createDataFrame([(1, "a b", "en", "s", 3), (1, "a b", "en", "s", 3), (1, "c", "en", "s", 1)], DOCS)
     out = packing.pack(d, packing.Tokenized(vocabulary()), with_ids=True).collect()
