@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from netloom.llm import mixing, packing, secrets, simhash, toxicity
-from netloom.llm.components import lasting
+from netloom.llm.components import free_name, lasting
 from netloom.llm.queries import vocabulary
 
 
@@ -32,7 +32,8 @@ def cover_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources to equal weights by Poisson replication, in shuffled order; a document may come more than once, or not at all."""
-    return mixing.mix_sources(docs).drop("copy")
+    copy = free_name(docs, "copy")
+    return mixing.mix_sources(docs, copy_col=copy).drop(copy)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
