@@ -208,7 +208,8 @@ def shard(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col
     upto = F.sum("n").over(Window.partitionBy("grp").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # a row a shard
     placed = placed.select("grp", upto.alias("hi"), "n", "shard", (F.col("__sum") - F.col("n")).alias("first"))
     homes = placed.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("hi", "n", "shard", "first"))).alias("homes")).join(groups, "grp")
-    ranked = _ranked(linked, ["grp"], F.ceil(F.col("members") / plan.bucket_rows), ["id", "rn"], plan).drop("members")
+    each = max(64, min(plan.bucket_rows, total // 1000))  # so that no bucket is more than a small share of all rows
+    ranked = _ranked(linked, ["grp"], F.ceil(F.col("members") / each), ["id", "rn"], plan).drop("members")
     ranked = meet(lasting(ranked), homes, ["grp"], "members", total)
     home = F.filter("homes", lambda h: h["hi"] > F.col("__rank"))[0]
     kept = ranked.withColumn("home", home).select("id", "size", "crc", "home.shard", (F.col("home.first") + F.col("__rank") - (F.col("home.hi") - F.col("home.n"))).alias("slot"))
