@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import json
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .decoders import dhcp, dns, ftp, http, ssh, streams, tls, xor
-from .operators import filters, tree
+from .decoders import dhcp, dns, ftp, http, smb, ssh, streams, tls, xor
+from .functions import times
+from .operators import files as fileops
+from .operators import filters, gather, joins, tree
 from .sources import keys as keysource
 from .sources import pcap
 
-FORMAT = 1
-PROPERTIES = ["protocol", "srcIP", "dstIP", "srcPort", "dstPort", "domain", "uri", "ja3", "ja3s", "ja4", "ja4s", "ja4h", "hassh"]
-FILE = "stream string, file_type string, name string, ts_ns long, first_packet_no long, start long, size long, is_metadata boolean, parsed boolean, missing_data boolean, content binary, props map<string,string>"
+FORMAT = 2
+PROPERTIES = ["protocol", "srcIP", "dstIP", "srcPort", "dstPort", "domain", "uri", "path", "ja3", "ja3s", "ja4", "ja4s", "ja4h", "hassh"]
+FILE = "stream string, file_type string, name string, ts_ns long, first_packet_no long, start long, size long, is_metadata boolean, parsed boolean, missing_data boolean, content binary, fs_ns long, props map<string,string>"
+#: Files of servers: their paths are directories, and they may have several clients and versions.
+SERVED = ["smb", "ftp"]
 
 
 def _props(**cols: Column) -> Column:
@@ -29,20 +34,65 @@ class Engine:
     decoded lazily; ``tree`` and ``ls`` are queries over it.
     """
 
-    def __init__(self, files: DataFrame):
-        self.files = files
+    def __init__(self, files: DataFrame, sortby: str = "/protocol/"):
+        self.files, self.sortby = files, sortby
 
     @staticmethod
-    def open(spark: SparkSession, path: str | None = None, captures: DataFrame | None = None, suffix: str = "", rules: dict | None = None, xor_keys: DataFrame | None = None, key_log: DataFrame | None = None) -> Engine:
+    def _file(kind: str, name: Column, ts_ns: Column, start: Column, content: str, props: Column, stream: Column, **more: Column) -> list[Column]:
+        """The columns of a file that one decoder made."""
+        given = {"first_packet_no": F.lit(None).cast("long"), "is_metadata": F.lit(False), "parsed": F.lit(False), "missing_data": F.lit(False)} | more
+        named = {"stream": stream, "file_type": F.lit(kind), "name": name, "ts_ns": ts_ns, "start": start.cast("long"), "size": F.octet_length(content).cast("long"), "content": F.col(content), "props": props}
+        return [c.alias(n) for n, c in (named | given).items()]
+
+    @staticmethod
+    def _udp(packets: DataFrame) -> DataFrame:
+        """A file for each session of datagrams, from the end that spoke first to the other."""
+        s = streams.udp_sessions(packets)
+        head = F.min_by(F.struct("src_ip", "dst_ip", "src_port", "dst_port", "frame_no", "ts_ns"), F.struct("ts_ns", "frame_no"))
+        s = s.groupBy("path", "flow", "session").agg(head.alias("h"), gather.in_order("payload", "frame_no").alias("content"))
+        known = filters.application(F.lit("udp"), F.col("h.src_port"), F.col("h.dst_port"))
+        props = _props(protocol=F.coalesce(known, F.lit("udp")), srcIP=F.col("h.src_ip"), dstIP=F.col("h.dst_ip"), srcPort=F.col("h.src_port"), dstPort=F.col("h.dst_port"))
+        stream = F.concat_ws("-", "path", "flow", "session")
+        return s.select(*Engine._file("udp", F.lit("udp"), F.col("h.ts_ns"), F.lit(0), "content", props, stream, first_packet_no=F.col("h.frame_no"), parsed=F.coalesce(known.isin("dns", "dhcp"), F.lit(False))))
+
+    @staticmethod
+    def _smb(runs: DataFrame) -> DataFrame:
+        """A file for each version that reads and writes over SMB show; ``start`` is the number of the version."""
+        v = smb.names(smb.versions(smb.operations(smb.exchanges(smb.messages(runs)))))
+        props = _props(protocol=F.lit("smb"), dstIP=F.col("server"), srcIP=F.array_join("client_ips", ","), path=F.col("path"), op=F.col("op"))
+        name = F.substring_index("name", "/", -1)
+        return v.select(*Engine._file("smb", name, F.col("last_ns"), F.col("version"), "content", props, F.concat_ws(":", "server", "path", "op"), fs_ns=F.unix_micros("mtime") * 1000))
+
+    @staticmethod
+    def _ftp(runs: DataFrame, whole: DataFrame, bytes_: DataFrame) -> DataFrame:
+        """A file for each data stream of FTP, under the path that its command names."""
+        d = ftp.data_files(ftp.control(runs), whole).join(bytes_, "stream").join(whole.select("stream", "src_ip", "dst_ip", "src_port", "dst_port", "missing_data"), "stream")
+        ends = {"srcIP": F.col("src_ip"), "dstIP": F.col("dst_ip"), "srcPort": F.col("src_port"), "dstPort": F.col("dst_port")}
+        props = _props(protocol=F.lit("ftp"), path=F.col("path"), command=F.col("verb"), **ends)
+        return d.select(*Engine._file("ftp", F.substring_index("path", "/", -1), F.col("ts_ns"), F.lit(0), "content", props, F.col("stream"), missing_data=F.col("missing_data")))
+
+    @staticmethod
+    def open(spark: SparkSession, path: str | None = None, captures: DataFrame | None = None, suffix: str = "", rules: dict | None = None, xor_keys: DataFrame | None = None, key_log: DataFrame | None = None, keys: str | list[str] | None = None, config: str | None = None) -> Engine:
         """Of a path, or of captures (path, content) that are a DataFrame already.
 
         ``rules`` are decode rules by decoder, as a configuration has them;
         ``key_log`` (column line) is read beside the secrets that captures carry.
+        ``keys`` are key files or folders of such: lines of key logs and XOR
+        keys. ``config`` is the text of a configuration, whose rules, key files
+        and order of listing count where the arguments give none.
         """
+        told = keysource.config(config) if config else {"sortby": "/protocol/", "keyfiles": [], "rules": {}}
+        rules = rules or told["rules"]
+        places = [*([keys] if isinstance(keys, str) else keys or []), *told["keyfiles"]]
+        if places:
+            lines = spark.read.text(places).select(F.col("value").alias("line"))
+            key_log = lines if key_log is None else key_log.select("line").unionByName(lines)
+            xor_keys = xor_keys if xor_keys is not None else keysource.xor_keys(spark, places)
         source = captures if captures is not None else pcap.captures(spark, path, suffix)
-        packets = pcap.packets(source)
+        # Every decoder reads these: they are computed once and kept on the executors' disks.
+        packets = pcap.packets(source).persist(StorageLevel.DISK_ONLY)
         segments = streams.tcp_segments(packets)
-        runs, whole = streams.runs(segments), streams.streams(segments)
+        runs, whole = streams.runs(segments).persist(StorageLevel.DISK_ONLY), streams.streams(segments).persist(StorageLevel.DISK_ONLY)
         ends = {"srcIP": F.col("src_ip"), "dstIP": F.col("dst_ip"), "srcPort": F.col("src_port"), "dstPort": F.col("dst_port")}
 
         web = http.messages(runs)
@@ -51,8 +101,8 @@ class Engine:
         log = pcap.secrets(source).select("line")
         log = keysource.key_log(log if key_log is None else log.unionByName(key_log.select("line")))
         plain = tls.plaintexts(recs, hello, log)
-        opened = plain.groupBy("stream", "side", "run").agg(F.min("n").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", F.hex("plain").alias("h")))), lambda x: x["h"]), "").alias("h"))
-        opened = opened.select("stream", "side", "run", F.unhex("h").alias("content")).join(runs.drop("content"), ["stream", "side", "run"])
+        opened = plain.groupBy("stream", "side", "run").agg(gather.in_order("plain", "n").alias("content"))
+        opened = opened.join(runs.drop("content"), ["stream", "side", "run"])
         web = web.withColumn("over", F.lit("tcp")).unionByName(http.messages(opened).withColumn("over", F.lit("tls")))
         marks = hello.select("stream", "sni", "ja3", "ja3s", "ja4", "ja4s")
 
@@ -74,9 +124,11 @@ class Engine:
             F.lit(True).alias("is_metadata"), F.lit(False).alias("parsed"), "missing_data", F.encode("content", "ISO-8859-1").alias("content"), _props(protocol=F.lit("ftpcontrol"), **ends).alias("props"),
         )
         # A stream that was decoded further is still there, marked as parsed.
-        done = web.select("stream").unionByName(texts.select("stream")).distinct().withColumn("done", F.lit(True))
+        bytes_ = runs.groupBy("stream").agg(gather.in_order("content", "run").alias("content"))
+        served, moved = Engine._smb(runs), Engine._ftp(runs, whole, bytes_)
+        talks = smb.messages(runs).select("stream").unionByName(moved.select("stream"))
+        done = web.select("stream").unionByName(texts.select("stream")).unionByName(talks).distinct().withColumn("done", F.lit(True))
         marks = marks.join(ssh.handshakes(runs).where("is_client").select("stream", "hassh"), "stream", "full")
-        bytes_ = runs.groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("run", F.hex("content").alias("h")))).alias("x")).select("stream", F.unhex(F.array_join(F.transform("x", lambda r: r["h"]), "")).alias("content"))
         tcp = whole.join(bytes_, "stream").join(marks, "stream", "left").join(done, "stream", "left")
         kind = F.coalesce(filters.application(F.lit("tcp"), F.col("src_port"), F.col("dst_port")), F.lit("tcp"))
         tcp_files = tcp.select(
@@ -84,39 +136,91 @@ class Engine:
             F.coalesce("done", F.lit(False)).alias("parsed"), "missing_data", "content",
             _props(protocol=kind, **ends, ja3=F.col("ja3"), ja3s=F.col("ja3s"), ja4=F.col("ja4"), ja4s=F.col("ja4s"), domain=F.col("sni"), hassh=F.col("hassh")).alias("props"),
         )
-        every = tcp_files.unionByName(http_files).unionByName(dns_files).unionByName(ftp_files)
+        every = tcp_files.unionByName(http_files).unionByName(dns_files).unionByName(ftp_files).unionByName(Engine._udp(packets))
+        every = every.unionByName(served, allowMissingColumns=True).unionByName(moved, allowMissingColumns=True)
         hidden = (rules or {}).get("xor", [])
         if hidden and xor_keys is not None:
             flat = tcp_files.withColumns({k: F.col("props")[k] for r in hidden for k in r if k != "keyfile"})
             clear = xor.decode(flat, hidden, xor_keys).withColumns({"file_type": F.lit("xor"), "name": F.lit("XOR"), "props": F.map_concat(F.map_filter("props", lambda k, v: k != "protocol"), F.create_map(F.lit("protocol"), F.lit("xor")))})
-            every = every.unionByName(clear.select(*tcp_files.columns))
-        return Engine(every)
+            every = every.unionByName(clear.select(*tcp_files.columns), allowMissingColumns=True)
+        return Engine(every, told["sortby"])
 
-    def visible(self, show_metadata: bool = False, show_all: bool = False, snip: tuple[int | None, int | None] = (None, None)) -> DataFrame:
-        """The files that show: metadata and parsed parents on demand, and times (ns) in the range, ends included."""
-        lo, hi = (None if x is None else F.lit(x) for x in snip)
-        return self.files.where(filters.visible(F.col("is_metadata"), F.col("parsed"), filters.snip(F.col("ts_ns"), lo, hi), show_metadata, show_all))
+    def visible(self, show_metadata: bool = False, show_all: bool = False, snip: str | tuple[int | None, int | None] = (None, None), snapshot: str | int | None = None, timestamp_mode: str = "hybrid") -> DataFrame:
+        """The files that show: metadata and parsed parents on demand, and times (ns, or the option's text ``a,b``) in the range, ends included.
 
-    def listing(self, sortby: str = "/protocol/", **show) -> DataFrame:
-        """(directory, display_name, size, ts_ns, stream, start, is_metadata): each visible file under its property directories."""
-        keys = [k for k in sortby.split("/") if k]
+        With ``snapshot`` (seconds since 1970, or yyyy-MM-ddTHH:mm:ssZ) only
+        files before that moment show, and of each served file the latest
+        version, by the clock that ``timestamp_mode`` names.
+        """
+        lo, hi = (None if x is None else F.lit(x) for x in (times.snip_ns(snip) if isinstance(snip, str) else snip))
+        shown = self.files.where(filters.visible(F.col("is_metadata"), F.col("parsed"), filters.snip(F.col("ts_ns"), lo, hi), show_metadata, show_all))
+        moment = times.moment_ns(snapshot)
+        if moment is None:
+            return shown
+        shown = shown.withColumn("__at", fileops.by_clock(timestamp_mode, F.col("ts_ns"), F.col("fs_ns")))
+        served = joins.latest(shown.where(F.col("file_type").isin(SERVED)), ["file_type", "stream"], "__at", F.lit(moment), "start")
+        return shown.where(~F.col("file_type").isin(SERVED) & (F.col("__at") < moment)).unionByName(served).drop("__at")
+
+    def _placed(self, sortby: str | None, show: dict) -> DataFrame:
+        """Visible files with ``directory``. A file of several clients is under each of them; ``path`` stands for the directories of a path or URI."""
+        keys = [k for k in (self.sortby if sortby is None else sortby).split("/") if k]
         df = self.visible(**show)
-        part = lambda k: F.coalesce(F.nullif(F.try_element_at("props", F.lit(k)), F.lit("")), F.lit(tree.MISSING))
+        if "srcIP" in keys:
+            df = df.withColumn("__client", F.explode_outer(F.split(F.try_element_at("props", F.lit("srcIP")), ",")))
+        prop = lambda k: F.nullif(F.try_element_at("props", F.lit(k)), F.lit(""))
+        where = F.coalesce(prop("path"), F.regexp_extract(prop("uri"), "^[^? ;]*", 0))
+        inner = F.array_join(F.slice(tree.path_parts(where), F.lit(1), F.greatest(F.lit(0), F.size(tree.path_parts(where)) - 1)), "/")
+
+        def part(k: str) -> Column:
+            if k == "path":
+                return F.when(where.isNull(), tree.MISSING).otherwise(F.nullif(inner, F.lit("")))
+            return F.coalesce(F.nullif(F.col("__client"), F.lit("")) if k == "srcIP" else prop(k), F.lit(tree.MISSING))
+
+        return df.withColumn("directory", F.concat(F.lit("/"), F.array_join(F.array(*map(part, keys)), "/")) if keys else F.lit("/"))
+
+    def listing(self, sortby: str | None = None, **show) -> DataFrame:
+        """(directory, display_name, size, ts_ns, stream, file_type, start, is_metadata): each visible file under its property directories.
+
+        Of files with one name in one directory the first stays, by time, stream and place.
+        """
         from .functions.text import display_name
 
-        number = F.when(F.col("file_type") == "tcp", F.col("first_packet_no")).otherwise(F.col("start"))
+        df = self._placed(sortby, show)
+        number = F.when(F.col("file_type").isin("tcp", "udp"), F.col("first_packet_no")).otherwise(F.col("start"))
         suffix = F.when(F.col("is_metadata"), ".meta").otherwise("")
-        name = display_name(F.col("stream"), number, F.col("missing_data"), F.col("name"), suffix)
-        where = F.concat(F.lit("/"), F.array_join(F.array(*map(part, keys)), "/")) if keys else F.lit("/")
-        return df.select(where.alias("directory"), name.alias("display_name"), "size", "ts_ns", "stream", "file_type", "start", "is_metadata")
-
-    def tree(self, sortby: str = "/protocol/", **show) -> DataFrame:
+        name = F.when(F.col("file_type").isin(SERVED), F.col("name")).otherwise(display_name(F.col("stream"), number, F.col("missing_data"), F.col("name"), suffix))
+        rows = df.select("directory", name.alias("display_name"), "size", "ts_ns", "stream", "file_type", "start", "is_metadata")
+        return fileops.best(rows, ["directory", "display_name"], F.struct("ts_ns", "stream", "file_type", "start", "is_metadata"))
+
+    def readdir(self, directory: str = "/", sortby: str | None = None, **show) -> DataFrame:
+        """(name, is_dir, size, ts_ns) of what lies directly in a directory: directories first, then files, each by name; a directory's size is the number of files directly in it."""
+        here = "/" + "/".join(tree_part for tree_part in directory.split("/") if tree_part)
+        rows = self.listing(sortby, **show)
+        files = rows.where(F.col("directory") == here).select(F.col("display_name").alias("name"), F.lit(False).alias("is_dir"), "size", "ts_ns")
+        below = here if here.endswith("/") else here + "/"
+        under = rows.where(F.startswith("directory", F.lit(below)) & (F.col("directory") != here)).withColumn("rest", F.substr("directory", F.lit(len(below) + 1)))
+        subdirs = under.groupBy(F.substring_index("rest", "/", 1).alias("name")).agg(F.count_if(~F.contains("rest", F.lit("/"))).alias("size"), F.max("ts_ns").alias("ts_ns"))
+        return subdirs.select("name", F.lit(True).alias("is_dir"), "size", "ts_ns").unionByName(files).orderBy(F.desc("is_dir"), "name")
+
+    def getattr(self, path: str, sortby: str | None = None, **show) -> dict | None:
+        """What a path is: is_dir, size (of a directory the files directly in it), blocks of 512 bytes, ts_ns; None if there is no such path."""
+        here = "/" + "/".join(x for x in path.split("/") if x)
+        parent, _, name = here.rpartition("/")
+        rows = self.listing(sortby, **show)
+        file = rows.where((F.col("directory") == (parent or "/")) & (F.col("display_name") == name)).select("size", fileops.blocks(F.col("size")).alias("blocks"), "ts_ns").first()
+        if file:
+            return {"is_dir": False, **file.asDict()}
+        inside = rows.where((F.col("directory") == here) | F.startswith("directory", F.lit(here.rstrip("/") + "/")))
+        found = inside.agg(F.count_if(F.col("directory") == here).alias("size"), F.max("ts_ns").alias("ts_ns"), F.count(F.lit(1)).alias("all")).first()
+        return {"is_dir": True, "size": found["size"], "blocks": 0, "ts_ns": found.ts_ns} if found["all"] or here == "/" else None
+
+    def tree(self, sortby: str | None = None, **show) -> DataFrame:
         """Every directory at every depth: files below it, and the greatest and least of their times."""
-        keys = [k for k in sortby.split("/") if k]
+        keys = [k for k in (self.sortby if sortby is None else sortby).split("/") if k]
         df = self.visible(**show).select("ts_ns", *[F.try_element_at("props", F.lit(k)).alias(k) for k in keys])
         return tree.levels(df, keys, {"files": F.count(F.lit(1)), "modified_ns": F.max("ts_ns"), "changed_ns": F.min("ts_ns")})
 
-    def ls(self, directory: str, sortby: str = "/protocol/", offset: int = 0, limit: int = 1000, **show) -> DataFrame:
+    def ls(self, directory: str, sortby: str | None = None, offset: int = 0, limit: int = 1000, **show) -> DataFrame:
         """A page of one directory's files, by name."""
         return tree.page(self.listing(sortby, **show).where(F.col("directory") == directory), ["display_name"], offset, limit)
 
@@ -130,7 +234,7 @@ class Engine:
         """Writes the index: the files by type, and what the index is."""
         self.files.write.mode("overwrite").partitionBy("file_type").parquet(f"{path}/files")
         spark = self.files.sparkSession
-        spark.createDataFrame([(json.dumps({"format": FORMAT}),)], "value string").write.mode("overwrite").text(f"{path}/meta")
+        spark.createDataFrame([(json.dumps({"format": FORMAT, "sortby": self.sortby}),)], "value string").write.mode("overwrite").text(f"{path}/meta")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Engine:
@@ -138,7 +242,7 @@ class Engine:
         meta = json.loads(spark.read.text(f"{path}/meta").first().value)
         if meta.get("format") != FORMAT:
             raise ValueError(f"index format {meta.get('format')}, not {FORMAT}")
-        return Engine(spark.read.schema(FILE).parquet(f"{path}/files"))
+        return Engine(spark.read.schema(FILE).parquet(f"{path}/files"), meta.get("sortby", "/protocol/"))
 
     @staticmethod
     def same_captures(stored: DataFrame, given: DataFrame) -> bool:

@@ -33,7 +33,7 @@ def messages(runs: DataFrame) -> DataFrame:
     response = line.rlike(r"^HTTP/(1\.0|1\.1) [1-5][0-9]{2}( |$)")
     df = df.where(request | response).withColumns({"is_request": request, "body_raw": F.expr("substring(content, __h + 4)")})
     part = lambda k: F.when(F.col("is_request"), F.split(line, " ")[k])
-    names = F.transform(F.slice(F.split("head", "\r\n"), 2, 1000), lambda x: F.split(x, ":")[0])
+    names = F.transform(F.slice(F.split("head", "\r\n"), F.lit(2), F.size(F.split("head", "\r\n"))), lambda x: F.split(x, ":")[0])
     own = {
         "method": part(0),
         "uri": part(1),

@@ -14,17 +14,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binary import number
+from ..functions.times import filetime_seconds
+from ..operators.files import by_clock
 from ..operators.gather import joined
 from ..operators.joins import latest
 from ..operators.sequence import START, append_versions
 
 #: Commands by number, from 0.
-COMMANDS = (
-    "NEGOTIATE,SESSION_SETUP,LOGOFF,TREE_CONNECT,TREE_DISCONNECT,CREATE,CLOSE,FLUSH,READ,WRITE,LOCK,IOCTL,CANCEL,ECHO,QUERY_DIRECTORY,CHANGE_NOTIFY,QUERY_INFO,SET_INFO,OPLOCK_BREAK"
-).split(",")
+COMMANDS = [
+    "NEGOTIATE",
+    "SESSION_SETUP",
+    "LOGOFF",
+    "TREE_CONNECT",
+    "TREE_DISCONNECT",
+    "CREATE",
+    "CLOSE",
+    "FLUSH",
+    "READ",
+    "WRITE",
+    "LOCK",
+    "IOCTL",
+    "CANCEL",
+    "ECHO",
+    "QUERY_DIRECTORY",
+    "CHANGE_NOTIFY",
+    "QUERY_INFO",
+    "SET_INFO",
+    "OPLOCK_BREAK",
+]
 TREE_CONNECT, CREATE, CLOSE, READ, WRITE = 3, 5, 6, 8, 9
 CHAINED = "F" * 32  # the file id of "the file of the command before"
-EPOCH = 11_644_473_600  # seconds from 1601 to 1970
 
 
 def _le(at: int, n: int, of: str = "msg") -> Column:
@@ -37,7 +56,12 @@ def _hex(at: int, n: int, of: str = "msg") -> Column:
 
 def filetime(ticks: Column) -> Column:
     """Tenths of microseconds since 1601 as a timestamp of whole seconds; null for 0."""
-    return F.when(ticks > 0, F.timestamp_seconds(F.floor(ticks / 10_000_000) - EPOCH))
+    return F.timestamp_seconds(filetime_seconds(ticks))
+
+
+def command_name(number_: Column) -> Column:
+    """The name of a command; UNKNOWN for a number without one."""
+    return F.coalesce(F.get(F.array(*[F.lit(c) for c in COMMANDS]), number_), F.lit("UNKNOWN"))
 
 
 def _text(of: str, at: Column, n: Column) -> Column:
@@ -146,7 +170,7 @@ def versions(ops: DataFrame) -> DataFrame:
 def timed(vers: DataFrame, mode: str = "network") -> DataFrame:
     """``vers`` with ``at``, its time by a clock: ``network`` (when it was seen), ``fs`` (what the server said), ``hybrid`` (the later of both)."""
     network, fs = F.timestamp_micros(F.expr("last_ns div 1000")), F.col("mtime")
-    return vers.withColumn("at", {"network": network, "fs": fs, "hybrid": F.greatest(network, fs)}[mode])
+    return vers.withColumn("at", by_clock(mode, network, fs))
 
 
 def snapshot(vers: DataFrame, moment: Column, mode: str = "network") -> DataFrame:

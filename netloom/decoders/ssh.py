@@ -19,7 +19,7 @@ def _lists(payload: Column) -> Column:
 
     def step(acc: Column, _: Column) -> Column:
         n = F.coalesce(number(payload, acc["at"], 4), F.lit(0).cast("long"))
-        text = F.decode(F.substring(payload, (acc["at"] + 5).cast("int"), F.least(n, F.lit(1 << 20)).cast("int")), "ISO-8859-1")
+        text = F.decode(F.substring(payload, (acc["at"] + 5).cast("int"), F.least(n, F.octet_length(payload)).cast("int")), "ISO-8859-1")
         return F.struct((acc["at"] + 4 + n).alias("at"), F.concat(acc["found"], F.array(text)).alias("found"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(LISTS))), start, step, lambda acc: acc["found"])

@@ -16,6 +16,11 @@ def joined(parts: Column) -> Column:
     return F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p)), ""))
 
 
+def in_order(part: str, order: str) -> Column:
+    """Aggregate: the bytes of a column's values one behind the other, by ``order``."""
+    return F.coalesce(F.expr(f"listagg({part}) WITHIN GROUP (ORDER BY {order})"), F.lit(b""))
+
+
 def gather(files: DataFrame, parents: DataFrame, key: str, fragments: str, parent_key: str, content: str) -> DataFrame:
     """(key, content): the byte ranges (id, start, length; start from 0) of ``fragments`` in order, cut out of the parents.
 
@@ -26,4 +31,4 @@ def gather(files: DataFrame, parents: DataFrame, key: str, fragments: str, paren
     cut = each.join(p, F.col("f.id") == F.col("__id")).select(
         key, "pos", F.substring(F.col("__c"), (F.col("f.start") + 1).cast("int"), F.col("f.length").cast("int")).alias("part")
     )
-    return cut.groupBy(key).agg(joined(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"])).alias(content))
+    return cut.groupBy(key).agg(in_order("part", "pos").alias(content))

@@ -27,13 +27,23 @@ def asof(left: DataFrame, right: DataFrame, key: list[str], at: str, values: lis
 def first_interval(points: DataFrame, slots: DataFrame, key: list[str], at: str, lo: str, hi: str, order: str, width: int) -> DataFrame:
     """``points`` with the first (by ``order``) slot of their key that holds them, ends included; points without one are left out.
 
-    Times are longs. Slots are dealt to cells of ``width``, so that a point meets the slots of its own cell only.
+    Times are longs. Every slot lies in two or three cells of a size that fits
+    it (``width`` times a power of two), however long it is; a point meets the
+    slots of its own cell of each size that occurs. Equal points are told once
+    and stay as many as they were. Columns of points must be comparable.
     """
-    cell = lambda c: F.floor(F.col(c) / width).cast("long")
+    size = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col(hi) - F.col(lo), F.lit(1)) / width))).cast("int")
+    slots = slots.where(F.col(lo) <= F.col(hi)).withColumn("__size", size)
+    cell = lambda c: F.floor(F.col(c) / (F.lit(width) * F.pow(F.lit(2.0), F.col("__size")))).cast("long")
     cells = slots.withColumn("__cell", F.explode(F.sequence(cell(lo), cell(hi))))
-    met = points.withColumn("__cell", cell(at)).join(cells, [*key, "__cell"]).where((F.col(lo) <= F.col(at)) & (F.col(at) <= F.col(hi)))
-    w = Window.partitionBy(*[c for c in points.columns]).orderBy(order)
-    return met.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__cell")
+    sizes = sorted(r["__size"] for r in slots.select("__size").distinct().collect())  # at most 64
+    mine = points.columns
+    once = points.groupBy(*mine).agg(F.count(F.lit(1)).alias("__copies"))
+    probes = once.withColumn("__size", F.explode(F.array(*[F.lit(k) for k in sizes]).cast("array<int>"))).withColumn("__cell", cell(at))
+    met = probes.join(cells, [*key, "__size", "__cell"]).where((F.col(lo) <= F.col(at)) & (F.col(at) <= F.col(hi)))
+    w = Window.partitionBy(*mine).orderBy(order)
+    first = met.withColumn("__r", F.row_number().over(w)).where("__r = 1")
+    return first.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).drop("__r", "__cell", "__size", "__copies", "__copy")
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, value: str, default: Column, name: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import binary, fingerprints, text
-from ..operators import filters, gather, joins, sequence, tree
+from ..decoders import smb
+from ..functions import binary, fingerprints, text, times
+from ..operators import files, filters, gather, joins, sequence, tree
 from ..registry import query
 
 
@@ -96,7 +97,7 @@ def dir_page(spark, sf_dir):
 @query("path_dedup", "SELECT source, md5(text) AS name, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY source, md5(text)")
 def path_dedup(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("source", F.md5(F.col("text").cast("binary")).alias("name"), "doc_id")
-    return d.groupBy("source", "name").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    return files.once_named(d, "source", "name", "doc_id")
 
 
 # --- sequences
@@ -290,11 +291,9 @@ def key_lookup(spark, sf_dir):
     "SELECT s_suppkey, n_nationkey FROM (SELECT s_suppkey, n_nationkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY n_nationkey) AS r FROM supplier JOIN nation ON (s_suppkey * 7 + n_nationkey) % 11 = 3) WHERE r = 1",
 )
 def theta_keys(spark, sf_dir):
-    """The first key that opens each lock. Keys are a small table of fixed size; they go into each row as one array."""
-    s, n = _t(spark, sf_dir, "supplier").select("s_suppkey"), _t(spark, sf_dir, "nation")
-    keys = F.array(*[F.lit(r.n_nationkey) for r in n.select("n_nationkey").orderBy("n_nationkey").limit(1000).collect()])
-    first = F.try_element_at(F.filter(keys, lambda k: (F.col("s_suppkey") * 7 + k) % 11 == 3), F.lit(1))
-    return s.select("s_suppkey", first.alias("n_nationkey")).where("n_nationkey IS NOT NULL")
+    s = _t(spark, sf_dir, "supplier").select("s_suppkey", F.pmod(3 - F.col("s_suppkey") * 7, F.lit(11)).alias("mark"))
+    n = _t(spark, sf_dir, "nation").select("n_nationkey", F.pmod(F.col("n_nationkey").cast("long"), F.lit(11)).alias("mark"))
+    return files.first_opening(s, n, ["mark"], "n_nationkey").drop("mark")
 
 
 @query(
@@ -310,18 +309,17 @@ def both_directions(spark, sf_dir):
 
 @query("anti_parsed", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def anti_parsed(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    return files.without(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels"), ["doc_id"])
 
 
 @query("semi_known", "SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 0)")
 def semi_known(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels").where("toxic = 0"), "doc_id", "left_semi")
+    return files.among(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels").where("toxic = 0"), ["doc_id"])
 
 
 @query("client_sets", "SELECT o_orderpriority, o_custkey FROM (SELECT DISTINCT o_orderpriority, o_custkey FROM orders)")
 def client_sets(spark, sf_dir):
-    """A file's set of clients, then a row a client. The set is kept as rows, so a file with many clients is no one row."""
-    return _t(spark, sf_dir, "orders").select("o_orderpriority", "o_custkey").distinct()
+    return files.members(_t(spark, sf_dir, "orders"), ["o_orderpriority"], "o_custkey")
 
 
 @query(
@@ -338,7 +336,7 @@ def union_first_wins(spark, sf_dir):
 @query("replaced_minus", "SELECT doc_id, lang FROM documents EXCEPT SELECT doc_id, lang FROM documents JOIN labels USING (doc_id) WHERE quality = 1")
 def replaced_minus(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", "lang")
-    return d.subtract(d.join(_t(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi"))
+    return files.without(d, _t(spark, sf_dir, "labels").where("quality = 1"), ["doc_id"]).distinct()
 
 
 # --- versions and times
@@ -359,8 +357,7 @@ def snapshot_latest(spark, sf_dir):
 )
 def timestamp_modes(spark, sf_dir):
     l = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("fs"))
-    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("network"))
-    return o.join(l, "o_orderkey").withColumn("hybrid", F.greatest("network", "fs"))
+    return files.clocks(_t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("network")), l, ["o_orderkey"])
 
 
 @query(
@@ -370,25 +367,18 @@ def timestamp_modes(spark, sf_dir):
 def hybrid_skew(spark, sf_dir):
     f = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("first"))
     j = _t(spark, sf_dir, "orders").join(f, "o_orderkey")
-    return j.select("o_orderkey", F.floor((_micros("first") - _micros("o_orderdate")) / 1_000_000).cast("long").alias("skew_s"), F.col("first").alias("hybrid"))
+    return j.select("o_orderkey", files.skew(_micros("first"), _micros("o_orderdate")).alias("skew_s"), F.col("first").alias("hybrid"))
 
 
 @query("capture_window", "SELECT event_type, min(ts) AS first, max(ts) AS last, max(ts) >= TIMESTAMP '2024-01-30' AS covers FROM events GROUP BY event_type")
 def capture_window(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
-    moment = F.lit("2024-01-30").cast(e.schema["ts"].dataType)
-    return e.groupBy("event_type").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), (F.max("ts") >= moment).alias("covers"))
+    return files.window(e, ["event_type"], "ts", F.lit("2024-01-30").cast(e.schema["ts"].dataType))
 
 
 @query("file_ids", "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS file_id FROM events")
 def file_ids(spark, sf_dir):
-    """Ids from 0 within each type. A type may hold most rows, so ranks are sums over small buckets of the id range."""
-    e = _t(spark, sf_dir, "events").select("event_type", "event_id").withColumn("b", F.floor(F.col("event_id") / 4096))
-    n = e.groupBy("event_type", "b").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("event_type").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = n.select("event_type", "b", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy("event_type", "b").orderBy("event_id"))
-    return e.withColumn("w", within).join(n, ["event_type", "b"]).select("event_type", "event_id", (F.col("before") + F.col("w") - 1).alias("file_id"))
+    return files.numbered(_t(spark, sf_dir, "events").select("event_type", "event_id"), "event_type", "event_id")
 
 
 # --- filters
@@ -426,11 +416,11 @@ def visibility(spark, sf_dir):
 
 @query(
     "method_detect",
-    "SELECT doc_id, regexp_matches(m, '^(GET|HEAD|POST|PUT|DELETE|TRACE|OPTIONS|CONNECT|PATCH|HTTP)') AND length(m) >= 7 AS http FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'GET /' WHEN 1 THEN 'HTTP/1.1' WHEN 2 THEN 'PUT' ELSE '' END || substr(text, 1, 40) AS m FROM documents)",
+    "SELECT doc_id, regexp_matches(m, '^(GET|HEAD|POST|PUT|DELETE|TRACE|OPTIONS|CONNECT|PATCH|HTTP)') AND length(m) >= 7 AS http FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'GET /' WHEN 1 THEN 'HTTP/1.1' WHEN 2 THEN 'PUT' ELSE '' END || text AS m FROM documents)",
 )
 def method_detect(spark, sf_dir):
     start = F.element_at(F.array(F.lit("GET /"), F.lit("HTTP/1.1"), F.lit("PUT"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int"))
-    return _t(spark, sf_dir, "documents").select("doc_id", filters.is_http(F.concat(start, F.substring("text", 1, 40))).alias("http"))
+    return _t(spark, sf_dir, "documents").select("doc_id", filters.is_http(F.concat(start, F.col("text"))).alias("http"))
 
 
 @query(
@@ -479,9 +469,9 @@ def display_name(spark, sf_dir):
     return e.select("event_id", text.display_name(F.col("user_id"), F.col("event_id"), F.col("value") > 50, F.col("event_type"), F.when(F.col("side"), ".meta").otherwise("")).alias("name"))
 
 
-@query("hex_roundtrip", "SELECT doc_id, lower(hex(encode(substr(text, 1, 64)))) AS hex, md5(substr(text, 1, 64)) AS back FROM documents")
+@query("hex_roundtrip", "SELECT doc_id, lower(hex(encode(text))) AS hex, md5(text) AS back FROM documents")
 def hex_roundtrip(spark, sf_dir):
-    h = F.lower(F.hex(F.substring("text", 1, 64)))
+    h = F.lower(F.hex(F.col("text").cast("binary")))
     return _t(spark, sf_dir, "documents").select("doc_id", h.alias("hex"), F.md5(F.unhex(h)).alias("back"))
 
 
@@ -494,14 +484,13 @@ def hex_roundtrip_text(spark, sf_dir):
 
 @query("filetime", "SELECT o_orderkey, (epoch_us(o_orderdate) // 1000000 + 11644473600) * 10000000 + 1234567 AS filetime, epoch_us(o_orderdate) // 1000000 AS seconds, epoch_us(o_orderdate) // 1000 AS millis FROM orders")
 def filetime(spark, sf_dir):
-    s = F.floor(_micros("o_orderdate") / 1_000_000).cast("long")
-    ft = (s + 11_644_473_600) * 10_000_000 + 1_234_567
-    return _t(spark, sf_dir, "orders").select("o_orderkey", ft.alias("filetime"), (F.floor(ft / 10_000_000) - 11_644_473_600).cast("long").alias("seconds"), F.floor(_micros("o_orderdate") / 1000).cast("long").alias("millis"))
+    ft = times.to_filetime(times.whole_seconds(_micros("o_orderdate")), 1_234_567)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", ft.alias("filetime"), times.filetime_seconds(ft).alias("seconds"), F.floor(_micros("o_orderdate") / 1000).cast("long").alias("millis"))
 
 
 @query("blocks", "SELECT doc_id, CAST(ceil(n_chars / 512.0) AS BIGINT) AS blocks, (n_chars + 7) // 8 * 8 AS padded FROM documents")
 def blocks(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.ceil(F.col("n_chars") / 512).alias("blocks"), (F.floor((F.col("n_chars") + 7) / 8) * 8).cast("long").alias("padded"))
+    return _t(spark, sf_dir, "documents").select("doc_id", files.blocks(F.col("n_chars")).alias("blocks"), files.padded(F.col("n_chars")).alias("padded"))
 
 
 @query("pasv_port", "SELECT event_id, CAST((event_id * 37 % 65536) AS INT) AS port FROM events")
@@ -531,17 +520,20 @@ def mlsd_facts(spark, sf_dir):
 
 @query("enum_names", "SELECT event_id, CASE event_type WHEN 'click' THEN 'TREE_CONNECT' WHEN 'view' THEN 'CREATE' WHEN 'purchase' THEN 'CLOSE' ELSE 'UNKNOWN' END AS command FROM events")
 def enum_names(spark, sf_dir):
-    names = F.create_map(*map(F.lit, ["click", "TREE_CONNECT", "view", "CREATE", "purchase", "CLOSE"]))
-    return _t(spark, sf_dir, "events").select("event_id", F.coalesce(F.try_element_at(names, F.col("event_type")), F.lit("UNKNOWN")).alias("command"))
+    numbers = {"click": smb.TREE_CONNECT, "view": smb.CREATE, "purchase": smb.CLOSE}
+    number = F.lit(-1)
+    for kind, n in numbers.items():
+        number = F.when(F.col("event_type") == kind, n).otherwise(number)
+    return _t(spark, sf_dir, "events").select("event_id", smb.command_name(number).alias("command"))
 
 
 @query(
     "fingerprint_sorted",
     """SELECT doc_id, substr(sha256(array_to_string(list_sort(w), ',')), 1, 12) AS part, array_to_string(list_transform(w, lambda x: lpad(lower(to_hex(CAST(length(x) AS BIGINT))), 4, '0')), ',') AS hex4
-      FROM (SELECT doc_id, string_split(substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 80), ' ') AS w FROM documents)""",
+      FROM (SELECT doc_id, string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' ') AS w FROM documents)""",
 )
 def fingerprint_sorted(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.split(F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 80), " ").alias("w"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " ").alias("w"))
     return d.select("doc_id", fingerprints.part(F.array_join(F.array_sort("w"), ",")).alias("part"), fingerprints.hex4(F.transform("w", lambda x: F.char_length(x))).alias("hex4"))
 
 
@@ -563,7 +555,7 @@ def hassh_like(spark, sf_dir):
 
 @query("first_match", "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS r FROM part) WHERE r = 1")
 def first_match(spark, sf_dir):
-    return _t(spark, sf_dir, "part").groupBy("p_brand").agg(F.max_by("p_partkey", F.struct("p_size", -F.col("p_partkey"))).alias("p_partkey"))
+    return files.best(_t(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey"), ["p_brand"], F.struct(-F.col("p_size"), "p_partkey")).drop("p_size")
 
 
 # --- content round trips
