@@ -236,10 +236,10 @@ def conversation_tree(spark, sf_dir) -> DataFrame:
     return tree.levels(s, ["protocol", "dst_port"], {"files": F.count(F.lit(1)), "bytes": F.sum("size"), "modified_ns": F.max("ts_ns"), "changed_ns": F.min("ts_ns")})
 
 
-#: A file a conversation, with the time of its opening segment, a second before its first turn.
+#: A file a conversation, with the time of its first segment that has bytes, that of its first turn.
 query(
     "conversation_tree",
-    """WITH f AS (SELECT conv_id, min(turn) * 1000000 + conv_id * 10 AS us, sum(octet_length(encode(text))) AS bytes FROM conversations GROUP BY conv_id)
+    """WITH f AS (SELECT conv_id, (min(turn) + 1) * 1000000 + conv_id * 10 AS us, sum(octet_length(encode(text))) AS bytes FROM conversations GROUP BY conv_id)
     SELECT CAST(CASE WHEN grouping(protocol) = 1 THEN 0 WHEN grouping(dst_port) = 1 THEN 1 ELSE 2 END AS INTEGER) AS depth, protocol, dst_port,
       count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(max(us) * 1000 AS BIGINT) AS modified_ns, CAST(min(us) * 1000 AS BIGINT) AS changed_ns
     FROM (SELECT *, 'tcp' AS protocol, '8000' AS dst_port FROM f) GROUP BY ROLLUP (protocol, dst_port)""",
