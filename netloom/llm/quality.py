@@ -43,12 +43,16 @@ COMMON = {
 
 @dataclass(frozen=True)
 class Limits:
-    """A text is kept if each distance is at most its limit, or the text has fewer words than that distance's guard."""
+    """A text is kept if each distance is at most its limit, or the text has fewer words than the guard.
 
+    Chance alone moves the word histogram of a short text, the more the fewer
+    words it has, so its limit is ``words + words_slack / n_words``.
+    """
+
+    guard: int = 50
     classes: float = 0.30
-    classes_guard: int = 50
-    words: float = 0.30
-    words_guard: int = 100
+    words: float = 0.26
+    words_slack: float = 4.5
     #: Up to so many languages their references are sent to all tasks; beyond, they are joined by a shuffle.
     broadcast_languages: int = 2_000
 
@@ -149,7 +153,8 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     refs = refs.withColumnRenamed("lang", "__lang")
     rows = rows.join(refs, rows["lang"].eqNullSafe(refs["__lang"]), "left")
     rows = rows.withColumns({"class_distance": divergence("class_share", "class_ref"), "word_distance": divergence("word_share", "word_ref")})
-    near = lambda d, limit, guard: (F.col("n_words") < guard) | (F.coalesce(d, F.lit(0.0)) <= limit)
-    alike = near("class_distance", limits.classes, limits.classes_guard) & near("word_distance", limits.words, limits.words_guard)
+    near = lambda d, limit: F.coalesce(d, F.lit(0.0)) <= limit
+    word_limit = F.lit(limits.words) + F.lit(limits.words_slack) / F.col("n_words")
+    alike = (F.col("n_words") < limits.guard) | (near("class_distance", F.lit(limits.classes)) & near("word_distance", word_limit))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance"]
     return rows.select(F.col("id").alias(id_col), *counts, (~F.col("base_failed") & alike).alias("kept"))

@@ -1,10 +1,12 @@
 """Each operator against a brute-force version, and its cases: nulls, empty and long texts, repeats, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import struct
 import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -637,6 +639,49 @@ def test_quality_counts_common_words_in_any_case_and_before_punctuation(spark):
     assert words[0] == words[1] and words[0][-1] == 1 and sum(words[0]) == 6 and words[2][-1] == 2
 
 
+def distance_by_hand(p, q):
+    part = lambda x, m: x * math.log2(x / m) if x else 0.0
+    return math.sqrt(max(0.0, sum(part(x, (x + y) / 2) + part(y, (x + y) / 2) for x, y in zip(p, q)) / 2))
+
+
+def histograms_by_hand(t, lang):
+    kinds = [("a", "z"), None, ("A", "Z"), None, ("0", "9"), None, None]
+    chars = [0] * 7
+    for x in t:
+        inside = [bool(k) and k[0] <= x <= k[1] for k in kinds]
+        inside[1], inside[3], inside[6] = x in " \t\n\x0b\x0c\r", x in quality.STOPS, True
+        inside[5] = unicodedata.category(x)[0] == "L"
+        chars[inside.index(True)] += 1
+    bare = [w.lower().strip(quality.STOPS) for w in WORD.findall(t)]
+    words = [bare.count(w) for w in quality.COMMON[lang].split()]
+    words.append(len(bare) - sum(words))
+    return [[x / (sum(h) or 1) for x in h] for h in (chars, words)]
+
+
+def test_quality_distance_and_verdict_by_hand(spark):
+    rnd = random.Random(13)
+    odd = ["The", "THE,", "(of)", "'and'", "--", ".", "...the...", "été", "x%%", "o'the", "42", "日本"]
+    docs = []
+    for k in range(80):
+        n = rnd.choice([12, 49, 50, 51, 99, 100, 200])
+        lang = rnd.choice(["en", "fr"])
+        rate = rnd.choice([0.0, 0.3, 0.5])
+        some = [rnd.choice(quality.COMMON[lang].split()) if rnd.random() < rate else rnd.choice(odd) + str(rnd.random())[: rnd.randint(0, 6)] for _ in range(n)]
+        docs.append((k, rnd.choice(["", " ", "'", ". "]) + rnd.choice([" ", "  ", "\n"]).join(some) + rnd.choice(["", " ", "'"]), lang))
+    rows = {r.doc_id: r for r in quality.assess(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    hist = {k: histograms_by_hand(t, lang) for k, t, lang in docs}
+    kept = set()
+    for k, _, lang in docs:
+        good = [i for i, _, other in docs if other == lang and not rows[i].base_failed]
+        ref = [[sum(x) / len(good) for x in zip(*(hist[i][h] for i in good))] for h in (0, 1)]
+        d = [distance_by_hand(hist[k][h], ref[h]) for h in (0, 1)]
+        r = rows[k]
+        assert r.class_distance == pytest.approx(d[0], abs=1e-9) and r.word_distance == pytest.approx(d[1], abs=1e-9)
+        assert r.kept == (not r.base_failed and (r.n_words < 50 or (d[0] <= 0.30 and d[1] <= 0.26 + 4.5 / r.n_words)))
+        kept.add((r.base_failed, r.kept, r.n_words < 50))
+    assert {(False, True, False), (False, False, False), (False, True, True)} <= kept
+
+
 # --- 10 packing
 
 
