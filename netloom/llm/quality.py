@@ -29,6 +29,7 @@ CLASSES = {
     "digit": "[0-9]",
     "letter": r"\p{L}",
 }
+AROUND = rf"[{SPACE}.,;:!?'\"()\-]"
 SYMBOLS = "#*$%&|<>"
 STOPS = ".,;:!?'\"()-"
 
@@ -105,11 +106,13 @@ def _counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) -
         F.array(*each, _length(before)).alias("classes"),
         hits.alias("hits"),
     )
-    words = F.lit(None).cast("array<long>")
-    for name, listed in COMMON.items():
-        tally = [(F.size("hits") - F.size(F.array_remove("hits", w))).cast("long") for w in listed.split()]
-        words = F.when(F.col("lang") == name, F.array(*tally)).otherwise(words)
-    t = t.withColumn("words", words).drop("hits")
+    # One expression for all languages: a tally written out for each word makes code too long to be compiled.
+    listed = F.lit(None).cast("array<string>")
+    for name, words in COMMON.items():
+        listed = F.when(F.col("lang") == name, F.array(*map(F.lit, words.split()))).otherwise(listed)
+    t = t.withColumn("listed", listed)
+    words = F.transform("listed", lambda w: (F.size("hits") - F.size(F.array_remove("hits", w))).cast("long"))
+    t = t.withColumn("words", words).drop("hits", "listed")
     # The last bin of the word histogram: all words that are not among the common ones.
     total = F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x)
     return t.withColumn("words", F.concat("words", F.array(F.greatest(F.col("n_words") - total, F.lit(0).cast("long")))))
