@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, mixing, packing, quality, secrets, sharding, simhash, tools, toxicity
+from . import infill, licenses, media, mixing, packing, quality, repair, secrets, sharding, simhash, token_files, tools, toxicity
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +136,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), packing.Tokenized(vocabulary()))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair.digest(turns, repair.damage(turns))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as Parquet in the session's shared folder, and what the files say."""
+    path = token_files.new_folder(spark)
+    token_files.write(_documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"))
+    return token_files.digest(spark, path)
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.fill_in_middle(_documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_licenses": op2_licenses,
@@ -148,6 +164,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_repair": op11_repair,
+    "op12_token_files": op12_token_files,
+    "op13_infill": op13_infill,
 }
 
 ORACLE_SQL: dict[str, str] = {
