@@ -4,82 +4,129 @@ from __future__ import annotations
 
 import json
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .decoders import dhcp, dns, ftp, http, smb, ssh, streams, tls, xor
+from .decoders import dhcp, dns, ftp, http, smb, ssh, streams, tls, xor  # noqa: F401  decoders register themselves
+from .decoders.registry import DECODERS, FIRST, RUN, Decoder, Options, fixpoint, properties
 from .functions import times
 from .operators import files as fileops
 from .operators import filters, gather, joins, tree
+from .operators.sequence import START
+from .operators.tables import forget, lasting
 from .sources import keys as keysource
 from .sources import pcap
 
-FORMAT = 2
-PROPERTIES = ["protocol", "srcIP", "dstIP", "srcPort", "dstPort", "domain", "uri", "path", "ja3", "ja3s", "ja4", "ja4s", "ja4h", "hassh"]
+FORMAT = 3
+PROPERTIES = ["protocol", "srcIP", "dstIP", "srcPort", "dstPort", "domain", "uri", "path", "ja3", "ja3s", "ja4", "ja4s", "ja4h", "ja4x", "hassh", "hasshServer"]
 FILE = "stream string, file_type string, name string, ts_ns long, first_packet_no long, start long, size long, is_metadata boolean, parsed boolean, missing_data boolean, content binary, fs_ns long, props map<string,string>"
 #: Files of servers: their paths are directories, and they may have several clients and versions.
 SERVED = ["smb", "ftp"]
-
-
-def _props(**cols: Column) -> Column:
-    flat = [x for k, c in cols.items() for x in (F.lit(k), c.cast("string"))]
-    return F.map_filter(F.create_map(*flat), lambda k, v: v.isNotNull() & (v != ""))
+#: The columns of a file beside those of FILE that only decoding needs.
+_RUN = [c.split()[0] for c in RUN.split(", ")]
 
 
 class Engine:
     """Captures as virtual files.
 
-    ``files`` is one DataFrame, a row a virtual file, partitioned by nothing and
-    decoded lazily; ``tree`` and ``ls`` are queries over it.
+    ``files`` is one DataFrame, a row a virtual file, partitioned by nothing;
+    ``tree`` and ``ls`` are queries over it.
     """
 
-    def __init__(self, files: DataFrame, sortby: str = "/protocol/"):
-        self.files, self.sortby = files, sortby
+    def __init__(self, files: DataFrame, sortby: str = "/protocol/", tables: tuple[DataFrame, ...] = ()):
+        self.files, self.sortby, self._tables = files, sortby, tables
+
+    def close(self) -> None:
+        """Removes the tables that decoding wrote; ``files`` can't be read after that. A saved index stays."""
+        forget(*self._tables)
+        self._tables = ()
 
     @staticmethod
-    def _file(kind: str, name: Column, ts_ns: Column, start: Column, content: str, props: Column, stream: Column, **more: Column) -> list[Column]:
-        """The columns of a file that one decoder made."""
-        given = {"first_packet_no": F.lit(None).cast("long"), "is_metadata": F.lit(False), "parsed": F.lit(False), "missing_data": F.lit(False)} | more
-        named = {"stream": stream, "file_type": F.lit(kind), "name": name, "ts_ns": ts_ns, "start": start.cast("long"), "size": F.octet_length(content).cast("long"), "content": F.col(content), "props": props}
-        return [c.alias(n) for n, c in (named | given).items()]
+    def _ends() -> Column:
+        return properties(**{k: F.col("first")[c] for k, c in (("srcIP", "src_ip"), ("dstIP", "dst_ip"), ("srcPort", "src_port"), ("dstPort", "dst_port"))})
+
+    @staticmethod
+    def _tcp(runs: DataFrame) -> DataFrame:
+        """The runs of streams as RUN rows."""
+        fixed = {"file": F.col("stream"), "file_type": F.lit("tcp"), "parent": F.lit(None).cast("string"), "depth": F.lit(0), "name": F.lit("tcp"), "is_metadata": F.lit(False), "first": F.col("first").cast(FIRST)}
+        kind = F.coalesce(filters.application(F.lit("tcp"), F.col("first.src_port"), F.col("first.dst_port")), F.lit("tcp"))
+        props = F.map_concat(properties(protocol=kind), Engine._ends())
+        return runs.withColumns(fixed).withColumns({"props": props, "run": F.col("run").cast("int")}).select(*_RUN)
 
     @staticmethod
     def _udp(packets: DataFrame) -> DataFrame:
-        """A file for each session of datagrams, from the end that spoke first to the other."""
+        """The datagrams of sessions as RUN rows, a run a datagram; a session goes from the end that spoke first to the other."""
         s = streams.udp_sessions(packets)
-        head = F.min_by(F.struct("src_ip", "dst_ip", "src_port", "dst_port", "frame_no", "ts_ns"), F.struct("ts_ns", "frame_no"))
-        s = s.groupBy("path", "flow", "session").agg(head.alias("h"), gather.in_order("payload", "frame_no").alias("content"))
-        known = filters.application(F.lit("udp"), F.col("h.src_port"), F.col("h.dst_port"))
-        props = _props(protocol=F.coalesce(known, F.lit("udp")), srcIP=F.col("h.src_ip"), dstIP=F.col("h.dst_ip"), srcPort=F.col("h.src_port"), dstPort=F.col("h.dst_port"))
-        stream = F.concat_ws("-", "path", "flow", "session")
-        return s.select(*Engine._file("udp", F.lit("udp"), F.col("h.ts_ns"), F.lit(0), "content", props, stream, first_packet_no=F.col("h.frame_no"), parsed=F.coalesce(known.isin("dns", "dhcp"), F.lit(False))))
+        w = Window.partitionBy("path", "flow", "session")
+        order = w.orderBy("ts_ns", "frame_no")
+        one = F.struct("path", "frame_no", "ts_ns", "src_ip", "src_port", "dst_ip", "dst_port").cast(FIRST)
+        s = s.withColumns({"one": one, "run": (F.row_number().over(order) - 1).cast("int"), "offset": F.coalesce(F.sum(F.octet_length("payload")).over(order.rowsBetween(START, -1)), F.lit(0)).cast("long")})
+        s = s.withColumn("opening", F.first("one").over(order))
+        fixed = {"file": F.concat_ws("-", "path", "flow", "session"), "file_type": F.lit("udp"), "parent": F.lit(None).cast("string"), "depth": F.lit(0), "name": F.lit("udp"), "is_metadata": F.lit(False), "missing_data": F.lit(False)}
+        s = s.withColumns(fixed).withColumns({"stream": F.col("file"), "first": F.col("opening"), "side": (F.col("src_ip") != F.col("opening.src_ip")).cast("int"), "content": F.col("payload")})
+        known = filters.application(F.lit("udp"), F.col("first.src_port"), F.col("first.dst_port"))
+        s = s.withColumn("props", F.map_concat(properties(protocol=F.coalesce(known, F.lit("udp"))), Engine._ends()))
+        return s.withColumn("first", F.col("one")).select(*_RUN)
 
     @staticmethod
-    def _smb(runs: DataFrame) -> DataFrame:
-        """A file for each version that reads and writes over SMB show; ``start`` is the number of the version."""
-        v = smb.names(smb.versions(smb.operations(smb.exchanges(smb.messages(runs)))))
-        props = _props(protocol=F.lit("smb"), dstIP=F.col("server"), srcIP=F.array_join("client_ips", ","), path=F.col("path"), op=F.col("op"))
-        name = F.substring_index("name", "/", -1)
-        return v.select(*Engine._file("smb", name, F.col("last_ns"), F.col("version"), "content", props, F.concat_ws(":", "server", "path", "op"), fs_ns=F.unix_micros("mtime") * 1000))
+    def _whole(rows: DataFrame, parsed: DataFrame) -> DataFrame:
+        """RUN rows as files. Only streams and what keeps their runs are put together; all others are one run."""
+        done = parsed.select("file").distinct().withColumn("done", F.lit(True))
+        number = F.when(F.col("depth") == 0, F.col("first.frame_no"))
+        rows = rows.withColumn("number", number)
+        many = F.col("file_type").isin("tcp", "udp", "xor", "tls") & ~F.col("is_metadata")
+        order = F.struct("run", "side")
+        together = rows.where(many).groupBy("file", "file_type").agg(
+            F.first("stream").alias("stream"), F.first("name").alias("name"), F.min("ts_ns").alias("ts_ns"), F.min_by("number", order).alias("number"), F.min("offset").alias("offset"),
+            gather.in_order("content", "run, side").alias("content"), F.max("missing_data").alias("missing_data"), F.first("is_metadata").alias("is_metadata"), F.first("props").alias("props"),
+        )
+        every = together.unionByName(rows.where(~many).select(*together.columns))
+        return every.join(done, "file", "left").select(
+            "stream", "file_type", "name", "ts_ns", F.col("number").alias("first_packet_no"), F.col("offset").alias("start"), F.octet_length("content").cast("long").alias("size"),
+            "is_metadata", F.coalesce("done", F.lit(False)).alias("parsed"), "missing_data", "content", F.lit(None).cast("long").alias("fs_ns"), "props",
+        )
 
     @staticmethod
-    def _ftp(runs: DataFrame, whole: DataFrame, bytes_: DataFrame) -> DataFrame:
-        """A file for each data stream of FTP, under the path that its command names."""
-        d = ftp.data_files(ftp.control(runs), whole).join(bytes_, "stream").join(whole.select("stream", "src_ip", "dst_ip", "src_port", "dst_port", "missing_data"), "stream")
-        ends = {"srcIP": F.col("src_ip"), "dstIP": F.col("dst_ip"), "srcPort": F.col("src_port"), "dstPort": F.col("dst_port")}
-        props = _props(protocol=F.lit("ftp"), path=F.col("path"), command=F.col("verb"), **ends)
-        return d.select(*Engine._file("ftp", F.substring_index("path", "/", -1), F.col("ts_ns"), F.lit(0), "content", props, F.col("stream"), missing_data=F.col("missing_data")))
+    def _served(base: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
+        """(files, parsed): what servers hold, told from all connections together: versions of SMB files, and the data streams of FTP."""
+        runs = base.where("file_type = 'tcp'")
+        talk = runs.where(smb.fits(options))
+        if options.any_port:
+            talk = runs.join(talk.select("file").distinct(), "file", "left_semi")
+        v = smb.names(smb.versions(smb.operations(smb.exchanges(smb.messages(talk)))))
+        props = properties(protocol=F.lit("smb"), dstIP=F.col("server"), srcIP=F.array_join("client_ips", ","), path=F.col("path"), op=F.col("op"))
+        no = F.lit(False)
+        one = v.select(
+            F.concat_ws(":", "server", "path", "op").alias("stream"), F.lit("smb").alias("file_type"), F.substring_index("name", "/", -1).alias("name"), F.col("last_ns").alias("ts_ns"), F.lit(None).cast("long").alias("first_packet_no"),
+            F.col("version").cast("long").alias("start"), F.octet_length("content").cast("long").alias("size"), no.alias("is_metadata"), no.alias("parsed"), no.alias("missing_data"), "content", (F.unix_micros("mtime") * 1000).alias("fs_ns"), props.alias("props"),
+        )
+        heads = runs.groupBy("stream").agg(F.min("ts_ns").alias("ts_ns"), F.sum(F.octet_length("content")).cast("long").alias("size"), F.first("first").alias("first"), F.max("missing_data").alias("missing_data"))
+        whole = heads.select("stream", "ts_ns", "size", "first.src_port", "first.dst_port")
+        moved = ftp.data_files(ftp.control(runs), whole)
+        bytes_ = runs.join(moved.select("stream").distinct(), "stream", "left_semi").groupBy("stream").agg(gather.in_order("content", "run").alias("content"))
+        d = moved.drop("size", "ts_ns").join(bytes_, "stream").join(heads, "stream")
+        props = F.map_concat(properties(protocol=F.lit("ftp"), path=F.col("path"), command=F.col("verb")), Engine._ends())
+        two = d.select(
+            "stream", F.lit("ftp").alias("file_type"), F.substring_index("path", "/", -1).alias("name"), "ts_ns", F.lit(None).cast("long").alias("first_packet_no"), F.lit(0).cast("long").alias("start"), F.octet_length("content").cast("long").alias("size"),
+            no.alias("is_metadata"), no.alias("parsed"), "missing_data", "content", F.lit(None).cast("long").alias("fs_ns"), props.alias("props"),
+        )
+        return one.unionByName(two), moved.select(F.col("stream").alias("file"))
 
     @staticmethod
-    def open(spark: SparkSession, path: str | None = None, captures: DataFrame | None = None, suffix: str = "", rules: dict | None = None, xor_keys: DataFrame | None = None, key_log: DataFrame | None = None, keys: str | list[str] | None = None, config: str | None = None) -> Engine:
+    def open(
+        spark: SparkSession, path: str | None = None, captures: DataFrame | None = None, suffix: str = "", rules: dict | None = None, xor_keys: DataFrame | None = None, key_log: DataFrame | None = None, keys: str | list[str] | None = None,
+        config: str | None = None, check_non_default_ports: bool = False, decoders: dict[str, Decoder] | None = None, most_rounds: int = 16,
+    ) -> Engine:
         """Of a path, or of captures (path, content) that are a DataFrame already.
 
         ``rules`` are decode rules by decoder, as a configuration has them;
         ``key_log`` (column line) is read beside the secrets that captures carry.
         ``keys`` are key files or folders of such: lines of key logs and XOR
         keys. ``config`` is the text of a configuration, whose rules, key files
-        and order of listing count where the arguments give none.
+        and order of listing count where the arguments give none. What decoders
+        find is offered to all decoders again, up to ``most_rounds`` deep;
+        ``decoders`` are used in place of all that are registered. With
+        ``check_non_default_ports`` contents tell TLS and SMB, not ports.
         """
         told = keysource.config(config) if config else {"sortby": "/protocol/", "keyfiles": [], "rules": {}}
         rules = rules or told["rules"]
@@ -89,61 +136,17 @@ class Engine:
             key_log = lines if key_log is None else key_log.select("line").unionByName(lines)
             xor_keys = xor_keys if xor_keys is not None else keysource.xor_keys(spark, places)
         source = captures if captures is not None else pcap.captures(spark, path, suffix)
-        # Every decoder reads these: they are computed once and kept on the executors' disks.
-        packets = pcap.packets(source).persist(StorageLevel.DISK_ONLY)
-        segments = streams.tcp_segments(packets)
-        runs, whole = streams.runs(segments).persist(StorageLevel.DISK_ONLY), streams.streams(segments).persist(StorageLevel.DISK_ONLY)
-        ends = {"srcIP": F.col("src_ip"), "dstIP": F.col("dst_ip"), "srcPort": F.col("src_port"), "dstPort": F.col("dst_port")}
-
-        web = http.messages(runs)
-        # What a session hides is offered to the decoders again.
-        hello = tls.hellos(recs := tls.records(runs))
         log = pcap.secrets(source).select("line")
         log = keysource.key_log(log if key_log is None else log.unionByName(key_log.select("line")))
-        plain = tls.plaintexts(recs, hello, log)
-        opened = plain.groupBy("stream", "side", "run").agg(gather.in_order("plain", "n").alias("content"))
-        opened = opened.join(runs.drop("content"), ["stream", "side", "run"])
-        web = web.withColumn("over", F.lit("tcp")).unionByName(http.messages(opened).withColumn("over", F.lit("tls")))
-        marks = hello.select("stream", "sni", "ja3", "ja3s", "ja4", "ja4s")
-
-        head = web.select("*", F.lit(True).alias("meta"), F.encode("head", "ISO-8859-1").alias("c")).unionByName(web.select("*", F.lit(False).alias("meta"), F.col("body").alias("c")))
-        head = head.where("meta OR octet_length(body) > 0").join(marks, "stream", "left")
-        http_files = head.select(
-            "stream", F.lit("http").alias("file_type"), F.col("filename").alias("name"), "ts_ns", F.lit(None).cast("long").alias("first_packet_no"), F.col("offset").alias("start"), F.octet_length("c").cast("long").alias("size"),
-            F.col("meta").alias("is_metadata"), F.lit(False).alias("parsed"), "missing_data", F.col("c").alias("content"),
-            _props(protocol=F.lit("http"), **ends, domain=F.col("domain"), uri=F.col("uri"), ja4h=F.col("ja4h"), ja3=F.col("ja3"), ja3s=F.col("ja3s"), ja4=F.col("ja4"), ja4s=F.col("ja4s")).alias("props"),
-        )
-        datagrams = dns.messages(packets).drop("is_response").withColumn("kind", F.lit("dns")).unionByName(dhcp.messages(packets).withColumn("kind", F.lit("dhcp")))
-        dns_files = datagrams.select(
-            F.concat_ws("-", "path", "frame_no").alias("stream"), F.col("kind").alias("file_type"), F.col("filename").alias("name"), "ts_ns", F.col("frame_no").alias("first_packet_no"), F.lit(0).cast("long").alias("start"), F.octet_length("content").cast("long").alias("size"),
-            F.lit(False).alias("is_metadata"), F.lit(False).alias("parsed"), F.lit(False).alias("missing_data"), F.col("content").cast("binary").alias("content"), _props(protocol=F.col("kind"), **ends).alias("props"),
-        )
-        texts = ftp.log(runs).join(whole, "stream")
-        ftp_files = texts.select(
-            "stream", F.lit("ftpcontrol").alias("file_type"), F.lit(".control").alias("name"), "ts_ns", "first_packet_no", F.lit(0).cast("long").alias("start"), F.octet_length("content").cast("long").alias("size"),
-            F.lit(True).alias("is_metadata"), F.lit(False).alias("parsed"), "missing_data", F.encode("content", "ISO-8859-1").alias("content"), _props(protocol=F.lit("ftpcontrol"), **ends).alias("props"),
-        )
-        # A stream that was decoded further is still there, marked as parsed.
-        bytes_ = runs.groupBy("stream").agg(gather.in_order("content", "run").alias("content"))
-        served, moved = Engine._smb(runs), Engine._ftp(runs, whole, bytes_)
-        talks = smb.messages(runs).select("stream").unionByName(moved.select("stream"))
-        done = web.select("stream").unionByName(texts.select("stream")).unionByName(talks).distinct().withColumn("done", F.lit(True))
-        marks = marks.join(ssh.handshakes(runs).where("is_client").select("stream", "hassh"), "stream", "full")
-        tcp = whole.join(bytes_, "stream").join(marks, "stream", "left").join(done, "stream", "left")
-        kind = F.coalesce(filters.application(F.lit("tcp"), F.col("src_port"), F.col("dst_port")), F.lit("tcp"))
-        tcp_files = tcp.select(
-            "stream", F.lit("tcp").alias("file_type"), F.lit("tcp").alias("name"), "ts_ns", "first_packet_no", F.lit(0).cast("long").alias("start"), "size", F.lit(False).alias("is_metadata"),
-            F.coalesce("done", F.lit(False)).alias("parsed"), "missing_data", "content",
-            _props(protocol=kind, **ends, ja3=F.col("ja3"), ja3s=F.col("ja3s"), ja4=F.col("ja4"), ja4s=F.col("ja4s"), domain=F.col("sni"), hassh=F.col("hassh")).alias("props"),
-        )
-        every = tcp_files.unionByName(http_files).unionByName(dns_files).unionByName(ftp_files).unionByName(Engine._udp(packets))
-        every = every.unionByName(served, allowMissingColumns=True).unionByName(moved, allowMissingColumns=True)
-        hidden = (rules or {}).get("xor", [])
-        if hidden and xor_keys is not None:
-            flat = tcp_files.withColumns({k: F.col("props")[k] for r in hidden for k in r if k != "keyfile"})
-            clear = xor.decode(flat, hidden, xor_keys).withColumns({"file_type": F.lit("xor"), "name": F.lit("XOR"), "props": F.map_concat(F.map_filter("props", lambda k, v: k != "protocol"), F.create_map(F.lit("protocol"), F.lit("xor")))})
-            every = every.unionByName(clear.select(*tcp_files.columns), allowMissingColumns=True)
-        return Engine(every, told["sortby"])
+        options = Options(rules or {}, xor_keys, log, any_port=check_non_default_ports)
+        # Read by several jobs, so written once; a lost executor costs no second walk over the captures.
+        packets = lasting(pcap.packets(source))
+        base = lasting(Engine._tcp(streams.runs(streams.tcp_segments(packets))).unionByName(Engine._udp(packets)))
+        rows, parsed = fixpoint(base, options, DECODERS if decoders is None else decoders, most_rounds)
+        served, moved = Engine._served(base, options)
+        files = lasting(Engine._whole(rows, parsed.unionByName(moved)).unionByName(served))
+        forget(packets, base)
+        return Engine(files, told["sortby"], (files,))
 
     def visible(self, show_metadata: bool = False, show_all: bool = False, snip: str | tuple[int | None, int | None] = (None, None), snapshot: str | int | None = None, timestamp_mode: str = "hybrid") -> DataFrame:
         """The files that show: metadata and parsed parents on demand, and times (ns, or the option's text ``a,b``) in the range, ends included.
@@ -220,14 +223,14 @@ class Engine:
         df = self.visible(**show).select("ts_ns", *[F.try_element_at("props", F.lit(k)).alias(k) for k in keys])
         return tree.levels(df, keys, {"files": F.count(F.lit(1)), "modified_ns": F.max("ts_ns"), "changed_ns": F.min("ts_ns")})
 
-    def ls(self, directory: str, sortby: str | None = None, offset: int = 0, limit: int = 1000, **show) -> DataFrame:
-        """A page of one directory's files, by name."""
+    def ls(self, directory: str, sortby: str | None = None, offset: int = 0, limit: int | None = None, **show) -> DataFrame:
+        """One directory's files, by name; with ``limit`` a page of so many."""
         return tree.page(self.listing(sortby, **show).where(F.col("directory") == directory), ["display_name"], offset, limit)
 
-    def cat(self, stream: str, file_type: str, start: int = 0, offset: int = 0, length: int = 1 << 30) -> bytes | None:
-        """The bytes of one file, from an offset on; None if there is no such file."""
+    def cat(self, stream: str, file_type: str, start: int = 0, offset: int = 0, length: int | None = None) -> bytes | None:
+        """The bytes of one file, from an offset on, all or ``length`` of them; None if there is no such file."""
         at = self.files.where((F.col("stream") == stream) & (F.col("file_type") == file_type) & (F.col("start") == start) & ~F.col("is_metadata"))
-        row = at.select(F.substring("content", offset + 1, length).alias("b")).first()
+        row = at.select(F.substring("content", offset + 1, (1 << 31) - 1 if length is None else length).alias("b")).first()
         return None if row is None else bytes(row.b)
 
     def save(self, path: str) -> None:

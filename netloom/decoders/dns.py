@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .registry import Options, decoder, made, properties
+
 #: Names of classes and record types by number, from 0.
 CLASSES = "Unknown (0),IN,IN_QU,CH,HS".split(",")
 RECORDS = (
@@ -88,3 +90,12 @@ def messages(packets: DataFrame) -> DataFrame:
     is_response = F.get_json_object("content", "$.Answers").isNotNull()
     name = F.concat(F.when(is_response, "RES-").otherwise("REQ-"), F.get_json_object("content", "$.ID"))
     return df.withColumns({"filename": name, "is_response": is_response}).drop("payload")
+
+
+@decoder("dns", lambda o: (F.col("file_type") == "udp") & ((F.col("first.src_port") == 53) | (F.col("first.dst_port") == 53)))
+def files(runs: DataFrame, options: Options) -> DataFrame:
+    """A file for each datagram that is a message."""
+    ends = ("src_ip", "dst_ip", "src_port", "dst_port")
+    m = messages(runs.select("stream", "offset", "ts_ns", "first", "first.path", "first.frame_no", F.lit("udp").alias("l4"), *[F.col("first")[c].alias(c) for c in ends], F.col("content").alias("payload")))
+    own = properties(protocol=F.lit("dns"), srcIP=F.col("src_ip"), dstIP=F.col("dst_ip"), srcPort=F.col("src_port"), dstPort=F.col("dst_port"))
+    return m.select(*made(F.col("stream"), F.concat_ws("@", F.lit("dns"), "frame_no"), F.col("filename"), F.encode("content", "UTF-8"), own, offset=F.col("offset")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators.joins import first_interval
 from ..operators.sequence import START
+from .registry import Options, decoder, made, properties
 
 #: Commands that move data, and those whose data is a listing.
 TRANSFERS = ("RETR", "STOR", "APPE", "STOU")
@@ -96,3 +97,19 @@ def mlsd(listing) -> DataFrame:
     return lines.select(
         "path", text.fact_name(F.col("line")).alias("name"), (F.lower(text.fact(F.col("line"), "type")) == "dir").alias("is_dir"), F.try_to_timestamp(text.fact(F.col("line"), "modify"), F.lit("yyyyMMddHHmmss")).alias("modified")
     )
+
+
+@decoder("ftpcontrol", lambda o: (F.col("file_type") == "tcp") & ((F.col("first.src_port") == 21) | (F.col("first.dst_port") == 21)))
+def files(runs: DataFrame, options: Options) -> DataFrame:
+    """The talk of a control connection, and the names and passwords that it gave."""
+    heads = runs.groupBy("stream").agg(F.min("ts_ns").alias("ts_ns"), F.first("first").alias("first"), F.max("missing_data").alias("missing_data"))
+    texts = log(runs).withColumn("name", F.lit(".control")).unionByName(credentials(runs).withColumn("name", F.lit(".credentials")))
+    suffix = F.concat(F.lit("ftp"), F.col("name"))
+    return texts.join(heads, "stream").select(*made(F.col("stream"), suffix, F.col("name"), F.encode("content", "ISO-8859-1"), properties(protocol=F.lit("ftpcontrol")), is_metadata=F.lit(True), missing=F.col("missing_data")))
+
+
+def credentials(runs: DataFrame) -> DataFrame:
+    """(stream, content): the arguments of USER and PASS, a line each, in their order."""
+    c = control(runs).where("verb IN ('USER', 'PASS') AND argument IS NOT NULL")
+    line = F.struct("run", F.concat_ws(" ", "verb", "argument").alias("x"))
+    return c.groupBy("stream").agg(F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda s: s["x"]), "\n"), F.lit("\n")).alias("content"))

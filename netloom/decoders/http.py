@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import binary, fingerprints
 from ..functions.text import uri_filename
+from ..operators.filters import is_http
 from ..operators.sequence import START
+from .registry import Options, decoder, made, properties
 
 #: The methods of a request.
 METHODS = ("GET", "HEAD", "POST", "PUT", "DELETE", "TRACE", "OPTIONS", "CONNECT", "PATCH")
@@ -64,3 +66,14 @@ def messages(runs: DataFrame) -> DataFrame:
     return df.withColumns({"filename": named, **ends}).select(
         "stream", "run", "ts_ns", "is_request", "method", "status", "domain", "uri", "filename", "ja4h", *ends, "missing_data", "head", "body_raw", "body", "offset"
     )
+
+
+@decoder("http", lambda o: is_http(F.decode(F.substring("content", 1, 16), "ISO-8859-1")))
+def files(runs: DataFrame, options: Options) -> DataFrame:
+    """The header of each message as metadata, and its body where it has one."""
+    m = messages(runs).join(runs.select("stream", "run", "first"), ["stream", "run"])
+    own = properties(protocol=F.lit("http"), srcIP=F.col("src_ip"), dstIP=F.col("dst_ip"), srcPort=F.col("src_port"), dstPort=F.col("dst_port"), domain=F.col("domain"), uri=F.col("uri"), ja4h=F.col("ja4h"))
+    parts = F.array(F.struct(F.lit(True).alias("meta"), F.encode("head", "ISO-8859-1").alias("c")), F.struct(F.lit(False).alias("meta"), F.col("body").alias("c")))
+    each = m.withColumn("own", own).withColumn("p", F.explode(parts)).where("p.meta OR octet_length(p.c) > 0")
+    suffix = F.concat(F.lit("http@"), F.col("offset").cast("string"), F.when(F.col("p.meta"), ".meta").otherwise(""))
+    return each.select(*made(F.col("stream"), suffix, F.col("filename"), F.col("p.c"), F.col("own"), offset=F.col("offset"), is_metadata=F.col("p.meta"), missing=F.col("missing_data")))

@@ -19,6 +19,7 @@ from ..operators.files import by_clock
 from ..operators.gather import joined
 from ..operators.joins import latest
 from ..operators.sequence import START, append_versions
+from .registry import Options, decoder, made, properties
 
 #: Commands by number, from 0.
 COMMANDS = [
@@ -43,6 +44,8 @@ COMMANDS = [
     "OPLOCK_BREAK",
 ]
 TREE_CONNECT, CREATE, CLOSE, READ, WRITE = 3, 5, 6, 8, 9
+#: The kinds of frames that set up or keep a session below SMB.
+SESSION = (0x81, 0x82, 0x83, 0x84, 0x85)
 CHAINED = "F" * 32  # the file id of "the file of the command before"
 
 
@@ -78,7 +81,16 @@ def messages(runs: DataFrame) -> DataFrame:
             rows = []
             for data in column.to_pylist():
                 out, at = [], 0
-                while data and at + 4 <= len(data) and data[at] == 0:
+                while data and at + 4 <= len(data):
+                    if data[at] in SESSION:
+                        at += 4 + int.from_bytes(data[at + 2 : at + 4], "big")
+                        continue
+                    if data[at]:  # the next message with its frame is looked for
+                        found = data.find(b"\xfeSMB", at + 4)
+                        if found < 0:
+                            break
+                        at = found - 4 if data[found - 4] == 0 else found + 4
+                        continue
                     size = int.from_bytes(data[at + 1 : at + 4], "big")
                     frame, at = data[at + 4 : at + 4 + size], at + 4 + size
                     while len(frame) >= 64 and frame[:4] == b"\xfeSMB":
@@ -88,8 +100,7 @@ def messages(runs: DataFrame) -> DataFrame:
                 rows.append(out)
             yield pa.array(rows, kind)
 
-    smb = runs.where((F.col("first.src_port") == 445) | (F.col("first.dst_port") == 445))
-    each = smb.select("stream", "side", "run", "ts_ns", F.concat_ws(":", "first.dst_ip", "first.dst_port").alias("server"), F.col("first.src_ip").alias("client_ip"), F.posexplode(split("content")).alias("n", "msg"))
+    each = runs.select("stream", "side", "run", "ts_ns", F.concat_ws(":", "first.dst_ip", "first.dst_port").alias("server"), F.col("first.src_ip").alias("client_ip"), F.posexplode(split("content")).alias("n", "msg"))
     return each.select(
         "*", _le(12, 2).cast("int").alias("command"), (_le(16, 4) % 2 == 1).alias("is_response"), _le(8, 4).alias("status"), _hex(24, 8).alias("message_id"), _le(36, 4).alias("tree_id"), _hex(40, 8).alias("session_id")
     )
@@ -183,3 +194,21 @@ def names(vers: DataFrame) -> DataFrame:
     per = Window.partitionBy("server", "path", "op")
     many = F.count(F.lit(1)).over(per) > 1
     return vers.withColumn("name", F.when(many, F.concat("path", F.lit("@"), F.col("version").cast("string"))).otherwise(F.col("path")))
+
+
+def fits(options: Options) -> Column:
+    """Port 445, or 139 behind the set-up of a session; with ``any_port`` a first frame that holds a message."""
+    b = F.col("content")
+    port = lambda p: (F.col("first.src_port") == p) | (F.col("first.dst_port") == p)
+    message = (F.octet_length(b) > 68) & (number(b, 0, 1) == 0) & (number(b, 0, 4) != 0) & F.hex(F.substring(b, 5, 4)).isin("FE534D42", "FF534D42")
+    told = port(445) | port(139)
+    return (F.col("file_type") == "tcp") & ((told | ((F.col("offset") == 0) & message)) if options.any_port else told)
+
+
+@decoder("smbcontrol", fits, whole=lambda o: o.any_port)
+def files(runs: DataFrame, options: Options) -> DataFrame:
+    """The talk of each connection as text, a line a message."""
+    lines = log(messages(runs)).groupBy("stream").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", "n", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    heads = runs.groupBy("stream").agg(F.min("ts_ns").alias("ts_ns"), F.first("first").alias("first"), F.max("missing_data").alias("missing_data"))
+    text = F.encode(F.concat("text", F.lit("\n")), "UTF-8")
+    return lines.join(heads, "stream").select(*made(F.col("stream"), F.lit("smbcontrol"), F.lit("SMB.control"), text, properties(protocol=F.lit("smb")), is_metadata=F.lit(True), missing=F.col("missing_data")))

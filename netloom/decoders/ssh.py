@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binary import number
 from ..functions.fingerprints import hassh
+from ..operators.sequence import START
+from .registry import Options, decoder, made, properties
 
 KEXINIT, NEWKEYS = 20, 21
 #: The name lists of a key exchange in their order.
@@ -43,3 +48,42 @@ def handshakes(runs: DataFrame) -> DataFrame:
     mark = F.when(F.col("lists").isNotNull(), hassh(F.col("lists")[0], pick("enc_out", "enc_in"), pick("mac_out", "mac_in"), pick("comp_out", "comp_in")))
     r = r.withColumn("hassh", mark)
     return r.groupBy("stream", "side").agg(F.min_by("ident", F.when(F.col("ident").isNotNull(), F.col("run"))).alias("ident"), F.min_by("hassh", F.when(F.col("hassh").isNotNull(), F.col("run"))).alias("hassh"), F.max(client).alias("is_client"))
+
+
+def encrypted(runs: DataFrame) -> DataFrame:
+    """(stream, side, run, content): what each run holds behind its side's NEWKEYS; runs of the handshake alone are left out."""
+
+    @F.arrow_udf("struct<at:long,closed:boolean>")
+    def handshake(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in parts:
+            rows = []
+            for data in column.to_pylist():
+                at, closed = 0, False
+                data = data or b""
+                if data.startswith(b"SSH-"):
+                    at = data.find(b"\n") + 1 or len(data)
+                while not closed and at + 6 <= len(data):
+                    closed = data[at + 5] == NEWKEYS
+                    at += 4 + int.from_bytes(data[at : at + 4], "big")
+                rows.append({"at": min(at, len(data)), "closed": closed})
+            yield pa.array(rows, pa.struct([("at", pa.int64()), ("closed", pa.bool_())]))
+
+    r = runs.select("stream", "side", "run", "content", handshake("content").alias("h"))
+    # The run with NEWKEYS is the first that closes its side's handshake; those behind it are encrypted from their first byte.
+    first = F.min(F.when(F.col("h.closed"), F.col("run"))).over(Window.partitionBy("stream", "side").rowsBetween(START, Window.unboundedFollowing))
+    r = r.withColumn("at", F.when(F.col("run") > first, 0).when(F.col("run") == first, F.col("h.at")))
+    return r.select("stream", "side", "run", F.expr("substring(content, cast(at AS int) + 1)").alias("content")).where("octet_length(content) > 0")
+
+
+@decoder("ssh", lambda o: (F.col("file_type") == "tcp") & ((F.col("first.src_port") == 22) | (F.col("first.dst_port") == 22)))
+def files(runs: DataFrame, options: Options) -> DataFrame:
+    """A file for the encrypted bytes of each run, with the fingerprints of both ends."""
+    marks = handshakes(runs).groupBy("stream").agg(F.max(F.when(F.col("is_client"), F.col("hassh"))).alias("hassh"), F.max(F.when(~F.col("is_client"), F.col("hassh"))).alias("hassh_server"))
+    heads = runs.select("stream", "side", "run", "ts_ns", "offset", "first", "missing_data")
+    each = encrypted(runs).join(heads, ["stream", "side", "run"]).join(marks, "stream")
+    turned = lambda a, b: F.when(F.col("side") == 0, F.col("first")[a]).otherwise(F.col("first")[b])
+    own = properties(
+        protocol=F.lit("ssh"), hassh=F.col("hassh"), hasshServer=F.col("hassh_server"), srcIP=turned("src_ip", "dst_ip"), dstIP=turned("dst_ip", "src_ip"), srcPort=turned("src_port", "dst_port"), dstPort=turned("dst_port", "src_port")
+    )
+    name = F.concat(F.lit("SSH-"), F.col("run").cast("string"))
+    return each.select(*made(F.col("stream"), F.concat_ws("@", F.lit("ssh"), "run"), name, F.col("content"), own, offset=F.col("offset"), missing=F.col("missing_data")))

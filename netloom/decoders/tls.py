@@ -16,7 +16,12 @@ from pyspark.sql.types import BinaryType
 
 from ..functions import fingerprints
 from ..functions.binary import aes_cbc, aes_gcm, number
+from ..operators import filters
+from ..operators.gather import in_order
 from ..operators.sequence import START
+from ..operators.tables import lasting
+from . import certificates
+from .registry import Options, decoder, made, properties
 
 HANDSHAKE, APPLICATION, CHANGE = 22, 23, 20
 #: Suites by number: mode, key bytes, MAC bytes, hash of the pseudo-random function.
@@ -74,8 +79,7 @@ def records(runs: DataFrame) -> DataFrame:
                 rows.append(out)
             yield pa.array(rows, kind)
 
-    tls = runs.where((F.col("first.src_port") == 443) | (F.col("first.dst_port") == 443))
-    each = tls.select("stream", "side", "run", "ts_ns", F.posexplode(split("content")).alias("k", "r")).select("stream", "side", "run", "ts_ns", "k", "r.*")
+    each = runs.select("stream", "side", "run", "ts_ns", F.posexplode(split("content")).alias("k", "r")).select("stream", "side", "run", "ts_ns", "k", "r.*")
     order = Window.partitionBy("stream", "side").orderBy("run", "k")
     return each.withColumn("n", F.row_number().over(order) - 1).drop("k")
 
@@ -162,3 +166,42 @@ def plaintexts(recs: DataFrame, hello: DataFrame, log: DataFrame) -> DataFrame:
     keep = F.octet_length("raw") - number(F.col("raw"), F.octet_length("raw") - 1, 1) - 1 - F.col("mac_n")
     cbc = F.when(keep >= 0, F.substring("raw", F.lit(1), keep.cast("int")))
     return r.select("stream", "side", "run", "n", F.coalesce(gcm, cbc).alias("plain")).where("plain IS NOT NULL")
+
+
+def _fits(options: Options) -> Column:
+    """Port 443; with ``any_port`` a first record with a sane header that is there as a whole."""
+    b, under = F.col("content"), F.col("file_type").isin("tcp", "xor")
+    if not options.any_port:
+        return under & ((F.col("first.src_port") == 443) | (F.col("first.dst_port") == 443))
+    n = number(b, 3, 2)
+    sane = number(b, 0, 1).between(20, 23) & (number(b, 1, 1) == 3) & number(b, 2, 1).between(1, 3) & (n <= 0x40FF) & (n + 5 <= F.octet_length(b))
+    return under & (F.col("offset") == 0) & (F.octet_length(b) > 5) & sane
+
+
+def _opened(options: Options) -> Column:
+    """Whether rules let a stream be decrypted: all, if there are none."""
+    rules = options.rules.get("tls", [])
+    return filters.matches(rules, {k: F.try_element_at("props", F.lit(k)) for r in rules for k in r}) if rules else F.lit(True)
+
+
+@decoder("tls", _fits, whole=lambda o: o.any_port)
+def files(runs: DataFrame, options: Options) -> DataFrame:
+    """The application data of each stream with a hello, run by run, in the clear where a key is known and rules allow; and its certificates as PEM."""
+    recs = lasting(records(runs))
+    hello = lasting(hellos(recs))
+    plain = recs.where(F.col("type") == APPLICATION).select("stream", "side", "run", "n", F.col("body").alias("part"), F.lit(False).alias("opened"))
+    if options.key_log is not None:
+        allowed = hello.join(runs.where(_opened(options)).select("stream").distinct(), "stream", "left_semi")
+        clear = plaintexts(recs, allowed, options.key_log).select("stream", "side", "run", "n", F.col("plain").alias("part"), F.lit(True).alias("opened"))
+        plain = plain.join(clear.select("stream").distinct(), "stream", "left_anti").unionByName(clear)
+    content = plain.groupBy("stream", "side", "run").agg(in_order("part", "n").alias("content"))
+    chain = certificates.chains(recs).where("first_of_chain").select("stream", "ja4x").dropDuplicates(["stream"])
+    marks = hello.join(chain, "stream", "left")
+    own = properties(protocol=F.lit("tls"), domain=F.col("sni"), ja3=F.col("ja3"), ja3s=F.col("ja3s"), ja4=F.col("ja4"), ja4s=F.col("ja4s"), ja4x=F.col("ja4x"))
+    heads = runs.select("stream", "side", "run", "ts_ns", "offset", "first", "missing_data")
+    talk = content.join(heads, ["stream", "side", "run"]).join(marks, "stream")
+    data = talk.select(*made(F.col("stream"), F.lit("tls"), F.lit("TLS"), F.col("content"), own, run=F.col("run"), offset=F.col("offset"), missing=F.col("missing_data")))
+    certs = certificates.chains(recs).withColumnRenamed("ja4x", "own_ja4x").join(heads, ["stream", "side", "run"]).join(marks.withColumn("ja4x", F.lit(None).cast("string")), "stream")
+    own = F.map_concat(own, properties(ja4x=F.col("own_ja4x")))
+    pems = certs.select(*made(F.col("stream"), F.concat_ws("@", F.lit("certificate"), "side", "place"), F.lit("TLSCertificate"), F.col("pem"), own, offset=F.col("offset") + F.col("at"), is_metadata=F.lit(True)))
+    return data.unionByName(pems)

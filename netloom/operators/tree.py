@@ -32,6 +32,7 @@ def closure(df: DataFrame, path: str) -> DataFrame:
     return upto.select(join(F.col("depth")).alias("dir"), join(F.col("depth") - 1).alias("parent"), "depth").distinct()
 
 
-def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
-    """A page of a listing: ``limit`` rows from ``offset`` on."""
-    return df.orderBy(*order).offset(offset).limit(limit)
+def page(df: DataFrame, order: list[str], offset: int, limit: int | None = None) -> DataFrame:
+    """A page of a listing: ``limit`` rows (all, without one) from ``offset`` on."""
+    rest = df.orderBy(*order).offset(offset)
+    return rest if limit is None else rest.limit(limit)

@@ -122,7 +122,7 @@ def test_engine_decrypts_and_lists(spark, tls_capture, tmp_path):
     e = Engine.open(spark, captures=files, key_log=log)
     rows = e.visible(show_metadata=True, show_all=True).collect()
     kinds = sorted((r.file_type, r.name, r.is_metadata) for r in rows)
-    assert kinds == [("http", "GET-y.txt", True), ("http", "y.txt", False), ("http", "y.txt", True), ("tcp", "tcp", False)]
+    assert kinds == [("http", "GET-y.txt", True), ("http", "y.txt", False), ("http", "y.txt", True), ("tcp", "tcp", False), ("tls", "TLS", False)]
     body = next(r for r in rows if r.name == "y.txt" and not r.is_metadata)
     assert bytes(body.content) == b"hello" and body.props["domain"] == "test.org" and body.props["srcIP"] == "10.0.0.2" and body.props["ja3"]
     assert {r.directory for r in e.listing("/protocol/domain/").collect()} == {"/http/test.org"}
