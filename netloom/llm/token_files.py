@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +27,25 @@ from .components import _folder, running
 
 END_ID = 0
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
-CACHE = 400_000  # units held by one Python worker; at that size the cache starts anew
+CACHE = 600_000  # parts of texts held by one Python worker; at that size the cache starts anew
 
 #: The step before the model for which ``ByteWords`` finds units by itself, as a tokenizer file states it.
 KNOWN_STEPS = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "post_processor": None}
 #: Characters whose classes (white space, letter, digit, other) are known to be those of the tokenizer: ASCII and the letters of Latin-1.
 _PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
-#: A word with one space before it, or white space: where the tokenizer always cuts.
-_UNITS = re.compile(r" ?\S+|\s+(?!\S)|\s")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+")
+#: Where the tokenizer cuts texts of such characters.
+_PARTS = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s")
+
+
+class _Parts(dict):
+    """Ids by part of a text, found where they are not there yet."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, part: str) -> bytes:
+        self[part] = got = self.find(part)
+        return got
 
 
 class ByteWords:
@@ -65,33 +76,19 @@ class ByteWords:
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printed]
         self.char = {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.units: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts = _Parts(self._part)
 
     def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            got = np.array([t.id for t in self.model.tokenize("".join([self.char[b] for b in part.encode()]))], "<u4").tobytes()
-            if len(self.parts) >= CACHE:
-                self.parts.clear()
-            self.parts[part] = got
-        return got
+        return array("I", [t.id for t in self.model.tokenize("".join([self.char[b] for b in part.encode()]))]).tobytes()
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not self.known or not _PLAIN.fullmatch(text) or any(t in text for t in self.added):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        units, known = _UNITS.findall(text), self.units
-        try:
-            return b"".join([known[u] for u in units])
-        except KeyError:
-            for u in units:
-                if u not in known:
-                    known[u] = b"".join([self._part(p) for p in _PARTS.findall(u)])
-            out = b"".join([known[u] for u in units])
-            if len(known) >= CACHE:
-                known.clear()
-            return out
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        out = b"".join(map(self.parts.__getitem__, _PARTS.findall(text)))
+        if len(self.parts) >= CACHE:
+            self.parts.clear()
+        return out
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ()) -> DataFrame:
