@@ -76,10 +76,12 @@ class ByteWords:
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printed]
         self.char = {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.ascii = {b: c for b, c in self.char.items() if b < 128}
         self.parts = _Parts(self._part)
 
     def _part(self, part: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize("".join([self.char[b] for b in part.encode()]))]).tobytes()
+        printed = part.translate(self.ascii) if part.isascii() else "".join([self.char[b] for b in part.encode()])
+        return array("I", [t.id for t in self.model.tokenize(printed)]).tobytes()
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -131,7 +133,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str =
     return rows.mapInArrow(encode, schema)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, row_group: int = ROW_GROUP, page: int = PAGE, **columns) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, row_group: int = ROW_GROUP, page: int = PAGE, compression: str = "snappy", **columns) -> None:
     """Writes ``encoded`` rows to a folder of Parquet files, one or more a partition.
 
     A null text counts as empty: the end id alone. Rows that repeat an id are
@@ -140,7 +142,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, row_
     them, and may have any names.
     """
     rows = encoded(docs, tokenizer, end_id, **columns)
-    options = {"parquet.block.size": row_group, "parquet.page.size": page, "parquet.dictionary.page.size": 1 << 20, "parquet.writer.version": "v2", "compression": "zstd"}
+    options = {"parquet.block.size": row_group, "parquet.page.size": page, "parquet.dictionary.page.size": 1 << 20, "parquet.writer.version": "v2", "compression": compression}
     # Sizes are looked at after few rows, so that long documents do not add up in one group or page.
     options |= {"parquet.block.size.row.check.min": 8, "parquet.page.size.row.check.min": 8}
     options |= {f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "before", "n_tokens")}
