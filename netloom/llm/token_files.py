@@ -16,6 +16,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +38,6 @@ _PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
 _PARTS = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s")
 
 
-class _Parts(dict):
-    """Ids by part of a text, found where they are not there yet."""
-
-    def __init__(self, find):
-        self.find = find
-
-    def __missing__(self, part: str) -> bytes:
-        self[part] = got = self.find(part)
-        return got
-
-
 class ByteWords:
     """Ids of whole texts, the tokenizer's own: those of words are found once and kept."""
 
@@ -77,7 +67,7 @@ class ByteWords:
         rest = [b for b in range(256) if b not in printed]
         self.char = {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.ascii = {b: c for b, c in self.char.items() if b < 128}
-        self.parts = _Parts(self._part)
+        self.parts: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
         printed = part.translate(self.ascii) if part.isascii() else "".join([self.char[b] for b in part.encode()])
@@ -87,10 +77,14 @@ class ByteWords:
         """The ids as little-endian unsigned 32-bit integers."""
         if not self.known or not _PLAIN.fullmatch(text) or any(t in text for t in self.added):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        out = b"".join(map(self.parts.__getitem__, _PARTS.findall(text)))
-        if len(self.parts) >= CACHE:
-            self.parts.clear()
-        return out
+        parts, known = _PARTS.findall(text), self.parts
+        if len(known) >= CACHE:
+            known.clear()
+        for p in set(parts).difference(known):
+            known[p] = self._part(p)
+        if len(parts) < 2:
+            return b"".join([known[p] for p in parts])
+        return b"".join(itemgetter(*parts)(known))
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ()) -> DataFrame:
