@@ -11,15 +11,16 @@ from .decoders import dhcp, dns, ftp, http, smb, ssh, streams, tls, xor  # noqa:
 from .decoders.registry import DECODERS, FIRST, RUN, Decoder, Options, fixpoint, properties
 from .functions import times
 from .operators import files as fileops
-from .operators import filters, gather, joins, tree
+from .operators import clocks, filters, gather, tree
 from .operators.sequence import START
 from .operators.tables import forget, lasting
 from .sources import keys as keysource
 from .sources import pcap
 
-FORMAT = 3
+FORMAT = 4
 PROPERTIES = ["protocol", "srcIP", "dstIP", "srcPort", "dstPort", "domain", "uri", "path", "ja3", "ja3s", "ja4", "ja4s", "ja4h", "ja4x", "hassh", "hasshServer"]
-FILE = "stream string, file_type string, name string, ts_ns long, first_packet_no long, start long, size long, is_metadata boolean, parsed boolean, missing_data boolean, content binary, fs_ns long, props map<string,string>"
+FILE = "stream string, file_type string, name string, ts_ns long, first_packet_no long, start long, size long, is_metadata boolean, parsed boolean, missing_data boolean, content binary, is_read boolean, fs_ns long, hybrid_ns long, last_access long, props map<string,string>"
+TIMES = "stream string, kind string, at long, a long, m long, c long, b long, version int"
 #: Files of servers: their paths are directories, and they may have several clients and versions.
 SERVED = ["smb", "ftp"]
 #: The columns of a file beside those of FILE that only decoding needs.
@@ -30,11 +31,13 @@ class Engine:
     """Captures as virtual files.
 
     ``files`` is one DataFrame, a row a virtual file, partitioned by nothing;
-    ``tree`` and ``ls`` are queries over it.
+    ``tree`` and ``ls`` are queries over it. Files of SMB servers are a row a
+    version, and one more for the file alone; ``times`` has what is known of
+    their times.
     """
 
-    def __init__(self, files: DataFrame, sortby: str = "/protocol/", tables: tuple[DataFrame, ...] = ()):
-        self.files, self.sortby, self._tables = files, sortby, tables
+    def __init__(self, files: DataFrame, times: DataFrame, sortby: str = "/protocol/", tables: tuple[DataFrame, ...] = ()):
+        self.files, self.times, self.sortby, self._tables = files, times, sortby, tables
 
     def close(self) -> None:
         """Removes the tables that decoding wrote; ``files`` can't be read after that. A saved index stays."""
@@ -83,23 +86,33 @@ class Engine:
         every = together.unionByName(rows.where(~many).select(*together.columns))
         return every.join(done, "file", "left").select(
             "stream", "file_type", "name", "ts_ns", F.col("number").alias("first_packet_no"), F.col("offset").alias("start"), F.octet_length("content").cast("long").alias("size"),
-            "is_metadata", F.coalesce("done", F.lit(False)).alias("parsed"), "missing_data", "content", F.lit(None).cast("long").alias("fs_ns"), "props",
+            "is_metadata", F.coalesce("done", F.lit(False)).alias("parsed"), "missing_data", "content", "props",
         )
 
     @staticmethod
-    def _served(base: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
-        """(files, parsed): what servers hold, told from all connections together: versions of SMB files, and the data streams of FTP."""
+    def _served(base: DataFrame, options: Options) -> tuple[DataFrame, DataFrame, DataFrame, tuple[DataFrame, ...]]:
+        """(files, times, parsed, tables): what servers hold, told from all connections together: versions of SMB files with their times, and the data streams of FTP."""
         runs = base.where("file_type = 'tcp'")
         talk = runs.where(smb.fits(options))
         if options.any_port:
             talk = runs.join(talk.select("file").distinct(), "file", "left_semi")
-        v = smb.names(smb.versions(smb.operations(smb.exchanges(smb.messages(talk)))))
-        props = properties(protocol=F.lit("smb"), dstIP=F.col("server"), srcIP=F.array_join("client_ips", ","), path=F.col("path"), op=F.col("op"))
-        no = F.lit(False)
+        ex = lasting(smb.exchanges(smb.messages(talk)))
+        ops, told = lasting(smb.operations(ex)), lasting(smb.told(ex))
+        v = lasting(smb.versions(ops, told))
+        stream = F.concat_ws(":", "server", "path")
+        times = smb.entries(v, ops, told).select(stream.alias("stream"), "kind", "at", "a", "m", "c", "b", F.col("version").cast("int").alias("version"))
+        name, no = F.substring_index("path", "/", -1).alias("name"), F.lit(False)
+        props = properties(protocol=F.lit("smb"), dstIP=F.substring_index("server", ":", 1), dstPort=F.substring_index("server", ":", -1), srcIP=F.array_join("client_ips", ","), path=F.col("path"))
         one = v.select(
-            F.concat_ws(":", "server", "path", "op").alias("stream"), F.lit("smb").alias("file_type"), F.substring_index("name", "/", -1).alias("name"), F.col("last_ns").alias("ts_ns"), F.lit(None).cast("long").alias("first_packet_no"),
-            F.col("version").cast("long").alias("start"), F.octet_length("content").cast("long").alias("size"), no.alias("is_metadata"), no.alias("parsed"), no.alias("missing_data"), "content", (F.unix_micros("mtime") * 1000).alias("fs_ns"), props.alias("props"),
+            stream.alias("stream"), F.lit("smb").alias("file_type"), name, "ts_ns", F.lit(None).cast("long").alias("first_packet_no"), F.col("version").cast("long").alias("start"), F.octet_length("content").cast("long").alias("size"), no.alias("is_metadata"),
+            no.alias("parsed"), no.alias("missing_data"), "content", "is_read", F.col("fs_time").alias("fs_ns"), F.col("hybrid_time").alias("hybrid_ns"), "last_access", props.alias("props"),
         )
+        known = told.groupBy("server", "path").agg(F.min("at").alias("ts_ns"), F.array_sort(F.collect_set("client_ip")).alias("client_ips"))
+        alone = known.select(
+            stream.alias("stream"), F.lit("smb").alias("file_type"), name, "ts_ns", F.lit(None).cast("long").alias("first_packet_no"), F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("size"), F.lit(True).alias("is_metadata"),
+            no.alias("parsed"), no.alias("missing_data"), F.lit(b"").alias("content"), props.alias("props"),
+        )
+        one = one.unionByName(alone, allowMissingColumns=True)
         heads = runs.groupBy("stream").agg(F.min("ts_ns").alias("ts_ns"), F.sum(F.octet_length("content")).cast("long").alias("size"), F.first("first").alias("first"), F.max("missing_data").alias("missing_data"))
         whole = heads.select("stream", "ts_ns", "size", "first.src_port", "first.dst_port")
         moved = ftp.data_files(ftp.control(runs), whole)
@@ -108,9 +121,9 @@ class Engine:
         props = F.map_concat(properties(protocol=F.lit("ftp"), path=F.col("path"), command=F.col("verb")), Engine._ends())
         two = d.select(
             "stream", F.lit("ftp").alias("file_type"), F.substring_index("path", "/", -1).alias("name"), "ts_ns", F.lit(None).cast("long").alias("first_packet_no"), F.lit(0).cast("long").alias("start"), F.octet_length("content").cast("long").alias("size"),
-            no.alias("is_metadata"), no.alias("parsed"), "missing_data", "content", F.lit(None).cast("long").alias("fs_ns"), props.alias("props"),
+            no.alias("is_metadata"), no.alias("parsed"), "missing_data", "content", props.alias("props"),
         )
-        return one.unionByName(two), moved.select(F.col("stream").alias("file"))
+        return one.unionByName(two, allowMissingColumns=True), times, moved.select(F.col("stream").alias("file")), (ex, ops, told, v)
 
     @staticmethod
     def open(
@@ -143,26 +156,43 @@ class Engine:
         packets = lasting(pcap.packets(source))
         base = lasting(Engine._tcp(streams.runs(streams.tcp_segments(packets))).unionByName(Engine._udp(packets)))
         rows, parsed = fixpoint(base, options, DECODERS if decoders is None else decoders, most_rounds)
-        served, moved = Engine._served(base, options)
-        files = lasting(Engine._whole(rows, parsed.unionByName(moved)).unionByName(served))
-        forget(packets, base)
-        return Engine(files, told["sortby"], (files,))
+        served, times, moved, tables = Engine._served(base, options)
+        order = [c.split()[0] for c in FILE.split(", ")]
+        files = lasting(served.unionByName(Engine._whole(rows, parsed.unionByName(moved)), allowMissingColumns=True).select(*order))
+        times = lasting(times)
+        forget(packets, base, *tables)
+        return Engine(files, times, told["sortby"], (files, times))
 
     def visible(self, show_metadata: bool = False, show_all: bool = False, snip: str | tuple[int | None, int | None] = (None, None), snapshot: str | int | None = None, timestamp_mode: str = "hybrid") -> DataFrame:
-        """The files that show: metadata and parsed parents on demand, and times (ns, or the option's text ``a,b``) in the range, ends included.
-
-        With ``snapshot`` (seconds since 1970, or yyyy-MM-ddTHH:mm:ssZ) only
-        files before that moment show, and of each served file the latest
-        version, by the clock that ``timestamp_mode`` names.
+        """The files that show, with the times that they show (atime_ns, mtime_ns, ctime_ns): metadata and parsed parents on demand.
+
+        ``snip`` is a range of network times (ns, or the option's text ``a,b``).
+        Of SMB files all versions show that were begun or accessed there, or
+        with ``snapshot`` (seconds since 1970, or yyyy-MM-ddTHH:mm:ssZ) the one
+        that was the last at that moment, by the clock that ``timestamp_mode``
+        names (network, fs or hybrid), which also tells the times that show.
+        By the network's clock a snapshot outside of the time of capture counts
+        for nothing. Other files show the time at which they were seen.
         """
-        lo, hi = (None if x is None else F.lit(x) for x in (times.snip_ns(snip) if isinstance(snip, str) else snip))
-        shown = self.files.where(filters.visible(F.col("is_metadata"), F.col("parsed"), filters.snip(F.col("ts_ns"), lo, hi), show_metadata, show_all))
+        lo, hi = times.snip_ns(snip) if isinstance(snip, str) else snip
+        every = self.files.withColumn("shown", F.struct(*[F.col("ts_ns").alias(t) for t in "amc"]))
+        at = [None if x is None else F.lit(x) for x in (lo, hi)]
+        others = every.where("file_type <> 'smb'").where(filters.visible(F.col("is_metadata"), F.col("parsed"), filters.snip(F.col("ts_ns"), *at), show_metadata, show_all))
+        served = every.where("file_type = 'smb'")
         moment = times.moment_ns(snapshot)
+        if moment is not None and timestamp_mode == "network":
+            seen = served.agg(F.min("ts_ns").alias("first"), F.max(F.greatest("ts_ns", F.coalesce("last_access", "ts_ns"))).alias("last")).first()
+            moment = moment if seen["first"] is not None and seen["first"] <= moment <= seen["last"] else None
+        versions = served.where("NOT is_metadata").select("stream", F.col("start").cast("int").alias("version"), F.col("ts_ns").alias("at"), "is_read", F.col("fs_ns").alias("fs_time"), F.col("hybrid_ns").alias("hybrid_time"), "last_access")
+        rows = clocks.shown(versions, self.times, ["stream"], timestamp_mode, (lo, hi), moment, show_metadata)
+        rows = rows.where(F.lit(show_metadata) | ~F.col("is_metadata")).select("stream", F.coalesce("version", F.lit(-1)).cast("long").alias("start"), "is_metadata", F.struct("a", "m", "c").alias("shown"))
+        found = served.drop("shown", "is_metadata").join(rows, ["stream", "start"])
         if moment is None:
-            return shown
-        shown = shown.withColumn("__at", fileops.by_clock(timestamp_mode, F.col("ts_ns"), F.col("fs_ns")))
-        served = joins.latest(shown.where(F.col("file_type").isin(SERVED)), ["file_type", "stream"], "__at", F.lit(moment), "start")
-        return shown.where(~F.col("file_type").isin(SERVED) & (F.col("__at") < moment)).unionByName(served).drop("__at")
+            many = F.col("start") >= 0
+            counts = versions.groupBy("stream").agg((F.count(F.lit(1)) > 1).alias("many"))
+            found = found.join(counts, "stream", "left").withColumn("name", F.when(many & F.col("many"), F.concat("name", F.lit("@"), F.col("start").cast("string"))).otherwise(F.col("name"))).drop("many")
+        out = others.unionByName(found)
+        return out.select("*", *[F.col("shown")[t].alias(f"{t}time_ns") for t in "amc"]).drop("shown")
 
     def _placed(self, sortby: str | None, show: dict) -> DataFrame:
         """Visible files with ``directory``. A file of several clients is under each of them; ``path`` stands for the directories of a path or URI."""
@@ -192,7 +222,7 @@ class Engine:
         number = F.when(F.col("file_type").isin("tcp", "udp"), F.col("first_packet_no")).otherwise(F.col("start"))
         suffix = F.when(F.col("is_metadata"), ".meta").otherwise("")
         name = F.when(F.col("file_type").isin(SERVED), F.col("name")).otherwise(display_name(F.col("stream"), number, F.col("missing_data"), F.col("name"), suffix))
-        rows = df.select("directory", name.alias("display_name"), "size", "ts_ns", "stream", "file_type", "start", "is_metadata")
+        rows = df.select("directory", name.alias("display_name"), "size", F.col("mtime_ns").alias("ts_ns"), "stream", "file_type", "start", "is_metadata")
         return fileops.best(rows, ["directory", "display_name"], F.struct("ts_ns", "stream", "file_type", "start", "is_metadata"))
 
     def readdir(self, directory: str = "/", sortby: str | None = None, **show) -> DataFrame:
@@ -220,8 +250,10 @@ class Engine:
     def tree(self, sortby: str | None = None, **show) -> DataFrame:
         """Every directory at every depth: files below it, and the greatest and least of their times."""
         keys = [k for k in (self.sortby if sortby is None else sortby).split("/") if k]
-        df = self.visible(**show).select("ts_ns", *[F.try_element_at("props", F.lit(k)).alias(k) for k in keys])
-        return tree.levels(df, keys, {"files": F.count(F.lit(1)), "modified_ns": F.max("ts_ns"), "changed_ns": F.min("ts_ns")})
+        df = self.visible(**show).select("atime_ns", "mtime_ns", "ctime_ns", "file_type", *[F.try_element_at("props", F.lit(k)).alias(k) for k in keys])
+        # Of files as they were seen a directory changed with the first; of files of servers each time is the greatest.
+        changed = F.greatest(F.min(F.when(F.col("file_type") != "smb", F.col("ctime_ns"))), F.max(F.when(F.col("file_type") == "smb", F.col("ctime_ns"))))
+        return tree.levels(df, keys, {"files": F.count(F.lit(1)), "accessed_ns": F.max("atime_ns"), "modified_ns": F.max("mtime_ns"), "changed_ns": changed})
 
     def ls(self, directory: str, sortby: str | None = None, offset: int = 0, limit: int | None = None, **show) -> DataFrame:
         """One directory's files, by name; with ``limit`` a page of so many."""
@@ -236,6 +268,7 @@ class Engine:
     def save(self, path: str) -> None:
         """Writes the index: the files by type, and what the index is."""
         self.files.write.mode("overwrite").partitionBy("file_type").parquet(f"{path}/files")
+        self.times.write.mode("overwrite").parquet(f"{path}/times")
         spark = self.files.sparkSession
         spark.createDataFrame([(json.dumps({"format": FORMAT, "sortby": self.sortby}),)], "value string").write.mode("overwrite").text(f"{path}/meta")
 
@@ -245,7 +278,7 @@ class Engine:
         meta = json.loads(spark.read.text(f"{path}/meta").first().value)
         if meta.get("format") != FORMAT:
             raise ValueError(f"index format {meta.get('format')}, not {FORMAT}")
-        return Engine(spark.read.schema(FILE).parquet(f"{path}/files"), meta.get("sortby", "/protocol/"))
+        return Engine(spark.read.schema(FILE).parquet(f"{path}/files"), spark.read.schema(TIMES).parquet(f"{path}/times"), meta.get("sortby", "/protocol/"))
 
     @staticmethod
     def same_captures(stored: DataFrame, given: DataFrame) -> bool:

@@ -8,16 +8,16 @@ correlation is a join on (connection, message id), (connection, tree) or
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binary import number
-from ..functions.times import filetime_seconds
-from ..operators.files import by_clock
-from ..operators.gather import joined
-from ..operators.joins import latest
+from ..functions.times import EPOCH, TICKS, filetime_seconds
+from ..operators.clocks import SECOND, assigned, server_time, synthesized
+from ..operators.gather import in_order
 from ..operators.sequence import START, append_versions
 from .registry import Options, decoder, made, properties
 
@@ -43,7 +43,10 @@ COMMANDS = [
     "SET_INFO",
     "OPLOCK_BREAK",
 ]
-TREE_CONNECT, CREATE, CLOSE, READ, WRITE = 3, 5, 6, 8, 9
+NEGOTIATE, TREE_CONNECT, CREATE, CLOSE, READ, WRITE, QUERY_DIRECTORY, QUERY_INFO, SET_INFO = 0, 3, 5, 6, 8, 9, 14, 16, 17
+#: Classes of information about a file that begin with its four times, and where names are in a directory's entries, by class (12 has names alone).
+TIMED = (4, 18, 34)
+NAME_AT = {1: 64, 2: 68, 3: 94, 12: 12, 37: 104, 38: 80}
 #: The kinds of frames that set up or keep a session below SMB.
 SESSION = (0x81, 0x82, 0x83, 0x84, 0x85)
 CHAINED = "F" * 32  # the file id of "the file of the command before"
@@ -140,59 +143,145 @@ def opens(ex: DataFrame) -> DataFrame:
     )
 
 
-def operations(ex: DataFrame) -> DataFrame:
-    """Reads and writes that were answered: stream, server, path, op, pos, len, data, ts_ns, client_ip, times of the open."""
-    o = opens(ex)
+def _named(rows: DataFrame, handles: DataFrame) -> DataFrame:
+    """``rows`` with a file_id, with the path and handle that it stands for: a chained command names no file, it means that of the Create before it."""
+    held = handles.select("stream", "file_id", F.col("message_id").alias("m"), "path", "is_directory", "opened_ns").dropDuplicates(["stream", "file_id"])
+    chained = rows.where(F.col("file_id") == CHAINED).drop("file_id").join(held.withColumnRenamed("m", "created"), ["stream", "created"])
+    plain = rows.where(F.col("file_id") != CHAINED).drop("created").join(held.drop("m"), ["stream", "file_id"])
+    return plain.unionByName(chained.select(*plain.columns))
+
+
+def _answered(ex: DataFrame, *commands: int) -> DataFrame:
+    """Exchanges of some commands that succeeded, each with the latest Create before it in its connection."""
     w = Window.partitionBy("stream").orderBy("run", "n").rowsBetween(START, -1)
     before = F.last(F.when(F.col("command") == CREATE, F.col("message_id")), ignorenulls=True).over(w)
-    io = ex.withColumn("created", before).where(f"command IN ({READ}, {WRITE}) AND answer_status = 0").withColumn("file_id", _hex(80, 16, "req"))
-    handles = o.select("stream", "file_id", F.col("message_id").alias("m"), "path", "is_directory", "mtime", "opened_ns").dropDuplicates(["stream", "file_id"])
-    # A chained command names no file; it means that of the Create before it.
-    chained = io.where(F.col("file_id") == CHAINED).drop("file_id").join(handles.withColumnRenamed("m", "created"), ["stream", "created"])
-    plain = io.where(F.col("file_id") != CHAINED).drop("created").join(handles.drop("m"), ["stream", "file_id"])
-    both = plain.unionByName(chained.select(*plain.columns))
+    return ex.withColumn("created", before).where(F.col("command").isin(*commands) & (F.col("answer_status") == 0))
+
+
+def operations(ex: DataFrame) -> DataFrame:
+    """Reads and writes that were answered: stream, server, path, op, pos, len, data, ts_ns, client_ip, and the connection's skew."""
+    io = _answered(ex, READ, WRITE).withColumn("file_id", _hex(80, 16, "req"))
+    both = _named(io, opens(ex)).join(skews(ex), "stream", "left")
     read = F.col("command") == READ
     data = F.when(read, F.substring(F.col("rsp"), (_le(66, 1, "rsp") + 1).cast("int"), _le(68, 4, "rsp").cast("int"))).otherwise(F.substring(F.col("req"), (_le(66, 2, "req") + 1).cast("int"), _le(68, 4, "req").cast("int")))
     both = both.withColumn("data", data)
-    return both.select("stream", "server", "path", F.when(read, "read").otherwise("write").alias("op"), _le(72, 8, "req").alias("pos"), F.octet_length("data").cast("long").alias("len"), "data", F.col("answer_ns").alias("ts_ns"), "client_ip", "mtime", "run", "n")
+    return both.select(
+        "stream", "server", "path", F.when(read, "read").otherwise("write").alias("op"), _le(72, 8, "req").alias("pos"), F.octet_length("data").cast("long").alias("len"), "data", F.col("answer_ns").alias("ts_ns"), "client_ip", "run", "n", F.coalesce("skew", F.lit(0).cast("long")).alias("skew")
+    )
+
+
+def skews(ex: DataFrame) -> DataFrame:
+    """(stream, skew): by how many whole seconds, in nanoseconds, a server's clock is ahead, told by its first answer to a negotiation."""
+    n = ex.where(f"command = {NEGOTIATE} AND rsp IS NOT NULL").select("stream", "run", "n", "ts_ns", unix_ns(_le(104, 8, "rsp")).alias("told")).where("told IS NOT NULL")
+    first = n.groupBy("stream").agg(F.min_by(F.struct("told", "ts_ns"), F.struct("run", "n")).alias("x"))
+    return first.select("stream", (((F.col("x.told") - F.col("x.ts_ns")) / SECOND).cast("long") * SECOND).alias("skew"))
+
+
+def unix_ns(ticks: Column) -> Column:
+    """Tenths of microseconds since 1601 as nanoseconds since 1970; null for 0."""
+    return F.when(ticks > 0, F.try_multiply(ticks - EPOCH * TICKS, F.lit(100)))
+
+
+ENTRIES = "array<struct<name:string,btime:long,atime:long,mtime:long,ctime:long,size:long,attributes:long>>"
 
 
-def versions(ops: DataFrame) -> DataFrame:
-    """(server, path, op, version, ts_ns, last_ns, size, content, client_ips, mtime): a version begins at offset 0 and grows by what fits its end.
+def _entries(kind: Column, data: Column) -> Column:
+    """The entries of a directory, read one behind the other by the offset that each gives of the next; a class without times has names alone."""
+    fields = pa.list_(pa.struct([("name", pa.string()), *[(c, pa.int64()) for c in ("btime", "atime", "mtime", "ctime", "size", "attributes")]]))
 
-    Neighbouring versions of equal bytes are one, the earliest; its clients are those of all.
+    @F.arrow_udf(ENTRIES)
+    def walk(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for kinds, datas in parts:
+            rows = []
+            for k, x in zip(kinds.to_pylist(), datas.to_pylist(), strict=True):
+                out, at, begin = [], 0, NAME_AT.get(k)
+                while x and begin and at + begin <= len(x):
+                    number_ = lambda a, n: int.from_bytes(x[at + a : at + a + n], "little")  # noqa: B023, E731
+                    n = number_(8 if k == 12 else 60, 4)
+                    if at + begin + n > len(x):
+                        break
+                    told = {} if k == 12 else {"btime": number_(8, 8), "atime": number_(16, 8), "mtime": number_(24, 8), "ctime": number_(32, 8), "size": number_(40, 8), "attributes": number_(56, 4)}
+                    out.append({"name": x[at + begin : at + begin + n].decode("utf-16le", "replace")} | {c: v if v < 1 << 63 else None for c, v in told.items()})
+                    step = number_(0, 4)
+                    if not step:
+                        break
+                    at += step
+                rows.append(out)
+            yield pa.array(rows, fields)
+
+    return walk(kind, data)
+
+
+def listed(ex: DataFrame) -> DataFrame:
+    """(stream, server, client_ip, path, ts_ns, btime, atime, mtime, ctime, size, is_directory) of every entry of the directories that were asked for; . and .. are left out."""
+    q = _answered(ex, QUERY_DIRECTORY).withColumn("file_id", _hex(72, 16, "req"))
+    data = F.substring(F.col("rsp"), (_le(66, 2, "rsp") + 1).cast("int"), _le(68, 4, "rsp").cast("int"))
+    q = _named(q, opens(ex)).select("stream", "server", "client_ip", F.col("path").alias("directory"), "answer_ns", F.explode(_entries(_le(66, 1, "req").cast("int"), data)).alias("e")).where("e.name NOT IN ('.', '..', '')")
+    return q.select("stream", "server", "client_ip", F.concat("directory", F.lit("/"), "e.name").alias("path"), F.col("answer_ns").alias("ts_ns"), "e.btime", "e.atime", "e.mtime", "e.ctime", "e.size", (F.shiftright("e.attributes", 4) % 2 == 1).alias("is_directory"))
+
+
+def told(ex: DataFrame) -> DataFrame:
+    """(server, path, at, a, m, c, b, client_ip, is_directory): every time that a server, or a client that sets it, tells of a file.
+
+    They come with the answers to Create, Close and queries for information, with settings of it, and with the
+    entries of directories. Where access, write or change time is 0 nothing is told: the row has nulls, and stands for the path alone.
+    """
+    o = opens(ex)
+    times = lambda of, at: [_le(at + 8 * k, 8, of).alias(c) for k, c in enumerate(("btime", "atime", "mtime", "ctime"))]
+    keep = ["server", "path", "client_ip", "is_directory"]
+    made_ = ex.where(f"command = {CREATE} AND answer_status = 0").select("stream", "message_id", "answer_ns", *times("rsp", 72)).join(o.select("stream", "message_id", *keep), ["stream", "message_id"])
+    closed = _answered(ex, CLOSE).withColumn("file_id", _hex(72, 16, "req"))
+    closed = _named(closed, o).select(*keep, "answer_ns", *times("rsp", 72))
+    asked = _answered(ex, QUERY_INFO).where((_le(66, 1, "req") == 1) & _le(67, 1, "req").isin(*TIMED)).withColumn("file_id", _hex(88, 16, "req"))
+    asked = _named(asked, o).withColumn("data", F.substring(F.col("rsp"), (_le(66, 2, "rsp") + 1).cast("int"), F.lit(32))).select(*keep, "answer_ns", *times("data", 0))
+    given = _answered(ex, SET_INFO).where((_le(66, 1, "req") == 1) & (_le(67, 1, "req") == 4)).withColumn("file_id", _hex(80, 16, "req"))
+    given = _named(given, o).withColumn("data", F.substring(F.col("req"), (_le(72, 2, "req") + 1).cast("int"), F.lit(32))).select(*keep, "answer_ns", *times("data", 0))
+    every = [made_.select(*closed.columns), closed, asked, given, listed(ex).withColumnRenamed("ts_ns", "answer_ns").select(*closed.columns)]
+    rows = reduce(DataFrame.unionByName, every)
+    whole = (F.col("atime") > 0) & (F.col("mtime") > 0) & (F.col("ctime") > 0)
+    when = lambda c, name: F.when(whole, F.coalesce(unix_ns(F.col(c)), F.lit(0))).alias(name)
+    return rows.select(*keep, F.col("answer_ns").alias("at"), when("atime", "a"), when("mtime", "m"), when("ctime", "c"), when("btime", "b"))
+
+
+def versions(ops: DataFrame, fs: DataFrame | None = None) -> DataFrame:
+    """(server, path, version, ts_ns, last_access, is_read, fs_time, hybrid_time, size, content, client_ips): a version begins at offset 0 and grows by what fits its end.
+
+    Reads and writes of a file make one row of versions, in the order of their
+    times: by the server's clock, by what it told (``fs``, as ``told`` gives
+    it), and when they were seen. Neighbours of equal bytes are one, the
+    earliest; its clients are those of all, and ``last_access`` is when the
+    latest of the others was seen.
     """
-    key = ["server", "path", "op"]
+    key = ["server", "path"]
     grown = append_versions(ops, key, ["ts_ns", "stream", "run", "n"], "pos", "len").where("applied = 1")
-    piece = F.struct("ts_ns", "stream", "run", "n", F.col("data").alias("b"))
+    order = F.struct("ts_ns", "stream", "run", "n")
     v = grown.groupBy(*key, "version").agg(
-        F.min("ts_ns").alias("ts_ns"), F.max("ts_ns").alias("last_ns"), F.max("size").alias("size"), joined(F.transform(F.sort_array(F.collect_list(piece)), lambda x: x["b"])).alias("content"),
-        F.collect_set("client_ip").alias("ips"), F.max("mtime").alias("mtime"),
+        F.min("ts_ns").alias("at"), F.min_by("skew", order).alias("skew"), F.max_by(F.col("op") == "read", order).alias("is_read"), F.max("size").alias("size"),
+        in_order("data", "ts_ns, stream, run, n").alias("content"), F.collect_set("client_ip").alias("ips"),
     )
-    w = Window.partitionBy(*key).orderBy("version")
-    new = F.coalesce((F.lag(F.sha2("content", 256)).over(w) != F.sha2("content", 256)).cast("int"), F.lit(1))
-    v = v.withColumn("island", new)
+    v = server_time(v, fs.where("a IS NOT NULL"), key) if fs is not None else v.withColumn("fs_time", F.lit(None).cast("long"))
+    v = v.withColumns({"hybrid_time": F.col("at") + F.col("skew"), "sum": F.sha2("content", 256)})
+    w = Window.partitionBy(*key).orderBy("hybrid_time", F.coalesce("fs_time", F.lit(0)), "at", "version")
+    v = v.withColumns({"island": F.coalesce((F.lag("sum").over(w) != F.col("sum")).cast("int"), F.lit(1)), "rank": F.row_number().over(w)})
     v = v.withColumn("island", F.sum("island").over(w.rowsBetween(START, 0)) - 1)
-    return v.groupBy(*key, F.col("island").alias("version")).agg(
-        F.min("ts_ns").alias("ts_ns"), F.max("last_ns").alias("last_ns"), F.first("size").alias("size"), F.first("content").alias("content"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ips")))).alias("client_ips"), F.max("mtime").alias("mtime")
-    )
-
-
-def timed(vers: DataFrame, mode: str = "network") -> DataFrame:
-    """``vers`` with ``at``, its time by a clock: ``network`` (when it was seen), ``fs`` (what the server said), ``hybrid`` (the later of both)."""
-    network, fs = F.timestamp_micros(F.expr("last_ns div 1000")), F.col("mtime")
-    return vers.withColumn("at", by_clock(mode, network, fs))
+    first = F.min_by(F.struct("at", "is_read", "fs_time", "hybrid_time", "size", "content"), "rank")
+    v = v.groupBy(*key, F.col("island").alias("version")).agg(first.alias("f"), F.max("at").alias("latest"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ips")))).alias("client_ips"))
+    access = F.when(F.col("latest") > F.col("f.at"), F.col("latest"))
+    return v.select(*key, "version", F.col("f.at").alias("ts_ns"), access.alias("last_access"), "f.is_read", "f.fs_time", "f.hybrid_time", "f.size", "f.content", "client_ips")
 
 
-def snapshot(vers: DataFrame, moment: Column, mode: str = "network") -> DataFrame:
-    """The last version of each file strictly before a moment."""
-    return latest(timed(vers, mode), ["server", "path"], "at", moment, "version")
+def entries(vers: DataFrame, ops: DataFrame, fs: DataFrame) -> DataFrame:
+    """(server, path, kind, at, a, m, c, b, version): the times of files, told and that follow from reads and writes, each with the version it belongs to."""
+    key = ["server", "path"]
+    begun = append_versions(ops, key, ["ts_ns", "stream", "run", "n"], "pos", "len").where("applied = 1 AND pos = 0")
+    acts = begun.select(*key, F.col("ts_ns").alias("at"), (F.col("op") == "read").alias("is_read"), "skew")
+    known = fs.where("a IS NOT NULL")
+    return assigned(vers.select(*key, "version", F.col("ts_ns").alias("at"), "is_read"), known, synthesized(acts, known, key), key)
 
 
 def names(vers: DataFrame) -> DataFrame:
     """``vers`` with ``name``: the path, and @ with the version's number where a file has several."""
-    per = Window.partitionBy("server", "path", "op")
-    many = F.count(F.lit(1)).over(per) > 1
+    many = F.count(F.lit(1)).over(Window.partitionBy("server", "path")) > 1
     return vers.withColumn("name", F.when(many, F.concat("path", F.lit("@"), F.col("version").cast("string"))).otherwise(F.col("path")))
 
 

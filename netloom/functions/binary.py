@@ -17,7 +17,7 @@ def number(data: Column, at, length: int, little: bool = False) -> Column:
     at = F.lit(at) if isinstance(at, int) else at
     h = F.hex(F.substring(data, at.cast("int") + 1, F.lit(length)))
     if little:
-        h = F.concat(*[F.substring(h, 2 * k + 1, 2) for k in reversed(range(length))])
+        h = F.regexp_replace(h, "(..)" * length, "".join(f"${k}" for k in range(length, 0, -1)))
     return F.when(F.length(h) == 2 * length, F.conv(h, 16, 10).try_cast("long"))
 
 

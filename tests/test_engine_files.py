@@ -31,10 +31,18 @@ def test_versions_are_files(share):
     assert {k for k in rows if k[0].startswith("/smb")} == {("/smb/docs/dir", "a.txt@0"), ("/smb/docs/dir", "a.txt@1")}
     late = rows["/smb/docs/dir", "a.txt@1"]
     assert share.cat(late.stream, "smb", late.start) == b"newer" and late.size == 5
-    second = late.ts_ns // 1_000_000_000
-    shown = share.visible(snapshot=str(second + 1), timestamp_mode="network").where("file_type = 'smb'").collect()
-    assert [bytes(r.content) for r in shown] == [b"newer"]
-    assert share.visible(snapshot="1970-01-01T00:00:00Z").count() == 0
+    old = share.cat(late.stream, "smb", 0)
+    assert old == b"old"
+    seen = {r.start: r for r in share.files.where("file_type = 'smb' AND NOT is_metadata").collect()}
+    second = seen[1].ts_ns // 1_000_000_000
+    of = lambda **how: [(r.name, bytes(r.content), r.mtime_ns) for r in share.visible(**how).where("file_type = 'smb'").orderBy("name").collect()]
+    # No name has a number in a snapshot, and each clock shows its own time.
+    assert of(snapshot=str(second), timestamp_mode="network") == [("a.txt", b"old", seen[0].ts_ns)]
+    assert of(snapshot="1970-01-01T00:00:00Z") == [] and len(of(snapshot="1970-01-01T00:00:00Z", timestamp_mode="network")) == 2
+    assert [x[2] for x in of(timestamp_mode="network")] == [seen[0].ts_ns, seen[1].ts_ns] and [x[2] for x in of(timestamp_mode="hybrid")] == [seen[0].hybrid_ns, seen[1].hybrid_ns]
+    assert [x[2] for x in of(timestamp_mode="fs")] == [0, 0] and [x[0] for x in of(snip=(seen[1].ts_ns, None))] == ["a.txt@1"]
+    # The server told of no time after the writes, and that of the open is used up by the version after it.
+    assert of(snapshot="2025-01-01T00:00:00Z", timestamp_mode="fs", show_metadata=True) == []
     by_client = {r.directory for r in share.listing("/protocol/srcIP/").where("file_type = 'smb'").collect()}
     assert by_client == {"/smb/10.0.0.1"}
 
@@ -46,6 +54,7 @@ def test_directories(share):
     assert [(r.name, r.is_dir) for r in share.readdir("/smb/docs/dir/").collect()] == [("a.txt@0", False), ("a.txt@1", False)]
     assert share.getattr("/smb/docs/dir")["size"] == 2 and share.getattr("/smb/docs")["size"] == 0 and share.getattr("/none") is None
     assert share.getattr("/smb/docs/dir/a.txt@1") | {"ts_ns": 0} == {"is_dir": False, "size": 5, "blocks": 1, "ts_ns": 0}
+    assert share.ls("/smb/docs/dir").count() == 2 and share.ls("/smb/docs/dir", limit=1).count() == 1
 
 
 def test_options():
