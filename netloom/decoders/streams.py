@@ -43,8 +43,10 @@ def tcp_segments(packets: DataFrame) -> DataFrame:
     p = p.withColumn("near", near).withColumn("rel", F.col("near") - F.when(F.col("opened").isNull(), F.min("near").over(way)).otherwise(0)).where("len > 0 AND rel >= 0")
     seq = way.orderBy("rel", "path", "frame_no")
     had = F.coalesce(F.max(F.col("rel") + F.col("len")).over(seq.rowsBetween(START, -1)), F.lit(0))
-    p = p.withColumns({"had": had, "ready": F.max("seen").over(seq.rowsBetween(START, 0))})
+    p = p.withColumn("had", had)
     p = p.withColumns({"cut": F.greatest(F.lit(0), F.col("had") - F.col("rel")), "missing": F.greatest(F.lit(0), F.col("rel") - F.col("had"))}).where("cut < len")
+    # A segment can be delivered when all that gave bytes before it were seen; one that was only sent again holds nothing up.
+    p = p.withColumn("ready", F.max("seen").over(seq.rowsBetween(START, 0)))
     p = p.withColumns({"part": F.expr("substring(payload, cast(cut AS int) + 1)"), "length": F.col("len") - F.col("cut") + F.col("missing")})
     given = whole.orderBy("ready", "side", "rel")
     p = p.withColumns({"pos": F.row_number().over(given) - 1, "offset": F.coalesce(F.sum("length").over(given.rowsBetween(START, -1)), F.lit(0)), "turn": F.coalesce((F.lag("side").over(given) != F.col("side")).cast("int"), F.lit(1))})
