@@ -33,6 +33,8 @@ def lasting(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.kept_at = path
+    if scratch._open:
+        scratch._open[-1].made.append(table)
     return table
 
 
@@ -44,6 +46,34 @@ def forget(*tables: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class scratch:
+    """A block after which the tables that ``lasting`` made in it are removed, but for those given to ``keep``.
+
+    Blocks may be nested: what an inner one keeps is the outer one's to remove.
+    """
+
+    _open: list[scratch] = []
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+        self.kept: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df)
+        return df
+
+    def __enter__(self) -> scratch:
+        self._open.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._open.remove(self)
+        stay = {df.kept_at for df in self.kept}
+        forget(*[df for df in self.made if df.kept_at not in stay])
+        if self._open:
+            self._open[-1].made += [df for df in self.made if df.kept_at in stay]
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """``wish``, with underscores before it until it is no column of ``df``."""
     have = {c.lower() for c in df.columns}
