@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import free_name, lasting
+from .components import free_name, lasting, meet
 
 
 @dataclass(frozen=True)
@@ -25,7 +25,7 @@ class Mix:
 
     Shares are of characters, or of rows with ``by_rows``. ``size`` is the size
     of the mix as a multiple of the corpus. Up to ``broadcast_sources`` sources
-    their rates are sent to all tasks; beyond, they are joined by a shuffle.
+    their rates are sent to all tasks; beyond, only those of sources with many rows are.
     """
 
     weights: dict[str, float] = field(default_factory=dict)
@@ -108,19 +108,28 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     ids and texts count as empty, a null source as a source. Other columns are carried along, whatever their names;
     only a column of the name ``copy_col`` is replaced.
     """
-    u, n, k, order, source, first, cdf = (free_name(docs, x) for x in ("__u", "__n", "__k", "__o", "__source", "__first", "__cdf"))
-    per = lasting(steps(rates(docs, mix, source_col, text_col)).withColumnsRenamed({"source": source, "first": first, "cdf": cdf}))
-    far, sources, size = per.where(F.col(first) > 0), *per.agg(F.count_if(F.col(first) == 0), F.sum(F.when(F.col(first) == 0, F.size(cdf)))).first()
+    u, n, k, order, source, first, cdf, name, rows = (free_name(docs, x) for x in ("__u", "__n", "__k", "__o", "__source", "__first", "__cdf", "__name", "__rows"))
+    known = rates(docs, mix, source_col, text_col)
+    sized = known.select(F.col("source").alias(source), F.col("rows").alias(rows))
+    per = steps(known).withColumnsRenamed({"source": source, "first": first, "cdf": cdf})
+    per = lasting(per.join(sized.withColumnRenamed(source, name), F.col(source).eqNullSafe(F.col(name))).drop(name))
+    far, sources, size, far_sources, total = per.where(F.col(first) > 0), *per.agg(F.count_if(F.col(first) == 0), F.sum(F.when(F.col(first) == 0, F.size(cdf))), F.count_if(F.col(first) > 0), F.sum(rows)).first()
     near = per.where(F.col(first) == 0)
-    if sources <= mix.broadcast_sources and (size or 0) <= MOST_STEPS:
-        near = F.broadcast(near)
     given = docs.withColumn(u, point(id_col, text_col, mix.seed))
-    drawn = given.join(near, docs[source_col].eqNullSafe(near[source]))
+    if sources <= mix.broadcast_sources and (size or 0) <= MOST_STEPS:
+        drawn = given.join(F.broadcast(near.drop(rows)), docs[source_col].eqNullSafe(near[source]))
+    else:
+        # Many sources: those with many rows are still sent to where their rows are, the others are dealt.
+        told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(name)
+        drawn = meet(given.select("*", told(source_col)), near.select("*", told(source)), [name], rows, total).drop(name, rows)
     drawn = drawn.withColumn(n, F.size(F.filter(cdf, lambda c: c <= F.col(u)))).drop(cdf, source, first)
     copies = drawn.where(F.col(n) > 0).withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.col(n) - 1))).drop(n)
-    if not far.isEmpty():
-        # Sources with many copies of a document have few characters: their documents are drawn by a join without broadcast and copied in blocks.
-        drawn = given.join(far.hint("shuffle_merge"), docs[source_col].eqNullSafe(far[source]))
+    if far_sources:
+        # Sources with many copies of a document have few characters: only their documents go to a join without broadcast, and are copied in blocks.
+        if far_sources <= mix.broadcast_sources:
+            names = far.select(F.col(source).alias(name))
+            given = given.join(F.broadcast(names), docs[source_col].eqNullSafe(names[name]), "left_semi")
+        drawn = given.join(far.drop(rows).hint("shuffle_merge"), docs[source_col].eqNullSafe(far[source]))
         drawn = drawn.withColumn(n, F.when(F.col(u) > 0, F.col(first) + _reached(cdf, u)).otherwise(F.lit(0))).drop(cdf, source, first)
         blocks = drawn.where(F.col(n) > 0).withColumn(k, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / BLOCK)))).repartition(u, k)
         each = F.sequence((F.col(k) * BLOCK).cast("int"), (F.least(F.col(n), (F.col(k) + 1) * BLOCK) - 1).cast("int"))

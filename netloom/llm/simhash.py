@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components, forget, lasting, meet
+from .components import connected_components, forget, free_name, lasting, meet, scratch
 from .words import blocks, shingle_hashes
 
 SHINGLE, RADIUS = 3, 3
@@ -149,12 +149,13 @@ def components_of(prints: DataFrame) -> DataFrame:
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fp, root, component_id) for every row."""
-    rows = lasting(docs.select(F.col(id_col).alias("id"), fingerprint(text_col).alias("fp")))
-    least = lasting(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
-    linked = lasting(components_of(least.select("fp")))
-    least = lasting(least.join(linked, "fp", "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")))
-    top = least.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints"))
-    named = lasting(meet(least, top, ["root"], "prints", least.count()).select("fp", "root", "component_id", "copies"))
+    with scratch() as tables:
+        rows = tables.keep(lasting(docs.select(F.col(id_col).alias("id"), fingerprint(text_col).alias("fp"))))
+        least = lasting(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
+        linked = lasting(components_of(least.select("fp")))
+        least = lasting(least.join(linked, "fp", "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")))
+        top = least.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+        named = tables.keep(lasting(meet(least, top, ["root"], "prints", least.count()).select("fp", "root", "component_id", "copies")))
     # Copies without number share a fingerprint.
     return meet(rows, named, ["fp"], "copies", rows.count()).select("id", "fp", "root", "component_id")
 
@@ -176,17 +177,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs`` without near copies: of each component a row with its least id stays.
 
     Where several rows of a component have that id (repeated rows, or nothing
-    but null ids), any one of them stays. Columns are those of ``docs``.
+    but null ids), any one of them stays. Columns are those of ``docs``, of
+    whatever names. An empty table stays empty.
     """
     found = _labelled(docs, id_col, text_col)
     head = F.col("id").eqNullSafe(F.col("component_id"))
-    ids = lasting(found.groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"), F.count_if(head).alias("__heads")).where("__heads > 0"))
-    same = docs[id_col].eqNullSafe(ids["__id"])
-    once = docs.join(ids.where("__n = 1"), same, "left_semi")
-    if ids.where("__n > 1").isEmpty():
+    i, root, fp, n, j, f2 = (free_name(docs, x) for x in ("__i", "__root", "__fp", "__n", "__j", "__f2"))
+    ids = lasting(found.groupBy(F.col("id").alias(i)).agg(F.count(F.lit(1)).alias(n), F.count_if(head).alias("__heads")).where("__heads > 0").select(i, n))
+    same = docs[id_col].eqNullSafe(ids[i])
+    once = docs.join(ids.where(F.col(n) == 1), same, "left_semi")
+    if ids.where(F.col(n) > 1).isEmpty():
         return once
     # Ids that come more than once: the text tells which of their rows is meant.
-    pairs = found.where(head).select(F.col("id").alias("__i"), F.col("fp").alias("__f"), F.col("root").alias("__root")).distinct()
-    again = docs.join(ids.where("__n > 1"), same, "left_semi").withColumn("__fp", fingerprint(text_col))
-    again = again.join(pairs, again[id_col].eqNullSafe(pairs["__i"]) & (again["__fp"] == pairs["__f"])).dropDuplicates(["__i", "__root"])
+    pairs = found.where(head).select(F.col("id").alias(j), F.col("fp").alias(f2), F.col("root").alias(root)).distinct()
+    again = docs.join(ids.where(F.col(n) > 1), same, "left_semi").withColumn(fp, fingerprint(text_col))
+    again = again.join(pairs, again[id_col].eqNullSafe(pairs[j]) & (again[fp] == pairs[f2])).dropDuplicates([j, root])
     return once.unionByName(again.select(*docs.columns))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .components import _folder, running
+from .components import running, shared_folder
 
 END_ID = 0
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
@@ -177,4 +177,4 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 
 def new_folder(spark: SparkSession) -> str:
     """A folder of its own for files, in the shared folder that the session names."""
-    return f"{_folder(spark)}/tokens-{uuid.uuid4()}"
+    return f"{shared_folder(spark)}/tokens-{uuid.uuid4()}"

@@ -13,10 +13,12 @@ So a conversation of any length costs no task more than its share.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components, forget, lasting, meet
+from .components import connected_components, forget, lasting, meet, running, scratch
 
 #: JSON types by the first word of a variant's SQL type.
 TYPES = {
@@ -30,6 +32,8 @@ TYPES = {
     "VOID": "null",
 }
 MOST_TOOLS = 10_000
+#: Calls of a conversation that one row holds while their levels are found.
+BLOCK = 256
 
 
 def canonical(x: Column) -> Column:
@@ -59,6 +63,46 @@ def _rounds(calls: DataFrame, edges: DataFrame) -> DataFrame:
     return done
 
 
+def _blocks(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(call_id, level) where every one of ``edges`` (call_id, need) leads to an earlier turn of the call's conversation.
+
+    A conversation's calls are numbered by turn and taken in blocks of BLOCK.
+    A round settles one block of every conversation: what its calls need
+    outside has a level already, and within the block one fold in the order of
+    turns finds the rest. So rounds are as many as the longest conversation
+    has blocks, and no row holds more than a block.
+    """
+    cell = F.floor(F.coalesce("turn", F.lit(0)) / BLOCK).cast("long")
+    conv = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("conv")
+    rows = calls.select("call_id", conv, "turn", cell.alias("cell"))
+    sums = rows.groupBy("conv", "cell").agg(F.count(F.lit(1)).alias("n"))
+    least = sums.groupBy("conv").agg(F.min("cell").alias("c0"))
+    sums = sums.join(least, "conv").withColumn("bucket", F.col("cell") - F.col("c0"))
+    before = running(sums, ["conv"], "bucket", "n").join(least, "conv").select("conv", (F.col("bucket") + F.col("c0")).alias("cell"), "before")
+    within = F.row_number().over(Window.partitionBy("conv", "cell").orderBy("turn", "call_id")) - 1
+    rows = rows.withColumn("at", within).join(before, ["conv", "cell"]).withColumn("at", F.col("at") + F.col("before"))
+    rows = lasting(rows.select("call_id", "conv", F.floor(F.col("at") / BLOCK).alias("block"), (F.col("at") % BLOCK).cast("int").alias("place")))
+    of = rows.select(F.col("call_id").alias("need"), F.col("block").alias("need_block"), F.col("place").alias("need_place"))
+    asked = edges.join(of.join(edges.groupBy("need").agg(F.count(F.lit(1)).alias("uses")), "need"), "need")
+    asked = lasting(asked.join(rows.select("call_id", "block"), "call_id").select("call_id", "block", "need", "need_block", "need_place"))
+    known, done = rows.limit(0).select("call_id", F.lit(0).cast("long").alias("least")), []
+    for b in range((rows.agg(F.max("block")).first()[0] or 0) + 1):
+        mine = rows.where(F.col("block") == b)
+        inner = asked.where((F.col("block") == b) & (F.col("need_block") == b)).groupBy("call_id").agg(F.collect_list("need_place").alias("inner"))
+        each = mine.join(inner, "call_id", "left").join(known, "call_id", "left")
+        one = F.struct("place", F.coalesce("inner", F.array().cast("array<int>")).alias("inner"), F.coalesce("least", F.lit(0).cast("long")).alias("least"), "call_id")
+        lists = each.groupBy("conv").agg(F.array_sort(F.collect_list(one)).alias("xs"))
+        step = lambda acc, x: F.concat(acc, F.array(F.greatest(x["least"], F.coalesce(F.array_max(F.transform(x["inner"], lambda i: F.get(acc, i))), F.lit(-1).cast("long")) + 1)))
+        found = F.aggregate("xs", F.array().cast("array<bigint>"), step)
+        settled = lists.select(F.explode(F.arrays_zip(F.transform("xs", lambda x: x["call_id"]).alias("call_id"), found.alias("level"))).alias("z")).select("z.call_id", "z.level")
+        settled = lasting(settled)
+        done.append(settled)
+        # What calls of later blocks now know of those that they need.
+        more = asked.where((F.col("need_block") == b) & (F.col("block") > b)).join(settled.withColumnRenamed("call_id", "need"), "need").select("call_id", (F.col("level") + 1).alias("least"))
+        known = lasting(known.unionByName(more).groupBy("call_id").agg(F.max("least").alias("least")))
+    return reduce(DataFrame.unionByName, done)
+
+
 def _edges(calls: DataFrame) -> DataFrame:
     """(call_id, need, need_turn, late) for each need that is a call; late unless it is an earlier turn of the same conversation."""
     at = calls.select(F.col("call_id").alias("need"), F.col("conv_id").alias("__conv"), F.col("turn").alias("need_turn"))
@@ -69,13 +113,6 @@ def _edges(calls: DataFrame) -> DataFrame:
     return lasting(edges.select("call_id", "need", "need_turn", (~early).alias("late")))
 
 
-def _connected(edges: DataFrame, ends: DataFrame) -> DataFrame:
-    """(call_id) of all calls that ``edges`` connect with those of ``ends`` (node), these included."""
-    group = connected_components(edges, "call_id", "need")
-    bad = group.join(group.join(ends, "node").select("root").distinct(), "root", "left_semi").select("node").unionByName(ends).distinct()
-    return lasting(bad.select(F.col("node").alias("call_id")))
-
-
 def levels(calls: DataFrame) -> DataFrame:
     """(call_id, level) of distinct calls (call_id, conv_id, turn, needs): the topological level, 0 if it needs none.
 
@@ -83,21 +120,29 @@ def levels(calls: DataFrame) -> DataFrame:
     Where that leaves each call one need, and an earlier turn of its
     conversation, levels are depths in a forest and found by pointer doubling,
     in as many rounds as the longest chain has binary digits. Groups of
-    connected calls in which some call has more needs, or late ones, take
-    rounds as many as their longest chain. Needs that are no call are ignored.
+    connected calls in which some call has more needs take as many rounds as
+    their longest conversation has blocks of BLOCK calls. Those with late
+    needs take rounds as many as their longest chain. Needs that are no call are ignored.
     Calls on a circle, or behind one, have no row.
     """
     edges = _edges(calls)
     up = lasting(edges.groupBy("call_id").agg(F.max(F.struct("need_turn", "need"))["need"].alias("up")))
     other = edges.join(up, "call_id").where("need != up")
     wide = other.join(edges.select(F.col("call_id").alias("up"), "need"), ["up", "need"], "left_anti")
-    ends = lasting(edges.where("late").select(F.explode(F.array("call_id", "need")).alias("node")).unionByName(wide.select(F.col("call_id").alias("node"))).distinct())
-    mixed = None
-    if not ends.isEmpty():
-        bad = _connected(edges, ends)
-        mixed = _rounds(calls.join(bad, "call_id", "left_semi"), edges.join(bad, "call_id", "left_semi").select("call_id", "need"))
-        mixed = mixed.withColumnRenamed("position", "level")
-        calls = calls.join(bad, "call_id", "left_anti")
+    late = lasting(edges.where("late").select(F.explode(F.array("call_id", "need")).alias("node")).distinct())
+    wide = lasting(wide.select(F.col("call_id").alias("node")).distinct())
+    found = []
+    if not late.isEmpty() or not wide.isEmpty():
+        group = lasting(connected_components(edges, "call_id", "need"))
+        of = lambda ends: lasting(group.join(group.join(ends, "node").select("root").distinct(), "root", "left_semi").select(F.col("node").alias("call_id")).unionByName(ends.select(F.col("node").alias("call_id"))).distinct())
+        bad = of(late)
+        many = lasting(of(wide).join(bad, "call_id", "left_anti"))
+        pick = lambda ids: (calls.join(ids, "call_id", "left_semi"), edges.join(ids, "call_id", "left_semi").select("call_id", "need"))
+        if not bad.isEmpty():
+            found.append(_rounds(*pick(bad)).withColumnRenamed("position", "level"))
+        if not many.isEmpty():
+            found.append(_blocks(*pick(many)))
+        calls = calls.join(bad, "call_id", "left_anti").join(many, "call_id", "left_anti")
     now = lasting(calls.select("call_id").join(up, "call_id", "left").withColumn("level", F.col("up").isNotNull().cast("long")))
     while n := now.where("up IS NOT NULL").count():
         # Every pointer leaps to where the call that it points at points; that call's own way is added. In the end all of a group point at one.
@@ -108,8 +153,7 @@ def levels(calls: DataFrame) -> DataFrame:
         after = lasting(now.where("up IS NULL").unionByName(leapt))
         forget(now)
         now = after
-    found = now.select("call_id", "level")
-    return found if mixed is None else found.unionByName(mixed)
+    return reduce(DataFrame.unionByName, found, now.select("call_id", "level"))
 
 
 def _checked(rows: DataFrame) -> DataFrame:
@@ -169,7 +213,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, every: bool =
         got = lasting(got)
     many = got.where("copies > 1").select("call_id")
     got = got.select("call_id", F.col("m.conv_id").alias("result_conv"), F.col("m.turn").alias("result_turn"), F.col("m.content").alias("content"))
-    order = levels(first.select("call_id", "conv_id", "turn", "needs")).withColumnRenamed("level", at)
+    with scratch() as tables:
+        order = tables.keep(lasting(levels(first.select("call_id", "conv_id", "turn", "needs")).withColumnRenamed("level", at)))
     params = schemas.where("name IS NOT NULL").groupBy("name", "param").agg(F.min("type").alias("type"), F.max("required").alias("required"))
     tools = params.groupBy("name").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("param").isNotNull(), F.struct("param", "type")))).alias("types"),
@@ -177,7 +222,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, every: bool =
     )
     tools = lasting(tools)
 
-    joined = first.join(got, "call_id", "full").join(order, "call_id", "left")
+    joined = first.join(got.hint("shuffle_hash"), "call_id", "full").join(order, "call_id", "left")
     called = F.col("copies").isNotNull()
     joined = joined.withColumns({"conv_id": F.coalesce("conv_id", "result_conv"), "turn": F.coalesce("turn", "result_turn")})
     unnamed = calls.where(F.col("call_id").isNull()).select(*place, "call_id", "name", "arguments", F.lit(1).cast("long").alias("copies"))

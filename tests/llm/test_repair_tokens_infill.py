@@ -11,8 +11,9 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.llm import components, infill, repair, token_files
+from netloom.llm import infill, repair, token_files
 from netloom.llm.queries import vocabulary
+from netloom.operators import tables
 
 BYTES = "byte_bpe_50k.json"
 CLASHES = ("k", "kind", "th", "n", "code", "fault", "signature", "audit", "part", "before", "ids", "meta", "form", "output", "__c", "__w", "__n")
@@ -117,7 +118,7 @@ def test_conversations(spark):
 def test_one_conversation_of_many_rows_and_a_row_of_many_copies(spark, monkeypatch):
     """Rows of one conversation over many tasks and stretches, with keys that are met as hot ones."""
     monkeypatch.setattr(repair, "STRETCH", 50)
-    monkeypatch.setattr(components, "HOT_ROWS", 3)
+    monkeypatch.setattr(tables, "HOT_ROWS", 3)
     rnd = random.Random(8)
     rows = [(1, t, rnd.choice(["user", "assistant"]), rnd.choice(["Fine.", f"Turn {t}.", f"cut {t}"])) for t in range(1500)] + [(1, 7, "user", "Again.")] * 700
     rows += [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} {t}.") for c in range(2, 60) for t in range(2)]
