@@ -2,7 +2,14 @@
 
 Each stage is (spark, docs, sf_dir) -> DataFrame and reads nothing but the rows
 that the stage before it kept, and the labels for the first. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``, and columns beside them, of any name.
+
+Null and empty texts are not toxic, are near copies of each other, hold no
+secret, are never repeated where their source has no characters, and are one
+piece of one token. A null id is an id of its own; rows that repeat are near
+copies. Of rows that tie, one stays. A stage of an empty table is empty. Tables
+that a stage made for itself, and the rows it was given, are removed when its
+result is written.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from netloom.llm import mixing, packing, secrets, simhash, toxicity
-from netloom.llm.components import free_name, lasting
+from netloom.llm.components import forget, free_name, lasting, scratch
 from netloom.llm.queries import vocabulary
 
 
@@ -55,9 +62,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each on what the one before it kept."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = lasting(docs)
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        with scratch() as tables:
+            docs = tables.keep(lasting(stage(spark, before, sf_dir)))
+        if k:
+            forget(before)
+        before = docs
     return docs
