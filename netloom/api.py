@@ -202,7 +202,7 @@ class Engine:
             df = df.withColumn("__client", F.explode_outer(F.split(F.try_element_at("props", F.lit("srcIP")), ",")))
         prop = lambda k: F.nullif(F.try_element_at("props", F.lit(k)), F.lit(""))
         where = F.coalesce(prop("path"), F.regexp_extract(prop("uri"), "^[^? ;]*", 0))
-        inner = F.array_join(F.slice(tree.path_parts(where), F.lit(1), F.greatest(F.lit(0), F.size(tree.path_parts(where)) - 1)), "/")
+        inner = F.array_join(tree.path_parts(F.regexp_replace(where, "[^/]*$", "")), "/")
 
         def part(k: str) -> Column:
             if k == "path":

@@ -14,14 +14,70 @@ from pyspark.sql.types import StringType
 from .registry import Options, decoder, made, properties
 
 #: Names of classes and record types by number, from 0.
-CLASSES = "Unknown (0),IN,IN_QU,CH,HS".split(",")
+CLASSES = (
+    "Unknown (0)",
+    "IN",
+    "IN_QU",
+    "CH",
+    "HS",
+)
 RECORDS = (
-    "Unknown (0),A,NS,MD,MF,CNAME,SOA,MB,MG,MR,NULL_R,WKS,PTR,HINFO,MINFO,MX,TXT,RP,AFSDB,X25,ISDN,RT,NSAP,NSAP_PTR,SIG,KEY,PX,GPOS,AAAA,LOC,NXT,EID,NIMLOC,SRV,ATMA,NAPTR,KX,CERT,A6,DNAM,"
-    "SINK,OPT,APL,DS,SSHFP,IPSECKEY,RRSIG,NSEC,DNSKEY,DHCID,NSEC3,NSEC3PARAM"
-).split(",")
-
-
-def _called(names: list[str], n: int) -> str:
+    "Unknown (0)",
+    "A",
+    "NS",
+    "MD",
+    "MF",
+    "CNAME",
+    "SOA",
+    "MB",
+    "MG",
+    "MR",
+    "NULL_R",
+    "WKS",
+    "PTR",
+    "HINFO",
+    "MINFO",
+    "MX",
+    "TXT",
+    "RP",
+    "AFSDB",
+    "X25",
+    "ISDN",
+    "RT",
+    "NSAP",
+    "NSAP_PTR",
+    "SIG",
+    "KEY",
+    "PX",
+    "GPOS",
+    "AAAA",
+    "LOC",
+    "NXT",
+    "EID",
+    "NIMLOC",
+    "SRV",
+    "ATMA",
+    "NAPTR",
+    "KX",
+    "CERT",
+    "A6",
+    "DNAM",
+    "SINK",
+    "OPT",
+    "APL",
+    "DS",
+    "SSHFP",
+    "IPSECKEY",
+    "RRSIG",
+    "NSEC",
+    "DNSKEY",
+    "DHCID",
+    "NSEC3",
+    "NSEC3PARAM",
+)
+
+
+def _called(names: tuple[str, ...], n: int) -> str:
     return "ALL" if n == 255 else names[n] if n < len(names) else f"Unknown ({n})"
 
 

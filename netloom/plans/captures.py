@@ -140,9 +140,9 @@ def pcap_message_breaks(spark, sf_dir):
     return b.withColumns({"ip": client, "far": server}).select(_conv("ip", "far").alias("conv_id"), F.col("run").cast("long").alias("run"), F.col("offset").cast("long").alias("offset"))
 
 
-def http_packets(spark, sf_dir) -> DataFrame:
-    """A GET and its answer a page; bodies go plain, gzipped, deflated, chunked, or chunked and gzipped by turns."""
-    p = _t(spark, sf_dir, "pages").withColumn("body", F.col("html").cast("binary")).withColumn("k", F.col("page_id") % 5)
+def http_talk(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``ask`` and ``answer``: a GET and its answer a page; bodies go plain, gzipped, deflated, chunked, or chunked and gzipped by turns."""
+    p = pages.withColumn("body", F.col("html").cast("binary")).withColumn("k", F.col("page_id") % 5)
     coded = F.coalesce(binary.gzip(F.when(F.col("k").isin(1, 4), F.col("body"))), binary.deflate(F.when(F.col("k") == 2, F.col("body"))), F.col("body"))
     p = p.withColumn("c", coded).withColumn("c", F.coalesce(binary.chunk(F.when(F.col("k").isin(3, 4), F.col("c"))), F.col("c")))
     path = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/]+(/[^#]*)?", 1), " ", "%20")
@@ -150,11 +150,16 @@ def http_packets(spark, sf_dir) -> DataFrame:
     coding = F.when(F.col("k").isin(1, 4), "Content-Encoding: gzip\r\n").when(F.col("k") == 2, "Content-Encoding: deflate\r\n").otherwise("")
     length = F.when(F.col("k").isin(3, 4), F.lit("Transfer-Encoding: chunked\r\n")).otherwise(F.concat(F.lit("Content-Length: "), F.octet_length("c").cast("string"), F.lit("\r\n")))
     answer = F.concat(F.concat(F.lit("HTTP/1.1 200 OK\r\n"), coding, length, F.lit("\r\n")).cast("binary"), F.col("c"))
+    return p.withColumns({"answer": answer, "ask": ask})
+
+
+def http_packets(spark, sf_dir) -> DataFrame:
+    """One TCP flow a page, with its GET and its answer."""
     syn = F.struct(F.lit(0).alias("n"), F.lit(True).alias("out"), F.lit(99).alias("seq"), F.lit(2).alias("flags"), F.lit(b"").alias("payload"), F.lit(0).alias("cut"))
-    get = F.struct(F.lit(1).alias("n"), F.lit(True).alias("out"), F.lit(100).alias("seq"), F.lit(24).alias("flags"), ask.alias("payload"), F.lit(0).alias("cut"))
+    get = F.struct(F.lit(1).alias("n"), F.lit(True).alias("out"), F.lit(100).alias("seq"), F.lit(24).alias("flags"), F.col("ask").alias("payload"), F.lit(0).alias("cut"))
     size = 32_000
     cuts = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("answer") - 1) / size).cast("int")), lambda k: F.struct((k + 2).alias("n"), F.lit(False).alias("out"), (k * size + 500).alias("seq"), F.lit(24).alias("flags"), F.substring(F.col("answer"), k * size + 1, F.lit(size)).alias("payload"), k.alias("cut")))
-    each = p.withColumns({"answer": answer, "ask": ask}).select("page_id", F.explode(F.concat(F.array(syn, get), cuts)).alias("s"))
+    each = http_talk(_t(spark, sf_dir, "pages")).select("page_id", F.explode(F.concat(F.array(syn, get), cuts)).alias("s"))
     client, server = _ends(F.col("page_id"), 20)
     either = lambda a, b: F.when(F.col("s.out"), a).otherwise(b)
     return each.select(

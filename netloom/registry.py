@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from .plans import captures, relational  # noqa: F401  the modules register their queries
+    from .plans import captures, clocks, engine, protocols, relational  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -21,7 +21,9 @@ from ..functions.binary import ipv4, number
 #: The first four bytes of the formats that are read.
 PCAP_MICRO, PCAP_NANO, PCAPNG = b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1", b"\x0a\x0d\x0d\x0a"
 #: Block types of the second format, and the kind of secrets read there.
-ENHANCED, SIMPLE, SECRETS, INTERFACE, TLS_LOG = 6, 3, 10, 1, 0x544C534B
+ENHANCED, SIMPLE, SECRETS, INTERFACE, SECTION, TLS_LOG = 6, 3, 10, 1, 0x0A0D0D0A, 0x544C534B
+#: The option of an interface that tells its resolution.
+TICKS = 9
 
 FRAMES = "path string, frame_no long, ts_ns long, at long, frame binary"
 
@@ -43,15 +45,46 @@ def _records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
             yield sec * 1_000_000_000 + sub * unit, at + 16, data[at + 16 : at + 16 + size]
             at += 16 + size
     elif magic == PCAPNG:
+        known = Resolution()
         for kind, at, size in _sections(data):
-            if kind == ENHANCED and size >= 32:
-                high, low, held = struct.unpack_from("<III", data, at + 12)
-                yield ((high << 32) | low) * 1000, at + 28, data[at + 28 : at + 28 + held]
+            if kind in (INTERFACE, SECTION):
+                known.see(kind, data[at : at + size])
+            elif kind == ENHANCED and size >= 32:
+                interface, high, low, held = struct.unpack_from("<IIII", data, at + 8)
+                yield known.ns(interface, (high << 32) | low), at + 28, data[at + 28 : at + 28 + held]
             elif kind == SIMPLE and size >= 16:
                 held = min(struct.unpack_from("<I", data, at + 8)[0], size - 16)
                 yield 0, at + 12, data[at + 12 : at + 12 + held]
 
 
+class Resolution:
+    """How many ticks of each interface of a section are a second: a million where it does not say."""
+
+    def __init__(self) -> None:
+        self.ticks: list[int] = []
+
+    def see(self, kind: int, block: bytes) -> None:
+        """A section begins anew; an interface adds itself, with what its options tell."""
+        if kind == SECTION:
+            self.ticks = []
+        if kind != INTERFACE:
+            return
+        ticks, at = 1_000_000, 16
+        while at + 4 <= len(block) - 4:
+            code, n = struct.unpack_from("<HH", block, at)
+            if code == 0:
+                break
+            if code == TICKS and n == 1 and at + 4 < len(block):
+                exponent = block[at + 4]
+                ticks = 1 << (exponent & 0x7F) if exponent & 0x80 else 10**exponent
+            at += 4 + n + -n % 4
+        self.ticks.append(ticks)
+
+    def ns(self, interface: int, time: int) -> int:
+        ticks = self.ticks[interface] if interface < len(self.ticks) else 1_000_000
+        return time * 1_000_000_000 // ticks
+
+
 def _sections(data: bytes) -> Iterator[tuple[int, int, int]]:
     """(type, place, length) of the blocks; a length that cannot be ends the walk."""
     at = 0
