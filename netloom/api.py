@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .decoders import dhcp, dns, ftp, http, smb, ssh, streams, tls, xor  # noqa: F401  decoders register themselves
+from .decoders import dhcp, dns, ftp, http, keyexchange, smb, ssh, streams, tls, xor  # noqa: F401  decoders register themselves
 from .decoders.registry import DECODERS, FIRST, RUN, Decoder, Options, fixpoint, properties
 from .functions import times
 from .operators import files as fileops
@@ -134,8 +134,8 @@ class Engine:
 
         ``rules`` are decode rules by decoder, as a configuration has them;
         ``key_log`` (column line) is read beside the secrets that captures carry.
-        ``keys`` are key files or folders of such: lines of key logs and XOR
-        keys. ``config`` is the text of a configuration, whose rules, key files
+        ``keys`` are key files or folders of such: lines of key logs, XOR keys
+        and RSA private keys. ``config`` is the text of a configuration, whose rules, key files
         and order of listing count where the arguments give none. What decoders
         find is offered to all decoders again, up to ``most_rounds`` deep;
         ``decoders`` are used in place of all that are registered. With
@@ -144,14 +144,16 @@ class Engine:
         told = keysource.config(config) if config else {"sortby": "/protocol/", "keyfiles": [], "rules": {}}
         rules = rules or told["rules"]
         places = [*([keys] if isinstance(keys, str) else keys or []), *told["keyfiles"]]
+        private_keys = None
         if places:
             lines = spark.read.text(places).select(F.col("value").alias("line"))
             key_log = lines if key_log is None else key_log.select("line").unionByName(lines)
             xor_keys = xor_keys if xor_keys is not None else keysource.xor_keys(spark, places)
+            private_keys = keyexchange.private_keys(keysource.pem_keys(spark, places))
         source = captures if captures is not None else pcap.captures(spark, path, suffix)
         log = pcap.secrets(source).select("line")
         log = keysource.key_log(log if key_log is None else log.unionByName(key_log.select("line")))
-        options = Options(rules or {}, xor_keys, log, any_port=check_non_default_ports)
+        options = Options(rules or {}, xor_keys, log, private_keys, check_non_default_ports)
         # Read by several jobs, so written once; a lost executor costs no second walk over the captures.
         packets = lasting(pcap.packets(source))
         base = lasting(Engine._tcp(streams.runs(streams.tcp_segments(packets))).unionByName(Engine._udp(packets)))

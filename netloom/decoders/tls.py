@@ -1,12 +1,11 @@
-"""TLS: records and hellos as Columns, fingerprints, and decryption of AES-GCM and AES-CBC with given secrets.
+"""TLS: records and hellos as Columns, fingerprints, and decryption of AES-GCM, AES-CBC and RC4 with given secrets and keys.
 
-Only the pseudo-random function runs in Python; ciphers are Spark's own.
+AES is Spark's own; the pseudo-random function and RC4 run in Python, over batches.
 """
 
 from __future__ import annotations
 
 import hashlib
-import hmac
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,41 +19,54 @@ from ..operators import filters
 from ..operators.gather import in_order
 from ..operators.sequence import START
 from ..operators.tables import lasting
-from . import certificates
+from . import certificates, keyexchange
 from .registry import Options, decoder, made, properties
 
 HANDSHAKE, APPLICATION, CHANGE = 22, 23, 20
 #: Suites by number: mode, key bytes, MAC bytes, hash of the pseudo-random function.
 SUITES = {
+    0x0004: ("rc4", 16, 16, "sha256"),
+    0x0005: ("rc4", 16, 20, "sha256"),
     0x002F: ("cbc", 16, 20, "sha256"),
+    0x0032: ("cbc", 16, 20, "sha256"),
+    0x0033: ("cbc", 16, 20, "sha256"),
     0x0035: ("cbc", 32, 20, "sha256"),
+    0x0038: ("cbc", 32, 20, "sha256"),
+    0x0039: ("cbc", 32, 20, "sha256"),
     0x003C: ("cbc", 16, 32, "sha256"),
     0x003D: ("cbc", 32, 32, "sha256"),
+    0x0040: ("cbc", 16, 32, "sha256"),
+    0x0067: ("cbc", 16, 32, "sha256"),
+    0x006A: ("cbc", 32, 32, "sha256"),
+    0x006B: ("cbc", 32, 32, "sha256"),
     0x009C: ("gcm", 16, 0, "sha256"),
     0x009D: ("gcm", 32, 0, "sha384"),
+    0x009E: ("gcm", 16, 0, "sha256"),
+    0x009F: ("gcm", 32, 0, "sha384"),
+    0xC007: ("rc4", 16, 20, "sha256"),
+    0xC009: ("cbc", 16, 20, "sha256"),
+    0xC00A: ("cbc", 32, 20, "sha256"),
+    0xC011: ("rc4", 16, 20, "sha256"),
     0xC013: ("cbc", 16, 20, "sha256"),
     0xC014: ("cbc", 32, 20, "sha256"),
+    0xC023: ("cbc", 16, 32, "sha256"),
+    0xC024: ("cbc", 32, 48, "sha384"),
     0xC027: ("cbc", 16, 32, "sha256"),
+    0xC028: ("cbc", 32, 48, "sha384"),
     0xC02B: ("gcm", 16, 0, "sha256"),
     0xC02C: ("gcm", 32, 0, "sha384"),
     0xC02F: ("gcm", 16, 0, "sha256"),
     0xC030: ("gcm", 32, 0, "sha384"),
 }
-
-
-def _prf(name: str, secret: bytes, label: bytes, seed: bytes, n: int) -> bytes:
-    out, a = b"", label + seed
-    while len(out) < n:
-        a = hmac.digest(secret, a, name)
-        out += hmac.digest(secret, a + label + seed, name)
-    return out[:n]
+#: Bytes of a MAC where it is truncated.
+SHORT_MAC = 10
 
 
 @F.arrow_udf(BinaryType())
-def key_block(master: pa.Array, server_random: pa.Array, client_random: pa.Array, digest: pa.Array) -> pa.Array:
-    """192 bytes of key material of TLS 1.2; null where something is missing or the hash is not known."""
-    rows = zip(master.to_pylist(), server_random.to_pylist(), client_random.to_pylist(), digest.to_pylist(), strict=True)
-    return pa.array([_prf(d, m, b"key expansion", s + c, 192) if None not in (m, s, c, d) and d in hashlib.algorithms_available else None for m, s, c, d in rows], pa.binary())
+def key_block(master: pa.Array, server_random: pa.Array, client_random: pa.Array, digest: pa.Array, version: pa.Array) -> pa.Array:
+    """192 bytes of key material of a version; null where something is missing or the hash is not known."""
+    rows = zip(*[x.to_pylist() for x in (master, server_random, client_random, digest, version)], strict=True)
+    return pa.array([keyexchange.prf(v, d, m, b"key expansion", s + c, 192) if None not in (m, s, c, d, v) and d in hashlib.algorithms_available else None for m, s, c, d, v in rows], pa.binary())
 
 
 RECORD = "array<struct<at:long,type:int,version:int,body:binary>>"
@@ -140,32 +152,79 @@ def hellos(recs: DataFrame) -> DataFrame:
     )
 
 
-def plaintexts(recs: DataFrame, hello: DataFrame, log: DataFrame) -> DataFrame:
-    """(stream, side, run, n, plain) of application records of TLS 1.2 that a master secret in ``log`` opens; others are left out.
-
-    ``log`` is (kind, id, secret). GCM records are checked by their tag, with the sequence number counted from the side's change of cipher.
+def _suite(k: int) -> Column:
+    return F.coalesce(*[F.when(F.col("suite") == s, F.lit(v[k])) for s, v in SUITES.items()])
+
+
+def _rc4(rows: DataFrame) -> DataFrame:
+    """``rows`` (stream, side, n, key, body) with ``raw``: each side's records opened one after the other, by one key stream that goes on from record to record."""
+    cols = rows.columns
+    at = {c: cols.index(c) for c in ("stream", "side", "key", "body")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, box, i, j = None, list(range(256)), 0, 0
+        for b in batches:
+            out = []
+            for stream, side, key, body in zip(*[b.column(k).to_pylist() for k in at.values()], strict=True):
+                if (stream, side) != now:
+                    now, box, i, j = (stream, side), list(range(256)), 0, 0
+                    for k in range(256):
+                        j = (j + box[k] + key[k % len(key)]) % 256
+                        box[k], box[j] = box[j], box[k]
+                    j = 0
+                clear = bytearray(len(body))
+                for k, x in enumerate(body):
+                    i = (i + 1) % 256
+                    j = (j + box[i]) % 256
+                    box[i], box[j] = box[j], box[i]
+                    clear[k] = x ^ box[(box[i] + box[j]) % 256]
+                out.append(bytes(clear))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*cols, "raw"])
+
+    dealt = rows.repartition("stream", "side").sortWithinPartitions("stream", "side", "n")
+    return dealt.mapInArrow(run, rows.withColumn("raw", F.lit(None).cast("binary")).schema)
+
+
+def plaintexts(recs: DataFrame, hello: DataFrame, log: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """(stream, side, run, n, plain) of application records of TLS 1.0 to 1.2 that a secret in ``log`` or a private key opens; others are left out.
+
+    ``log`` is (kind, id, secret), ``keys`` (path, modulus, exponent); ``recs``
+    and ``hello`` should be lasting. GCM records are checked by their tag, with
+    the sequence number counted from the side's change of cipher. CBC begins
+    with the last block of the record before in 1.0 and with a block of its own
+    after that; its MAC is cut off, in front of the padding or behind it all
+    where it covers the ciphertext. RC4 goes on from record to record.
     """
-    known = log.where("kind = 'CLIENT_RANDOM'").select(F.col("id").alias("client_random"), F.col("secret").alias("master")).dropDuplicates(["client_random"])
-    out = lambda k: F.coalesce(*[F.when(F.col("suite") == s, F.lit(v[k])) for s, v in SUITES.items()])
-    h = hello.join(known, "client_random").withColumns({"mode": out(0), "key_n": out(1), "mac_n": out(2), "digest": out(3)}).where("mode IS NOT NULL")
-    h = h.withColumn("block", key_block("master", "server_random", "client_random", "digest"))
+    h = hello.withColumns({"mode": _suite(0), "key_n": _suite(1), "mac_n": _suite(2), "digest": _suite(3)}).where("mode IS NOT NULL")
+    exchange = keyexchange.exchanges(keyexchange.messages(recs), h.select("stream", "digest"))
+    h = h.join(keyexchange.masters(h, exchange, log, keys, None if keys is None else certificates.chains(recs)), "stream")
+    h = h.join(exchange.select("stream", "version", "encrypt_then_mac", "truncated_mac"), "stream")
+    h = h.withColumn("block", key_block("master", "server_random", "client_random", "digest", "version"))
     w = Window.partitionBy("stream", "side").orderBy("n")
-    r = recs.withColumn("open", F.sum((F.col("type") == CHANGE).cast("int")).over(w.rowsBetween(START, 0)))
-    r = r.where(f"open > 0 AND type <> {CHANGE}").withColumn("seq", F.row_number().over(w) - 1)
-    r = r.where(F.col("type") == APPLICATION).join(h.select("stream", "client_side", "mode", "key_n", "mac_n", "block"), "stream")
+    r = recs.drop("version").withColumn("open", F.sum((F.col("type") == CHANGE).cast("int")).over(w.rowsBetween(START, 0)))
+    r = r.where(f"open > 0 AND type <> {CHANGE}").withColumns({"seq": F.row_number().over(w) - 1, "tail": F.lag(F.substring("body", -16, 16)).over(w)})
+    r = r.join(h.select("stream", "client_side", "mode", "key_n", "mac_n", "block", "version", "encrypt_then_mac", "truncated_mac"), "stream")
     is_client = F.col("side") == F.col("client_side")
     at = 2 * F.col("mac_n") + F.when(is_client, 0).otherwise(F.col("key_n"))
     cut = lambda a, n: F.substring(F.col("block"), (a + 1).cast("int"), n)
-    r = r.withColumns({"key": cut(at, F.col("key_n")), "salt": cut(2 * F.col("mac_n") + 2 * F.col("key_n") + F.when(is_client, 0).otherwise(4), F.lit(4))})
+    iv_n = F.when(F.col("mode") == "gcm", 4).otherwise(16)
+    r = r.withColumns({"key": cut(at, F.col("key_n")), "iv": cut(2 * F.col("mac_n") + 2 * F.col("key_n") + F.when(is_client, 0).otherwise(iv_n), iv_n)})
+    r = r.withColumn("mac_n", F.when(F.col("truncated_mac") & (F.col("mac_n") > 0), SHORT_MAC).otherwise(F.col("mac_n")))
+    stream_ = _rc4(r.where("mode = 'rc4'")).where(F.col("type") == APPLICATION)
+    kept = F.octet_length("raw") - F.col("mac_n")
+    stream_ = stream_.select("stream", "side", "run", "n", F.when(kept >= 0, F.substring("raw", F.lit(1), kept.cast("int"))).alias("plain"))
+    r = r.where((F.col("type") == APPLICATION) & (F.col("mode") != "rc4"))
     size = F.octet_length("body")
     head = F.unhex(F.concat(F.lpad(F.hex("seq"), 16, "0"), F.lit("170303"), F.lpad(F.hex(size - 24), 4, "0")))
-    gcm = F.when(F.col("mode") == "gcm", aes_gcm(F.concat("salt", F.substring("body", 1, 8)), F.expr("substring(body, 9)"), F.col("key"), head))
-    fits = (F.col("mode") == "cbc") & (size >= 32) & (size % 16 == 0)
-    raw = F.when(fits, aes_cbc(F.expr("substring(body, 17)"), F.col("key"), F.substring("body", 1, 16)))
-    r = r.withColumn("raw", raw)
-    keep = F.octet_length("raw") - number(F.col("raw"), F.octet_length("raw") - 1, 1) - 1 - F.col("mac_n")
+    gcm = F.when(F.col("mode") == "gcm", aes_gcm(F.concat("iv", F.substring("body", 1, 8)), F.expr("substring(body, 9)"), F.col("key"), head))
+    own_iv = F.col("version") > 0x0301
+    behind = F.when(F.col("encrypt_then_mac"), F.col("mac_n")).otherwise(0)
+    r = r.withColumns({"sealed": F.substring(F.expr("substring(body, if(version > 769, 17, 1))"), F.lit(1), (size - F.when(own_iv, 16).otherwise(0) - behind).cast("int")), "before": F.when(own_iv, F.substring("body", 1, 16)).otherwise(F.coalesce("tail", "iv"))})
+    fits = (F.col("mode") == "cbc") & (F.octet_length("sealed") >= 16) & (F.octet_length("sealed") % 16 == 0)
+    r = r.withColumn("raw", F.when(fits, aes_cbc(F.col("sealed"), F.col("key"), F.col("before"))))
+    keep = F.octet_length("raw") - number(F.col("raw"), F.octet_length("raw") - 1, 1) - 1 - F.when(F.col("encrypt_then_mac"), 0).otherwise(F.col("mac_n"))
     cbc = F.when(keep >= 0, F.substring("raw", F.lit(1), keep.cast("int")))
-    return r.select("stream", "side", "run", "n", F.coalesce(gcm, cbc).alias("plain")).where("plain IS NOT NULL")
+    return r.select("stream", "side", "run", "n", F.coalesce(gcm, cbc).alias("plain")).unionByName(stream_).where("plain IS NOT NULL")
 
 
 def _fits(options: Options) -> Column:
@@ -192,7 +251,7 @@ def files(runs: DataFrame, options: Options) -> DataFrame:
     plain = recs.where(F.col("type") == APPLICATION).select("stream", "side", "run", "n", F.col("body").alias("part"), F.lit(False).alias("opened"))
     if options.key_log is not None:
         allowed = hello.join(runs.where(_opened(options)).select("stream").distinct(), "stream", "left_semi")
-        clear = plaintexts(recs, allowed, options.key_log).select("stream", "side", "run", "n", F.col("plain").alias("part"), F.lit(True).alias("opened"))
+        clear = plaintexts(recs, allowed, options.key_log, options.private_keys).select("stream", "side", "run", "n", F.col("plain").alias("part"), F.lit(True).alias("opened"))
         plain = plain.join(clear.select("stream").distinct(), "stream", "left_anti").unionByName(clear)
     content = plain.groupBy("stream", "side", "run").agg(in_order("part", "n").alias("content"))
     chain = certificates.chains(recs).where("first_of_chain").select("stream", "ja4x").dropDuplicates(["stream"])

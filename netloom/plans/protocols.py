@@ -109,7 +109,7 @@ def _master(n: Column) -> Column:
 def _tls(df: DataFrame, n: str, host: Column, says: Column, certificate: Column | None = None) -> DataFrame:
     """Turns of a TLS 1.2 session for each row: hellos, finished messages, then ``says`` (array of out and text), a record each, sealed with AES-128-GCM."""
     df = df.withColumns({"__n": F.col(n).cast("long"), "__says": says})
-    df = df.withColumn("__block", tls.key_block(_master(F.col("__n")), _sha(F.lit("s"), F.col("__n")), _sha(F.lit("c"), F.col("__n")), F.lit("sha256")))
+    df = df.withColumn("__block", tls.key_block(_master(F.col("__n")), _sha(F.lit("s"), F.col("__n")), _sha(F.lit("c"), F.col("__n")), F.lit("sha256"), F.lit(0x0303)))
     ch, sh = _hello(F.col("__n"), host)
     fin = F.concat(_record(20, _x("01")), _record(22, _x("00" * 40)))
     server = _record(22, sh) if certificate is None else F.concat(_record(22, sh), _record(22, certificate))
