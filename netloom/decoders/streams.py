@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.gather import joined, zeros
+from ..operators.gather import in_order, zeros
 from ..operators.sequence import START, anchored_sessions
 from ..sources.pcap import flow
 
@@ -77,10 +77,9 @@ def breaks(segments: DataFrame) -> DataFrame:
 
 def runs(segments: DataFrame) -> DataFrame:
     """(stream, run, side, offset, ts_ns, content, missing_data, ...): one message run with its bytes, missing ones as zeros."""
-    piece = F.struct("pos", F.concat(zeros(F.col("missing")), F.col("part")).alias("b"))
-    return segments.groupBy("stream", "run", "side").agg(
+    return segments.withColumn("piece", F.concat(zeros(F.col("missing")), F.col("part"))).groupBy("stream", "run", "side").agg(
         F.min("offset").alias("offset"), F.min_by("ts_ns", "pos").alias("ts_ns"), F.first("first").alias("first"), (F.max("missing") > 0).alias("missing_data"),
-        joined(F.transform(F.sort_array(F.collect_list(piece)), lambda x: x["b"])).alias("content"),
+        in_order("piece", "pos").alias("content"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import whole_seconds
+from .tables import running
 
 
 def without(rows: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
@@ -42,12 +43,11 @@ def once_named(rows: DataFrame, directory: str, name: str, order: str) -> DataFr
 def numbered(rows: DataFrame, kind: str, order: str, number: str = "file_id", width: int = 4096) -> DataFrame:
     """``rows`` with ids from 0 within each kind, by ``order`` (a number of its own for each row).
 
-    A kind may hold most rows, so ranks are sums over small cells of ``order``, then within them.
+    A kind may hold most rows, so ranks are sums over small cells of ``order`` and over blocks of these, then within them.
     """
     rows = rows.withColumn("__cell", F.floor(F.col(order) / width))
     sums = rows.groupBy(kind, "__cell").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(kind).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(kind, "__cell", before.alias("__before"))
+    sums = running(sums, [kind], "__cell", "__n").withColumnRenamed("before", "__before")
     within = F.row_number().over(Window.partitionBy(kind, "__cell").orderBy(order))
     ranked = rows.withColumn("__within", within).join(sums, [kind, "__cell"])
     return ranked.withColumn(number, F.col("__before") + F.col("__within") - 1).drop("__cell", "__within", "__before")

@@ -11,11 +11,6 @@ def zeros(n: Column) -> Column:
     return F.unhex(F.repeat(F.lit("00"), n.cast("int")))
 
 
-def joined(parts: Column) -> Column:
-    """The bytes of an array, one behind the other."""
-    return F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p)), ""))
-
-
 def in_order(part: str, order: str) -> Column:
     """Aggregate: the bytes of a column's values one behind the other, by ``order``."""
     return F.coalesce(F.expr(f"listagg({part}) WITHIN GROUP (ORDER BY {order})"), F.lit(b""))

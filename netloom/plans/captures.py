@@ -64,8 +64,8 @@ def conversation_packets(spark, sf_dir) -> DataFrame:
 
 
 def _whole(segments: DataFrame) -> DataFrame:
-    piece = F.struct("pos", F.concat(gather.zeros(F.col("missing")), F.col("part")).alias("b"))
-    return segments.groupBy("stream").agg(F.first("first").alias("f"), gather.joined(F.transform(F.sort_array(F.collect_list(piece)), lambda x: x["b"])).alias("c"), (F.max("missing") > 0).alias("missing_data"))
+    pieces = segments.withColumn("piece", F.concat(gather.zeros(F.col("missing")), F.col("part")))
+    return pieces.groupBy("stream").agg(F.first("first").alias("f"), gather.in_order("piece", "pos").alias("c"), (F.max("missing") > 0).alias("missing_data"))
 
 
 def _conv(client: str, server: str) -> Column:

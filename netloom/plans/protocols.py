@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..api import Engine
-from ..decoders import certificates, dhcp, ftp, smb, ssh, streams, tls
+from ..decoders import certificates, dhcp, ftp, keyexchange, smb, ssh, streams, tls
 from ..decoders.registry import DECODERS, Options, fixpoint
 from ..functions.binary import xor
 from ..operators.sequence import START
@@ -93,12 +93,12 @@ def _handshake(kind: int, body: Column) -> Column:
     return F.concat(_b(kind, 1), _sized(body, 3))
 
 
-def _hello(n: Column, host: Column) -> tuple[Column, Column]:
-    """Client and server hello of flow ``n``, with randoms that its number gives; suite C02F."""
+def _hello(n: Column, host: Column, suite: str = "c02f", extensions: str = "0000") -> tuple[Column, Column]:
+    """Client and server hello of flow ``n``, with randoms that its number gives."""
     name = _sized(F.concat(_x("00"), _sized(_bytes(host))))
     ext = _sized(F.concat(_x("0000"), _sized(name)))
-    ch = F.concat(_x("0303"), _sha(F.lit("c"), n), _x("00"), _x("0002c02f"), _x("0100"), ext)
-    sh = F.concat(_x("0303"), _sha(F.lit("s"), n), _x("00"), _x("c02f"), _x("00"), _x("0000"))
+    ch = F.concat(_x("0303"), _sha(F.lit("c"), n), _x("00"), _x("0002" + suite), _x("0100"), ext)
+    sh = F.concat(_x("0303"), _sha(F.lit("s"), n), _x("00"), _x(suite), _x("00"), _x(extensions))
     return _handshake(1, ch), _handshake(2, sh)
 
 
@@ -106,14 +106,31 @@ def _master(n: Column) -> Column:
     return F.concat(_sha(F.lit("m"), n), F.substring(_sha(F.lit("k"), n), 1, 16))
 
 
-def _tls(df: DataFrame, n: str, host: Column, says: Column, certificate: Column | None = None) -> DataFrame:
-    """Turns of a TLS 1.2 session for each row: hellos, finished messages, then ``says`` (array of out and text), a record each, sealed with AES-128-GCM."""
+def _premaster(n: Column) -> Column:
+    return F.concat(_x("0303"), _sha(F.lit("p"), n), F.substring(_sha(F.lit("q"), n), 1, 14))
+
+
+def _tls(df: DataFrame, n: str, host: Column, says: Column, certificate: Column | None = None, rsa: bool = False) -> DataFrame:
+    """Turns of a TLS 1.2 session for each row: hellos, finished messages, then ``says`` (array of out and text), a record each, sealed with AES-128-GCM.
+
+    With ``rsa`` the client sends a sealed secret, which begins with the flow's
+    number, and the master secret is the extended one.
+    """
     df = df.withColumns({"__n": F.col(n).cast("long"), "__says": says})
-    df = df.withColumn("__block", tls.key_block(_master(F.col("__n")), _sha(F.lit("s"), F.col("__n")), _sha(F.lit("c"), F.col("__n")), F.lit("sha256"), F.lit(0x0303)))
-    ch, sh = _hello(F.col("__n"), host)
+    if rsa:
+        ch, sh = _hello(F.col("__n"), host, "009c", "000400170000")
+        exchange = _handshake(16, _sized(F.concat(_b(F.col("__n"), 8), _x("77" * 120))))
+        hashed = F.unhex(F.sha2(F.concat(ch, sh, exchange), 256))
+        master = keyexchange.master_secret(F.lit(0x0303), F.lit("sha256"), _premaster(F.col("__n")), _sha(F.lit("c"), F.col("__n")), _sha(F.lit("s"), F.col("__n")), F.lit(True), hashed)
+        df = df.withColumn("__master", master)
+    else:
+        ch, sh = _hello(F.col("__n"), host)
+        exchange = None
+        df = df.withColumn("__master", _master(F.col("__n")))
+    df = df.withColumn("__block", tls.key_block(F.col("__master"), _sha(F.lit("s"), F.col("__n")), _sha(F.lit("c"), F.col("__n")), F.lit("sha256"), F.lit(0x0303)))
     fin = F.concat(_record(20, _x("01")), _record(22, _x("00" * 40)))
     server = _record(22, sh) if certificate is None else F.concat(_record(22, sh), _record(22, certificate))
-    opening = _turns(df, [(True, _record(22, ch)), (False, server), (True, fin), (False, fin)], "__n")
+    opening = _turns(df, [(True, _record(22, ch)), (False, server), (True, fin if exchange is None else F.concat(_record(22, exchange), fin)), (False, fin)], "__n")
     cells = df.select("__n", "__block", F.posexplode("__says").alias("pos", "say")).select("__n", "__block", "pos", "say.out", "say.text")
     cut = F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / 16_000).cast("int")))
     cells = cells.where("octet_length(text) > 0").withColumn("cut", cut).withColumn("text", F.substring(F.col("text"), F.col("cut") * 16_000 + 1, F.lit(16_000)))
@@ -206,6 +223,17 @@ def tls_plaintext(spark, sf_dir):
     return out.select("conv_id", F.md5("content").alias("plain_md5"), F.octet_length("content").cast("long").alias("size"))
 
 
+@query("tls_rsa_extended", "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS plain_md5 FROM conversations GROUP BY conv_id")
+def tls_rsa_extended(spark, sf_dir):
+    """Sessions whose pre-master secret the log tells by its id, with an extended master secret over all that was said before."""
+    said = _said(spark, sf_dir)
+    turns = _tls(said, "conv_id", F.lit("rsa.test"), F.col("says"), rsa=True)
+    id_ = F.col("conv_id").cast("long")
+    log = keysource.key_log(said.select(F.concat_ws(" ", F.lit("RSA"), F.hex(_b(id_, 8)), F.hex(_premaster(id_))).alias("line")))
+    out = _opened(lasting(Engine._tcp(_runs(_flows(turns, 50, 443)))), Options(key_log=log))
+    return out.select("conv_id", F.md5("content").alias("plain_md5"))
+
+
 @query(
     "tls_rules",
     """SELECT conv_id, CAST(sum(octet_length(encode(text))) + CASE WHEN conv_id % 2 = 1 THEN 0 ELSE 24 * count(*) END AS BIGINT) AS size, CASE WHEN conv_id % 2 = 1 THEN md5(string_agg(text, '' ORDER BY turn)) END AS plain_md5

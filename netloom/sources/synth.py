@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.gather import joined
+from ..operators.gather import in_order
 
 
 def _n(x: Column, size: int, little: bool = False) -> Column:
@@ -48,5 +48,5 @@ def pcapng(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def _file(df: DataFrame, order: list[str], record: Column, start: Column) -> DataFrame:
-    rows = df.select("path", F.struct(*order, record.alias("r")).alias("x")).groupBy("path").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    return rows.select("path", F.concat(start, joined(F.transform("xs", lambda x: x["r"]))).alias("content"))
+    rows = df.select("path", *order, record.alias("r")).groupBy("path").agg(in_order("r", ", ".join(order)).alias("records"))
+    return rows.select("path", F.concat(start, "records").alias("content"))
