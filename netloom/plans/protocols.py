@@ -295,6 +295,11 @@ def _certificate(number: Column, issuer: Column, subject: Column, extensions: li
     return _der(0x30, F.concat(inner, algorithm, _der(0x03, _x("00" + "00" * 32))))
 
 
+def _digits(modulus: Column) -> Column:
+    """The digits of a modulus of 32 bytes: a number that is read back has no zeros before it."""
+    return F.lpad(F.lower(F.hex(modulus)), 64, "0")
+
+
 @query(
     "certificate_chains",
     """WITH c AS (SELECT s_suppkey, 0 AS place, s_name AS subject, n_name AS issuer, '551d11,551d0f' AS ext FROM supplier JOIN nation ON n_nationkey = s_nationkey
@@ -314,7 +319,7 @@ def certificate_chains(spark, sf_dir):
     runs = _runs(_flows(turns, 70, 443))
     c = certificates.chains(tls.records(runs)).join(runs.where("run = 0").select("stream", "first"), "stream")
     same = certificates.from_pem(F.decode("pem", "UTF-8")) == F.col("der")
-    return c.select(_n().alias("suppkey"), F.col("place").cast("int").alias("place"), "subject_name", "issuer_name", "ja4x", F.lower(F.hex("modulus")).alias("modulus"), same.alias("same"), "first_of_chain")
+    return c.select(_n().alias("suppkey"), F.col("place").cast("int").alias("place"), "subject_name", "issuer_name", "ja4x", _digits(F.col("modulus")).alias("modulus"), same.alias("same"), "first_of_chain")
 
 
 @query("xor_streams", "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS clear_md5 FROM conversations GROUP BY conv_id")
