@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from ..functions import fingerprints
-from ..functions.binary import aes_cbc, aes_gcm, number
+from ..functions.binary import aes_cbc, aes_gcm, by_slices, number
 from ..operators import filters
 from ..operators.gather import in_order
 from ..operators.sequence import START
@@ -72,24 +72,27 @@ def key_block(master: pa.Array, server_random: pa.Array, client_random: pa.Array
 RECORD = "array<struct<at:long,type:int,version:int,body:binary>>"
 
 
+def _records(column: pa.Array) -> pa.Array:
+    rows = []
+    for data in column.to_pylist():
+        out, at = [], 0
+        while data and at + 5 <= len(data):
+            n = int.from_bytes(data[at + 3 : at + 5], "big")
+            if not 20 <= data[at] <= 23 or data[at + 1] != 3 or at + 5 + n > len(data):
+                break
+            out.append({"at": at, "type": data[at], "version": data[at + 1] << 8 | data[at + 2], "body": data[at + 5 : at + 5 + n]})
+            at += 5 + n
+        rows.append(out)
+    return pa.array(rows, pa.list_(pa.struct([("at", pa.int64()), ("type", pa.int32()), ("version", pa.int32()), ("body", pa.binary())])))
+
+
 def records(runs: DataFrame) -> DataFrame:
     """A row for each TLS record of a run: stream, side, run, n (in order within the stream and side), at, type, version, body. A record that is cut ends its run."""
 
     @F.arrow_udf(RECORD)
     def split(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("at", pa.int64()), ("type", pa.int32()), ("version", pa.int32()), ("body", pa.binary())]))
         for column in parts:
-            rows = []
-            for data in column.to_pylist():
-                out, at = [], 0
-                while data and at + 5 <= len(data):
-                    n = int.from_bytes(data[at + 3 : at + 5], "big")
-                    if not 20 <= data[at] <= 23 or data[at + 1] != 3 or at + 5 + n > len(data):
-                        break
-                    out.append({"at": at, "type": data[at], "version": data[at + 1] << 8 | data[at + 2], "body": data[at + 5 : at + 5 + n]})
-                    at += 5 + n
-                rows.append(out)
-            yield pa.array(rows, kind)
+            yield by_slices(_records, column)
 
     each = runs.select("stream", "side", "run", "ts_ns", F.posexplode(split("content")).alias("k", "r")).select("stream", "side", "run", "ts_ns", "k", "r.*")
     order = Window.partitionBy("stream", "side").orderBy("run", "k")

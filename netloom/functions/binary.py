@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +38,19 @@ def aes_gcm(nonce: Column, data: Column, key: Column, aad: Column) -> Column:
     return F.try_aes_decrypt(F.concat(nonce, data), key, F.lit("GCM"), F.lit("DEFAULT"), aad)
 
 
+def by_slices(f: Callable[..., pa.Array], *columns: pa.Array, rows: int = 256) -> pa.Array:
+    """``f`` of columns, some rows at a time: a batch never lies in memory a second time as Python's objects."""
+    parts = [f(*[c.slice(k, rows) for c in columns]) for k in range(0, len(columns[0]), rows)]
+    return pa.concat_arrays(parts) if parts else f(*columns)
+
+
 @F.arrow_udf(BinaryType())
 def xor(data: pa.Array, key: pa.Array) -> pa.Array:
     """The data with a key repeated along it; an empty key leaves it as it is."""
+    return by_slices(_xored, data, key)
+
+
+def _xored(data: pa.Array, key: pa.Array) -> pa.Array:
     out = []
     for d, k in zip(data, key, strict=True):
         if not (d.is_valid and k.is_valid and len(k.as_py())):
@@ -55,7 +65,7 @@ def _each(f):
     @F.arrow_udf(BinaryType())
     def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in parts:
-            yield pa.array([None if x is None else f(x) for x in column.to_pylist()], pa.binary())
+            yield by_slices(lambda c: pa.array([None if x is None else f(x) for x in c.to_pylist()], pa.binary()), column)
 
     return of
 
