@@ -357,7 +357,7 @@ def _ftp(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 def ftp_files(spark, sf_dir):
     """Data streams under the paths that their commands name."""
     control, data = _ftp(spark, sf_dir)
-    runs = lasting(_runs(control).unionByName(_runs(data)))
+    runs = _runs(control.unionByName(data))
     whole = runs.groupBy("stream").agg(F.min("ts_ns").alias("ts_ns"), F.sum(F.octet_length("content")).cast("long").alias("size"), F.first("first").alias("first"))
     moved = ftp.data_files(ftp.control(runs), whole.select("stream", "ts_ns", "size", "first.src_port", "first.dst_port"))
     content = runs.join(moved.select("stream").distinct(), "stream", "left_semi").groupBy("stream").agg(F.expr("listagg(content) WITHIN GROUP (ORDER BY run)").alias("content"))
