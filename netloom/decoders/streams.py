@@ -16,45 +16,61 @@ from ..operators.sequence import START, anchored_sessions
 from ..sources.pcap import flow
 
 SYN, ACK = 2, 16
+#: Packets, and bytes of them, that one task should put in order at most: its sorts hold each row some four times.
+PACKETS, BYTES = 100_000, 32 << 20
 
 
-def tcp_segments(packets: DataFrame) -> DataFrame:
+def tasks(packets: DataFrame) -> int | None:
+    """How many tasks should put packets in order, so that none holds more as there are more of them; null where all cores have few. They are read for it: they should be cheap, or lasting."""
+    n, size = packets.agg(F.count(F.lit(1)), F.sum(F.octet_length("payload"))).first()
+    least = max(-(-n // PACKETS), -(-(size or 0) // BYTES))
+    return least if least > packets.sparkSession.sparkContext.defaultParallelism else None
+
+
+def tcp_segments(packets: DataFrame, tasks: int | None = None) -> DataFrame:
     """A row for each piece of a stream: stream, pos, side, run, offset, length, missing, part, and the packet's place and time.
 
     A stream is a pair of endpoints from one opening SYN to the next. ``side`` is
     0 for the direction of its first packet. Captures are read in path order, so a stream may span them.
+    ``tasks`` is how many tasks flows are dealt to; Spark's choice where it is null.
     """
     p = packets.where("l4 = 'tcp'").withColumns(dict(zip(["end_a", "end_b"], flow(), strict=True)))
-    p = p.withColumn("seen", F.struct("path", "frame_no"))
-    w = Window.partitionBy("end_a", "end_b").orderBy("path", "frame_no")
-    opening = (F.col("tcp_flags").bitwiseAND(SYN) != 0) & (F.col("tcp_flags").bitwiseAND(ACK) == 0)
-    p = p.withColumn("conn", F.sum(opening.cast("int")).over(w.rowsBetween(START, 0)))
-    p = p.withColumn("from_a", F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")) == F.col("end_a"))
+    syn = F.col("tcp_flags").bitwiseAND(SYN) != 0
+    opening = syn & (F.col("tcp_flags").bitwiseAND(ACK) == 0)
+    from_a = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")) == F.col("end_a")
+    # Rows are sorted four times, so they hold nothing twice: endpoints are those of the flow, and which of them speaks.
+    p = p.select("end_a", "end_b", "path", "frame_no", "ts_ns", "tcp_seq", syn.alias("syn"), opening.alias("opening"), from_a.alias("from_a"), "payload", "payload_at")
+    p = p if tasks is None else p.repartition(tasks, "end_a", "end_b")
+    w = Window.partitionBy("end_a", "end_b").orderBy("path", "frame_no").rowsBetween(START, 0)
+    # A stream's first packet is its opening one, or without such the flow's.
+    a_first = F.coalesce(F.last(F.when(F.col("opening"), F.col("from_a")), ignorenulls=True).over(w), F.first("from_a").over(w))
+    p = p.withColumns({"conn": F.sum(F.col("opening").cast("int")).over(w), "a_first": a_first})
+    p = p.withColumn("side", (F.col("a_first") != F.col("from_a")).cast("int")).drop("opening", "from_a")
     key = ["end_a", "end_b", "conn"]
-    whole = Window.partitionBy(*key)
-    order = whole.orderBy("path", "frame_no")
-    p = p.withColumns({"side": (F.first("from_a").over(order) != F.col("from_a")).cast("int"), "ends": F.first(F.struct("src_ip", "src_port", "dst_ip", "dst_port")).over(order)})
     way = Window.partitionBy(*key, "side")
-    syn = F.col("tcp_flags").bitwiseAND(SYN) != 0
+    seen = F.struct("path", "frame_no")
     # Places are told from the opening SYN, else from the least sequence number near the first one that was seen.
-    opened = F.first(F.when(syn, F.col("tcp_seq") + 1), ignorenulls=True).over(way.orderBy("path", "frame_no").rowsBetween(START, Window.unboundedFollowing))
-    near = F.pmod(F.col("tcp_seq") - F.col("base") + (1 << 31), F.lit(1 << 32)) - (1 << 31)
-    p = p.withColumns({"opened": opened, "base": F.coalesce(opened, F.min_by("tcp_seq", "seen").over(way)), "len": F.octet_length("payload").cast("long")})
-    p = p.withColumn("near", near).withColumn("rel", F.col("near") - F.when(F.col("opened").isNull(), F.min("near").over(way)).otherwise(0)).where("len > 0 AND rel >= 0")
+    p = p.withColumns({"opened": F.min_by(F.col("tcp_seq") + 1, F.when(F.col("syn"), seen)).over(way), "base": F.min_by("tcp_seq", seen).over(way)})
+    near = F.pmod(F.col("tcp_seq") - F.coalesce("opened", "base") + (1 << 31), F.lit(1 << 32)) - (1 << 31)
+    p = p.withColumn("near", near).withColumn("rel", F.col("near") - F.when(F.col("opened").isNull(), F.min("near").over(way)).otherwise(0))
+    p = p.drop("syn", "tcp_seq", "opened", "base", "near").withColumn("len", F.octet_length("payload").cast("long")).where("len > 0 AND rel >= 0")
     seq = way.orderBy("rel", "path", "frame_no")
     had = F.coalesce(F.max(F.col("rel") + F.col("len")).over(seq.rowsBetween(START, -1)), F.lit(0))
     p = p.withColumn("had", had)
     p = p.withColumns({"cut": F.greatest(F.lit(0), F.col("had") - F.col("rel")), "missing": F.greatest(F.lit(0), F.col("rel") - F.col("had"))}).where("cut < len")
     # A segment can be delivered when all that gave bytes before it were seen; one that was only sent again holds nothing up.
-    p = p.withColumn("ready", F.max("seen").over(seq.rowsBetween(START, 0)))
-    p = p.withColumns({"part": F.expr("substring(payload, cast(cut AS int) + 1)"), "length": F.col("len") - F.col("cut") + F.col("missing")})
-    given = whole.orderBy("ready", "side", "rel")
-    p = p.withColumns({"pos": F.row_number().over(given) - 1, "offset": F.coalesce(F.sum("length").over(given.rowsBetween(START, -1)), F.lit(0)), "turn": F.coalesce((F.lag("side").over(given) != F.col("side")).cast("int"), F.lit(1))})
-    p = p.withColumn("run", F.sum("turn").over(given.rowsBetween(START, 0)) - 1)
+    p = p.withColumn("ready", F.max(seen).over(seq.rowsBetween(START, 0)))
+    p = p.withColumns({"part": F.expr("substring(payload, cast(cut AS int) + 1)"), "length": F.col("len") - F.col("cut") + F.col("missing")}).drop("payload", "len", "had", "cut")
+    given = Window.partitionBy(*key).orderBy("ready", "side", "rel")
+    so_far = given.rowsBetween(START, 0)
     # Number and time are those of the first bytes, endpoints those of the packet that opened the stream.
-    first = F.first(F.struct("path", "frame_no", "ts_ns", "ends.src_ip", "ends.src_port", "ends.dst_ip", "ends.dst_port")).over(given)
+    begun = F.first(F.struct("path", "frame_no", "ts_ns")).over(so_far)
+    p = p.withColumns({"pos": F.row_number().over(given) - 1, "offset": F.coalesce(F.sum("length").over(given.rowsBetween(START, -1)), F.lit(0)), "turn": F.coalesce((F.lag("side").over(given) != F.col("side")).cast("int"), F.lit(1)), "begun": begun})
+    p = p.withColumn("run", F.sum("turn").over(so_far) - 1)
+    src, dst = [F.when(a, F.col("end_a")).otherwise(F.col("end_b")) for a in (F.col("a_first"), ~F.col("a_first"))]
+    first = F.struct("begun.path", "begun.frame_no", "begun.ts_ns", src["ip"].alias("src_ip"), src["port"].alias("src_port"), dst["ip"].alias("dst_ip"), dst["port"].alias("dst_port"))
     return p.withColumn("first", first).select(
-        F.concat_ws("-", "first.path", "first.frame_no").alias("stream"), "pos", "side", "run", "offset", "length", "missing", "part", "path", "frame_no", "ts_ns", "payload_at", "first"
+        F.concat_ws("-", "first.path", "first.frame_no").alias("stream"), "pos", "side", "run", "offset", "length", "missing", "part", "path", "frame_no", "ts_ns", "payload_at", "first", "end_a", "end_b"
     )
 
 
@@ -76,11 +92,15 @@ def breaks(segments: DataFrame) -> DataFrame:
 
 
 def runs(segments: DataFrame) -> DataFrame:
-    """(stream, run, side, offset, ts_ns, content, missing_data, ...): one message run with its bytes, missing ones as zeros."""
-    return segments.withColumn("piece", F.concat(zeros(F.col("missing")), F.col("part"))).groupBy("stream", "run", "side").agg(
+    """(stream, run, side, offset, ts_ns, content, missing_data, ...): one message run with its bytes, missing ones as zeros.
+
+    Segments lie where their flow was put in order: with its ends among the keys no bytes are dealt again.
+    """
+    ends = [c for c in ("end_a", "end_b") if c in segments.columns]
+    return segments.withColumn("piece", F.concat(zeros(F.col("missing")), F.col("part"))).groupBy("stream", "run", "side", *ends).agg(
         F.min("offset").alias("offset"), F.min_by("ts_ns", "pos").alias("ts_ns"), F.first("first").alias("first"), (F.max("missing") > 0).alias("missing_data"),
         in_order("piece", "pos").alias("content"),
-    )
+    ).drop(*ends)
 
 
 def udp_sessions(packets: DataFrame, width_s: int = 30) -> DataFrame:

@@ -54,23 +54,25 @@ def islands(df: DataFrame, key: list[str], order: list[str], what: str) -> DataF
     return numbered.groupBy(*key, "island", what).agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-def _fold(df: DataFrame, key: list[str], order: list[str], schema, begin, step) -> DataFrame:
+def _fold(df: DataFrame, key: list[str], order: list[str], schema, begin, step, reads: list[str]) -> DataFrame:
     """A fold in order within each key, as one pass over partitions that hold whole keys, sorted.
 
     ``step(state, row) -> (state, out)``; the state begins anew with each key and lives across batches.
+    A row has the columns ``reads``; others pass as they are.
     """
     cols = df.columns
-    at = [cols.index(k) for k in key]
+    at = [cols.index(c) for c in (*key, *reads)]
+    n = len(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, begin()
         for b in batches:
             out = []
-            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                here = tuple(row[i] for i in at)
+            for row in zip(*[b.column(i).to_pylist() for i in at], strict=True):
+                here = row[:n]
                 if here != now:
                     now, state = here, begin()
-                state, made = step(state, dict(zip(cols, row, strict=True)))
+                state, made = step(state, dict(zip(reads, row[n:], strict=True)))
                 out.append(made)
             extra = [pa.array([o[k] for o in out], pa.int64()) for k in range(len(schema))]
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*cols, *schema])
@@ -91,7 +93,7 @@ def anchored_sessions(df: DataFrame, key: list[str], micros: str, width: int, ti
             number, anchor = number + 1, row[micros]
         return (number, anchor), (number, anchor)
 
-    return _fold(df, key, [micros, tie], ["session", "anchor"], lambda: (-1, None), step)
+    return _fold(df, key, [micros, tie], ["session", "anchor"], lambda: (-1, None), step, [micros])
 
 
 def append_versions(df: DataFrame, key: list[str], order: list[str], offset: str, length: str) -> DataFrame:
@@ -110,4 +112,4 @@ def append_versions(df: DataFrame, key: list[str], order: list[str], offset: str
             ok = 0
         return (version, size), (version, size, ok)
 
-    return _fold(df, key, order, ["version", "size", "applied"], lambda: (-1, 0), step)
+    return _fold(df, key, order, ["version", "size", "applied"], lambda: (-1, 0), step, [offset, length])

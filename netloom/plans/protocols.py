@@ -66,9 +66,14 @@ def _packets(flows: DataFrame) -> DataFrame:
     return pcap.dissect(_raw(synth.frames(flows), "frame_no"))
 
 
-def _runs(flows: DataFrame) -> DataFrame:
+def _runs(flows: DataFrame, tasks: int | None = None) -> DataFrame:
     """Message runs of flows, written once: several steps read them."""
-    return lasting(streams.runs(streams.tcp_segments(_packets(flows))))
+    return lasting(streams.runs(streams.tcp_segments(_packets(flows), tasks)))
+
+
+def _base(flows: DataFrame) -> DataFrame:
+    """The runs of flows as files to decode, written once."""
+    return lasting(Engine._tcp(streams.runs(streams.tcp_segments(_packets(flows)))))
 
 
 def _n(first: str = "first") -> Column:
@@ -175,7 +180,7 @@ def _pages_hidden(spark, sf_dir):
     turns = lasting(_tls(pages, "page_id", F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1), says))
     keys = spark.createDataFrame([("/keys/xor.key", XOR_KEY)], "path string, key binary")
     options = Options({"xor": [{"dstPort": "443", "keyfile": "xor.key"}]}, keys, _log(pages, "page_id"))
-    return lasting(Engine._tcp(_runs(_flows(_hidden(turns), 20, 443)))), options
+    return _base(_flows(_hidden(turns), 20, 443)), options
 
 
 @query(
@@ -218,8 +223,7 @@ def _opened(base: DataFrame, options: Options) -> DataFrame:
 @query("tls_plaintext", "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS plain_md5, CAST(sum(octet_length(encode(text))) AS BIGINT) AS size FROM conversations GROUP BY conv_id")
 def tls_plaintext(spark, sf_dir):
     """A TLS session a conversation, opened with the secrets of a key log."""
-    base = Engine._tcp(_runs(_flows(_conversations_sealed(spark, sf_dir), 50, 443)))
-    out = _opened(lasting(base), Options(key_log=_log(_said(spark, sf_dir), "conv_id")))
+    out = _opened(_base(_flows(_conversations_sealed(spark, sf_dir), 50, 443)), Options(key_log=_log(_said(spark, sf_dir), "conv_id")))
     return out.select("conv_id", F.md5("content").alias("plain_md5"), F.octet_length("content").cast("long").alias("size"))
 
 
@@ -230,7 +234,7 @@ def tls_rsa_extended(spark, sf_dir):
     turns = _tls(said, "conv_id", F.lit("rsa.test"), F.col("says"), rsa=True)
     id_ = F.col("conv_id").cast("long")
     log = keysource.key_log(said.select(F.concat_ws(" ", F.lit("RSA"), F.hex(_b(id_, 8)), F.hex(_premaster(id_))).alias("line")))
-    out = _opened(lasting(Engine._tcp(_runs(_flows(turns, 50, 443)))), Options(key_log=log))
+    out = _opened(_base(_flows(turns, 50, 443)), Options(key_log=log))
     return out.select("conv_id", F.md5("content").alias("plain_md5"))
 
 
@@ -242,7 +246,7 @@ def tls_rsa_extended(spark, sf_dir):
 def tls_rules(spark, sf_dir):
     """Rules let the sessions of one client port be opened; the others show what went over the wire."""
     flows = _flows(_conversations_sealed(spark, sf_dir), 50, 443, (F.lit(40000) + F.col("n") % 2).cast("int"))
-    base = lasting(Engine._tcp(_runs(flows)))
+    base = _base(flows)
     out = _opened(base, Options({"tls": [{"srcPort": "40001", "protocol": "tls"}]}, key_log=_log(_said(spark, sf_dir), "conv_id")))
     return out.select("conv_id", F.octet_length("content").cast("long").alias("size"), F.when(F.col("conv_id") % 2 == 1, F.md5("content")).alias("plain_md5"))
 
@@ -253,7 +257,7 @@ def tls_by_content(spark, sf_dir):
     said = _said(spark, sf_dir)
     sealed = _conversations_sealed(spark, sf_dir).where("n % 3 <> 0")
     plain = said.where("conv_id % 3 = 0").select(F.col("conv_id").alias("n"), F.posexplode("says").alias("k", "s")).select("n", "k", "s.out", F.col("s.text").alias("payload"))
-    base = lasting(Engine._tcp(_runs(_flows(sealed.unionByName(plain), 50, 8443))))
+    base = _base(_flows(sealed.unionByName(plain), 50, 8443))
     found = lambda any_port: fixpoint(base, Options(any_port=any_port), {"tls": DECODERS["tls"]})[0].where("file_type = 'tls'").select(_n().alias("conv_id")).distinct()
     return found(True).join(found(False), "conv_id", "left_anti")
 
@@ -325,7 +329,7 @@ def certificate_chains(spark, sf_dir):
 @query("xor_streams", "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS clear_md5 FROM conversations GROUP BY conv_id")
 def xor_streams(spark, sf_dir):
     said = _said(spark, sf_dir).select(F.col("conv_id").alias("n"), F.posexplode("says").alias("k", "s")).select("n", "k", "s.out", F.col("s.text").alias("payload"))
-    base = lasting(Engine._tcp(_runs(_flows(_hidden(said.where("octet_length(payload) > 0")), 50, 7777))))
+    base = _base(_flows(_hidden(said.where("octet_length(payload) > 0")), 50, 7777))
     keys = spark.createDataFrame([("/keys/xor.key", XOR_KEY)], "path string, key binary")
     rows, _ = fixpoint(base, Options({"xor": [{"dstPort": "7777", "keyfile": "other/xor.key"}]}, keys), {"xor": DECODERS["xor"]})
     return rows.where("file_type = 'xor'").groupBy("file").agg(F.first("first").alias("first"), F.expr("listagg(content) WITHIN GROUP (ORDER BY run)").alias("content")).select(_n().alias("conv_id"), F.md5("content").alias("clear_md5"))
@@ -350,6 +354,12 @@ def _ftp(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return _flows(control, 50, 21), data
 
 
+def _talk(spark, sf_dir) -> DataFrame:
+    """The runs of the control connections."""
+    control = _ftp(spark, sf_dir)[0]
+    return _runs(control, streams.tasks(control))
+
+
 @query(
     "ftp_files",
     """SELECT doc_id, 'STOR' AS verb, '/FILES_FROM_51.0.0.0/' || coalesce(lang, 'none') || '/d' || doc_id || '.txt' AS path, md5(text) AS content_md5, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents WHERE octet_length(encode(text)) > 0""",
@@ -372,13 +382,13 @@ def ftp_files(spark, sf_dir):
       || '[>] STOR d' || doc_id || '.txt' || chr(13) || chr(10) || '[<] 150 go' || chr(13) || chr(10) || '[>] QUIT' || chr(13) || chr(10) || '[<] 221 bye' || chr(13) || chr(10)) AS log_md5 FROM documents""",
 )
 def ftp_log(spark, sf_dir):
-    runs = _runs(_ftp(spark, sf_dir)[0])
+    runs = _talk(spark, sf_dir)
     return ftp.log(runs).join(runs.where("run = 0").select("stream", "first"), "stream").select(_n().alias("doc_id"), F.md5(F.encode("content", "ISO-8859-1")).alias("log_md5"))
 
 
 @query("ftp_credentials", "SELECT doc_id, 'USER u' || coalesce(source, '') || chr(10) || 'PASS p' || doc_id || chr(10) AS credentials FROM documents")
 def ftp_credentials(spark, sf_dir):
-    runs = _runs(_ftp(spark, sf_dir)[0])
+    runs = _talk(spark, sf_dir)
     return ftp.credentials(runs).join(runs.where("run = 0").select("stream", "first"), "stream").select(_n().alias("doc_id"), F.col("content").alias("credentials"))
 
 
@@ -390,7 +400,7 @@ def ftp_credentials(spark, sf_dir):
 )
 def ftp_commands(spark, sf_dir):
     """Commands with their answers, the data port in force and the directory before each."""
-    runs = _runs(_ftp(spark, sf_dir)[0])
+    runs = _talk(spark, sf_dir)
     c = ftp.directories(ftp.control(runs)).join(runs.where("run = 0").select("stream", "first"), "stream")
     place = F.row_number().over(Window.partitionBy("stream").orderBy("run")) - 1
     return c.select(_n().alias("doc_id"), place.cast("int").alias("place"), "verb", "argument", "code", F.col("port").cast("long").alias("port"), "cwd")

@@ -4,9 +4,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.decoders import certificates
+from netloom.api import Engine
+from netloom.decoders import certificates, keyexchange, registry, smb, streams
 from netloom.functions import binary
 from netloom.operators import clocks
+from netloom.operators.tables import lasting
 from netloom.plans import protocols as plans
 
 
@@ -47,3 +49,59 @@ def test_control_and_data_connections_are_written_once_together(spark, monkeypat
     with pytest.raises(StopIteration):
         plans.ftp_files(spark, "/root/testdata/sf0.001")
     assert len(made) == 1
+
+
+def _deals(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def _some_packets(spark, n=60):
+    ends = [F.lit("1.1.1.1").alias("src_ip"), F.lit("2.2.2.2").alias("dst_ip"), (F.col("id") % 12).cast("int").alias("src_port"), F.lit(80).alias("dst_port")]
+    return spark.range(n).select(F.lit("p").alias("path"), F.col("id").alias("frame_no"), F.lit("tcp").alias("l4"), *ends, (F.floor(F.col("id") / 12) * 2).alias("tcp_seq"), F.lit(24).alias("tcp_flags"), F.lit(b"ab").alias("payload"), F.col("id").alias("ts_ns"), F.lit(0).alias("payload_at"))
+
+
+def test_bytes_of_runs_are_dealt_once(spark):
+    assert _deals(streams.runs(streams.tcp_segments(_some_packets(spark)))) == 1
+
+
+def test_more_packets_are_put_in_order_by_more_tasks(spark, monkeypatch):
+    packets = _some_packets(spark)
+    assert streams.tasks(packets) is None
+    monkeypatch.setattr(streams, "PACKETS", 5)
+    assert streams.tasks(packets) == 12
+    segments = streams.tcp_segments(packets, 12)
+    assert segments.rdd.getNumPartitions() == 12
+    assert streams.runs(segments).select("content").distinct().collect() == [(b"ab" * 5,)]
+
+
+def test_a_round_of_one_decoder_is_written_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(registry, "lasting", lambda df: made.append(df) or lasting(df))
+    base = lasting(Engine._tcp(streams.runs(streams.tcp_segments(_some_packets(spark)))))
+    half = registry.Decoder("half", lambda o: F.octet_length("content") > 6, lambda runs, o: runs.select(*registry.made(F.col("stream"), F.lit("h"), F.lit("h"), F.substring("content", 1, 6), registry.properties(a=F.lit("b")))), lambda o: False)
+    rows, parsed = registry.fixpoint(base, registry.Options(), {"half": half})
+    assert len(made) == 1 and rows.where("file_type = 'half' AND props['a'] = 'b' AND props['srcIP'] = '1.1.1.1'").count() == 12 and parsed.count() == 12
+
+
+def test_handshakes_are_read_without_application_records(spark):
+    recs = spark.range(4).select(F.lit("s").alias("stream"), F.lit(0).alias("side"), F.lit(0).alias("run"), F.col("id").alias("n"), F.lit(771).alias("version"), F.lit(23).alias("type"), F.lit(b"x").alias("body"))
+    dealt = lasting(recs).transform(keyexchange.messages)._jdf.queryExecution().executedPlan().toString()
+    assert " IN (20,22)" in dealt[dealt.index("Exchange") :]
+
+
+def test_only_creates_and_what_is_asked_for_are_dealt(spark):
+    ex = spark.range(4).select(F.lit("s").alias("stream"), F.lit(0).alias("run"), F.col("id").alias("n"), F.lit(9).alias("command"), F.col("id").alias("message_id"), F.lit(0).alias("answer_status"), F.lit(b"x").alias("req"))
+    dealt = smb._answered(lasting(ex), smb.CLOSE)._jdf.queryExecution().executedPlan().toString()
+    assert " IN (5,6)" in dealt[dealt.index("Exchange") :]
+
+
+def test_contents_of_files_are_dealt_by_file_once(spark):
+    base = lasting(Engine._tcp(streams.runs(streams.tcp_segments(_some_packets(spark)))))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = Engine._whole(base, lasting(base.select("file").limit(3)))
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in text.splitlines() if "Exchange hashpartitioning(file" in x and "file_type" in x.split("hashpartitioning")[1].split(")")[0]]
+        assert plan.where("parsed").count() == 3 and plan.count() == 12
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
