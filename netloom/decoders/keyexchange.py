@@ -117,7 +117,8 @@ def messages(recs: DataFrame) -> DataFrame:
             yield pa.array(rows, pa.list_(pa.binary()))
 
     w = Window.partitionBy("stream", "side").orderBy("n").rowsBetween(START, 0)
-    clear = recs.withColumn("__open", F.sum((F.col("type") == CHANGE).cast("int")).over(w)).where((F.col("__open") == 0) & (F.col("type") == HANDSHAKE))
+    # The bytes of application records tell nothing here, and are not dealt.
+    clear = recs.where(F.col("type").isin(CHANGE, HANDSHAKE)).withColumn("__open", F.sum((F.col("type") == CHANGE).cast("int")).over(w)).where((F.col("__open") == 0) & (F.col("type") == HANDSHAKE))
     each = clear.select("stream", "side", "run", "n", "version", F.posexplode(split("body")).alias("k", "message"))
     return each.withColumn("kind", number(F.col("message"), 0, 1).cast("int"))
 

@@ -109,13 +109,17 @@ def fixpoint(base: DataFrame, options: Options, decoders: dict[str, Decoder] | N
             break
         if depth > most_rounds:
             raise RuntimeError(f"files are nested deeper than {most_rounds}")
-        made_ = lasting(reduce(DataFrame.unionByName, found))
-        first = made_.groupBy("parent").agg(F.min("__by").alias("__by"))
-        heads = new.groupBy("file").agg(F.first("stream").alias("stream"), F.first("props").alias("props"))
-        chosen = made_.join(first, ["parent", "__by"]).drop("__by").join(heads.withColumnRenamed("file", "parent"), "parent")
+        heads = new.groupBy(F.col("file").alias("parent")).agg(F.first("stream").alias("stream"), F.first("props").alias("props"))
+        made_ = reduce(DataFrame.unionByName, found)
+        if len(found) > 1:
+            made_ = lasting(made_)
+            heads = heads.join(made_.groupBy("parent").agg(F.min("__by").alias("__first")), "parent")
+        # What a parent tells meets the bytes that were made once, by the parent alone.
+        chosen = made_.join(heads, "parent").where(F.col("__by") == F.col("__first") if len(found) > 1 else F.lit(True))
         props = F.map_concat(F.map_filter("props", lambda k, v: ~F.map_contains_key("own", k)), F.col("own"))
         rows = lasting(chosen.withColumns({"props": props, "depth": F.lit(depth)}).select(*[c.split()[0] for c in RUN.split(", ")]))
-        forget(made_)
+        if len(found) > 1:
+            forget(made_)
         if rows.isEmpty():
             forget(rows)
             break

@@ -204,7 +204,7 @@ def plaintexts(recs: DataFrame, hello: DataFrame, log: DataFrame, keys: DataFram
     h = h.join(exchange.select("stream", "version", "encrypt_then_mac", "truncated_mac"), "stream")
     h = h.withColumn("block", key_block("master", "server_random", "client_random", "digest", "version"))
     w = Window.partitionBy("stream", "side").orderBy("n")
-    r = recs.drop("version").withColumn("open", F.sum((F.col("type") == CHANGE).cast("int")).over(w.rowsBetween(START, 0)))
+    r = recs.drop("version").repartition("stream").withColumn("open", F.sum((F.col("type") == CHANGE).cast("int")).over(w.rowsBetween(START, 0)))
     r = r.where(f"open > 0 AND type <> {CHANGE}").withColumns({"seq": F.row_number().over(w) - 1, "tail": F.lag(F.substring("body", -16, 16)).over(w)})
     r = r.join(h.select("stream", "client_side", "mode", "key_n", "mac_n", "block", "version", "encrypt_then_mac", "truncated_mac"), "stream")
     is_client = F.col("side") == F.col("client_side")
@@ -254,14 +254,14 @@ def files(runs: DataFrame, options: Options) -> DataFrame:
     plain = recs.where(F.col("type") == APPLICATION).select("stream", "side", "run", "n", F.col("body").alias("part"), F.lit(False).alias("opened"))
     if options.key_log is not None:
         allowed = hello.join(runs.where(_opened(options)).select("stream").distinct(), "stream", "left_semi")
-        clear = plaintexts(recs, allowed, options.key_log, options.private_keys).select("stream", "side", "run", "n", F.col("plain").alias("part"), F.lit(True).alias("opened"))
+        clear = lasting(plaintexts(recs, allowed, options.key_log, options.private_keys).select("stream", "side", "run", "n", F.col("plain").alias("part"), F.lit(True).alias("opened")))
         plain = plain.join(clear.select("stream").distinct(), "stream", "left_anti").unionByName(clear)
     content = plain.groupBy("stream", "side", "run").agg(in_order("part", "n").alias("content"))
     chain = certificates.chains(recs).where("first_of_chain").select("stream", "ja4x").dropDuplicates(["stream"])
     marks = hello.join(chain, "stream", "left")
     own = properties(protocol=F.lit("tls"), domain=F.col("sni"), ja3=F.col("ja3"), ja3s=F.col("ja3s"), ja4=F.col("ja4"), ja4s=F.col("ja4s"), ja4x=F.col("ja4x"))
     heads = runs.select("stream", "side", "run", "ts_ns", "offset", "first", "missing_data")
-    talk = content.join(heads, ["stream", "side", "run"]).join(marks, "stream")
+    talk = content.join(heads.join(marks, "stream"), ["stream", "side", "run"])
     data = talk.select(*made(F.col("stream"), F.lit("tls"), F.lit("TLS"), F.col("content"), own, run=F.col("run"), offset=F.col("offset"), missing=F.col("missing_data")))
     certs = certificates.chains(recs).withColumnRenamed("ja4x", "own_ja4x").join(heads, ["stream", "side", "run"]).join(marks.withColumn("ja4x", F.lit(None).cast("string")), "stream")
     own = F.map_concat(own, properties(ja4x=F.col("own_ja4x")))
