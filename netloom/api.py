@@ -25,6 +25,8 @@ TIMES = "stream string, kind string, at long, a long, m long, c long, b long, ve
 SERVED = ["smb", "ftp"]
 #: The columns of a file beside those of FILE that only decoding needs.
 _RUN = [c.split()[0] for c in RUN.split(", ")]
+#: Most streams whose ids are sent to all tasks.
+SENT = 100_000
 
 
 class Engine:
@@ -76,15 +78,16 @@ class Engine:
         """RUN rows as files. Only streams and what keeps their runs are put together; all others are one run."""
         done = parsed.select("file").distinct().withColumn("done", F.lit(True))
         number = F.when(F.col("depth") == 0, F.col("first.frame_no"))
-        rows = rows.withColumn("number", number)
+        # Dealt by file once: what was decoded meets all rows before those of a file are put together.
+        rows = rows.withColumn("number", number).join(done, "file", "left")
         many = F.col("file_type").isin("tcp", "udp", "xor", "tls") & ~F.col("is_metadata")
         order = F.struct("run", "side")
-        together = rows.where(many).groupBy("file", "file_type").agg(
+        together = rows.where(many).groupBy("file", "file_type", "done").agg(
             F.first("stream").alias("stream"), F.first("name").alias("name"), F.min("ts_ns").alias("ts_ns"), F.min_by("number", order).alias("number"), F.min("offset").alias("offset"),
             gather.in_order("content", "run, side").alias("content"), F.max("missing_data").alias("missing_data"), F.first("is_metadata").alias("is_metadata"), F.first("props").alias("props"),
         )
         every = together.unionByName(rows.where(~many).select(*together.columns))
-        return every.join(done, "file", "left").select(
+        return every.select(
             "stream", "file_type", "name", "ts_ns", F.col("number").alias("first_packet_no"), F.col("offset").alias("start"), F.octet_length("content").cast("long").alias("size"),
             "is_metadata", F.coalesce("done", F.lit(False)).alias("parsed"), "missing_data", "content", "props",
         )
@@ -115,15 +118,17 @@ class Engine:
         one = one.unionByName(alone, allowMissingColumns=True)
         heads = runs.groupBy("stream").agg(F.min("ts_ns").alias("ts_ns"), F.sum(F.octet_length("content")).cast("long").alias("size"), F.first("first").alias("first"), F.max("missing_data").alias("missing_data"))
         whole = heads.select("stream", "ts_ns", "size", "first.src_port", "first.dst_port")
-        moved = ftp.data_files(ftp.control(runs), whole)
-        bytes_ = runs.join(moved.select("stream").distinct(), "stream", "left_semi").groupBy("stream").agg(gather.in_order("content", "run").alias("content"))
+        moved = lasting(ftp.data_files(ftp.control(runs), whole))
+        # Few streams are sent to all tasks, so that the bytes of the others are not dealt for them.
+        named = moved.select("stream").distinct()
+        bytes_ = runs.join(F.broadcast(named) if moved.count() <= SENT else named, "stream", "left_semi").groupBy("stream").agg(gather.in_order("content", "run").alias("content"))
         d = moved.drop("size", "ts_ns").join(bytes_, "stream").join(heads, "stream")
         props = F.map_concat(properties(protocol=F.lit("ftp"), path=F.col("path"), command=F.col("verb")), Engine._ends())
         two = d.select(
             "stream", F.lit("ftp").alias("file_type"), F.substring_index("path", "/", -1).alias("name"), "ts_ns", F.lit(None).cast("long").alias("first_packet_no"), F.lit(0).cast("long").alias("start"), F.octet_length("content").cast("long").alias("size"),
             no.alias("is_metadata"), no.alias("parsed"), "missing_data", "content", props.alias("props"),
         )
-        return one.unionByName(two, allowMissingColumns=True), times, moved.select(F.col("stream").alias("file")), (ex, ops, told, v)
+        return one.unionByName(two, allowMissingColumns=True), times, moved.select(F.col("stream").alias("file")), (ex, ops, told, v, moved)
 
     @staticmethod
     def open(
@@ -156,7 +161,7 @@ class Engine:
         options = Options(rules or {}, xor_keys, log, private_keys, check_non_default_ports)
         # Read by several jobs, so written once; a lost executor costs no second walk over the captures.
         packets = lasting(pcap.packets(source))
-        base = lasting(Engine._tcp(streams.runs(streams.tcp_segments(packets))).unionByName(Engine._udp(packets)))
+        base = lasting(Engine._tcp(streams.runs(streams.tcp_segments(packets, streams.tasks(packets)))).unionByName(Engine._udp(packets)))
         rows, parsed = fixpoint(base, options, DECODERS if decoders is None else decoders, most_rounds)
         served, times, moved, tables = Engine._served(base, options)
         order = [c.split()[0] for c in FILE.split(", ")]
