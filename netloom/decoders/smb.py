@@ -155,7 +155,8 @@ def _answered(ex: DataFrame, *commands: int) -> DataFrame:
     """Exchanges of some commands that succeeded, each with the latest Create before it in its connection."""
     w = Window.partitionBy("stream").orderBy("run", "n").rowsBetween(START, -1)
     before = F.last(F.when(F.col("command") == CREATE, F.col("message_id")), ignorenulls=True).over(w)
-    return ex.withColumn("created", before).where(F.col("command").isin(*commands) & (F.col("answer_status") == 0))
+    # Only these commands and Creates are dealt.
+    return ex.where(F.col("command").isin(CREATE, *commands)).withColumn("created", before).where(F.col("command").isin(*commands) & (F.col("answer_status") == 0))
 
 
 def operations(ex: DataFrame) -> DataFrame:
@@ -273,7 +274,7 @@ def versions(ops: DataFrame, fs: DataFrame | None = None) -> DataFrame:
 def entries(vers: DataFrame, ops: DataFrame, fs: DataFrame) -> DataFrame:
     """(server, path, kind, at, a, m, c, b, version): the times of files, told and that follow from reads and writes, each with the version it belongs to."""
     key = ["server", "path"]
-    begun = append_versions(ops, key, ["ts_ns", "stream", "run", "n"], "pos", "len").where("applied = 1 AND pos = 0")
+    begun = append_versions(ops.drop("data", "client_ip"), key, ["ts_ns", "stream", "run", "n"], "pos", "len").where("applied = 1 AND pos = 0")
     acts = begun.select(*key, F.col("ts_ns").alias("at"), (F.col("op") == "read").alias("is_read"), "skew")
     known = fs.where("a IS NOT NULL")
     return assigned(vers.select(*key, "version", F.col("ts_ns").alias("at"), "is_read"), known, synthesized(acts, known, key), key)

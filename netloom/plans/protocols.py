@@ -570,7 +570,8 @@ def _times(spark, sf_dir) -> DataFrame:
 )
 def smb_told_times(spark, sf_dir):
     """One file's times from four messages: the answers to Create, a query and Close, and a setting; and the skew that the negotiation tells."""
-    ex, _, told = _read_back(_times(spark, sf_dir))
+    ex = lasting(smb.exchanges(smb.messages(_runs(_times(spark, sf_dir)))))
+    told = smb.told(ex)
     own = F.regexp_extract("path", r"t(\d+)$", 1).cast("long")
     ahead = smb.skews(ex).join(ex.where("command = 0").select("stream", F.regexp_extract("stream", r"60-445-(\d+)-", 1).cast("long").alias("custkey")), "stream")
     return told.withColumn("custkey", own).join(ahead, "custkey").select("custkey", "path", "at", "a", "m", "c", "b", "skew")
