@@ -463,6 +463,7 @@ def ssh_payloads(spark, sf_dir):
 # --- SMB
 
 T1601 = 116_444_736_000_000_000
+LAST = (1 << 63) - 1
 
 
 def _smb(command: int, mid: Column | int, body: Column, response: bool = False, tree: int = 1) -> Column:
@@ -549,7 +550,8 @@ def _times(spark, sf_dir) -> DataFrame:
     """Turns of an SMB connection a customer: a file is opened, asked for, set and closed, with a day more each time; the server's clock is ahead."""
     c = _t(spark, sf_dir, "customer")
     key = F.col("c_custkey").cast("long")
-    day = lambda d, h: F.lit(T1601) + (key * 10 + d) * 864_000_000_000 + h * 36_000_000_000
+    # What lies beyond the last time that the field holds is told as that last one.
+    day = lambda d, h: F.coalesce(F.try_add(F.lit(T1601 + h * 36_000_000_000), F.try_multiply(key * 10 + d, F.lit(864_000_000_000))), F.lit(LAST))
     four = lambda d: [day(d, h) for h in range(4)]
     handle = F.concat(_b(key, 8), _x("77" * 8))
     skew = F.lit(T1601) + (2 + key % 100) * 10_000_000
