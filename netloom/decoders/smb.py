@@ -8,7 +8,6 @@ correlation is a join on (connection, message id), (connection, tree) or
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +18,7 @@ from ..functions.times import EPOCH, TICKS, filetime_seconds
 from ..operators.clocks import SECOND, assigned, server_time, synthesized
 from ..operators.gather import in_order
 from ..operators.sequence import START, append_versions
+from ..operators.tables import lasting
 from .registry import Options, decoder, made, properties
 
 #: Commands by number, from 0.
@@ -49,6 +49,8 @@ TIMED = (4, 18, 34)
 NAME_AT = {1: 64, 2: 68, 3: 94, 12: 12, 37: 104, 38: 80}
 #: The kinds of frames that set up or keep a session below SMB.
 SESSION = (0x81, 0x82, 0x83, 0x84, 0x85)
+#: Fixed value: most tenths of microseconds that are nanoseconds in 64 bits.
+MOST = ((1 << 63) - 1) // 100
 CHAINED = "F" * 32  # the file id of "the file of the command before"
 
 
@@ -118,9 +120,11 @@ def log(msgs: DataFrame) -> DataFrame:
 
 def exchanges(msgs: DataFrame) -> DataFrame:
     """Requests with their responses: same connection, message id and command; an unanswered request has nulls."""
-    ask = msgs.where("NOT is_response").withColumnRenamed("msg", "req")
-    answer = msgs.where("is_response").select("stream", "message_id", "command", F.col("msg").alias("rsp"), F.col("status").alias("answer_status"), F.col("ts_ns").alias("answer_ns")).dropDuplicates(["stream", "message_id", "command"])
-    return ask.drop("status").join(answer, ["stream", "message_id", "command"], "left")
+    # Messages are made and dealt once; of several answers the first counts.
+    w = Window.partitionBy("stream", "message_id", "command").orderBy("run", "n").rowsBetween(START, Window.unboundedFollowing)
+    answer = F.first(F.when(F.col("is_response") & F.col("command").isNotNull(), F.struct("msg", "status", "ts_ns")), ignorenulls=True).over(w)
+    both = msgs.withColumn("answer", answer).where("NOT is_response").withColumnRenamed("msg", "req")
+    return both.select(*[c for c in both.columns if c not in ("status", "answer")], F.col("answer.msg").alias("rsp"), F.col("answer.status").alias("answer_status"), F.col("answer.ts_ns").alias("answer_ns"))
 
 
 def trees(ex: DataFrame) -> DataFrame:
@@ -131,7 +135,7 @@ def trees(ex: DataFrame) -> DataFrame:
 
 
 def opens(ex: DataFrame) -> DataFrame:
-    """(stream, file_id, path, is_directory, times): each handle that a Create gave; a tree without a name is treeId_<n>."""
+    """(stream, file_id, path, is_directory, times, told): each handle that a Create gave, with its times' bytes; a tree without a name is treeId_<n>."""
     c = ex.where(f"command = {CREATE} AND answer_status = 0")
     name = F.translate(_text("req", _le(108, 2, "req"), _le(110, 2, "req")), "\\", "/")
     c = c.join(trees(ex), ["stream", "session_id", "tree_id"], "left")
@@ -139,7 +143,7 @@ def opens(ex: DataFrame) -> DataFrame:
     at = {"btime": 72, "atime": 80, "mtime": 88, "ctime": 96}
     return c.select(
         "stream", "server", "client_ip", "message_id", _hex(128, 16, "rsp").alias("file_id"), F.concat(F.lit("/"), share, F.when(name != "", F.concat(F.lit("/"), name)).otherwise("")).alias("path"),
-        (F.shiftright(_le(120, 4, "rsp"), 4) % 2 == 1).alias("is_directory"), F.col("answer_ns").alias("opened_ns"), *[filetime(_le(a, 8, "rsp")).alias(k) for k, a in at.items()],
+        (F.shiftright(_le(120, 4, "rsp"), 4) % 2 == 1).alias("is_directory"), F.col("answer_ns").alias("opened_ns"), F.substring("rsp", 73, 32).alias("told"), *[filetime(_le(a, 8, "rsp")).alias(k) for k, a in at.items()],
     )
 
 
@@ -179,8 +183,10 @@ def skews(ex: DataFrame) -> DataFrame:
 
 
 def unix_ns(ticks: Column) -> Column:
-    """Tenths of microseconds since 1601 as nanoseconds since 1970; null for 0."""
-    return F.when(ticks > 0, F.try_multiply(ticks - EPOCH * TICKS, F.lit(100)))
+    """Tenths of microseconds since 1601 as nanoseconds since 1970; null for 0, and for what 64 bits of nanoseconds can't say."""
+    since = ticks - EPOCH * TICKS
+    # The bound is asked for beforehand: try_multiply raises and catches an error for each time beyond it.
+    return F.when((ticks > 0) & since.between(-MOST, MOST), since * 100)
 
 
 ENTRIES = "array<struct<name:string,btime:long,atime:long,mtime:long,ctime:long,size:long,attributes:long>>"
@@ -213,11 +219,14 @@ def _entries(kind: Column, data: Column) -> Column:
     return walk(kind, data)
 
 
-def listed(ex: DataFrame) -> DataFrame:
-    """(stream, server, client_ip, path, ts_ns, btime, atime, mtime, ctime, size, is_directory) of every entry of the directories that were asked for; . and .. are left out."""
+def listed(ex: DataFrame, handles: DataFrame | None = None) -> DataFrame:
+    """(stream, server, client_ip, path, ts_ns, btime, atime, mtime, ctime, size, is_directory) of every entry of the directories that were asked for; . and .. are left out.
+
+    ``handles`` are what ``opens`` gives, where they were told already.
+    """
     q = _answered(ex, QUERY_DIRECTORY).withColumn("file_id", _hex(72, 16, "req"))
     data = F.substring(F.col("rsp"), (_le(66, 2, "rsp") + 1).cast("int"), _le(68, 4, "rsp").cast("int"))
-    q = _named(q, opens(ex)).select("stream", "server", "client_ip", F.col("path").alias("directory"), "answer_ns", F.explode(_entries(_le(66, 1, "req").cast("int"), data)).alias("e")).where("e.name NOT IN ('.', '..', '')")
+    q = _named(q, opens(ex) if handles is None else handles).select("stream", "server", "client_ip", F.col("path").alias("directory"), "answer_ns", F.explode(_entries(_le(66, 1, "req").cast("int"), data)).alias("e")).where("e.name NOT IN ('.', '..', '')")
     return q.select("stream", "server", "client_ip", F.concat("directory", F.lit("/"), "e.name").alias("path"), F.col("answer_ns").alias("ts_ns"), "e.btime", "e.atime", "e.mtime", "e.ctime", "e.size", (F.shiftright("e.attributes", 4) % 2 == 1).alias("is_directory"))
 
 
@@ -227,21 +236,24 @@ def told(ex: DataFrame) -> DataFrame:
     They come with the answers to Create, Close and queries for information, with settings of it, and with the
     entries of directories. Where access, write or change time is 0 nothing is told: the row has nulls, and stands for the path alone.
     """
-    o = opens(ex)
-    times = lambda of, at: [_le(at + 8 * k, 8, of).alias(c) for k, c in enumerate(("btime", "atime", "mtime", "ctime"))]
-    keep = ["server", "path", "client_ip", "is_directory"]
-    made_ = ex.where(f"command = {CREATE} AND answer_status = 0").select("stream", "message_id", "answer_ns", *times("rsp", 72)).join(o.select("stream", "message_id", *keep), ["stream", "message_id"])
-    closed = _answered(ex, CLOSE).withColumn("file_id", _hex(72, 16, "req"))
-    closed = _named(closed, o).select(*keep, "answer_ns", *times("rsp", 72))
-    asked = _answered(ex, QUERY_INFO).where((_le(66, 1, "req") == 1) & _le(67, 1, "req").isin(*TIMED)).withColumn("file_id", _hex(88, 16, "req"))
-    asked = _named(asked, o).withColumn("data", F.substring(F.col("rsp"), (_le(66, 2, "rsp") + 1).cast("int"), F.lit(32))).select(*keep, "answer_ns", *times("data", 0))
-    given = _answered(ex, SET_INFO).where((_le(66, 1, "req") == 1) & (_le(67, 1, "req") == 4)).withColumn("file_id", _hex(80, 16, "req"))
-    given = _named(given, o).withColumn("data", F.substring(F.col("req"), (_le(72, 2, "req") + 1).cast("int"), F.lit(32))).select(*keep, "answer_ns", *times("data", 0))
-    every = [made_.select(*closed.columns), closed, asked, given, listed(ex).withColumnRenamed("ts_ns", "answer_ns").select(*closed.columns)]
-    rows = reduce(DataFrame.unionByName, every)
+    keep = ["server", "path", "client_ip", "is_directory", "answer_ns"]
+    # Handles are met four times: they are told once.
+    o = lasting(opens(ex).select("stream", "message_id", "file_id", "server", "client_ip", "path", "is_directory", "opened_ns", "told"))
+    command, level = F.col("command"), _le(67, 1, "req")
+    asks = (command == CLOSE) | ((_le(66, 1, "req") == 1) & F.when(command == QUERY_INFO, level.isin(*TIMED)).otherwise(level == 4))
+    by = lambda closed, asked, given: F.when(command == CLOSE, closed).when(command == QUERY_INFO, asked).otherwise(given)
+    four = lambda of, at: F.substring(F.col(of), (at + 1).cast("int"), F.lit(32))
+    rows = _answered(ex, CLOSE, QUERY_INFO, SET_INFO).where(asks).select(
+        "stream", "created", "server", "client_ip", "answer_ns", by(_hex(72, 16, "req"), _hex(88, 16, "req"), _hex(80, 16, "req")).alias("file_id"),
+        by(four("rsp", F.lit(72)), four("rsp", _le(66, 2, "rsp")), four("req", _le(72, 2, "req"))).alias("told"),
+    )
+    made_ = o.withColumn("answer_ns", F.col("opened_ns"))
+    rows = made_.select(*keep, "told").unionByName(_named(rows, o.drop("told")).select(*keep, "told"))
+    rows = rows.select(*keep, *[_le(8 * k, 8, "told").alias(c) for k, c in enumerate(("btime", "atime", "mtime", "ctime"))])
+    rows = rows.unionByName(listed(ex, o).withColumnRenamed("ts_ns", "answer_ns").select(*rows.columns))
     whole = (F.col("atime") > 0) & (F.col("mtime") > 0) & (F.col("ctime") > 0)
     when = lambda c, name: F.when(whole, F.coalesce(unix_ns(F.col(c)), F.lit(0))).alias(name)
-    return rows.select(*keep, F.col("answer_ns").alias("at"), when("atime", "a"), when("mtime", "m"), when("ctime", "c"), when("btime", "b"))
+    return rows.select(*keep[:4], F.col("answer_ns").alias("at"), when("atime", "a"), when("mtime", "m"), when("ctime", "c"), when("btime", "b"))
 
 
 def versions(ops: DataFrame, fs: DataFrame | None = None) -> DataFrame:

@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 
+#: Fixed value: the lower half of each byte of eight.
+HALVES = 0x0F0F0F0F0F0F0F0F
+
+
 def number(data: Column, at, length: int, little: bool = False) -> Column:
     """An unsigned integer of up to eight bytes at a place (from 0); null beyond the end, and from 2^63 on."""
     at = F.lit(at) if isinstance(at, int) else at
     h = F.hex(F.substring(data, at.cast("int") + 1, F.lit(length)))
-    if little:
-        h = F.regexp_replace(h, "(..)" * length, "".join(f"${k}" for k in range(length, 0, -1)))
+    if little:  # Digits from the last to the first, then the two of each byte change places; no regular expression a number.
+        x = F.conv(F.reverse(h), 16, -10).cast("long")
+        x = F.shiftleft(x.bitwiseAND(HALVES), 4).bitwiseOR(F.shiftrightunsigned(x, 4).bitwiseAND(HALVES))
+        return F.when((F.length(h) == 2 * length) & (F.substring(h, 15, 1) < "8" if length == 8 else F.lit(True)), x)
     return F.when(F.length(h) == 2 * length, F.conv(h, 16, 10).try_cast("long"))
 
 

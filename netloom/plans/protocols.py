@@ -49,11 +49,14 @@ def _flows(turns: DataFrame, net: int, port: int, client_port: Column | int = 40
     cut = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.octet_length("payload") - 1) / PIECE).cast("int"))))
     p = turns.where("octet_length(payload) > 0").withColumn("client_port", client_port).withColumn("piece", cut)
     p = p.withColumn("payload", F.substring(F.col("payload"), F.col("piece") * PIECE + 1, F.lit(PIECE)))
+    # What is said is made and dealt once, by flow: the SYN comes out of a flow's first row.
+    flow = Window.partitionBy("n").orderBy("out", "k", "piece").rowsBetween(START, Window.unboundedFollowing)
+    p = p.withColumns({"opened": F.min("ts_us").over(flow), "place": F.row_number().over(Window.partitionBy("n").orderBy("out", "k", "piece"))})
     way = Window.partitionBy("n", "out").orderBy("k", "piece").rowsBetween(START, -1)
-    p = p.withColumn("tcp_seq", F.lit(1000) + F.coalesce(F.sum(F.octet_length("payload")).over(way), F.lit(0))).withColumn("tcp_flags", F.lit(24))
-    syn = p.groupBy("n").agg(F.min("ts_us").alias("ts_us"), F.first("client_port").alias("client_port"))
-    syn = syn.select("n", F.lit(-1).alias("k"), F.lit(True).alias("out"), F.lit(b"").alias("payload"), (F.col("ts_us") - 1000).alias("ts_us"), "client_port", F.lit(0).alias("piece"), F.lit(999).cast("long").alias("tcp_seq"), F.lit(2).alias("tcp_flags"))
-    p = p.select(*syn.columns).unionByName(syn)
+    p = p.withColumn("tcp_seq", F.lit(1000) + F.coalesce(F.sum(F.octet_length("payload")).over(way), F.lit(0)))
+    p = p.withColumn("said", F.explode(F.sequence(F.when(F.col("place") == 1, 0).otherwise(1), F.lit(1))))
+    its = lambda c, of_syn: F.when(F.col("said") == 0, of_syn).otherwise(F.col(c)).alias(c)
+    p = p.select("n", its("k", F.lit(-1)), its("out", F.lit(True)), its("payload", F.lit(b"")), its("ts_us", F.col("opened") - 1000), "client_port", its("piece", F.lit(0)), its("tcp_seq", F.lit(999).cast("long")), F.when(F.col("said") == 0, 2).otherwise(24).alias("tcp_flags"))
     client, server = _ends(F.col("n"), net)
     either = lambda a, b: F.when(F.col("out"), a).otherwise(b)
     return p.select(
@@ -84,7 +87,9 @@ def _n(first: str = "first") -> Column:
 def _turns(df: DataFrame, says: list[tuple[bool, Column]], n: str) -> DataFrame:
     """Turns (n, k, out, payload) of a row each: what its two ends say, in order; what is null is left out."""
     each = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(out).alias("out"), x.cast("binary").alias("payload")) for k, (out, x) in enumerate(says)])
-    return df.select(F.col(n).cast("long").alias("n"), F.explode(each).alias("s")).select("n", "s.k", "s.out", "s.payload").where("payload IS NOT NULL")
+    # The array is a column of its own: code made of the whole of it inside the explode can be too large to be compiled.
+    says_ = df.select(F.col(n).cast("long").alias("n"), each.alias("says"))
+    return says_.select("n", F.explode_outer("says").alias("s")).select("n", "s.k", "s.out", "s.payload").where("payload IS NOT NULL")
 
 
 # --- TLS, XOR and what is in them
@@ -463,7 +468,8 @@ def ssh_payloads(spark, sf_dir):
 # --- SMB
 
 T1601 = 116_444_736_000_000_000
-LAST = (1 << 63) - 1
+#: The last whole day that a file time holds.
+LAST_DAY = ((1 << 63) - T1601) // 864_000_000_000 - 1
 
 
 def _smb(command: int, mid: Column | int, body: Column, response: bool = False, tree: int = 1) -> Column:
@@ -546,12 +552,18 @@ def smb_log(spark, sf_dir):
     return out.select(_n().alias("conv_id"), F.decode("content", "UTF-8").alias("log"))
 
 
-def _times(spark, sf_dir) -> DataFrame:
+#: Packets of a connection of ``_times``.
+TALK = 13
+
+
+def _times(spark, sf_dir, tasks: int | None = None) -> DataFrame:
     """Turns of an SMB connection a customer: a file is opened, asked for, set and closed, with a day more each time; the server's clock is ahead."""
-    c = _t(spark, sf_dir, "customer")
-    key = F.col("c_custkey").cast("long")
-    # What lies beyond the last time that the field holds is told as that last one.
-    day = lambda d, h: F.coalesce(F.try_add(F.lit(T1601 + h * 36_000_000_000), F.try_multiply(key * 10 + d, F.lit(864_000_000_000))), F.lit(LAST))
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"))
+    # Customers are dealt while they are numbers alone, however few files they lie in; what is said of each stays where it is.
+    c = c.repartition(tasks or spark.sparkContext.defaultParallelism, "c_custkey")
+    key = F.col("c_custkey")
+    # What lies beyond the last day that the field holds is told as that last one.
+    day = lambda d, h: F.least(key * 10 + d, F.lit(LAST_DAY)) * 864_000_000_000 + (T1601 + h * 36_000_000_000)
     four = lambda d: [day(d, h) for h in range(4)]
     handle = F.concat(_b(key, 8), _x("77" * 8))
     skew = F.lit(T1601) + (2 + key % 100) * 10_000_000
@@ -572,7 +584,9 @@ def _times(spark, sf_dir) -> DataFrame:
 )
 def smb_told_times(spark, sf_dir):
     """One file's times from four messages: the answers to Create, a query and Close, and a setting; and the skew that the negotiation tells."""
-    ex = lasting(smb.exchanges(smb.messages(_runs(_times(spark, sf_dir)))))
+    n = -(-_t(spark, sf_dir, "customer").count() * TALK // streams.PACKETS)
+    tasks = n if n > spark.sparkContext.defaultParallelism else None
+    ex = lasting(smb.exchanges(smb.messages(_runs(_times(spark, sf_dir, tasks), tasks))))
     told = smb.told(ex)
     own = F.regexp_extract("path", r"t(\d+)$", 1).cast("long")
     ahead = smb.skews(ex).join(ex.where("command = 0").select("stream", F.regexp_extract("stream", r"60-445-(\d+)-", 1).cast("long").alias("custkey")), "stream")
